@@ -13,9 +13,14 @@ def tumbling_stats(df: DataFrame, ts: str = "ts", size: str = "1 hour",
                    watermark: str | None = "10 minutes") -> DataFrame:
     """Count and mean of ``value`` per tumbling window (and ``by`` keys).
 
-    With a watermark, a window's state is dropped once event time has passed
-    its end by ``watermark``; rows later than that are not counted (the late
-    data rule).  The state is therefore bounded by the open windows.
+    With a watermark (max event time seen minus ``watermark``) a window's
+    state is evicted once the watermark passes the window's end, so the state
+    is bounded by the open windows.  Input rows older than the previous
+    batch's watermark are dropped; rows no later than ``watermark`` behind the
+    maximum are always counted.  Because eviction uses the current watermark
+    and dropping the previous one, no row can reach a window after it was
+    evicted: each window's updates come from one state lifetime, which is
+    what the latest-row fold of the update log relies on.
     """
     df = event_time(df, ts)
     if watermark:

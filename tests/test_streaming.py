@@ -1,0 +1,64 @@
+"""Streaming: restart from a checkpoint, watermark late-data rule, append sink."""
+
+import datetime as dt
+import time
+
+from pyspark.sql import functions as F
+
+from lexitally.functions.tokenize import LETTERS
+from lexitally.operators.wordcount import word_freq
+from lexitally.sources.tables import read_table
+from lexitally.streaming import sinks
+from lexitally.streaming.operators import tumbling_stats
+from lexitally.streaming.sources import stream_text
+from conftest import SF_SMOKE
+
+
+def test_wordcount_survives_stop_and_restart(spark, tmp):
+    docs = read_table(spark, SF_SMOKE, "documents", ["doc_id", "text"])
+    src, out, ckpt = tmp + "/src", tmp + "/out", tmp + "/ckpt"
+    first, second = docs.where("doc_id < 100"), docs.where("doc_id >= 100")
+    first.select(F.col("text").alias("value")).repartition(3).write.text(src)
+
+    def run():
+        counts = word_freq(stream_text(spark, src, max_files_per_trigger=1), "value", LETTERS)
+        sinks.run_upserts(counts, out, ckpt)
+
+    run()                                    # stops after the files present now
+    mid = sinks.latest_rows(spark, out, ["word"])
+    assert sorted(mid.collect()) == sorted(word_freq(first, "text", LETTERS).collect())
+    second.select(F.col("text").alias("value")).repartition(2).write.mode("append").text(src)
+    run()                                    # restart: only the new files are read
+    final = sinks.latest_rows(spark, out, ["word"])
+    assert sorted(final.collect()) == sorted(word_freq(docs, "text", LETTERS).collect())
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 5
+
+
+def test_watermark_drops_late_rows(spark, tmp):
+    src, out, ckpt = tmp + "/ev", tmp + "/out", tmp + "/ckpt"
+    t = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp_ntz, kind string, value double"
+    spark.createDataFrame([(t(10, 5), "a", 1.0), (t(11, 0), "a", 3.0), (t(12, 0), "a", 5.0)],
+                          schema).coalesce(1).write.parquet(src)
+    time.sleep(1.1)
+    spark.createDataFrame([(t(9, 0), "a", 100.0), (t(11, 55), "a", 7.0)],
+                          schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    agg = tumbling_stats(stream, "ts", "1 hour", ("kind",), "value", "10 minutes")
+    sinks.run_upserts(agg, out, ckpt)
+    got = {r.window_start.hour: (r.n, r.avg_value)
+           for r in sinks.latest_rows(spark, out, ["window_start", "kind"]).collect()}
+    # 11:55 is within the 10 minute delay of the 12:00 maximum: always counted.
+    assert {h: got[h] for h in (10, 11, 12)} == {10: (1, 1.0), 11: (2, 5.0), 12: (1, 5.0)}
+    # 09:00 is older than the current watermark (11:50) but not than the one of
+    # the previous batch, so Spark still counts it - in its own window, which
+    # is then evicted.  Either way no earlier window is overwritten.
+    assert got.get(9, (1, 100.0)) == (1, 100.0)
+
+
+def test_append_sink_writes_rows_as_they_arrive(spark, tmp):
+    from lexitally.streaming.queries import q_stream_outcomes
+    from lexitally.plans.catalog import q_outcomes
+    a = sorted(q_stream_outcomes(spark, SF_SMOKE).collect())
+    b = sorted(q_outcomes(spark, SF_SMOKE).collect())
+    assert a == b
