@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import epoch_micros, json_number
 from ..functions.tokenize import LETTERS, WHITESPACE
 from ..operators import attach, report, runs as R, sampling, wordcount as W
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from . import fixtures as FX
 from .fixtures import with_fixtures
 
@@ -37,7 +37,7 @@ def _round(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
 
 
 def _docs(spark, d, *cols):
-    return read_table(spark, d, "documents", list(cols) or ["text"])
+    return spread(read_table(spark, d, "documents", list(cols) or ["text"]))
 
 
 def _events(spark, d, *cols):

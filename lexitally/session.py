@@ -28,6 +28,7 @@ def build_session(master: str | None = None, app_name: str = "lexitally",
       partitions are split, and small join sides are broadcast only once their
       real (runtime) size is known to be under the threshold.
     * UI off: no server or port beyond what the session itself needs.
+    * RocksDB state store for streaming aggregations.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -40,6 +41,11 @@ def build_session(master: str | None = None, app_name: str = "lexitally",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # streaming state: RocksDB keeps large state off-heap and commits
+        # incrementally (changelog) instead of snapshotting whole maps
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -22,3 +22,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster when its scan is narrower than that.
+
+    A table stored as few large row groups scans as few tasks, which leaves
+    cores idle for CPU-heavy work such as tokenising.  When the scan has fewer
+    partitions than ``min_partitions`` (default: the default parallelism) the
+    pruned rows are spread once; a wide scan - the normal case for a large
+    table of many files and row groups - is returned untouched, so this never
+    adds a shuffle at scale.  Counting the partitions plans the scan (a file
+    listing), it runs no job.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
