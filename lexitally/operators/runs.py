@@ -86,7 +86,7 @@ def config_summary(runs: DataFrame, facts: DataFrame,
                         F.avg("runtime_s").alias("avg_runtime_s"),
                         F.avg("init_s").alias("avg_init_s"),
                         F.avg("processing_s").alias("avg_processing_s"),
-                        F.min_by("run_id", F.struct("ts", "run_id")).alias("first_run_id")))
+                        F.min_by("run_id", "ts").alias("first_run_id")))
     return (per_cfg.join(facts, "dataset", "left")
                    .withColumn("throughput_words",
                                safe_ratio("word_count", "avg_processing_s"))
@@ -192,22 +192,27 @@ def first_crossing(samples: DataFrame, threshold: float = 50.0,
                    value: str = "progress") -> DataFrame:
     """W3 + P10: first time each run reaches ``threshold``, latched once.
 
-    ``min`` / ``min_by`` are partial aggregates; ties on ``ts`` are broken by
-    the smaller value so the result is deterministic.
+    ``min`` / ``min_by`` on a fixed-width key stay hash aggregates with a
+    map-side partial step (a struct key would force a sort aggregate).  A run
+    has one reading per timestamp, so the value at the first time is unique.
     """
     return (samples.where(F.col(value) >= threshold)
                    .groupBy(key)
                    .agg(F.min(ts).alias("first_ts"),
-                        F.min_by(value, F.struct(ts, value)).alias("value_at")))
+                        F.min_by(value, ts).alias("value_at")))
 
 
 def latest_match(df: DataFrame, key: str, ts: str, text: str, needle: str,
                  pick: str) -> DataFrame:
-    """W4 + P7: per key, the most recent row whose ``text`` contains ``needle``."""
+    """W4 + P7: per key, the most recent row whose ``text`` contains ``needle``.
+
+    A hash aggregate instead of ``row_number`` over a window: no key's rows are
+    sorted or gathered in one task.  Timestamps are unique per key.
+    """
     return (df.where(F.col(text).contains(needle))
               .groupBy(key)
               .agg(F.max(ts).alias("last_ts"),
-                   F.max_by(pick, F.struct(ts, pick)).alias(f"last_{pick}")))
+                   F.max_by(pick, ts).alias(f"last_{pick}")))
 
 
 def distinct_first_fields(lines: DataFrame, line: str = "line") -> DataFrame:

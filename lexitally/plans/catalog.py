@@ -37,7 +37,12 @@ def _round(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
 
 
 def _docs(spark, d, *cols):
-    return spread(read_table(spark, d, "documents", list(cols) or ["text"]))
+    return read_table(spark, d, "documents", list(cols) or ["text"])
+
+
+def _text(spark, d, *cols):
+    """Documents for tokenising: spread if the scan is narrower than the cluster."""
+    return spread(_docs(spark, d, *cols))
 
 
 def _events(spark, d, *cols):
@@ -58,19 +63,19 @@ def _triggers(spark, d):
 
 # ------------------------------------------------------------------ text
 def q_ws_word_total(spark, d):
-    return W.word_total(_docs(spark, d), "text", WHITESPACE)
+    return W.word_total(_text(spark, d), "text", WHITESPACE)
 
 
 def q_alpha_word_freq(spark, d):
-    return W.word_freq(_docs(spark, d), "text", LETTERS)
+    return W.word_freq(_text(spark, d), "text", LETTERS)
 
 
 def q_ws_word_freq(spark, d):
-    return W.word_freq(_docs(spark, d), "text", WHITESPACE)
+    return W.word_freq(_text(spark, d), "text", WHITESPACE)
 
 
 def q_dataset_words(spark, d):
-    return W.dataset_words(_docs(spark, d, "lang", "text"), "lang", "text", LETTERS)
+    return W.dataset_words(_text(spark, d, "lang", "text"), "lang", "text", LETTERS)
 
 
 def q_dataset_size(spark, d):
@@ -78,7 +83,7 @@ def q_dataset_size(spark, d):
 
 
 def q_sorted_kv_lines(spark, d):
-    freq = W.word_freq(_docs(spark, d), "text", LETTERS)
+    freq = W.word_freq(_text(spark, d), "text", LETTERS)
     return W.kv_lines(W.hash_sorted(freq, SORTED_FILES))
 
 
@@ -102,7 +107,7 @@ def q_samples_avg(spark, d):
 
 
 def _facts(spark, d):
-    return W.dataset_facts(_docs(spark, d, "lang", "text"), "lang", "text", WHITESPACE)
+    return W.dataset_facts(_text(spark, d, "lang", "text"), "lang", "text", WHITESPACE)
 
 
 def q_run_summary(spark, d):
@@ -166,7 +171,7 @@ def q_cumulative_report(spark, d):
 def q_samples_fallback(spark, d):
     ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
     keys = (ev.groupBy(F.col("user_id").alias("run_key"))
-              .agg(F.max_by("value", F.struct("ts", "event_id")).alias("fallback")))
+              .agg(F.max_by("value", "ts").alias("fallback")))
     means = (ev.where(F.col("event_type") == PURCHASE)
                .groupBy(F.col("user_id").alias("run_key"))
                .agg(F.count(F.lit(1)).alias("n_samples"), F.avg("value").alias("avg_cpu")))

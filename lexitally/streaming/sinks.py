@@ -4,8 +4,7 @@
 micro-batch's changed rows to ``<out>/batch_id=<n>`` with overwrite.  A batch
 replayed after a failure (same id, from the checkpoint's offset log) rewrites
 its own folder, so the log is exactly-once; ``latest_rows`` folds the log into
-the current value per key with ``max_by(.., batch_id)`` - a partial aggregate,
-so no key's history is pulled into one place.
+the current value per key (the row of the highest batch id).
 
 ``run_append`` is the plain append-mode file sink for row-wise (non
 aggregating) streams: results are written as they arrive.
@@ -13,7 +12,7 @@ aggregating) streams: results are written as they arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -52,9 +51,12 @@ def latest_rows(spark: SparkSession, out: str, keys: list[str],
             raise
         return spark.createDataFrame([], schema_hint.schema)
     values = [c for c in log.columns if c not in keys and c != BATCH_COL]
-    return (log.groupBy(*keys)
-               .agg(F.max_by(F.struct(*values), BATCH_COL).alias("_v"))
-               .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values]))
+    # top-1 per key by batch id; Spark plans this as a WindowGroupLimit that
+    # also runs before the shuffle, and a key's group has one row per batch
+    w = Window.partitionBy(*keys).orderBy(F.col(BATCH_COL).desc())
+    return (log.withColumn("_rn", F.row_number().over(w))
+               .where(F.col("_rn") == 1)
+               .select(*keys, *values))
 
 
 def run_append(df: DataFrame, out: str, checkpoint: str, fmt: str = "parquet",
