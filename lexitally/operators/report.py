@@ -9,7 +9,7 @@ core count, partitioned by dataset), never over raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import signed2
@@ -37,6 +37,45 @@ def scalability_lines(speedups: DataFrame) -> DataFrame:
                                             F.array_join(F.collect_list("line").over(w), "\n"))))
 
 
+# The failure section of the run report.
+FAILURE_LINES = (
+    "{cores} Cores with {failures} core failure(s):",
+    "Total Execution Time (no failures): {base} seconds",
+    "Total Execution Time (with failures): {fail} seconds",
+    "Recovery Overhead: {overhead} seconds",
+)
+RESCHEDULE_LINE = "Rescheduled partitions (proxy for failed cores): {failures}"
+
+
+def _render(tmpl: str, parts: dict) -> Column:
+    """Fill ``{field}`` markers of a template with column expressions."""
+    pieces, rest = [], tmpl
+    while "{" in rest:
+        pre, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        pieces += [F.lit(pre), parts[name]]
+    pieces.append(F.lit(rest))
+    return F.concat(*pieces)
+
+
+def failure_block(rows: DataFrame) -> DataFrame:
+    """M5 + P11: the failure section, only for configurations that have one.
+
+    ``rows`` needs ``cores, failures, baseline_runtime_s, failure_runtime_s,
+    recovery_overhead_s``; rows without a failure run are dropped, and the
+    reschedule line is added only when the failure budget is positive.
+    """
+    parts = {
+        "cores": F.col("cores").cast("string"), "failures": F.col("failures").cast("string"),
+        "base": signed2("baseline_runtime_s"), "fail": signed2("failure_runtime_s"),
+        "overhead": signed2("recovery_overhead_s"),
+    }
+    lines = [_render(t, parts) for t in FAILURE_LINES]
+    resched = F.when(F.col("failures") > 0, _render(RESCHEDULE_LINE, parts))
+    return (rows.where(F.col("failure_runtime_s").isNotNull())
+                .withColumn("block", F.concat_ws("\n", *lines, resched)))
+
+
 def run_block(rows: DataFrame) -> DataFrame:
     """The steady-state block of one configuration.
 
@@ -48,14 +87,4 @@ def run_block(rows: DataFrame) -> DataFrame:
         "runtime": signed2("avg_runtime_s"), "words": signed2("throughput_words"),
         "mb": signed2("throughput_mb"), "speedup": signed2("speedup"),
     }
-    lines = []
-    for tmpl in BLOCK_LINES:
-        # split each template on its {field} markers and concat literal/column pieces
-        pieces, rest = [], tmpl
-        while "{" in rest:
-            pre, _, tail = rest.partition("{")
-            name, _, rest = tail.partition("}")
-            pieces += [F.lit(pre), parts[name]]
-        pieces.append(F.lit(rest))
-        lines.append(F.concat(*pieces))
-    return rows.withColumn("block", F.concat_ws("\n", *lines))
+    return rows.withColumn("block", F.concat_ws("\n", *[_render(t, parts) for t in BLOCK_LINES]))

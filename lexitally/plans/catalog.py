@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import epoch_micros, json_number
 from ..functions.tokenize import LETTERS, WHITESPACE
 from ..operators import attach, report, runs as R, sampling, wordcount as W
+from ..session import scratch_path
+from ..sinks import files as sinks
+from ..sources import text as textsrc
+from ..sources.results import read_results
 from ..sources.tables import read_table, spread
 from . import fixtures as FX
 from .fixtures import with_fixtures
@@ -98,6 +102,40 @@ def q_missing_datasets(spark, d):
                 .select("doc_id", F.col("lang").alias("dataset")))
 
 
+def _unhive(c):
+    """``lang=en`` (a partition folder name) -> ``en``."""
+    return F.regexp_replace(c, r"^[^=/]+=", "")
+
+
+def q_file_dataset_words(spark, d):
+    """IO1-IO4 + IO7: documents written as one text folder per dataset, then
+    scanned recursively, tagged by folder, counted (letter rule) and sized
+    from the file listing."""
+    root = scratch_path(spark, "datasets")
+    (_docs(spark, d, "lang", "text")
+        .select("lang", F.col("text").alias("value"))
+        .write.partitionBy("lang").text(root))
+    lines = textsrc.read_datasets(spark, root).withColumn("dataset", _unhive("dataset"))
+    words = W.dataset_words(spread(lines), "dataset", "value", LETTERS)
+    sizes = textsrc.dataset_bytes(spark, root).withColumn("dataset", _unhive("dataset"))
+    return words.join(sizes, "dataset")
+
+
+# The header spelling of the published failure-run result files.
+FAILURE_FILE_HEADER = {"dataset": "Data set", "cores": "Cores", "runtime_s": "runtime"}
+
+
+def q_results_csv_roundtrip(spark, d):
+    """IO10 + IO14: successful runs written as a result CSV with a fixed column
+    order and another header spelling, read back under canonical names."""
+    out = scratch_path(spark, "results")
+    rows = R.successful(_runs(spark, d)).select(
+        *[F.col(k).alias(v) for k, v in FAILURE_FILE_HEADER.items()])
+    sinks.write_table_csv(rows, out, list(FAILURE_FILE_HEADER.values()))
+    back = read_results(spark, out)
+    return _round(back, "runtime_seconds")
+
+
 # ------------------------------------------------------------------ runs
 def q_samples_avg(spark, d):
     per_run = R.run_means(R.tick_totals(_samples(spark, d)))
@@ -168,6 +206,17 @@ def q_cumulative_report(spark, d):
     return out.select("dataset", "cores", "line", "cumulative", "block")
 
 
+def q_failure_report(spark, d):
+    """J1 + J2 + M5 + P11 + P12 + F9: failure section of the report."""
+    paired = R.recovery_overhead(R.successful(_runs(spark, d)))
+    budget = R.policy_frame(spark, FAILURE_POLICY)
+    rows = (paired.join(F.broadcast(budget), "cores", "left")
+                  .withColumn("failures", F.coalesce("failures", F.lit(0)))
+                  .where(F.col("failures") > 0))
+    return (report.failure_block(rows)
+                  .select("dataset", "cores", "failures", "block"))
+
+
 def q_samples_fallback(spark, d):
     ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
     keys = (ev.groupBy(F.col("user_id").alias("run_key"))
@@ -209,6 +258,7 @@ QUERIES: dict[str, Query] = {
     "q_latest_match": q_latest_match,
     "q_attach_events": q_attach_events,
     "q_cumulative_report": q_cumulative_report,
+    "q_failure_report": q_failure_report,
     "q_samples_fallback": q_samples_fallback,
     "q_json_default": q_json_default,
     "q_distinct_first_field": q_distinct_first_field,
@@ -216,6 +266,8 @@ QUERIES: dict[str, Query] = {
     "q_union_results": q_union_results,
     "q_missing_datasets": q_missing_datasets,
     "q_partition_profile": q_partition_profile,
+    "q_file_dataset_words": q_file_dataset_words,
+    "q_results_csv_roundtrip": q_results_csv_roundtrip,
 }
 
 
@@ -367,6 +419,24 @@ SELECT dataset, cores, line,
               throughput_words, throughput_mb) || chr(10) ||
        printf('**Scalability:** % .2fx relative to 1 core', speedup) AS block
 FROM lines""", "runs"),
+    "q_failure_report": with_fixtures("""
+, ok AS (SELECT * FROM runs WHERE return_code = 0),
+b AS (SELECT dataset, cores, avg(runtime_s) AS rt FROM ok WHERE variant = 'baseline'
+      GROUP BY dataset, cores),
+f AS (SELECT dataset, cores, avg(runtime_s) AS rt FROM ok WHERE variant = 'failure'
+      GROUP BY dataset, cores),
+policy AS (SELECT * FROM (VALUES (1, 1), (2, 1), (4, 1)) AS p(cores, failures)),
+rows AS (SELECT b.dataset, b.cores, coalesce(p.failures, 0) AS failures,
+                b.rt AS base, f.rt AS fail, f.rt - b.rt AS overhead
+         FROM b LEFT JOIN f ON b.dataset = f.dataset AND b.cores = f.cores
+                LEFT JOIN policy p ON b.cores = p.cores)
+SELECT dataset, cores, failures,
+       printf('%d Cores with %d core failure(s):', cores, failures) || chr(10) ||
+       printf('Total Execution Time (no failures): % .2f seconds', base) || chr(10) ||
+       printf('Total Execution Time (with failures): % .2f seconds', fail) || chr(10) ||
+       printf('Recovery Overhead: % .2f seconds', overhead) || chr(10) ||
+       printf('Rescheduled partitions (proxy for failed cores): %d', failures) AS block
+FROM rows WHERE failures > 0 AND fail IS NOT NULL""", "runs"),
     "q_samples_fallback": """
 WITH fb AS (SELECT user_id AS run_key, max_by(value, ts) AS fallback
             FROM events GROUP BY user_id),
@@ -384,6 +454,16 @@ SELECT DISTINCT core FROM (
   SELECT TRY_CAST(regexp_split_to_array(trim(line), '\s+')[1] AS INTEGER) AS core
   FROM process_lines) t
 WHERE core IS NOT NULL ORDER BY core""", "process_lines"),
+    "q_file_dataset_words": f"""
+WITH w AS (SELECT dataset, CAST(count(*) AS BIGINT) AS total_words
+           FROM (SELECT lang AS dataset, {_AZ_TOKENS} AS word FROM documents) t
+           WHERE word <> '' GROUP BY dataset),
+b AS (SELECT lang AS dataset, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS dataset_bytes
+      FROM documents GROUP BY lang)
+SELECT w.dataset, w.total_words, b.dataset_bytes FROM w JOIN b ON w.dataset = b.dataset""",
+    "q_results_csv_roundtrip": with_fixtures("""
+SELECT dataset, cores, round(runtime_s, 6) AS runtime_seconds
+FROM runs WHERE return_code = 0""", "runs"),
     "q_sample_k": """
 SELECT event_id, md5(CAST(event_id AS VARCHAR) || '42') AS sample_key
 FROM events ORDER BY sample_key, event_id LIMIT 8""",

@@ -35,6 +35,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     adds a shuffle at scale.  Counting the partitions plans the scan (a file
     listing), it runs no job.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
+        return df
     return df.repartition(want) if have < want else df
