@@ -1,7 +1,9 @@
-"""Small scalar helpers used by the run analytics (all built-in expressions)."""
+"""Small scalar helpers used by the run analytics (built-in expressions, except
+the Python-exact number formatter for report lines)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +38,29 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
     return (epoch_micros(end) - epoch_micros(start)) / F.lit(1e6)
 
 
+def _format_signed2(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: None if pd.isna(x) else format(x, " .2f"))
+
+
+_UDFS: dict = {}
+
+
+def _py_signed2(col: Column) -> Column:
+    if "signed2" not in _UDFS:  # built on first use: needs an active session
+        _UDFS["signed2"] = F.pandas_udf(_format_signed2, "string")
+    return _UDFS["signed2"](col)
+
+
 def signed2(x: str | Column) -> Column:
-    """Python's ``f"{x: .2f}"``: two decimals, a space where a plus sign would go."""
-    return F.format_string("% .2f", _c(x).cast("double"))
+    """Python's ``f"{x: .2f}"``: two decimals, a space where a plus sign would go.
+
+    Python rounds the exact binary value (81.975 is 81.97499.. -> " 81.97"),
+    while Java's formatter - behind ``format_string`` - rounds the shortest
+    decimal form half-up (" 81.98").  Report lines must read like the
+    reference's, so this one formatter is an Arrow-batched pandas UDF; it is
+    only applied to report rows (one per configuration), never to raw data.
+    """
+    return _py_signed2(_c(x).cast("double"))
 
 
 def json_number(doc: str | Column, path: str, default: float = 0.0) -> Column:

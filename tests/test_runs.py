@@ -50,6 +50,13 @@ def test_safe_ratio_zero_and_format(spark):
     assert [r.s for r in got] == [" 0.00", " 3.14", "-2.00"]
 
 
+def test_format_rounds_like_python(spark):
+    vals = [81.975, 0.125, 2.675, 1.005, -0.005, None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.s for r in df.select(signed2("x").alias("s")).collect()]
+    assert got == [None if v is None else f"{v: .2f}" for v in vals]
+
+
 def test_mean_of_means_is_not_pooled(spark):
     samples = spark.createDataFrame(
         [(1, 1, 10.0, 0.0), (1, 2, 20.0, 0.0), (1, 3, 30.0, 0.0), (2, 1, 100.0, 1048576.0)],
