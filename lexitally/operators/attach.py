@@ -43,9 +43,24 @@ SAMPLE, EVENT = 1, 0  # kind: an event sorts before a tick with the same time
 
 
 def _num_chunks(df: DataFrame, n_chunks: int | None) -> int:
+    """Chunks of the time line: explicit, else the job's shuffle width.
+
+    Large jobs raise ``spark.sql.shuffle.partitions`` (or, with AQE, the
+    initial partition number that AQE later coalesces); the chunk count
+    follows it, and is never below the cluster's parallelism.
+    """
     if n_chunks:
         return n_chunks
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf
+    width = int(conf.get("spark.sql.shuffle.partitions"))
+    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    if initial:
+        width = max(width, int(initial))
+    try:
+        width = max(width, df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no context access in a remote session
+        pass
+    return width
 
 
 def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
