@@ -80,13 +80,22 @@ def config_summary(runs: DataFrame, facts: DataFrame,
 
     ``facts`` carries ``(dataset, word_count, dataset_bytes)``.  Throughput is
     words (or MB) over the mean *processing* time, 0 when that time is 0.
+    Optional run columns: ``retry_s`` (mean, missing = 0.0) and
+    ``failure_reschedules`` / ``failed_core_budget`` (taken from the first run).
     """
+    extra = []
+    if "retry_s" in runs.columns:           # M6: a run without a retry adds 0.0
+        extra.append(F.avg(F.coalesce(F.col("retry_s"), F.lit(0.0))).alias("avg_retry_s"))
+    for c in ("failure_reschedules", "failed_core_budget"):   # M8 via A5
+        if c in runs.columns:
+            extra.append(F.min_by(c, "ts").alias(c))
     per_cfg = (runs.groupBy(*config)
                    .agg(F.count(F.lit(1)).alias("n_runs"),
                         F.avg("runtime_s").alias("avg_runtime_s"),
                         F.avg("init_s").alias("avg_init_s"),
                         F.avg("processing_s").alias("avg_processing_s"),
-                        F.min_by("run_id", "ts").alias("first_run_id")))
+                        F.min_by("run_id", "ts").alias("first_run_id"),
+                        *extra))
     return (per_cfg.join(facts, "dataset", "left")
                    .withColumn("throughput_words",
                                safe_ratio("word_count", "avg_processing_s"))

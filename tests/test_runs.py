@@ -6,7 +6,7 @@ import csv
 import pytest
 from pyspark.sql import functions as F
 
-from lexitally.functions.scalar import json_number, safe_ratio, signed2
+from lexitally.functions.scalar import json_number, safe_ratio, seconds_between, signed2
 from lexitally.operators import runs as R
 from lexitally.operators.report import scalability_lines
 
@@ -137,3 +137,24 @@ def test_cumulative_lines(spark):
     assert rows[0].line == "1 cores:  1.00x"
     assert rows[2].cumulative.splitlines()[1:] == ["1 cores:  1.00x", "2 cores:  1.50x",
                                                   "4 cores:  2.25x"]
+
+
+def test_summary_retry_and_first_run_constants(spark):
+    runs = spark.createDataFrame(
+        [(1, 10, "toy", 2, "failure", 1.0, 4.0, 5.0, 2.0, 1, 1),
+         (2, 20, "toy", 2, "failure", 1.0, 6.0, 7.0, None, 3, 1)],
+        "run_id long, ts long, dataset string, cores int, variant string, init_s double, "
+        "processing_s double, runtime_s double, retry_s double, failure_reschedules int, "
+        "failed_core_budget int")
+    facts = spark.createDataFrame([("toy", 100, 1048576)],
+                                  "dataset string, word_count long, dataset_bytes long")
+    r = R.config_summary(runs, facts).first()
+    assert (r.n_runs, r.avg_retry_s, r.failure_reschedules, r.first_run_id) == (2, 1.0, 1, 1)
+    assert r.throughput_words == pytest.approx(100 / 5.0)
+    assert r.throughput_mb == pytest.approx(1 / 5.0)
+
+
+def test_seconds_between(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS a, "
+                   "TIMESTAMP_NTZ'2024-01-01 00:01:01.5' AS b")
+    assert df.select(seconds_between("a", "b").alias("d")).first().d == 61.5
