@@ -1,12 +1,14 @@
 """Scalability experiment: the word count at several core counts.
 
-Runs the whitespace-rule global word count (the published Spark experiment)
-in a fresh ``local[N]`` session per core count (one subprocess each, since a
-JVM holds one SparkContext).  Each run records init time (building the plan)
-and processing time (the action), like the published run log.  The log is
-then summarised with the engine's own operators: mean of runs per
-configuration, throughput over processing time, speedup against the first
-core count and parallel efficiency.
+Like the published experiment, the input is a folder of text files: the
+``documents`` table's text is written once as a corpus of ``4 x max cores``
+files (data Spark derives from the table).  For each core count a fresh
+``local[N]`` session (one subprocess each, since a JVM holds one
+SparkContext) scans the folder with ``read.text`` and counts tokens under
+the whitespace rule.  Each run records init time (building the plan) and
+processing time (the action); the run log is then summarised with the
+engine's own operators: mean of runs per configuration, throughput over
+processing time, speedup against the first core count, parallel efficiency.
 
 Usage: python scripts/scaling.py [sf_dir] [cores,...] [runs]
 Prints one JSON line.
@@ -18,6 +20,7 @@ import json
 import os
 import subprocess
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -25,38 +28,54 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
 
-def one_config(sf_dir: str, cores: int, runs: int) -> None:
+def prepare_corpus(sf_dir: str, out: str, n_files: int) -> None:
+    from pyspark.sql import functions as F
+
+    from lexitally.session import build_session
+    from lexitally.sources.tables import read_table
+
+    spark = build_session(f"local[{min(n_files, 8)}]", "lexitally-corpus")
+    (read_table(spark, sf_dir, "documents", ["text"])
+        .select(F.col("text").alias("value")).repartition(n_files)
+        .write.mode("overwrite").text(out))
+    spark.stop()
+
+
+def one_config(corpus: str, cores: int, runs: int) -> None:
     from lexitally.functions.tokenize import WHITESPACE
     from lexitally.operators.wordcount import word_total
     from lexitally.session import build_session
-    from lexitally.sources.tables import read_table, spread
+    from lexitally.sources.text import dataset_bytes, read_lines
 
     spark = build_session(f"local[{cores}]", "lexitally-scaling", shuffle_partitions=cores)
-    size = (read_table(spark, sf_dir, "documents", ["text"])
-            .selectExpr("sum(octet_length(text)) AS b").first()["b"])
+    size = dataset_bytes(spark, corpus, by_dataset=False).first()["dataset_bytes"]
     for i in range(runs + 1):                    # run 0 warms the JVM, not logged
         t0 = time.perf_counter()
-        df = word_total(spread(read_table(spark, sf_dir, "documents", ["text"])),
-                        "text", WHITESPACE)
+        df = word_total(read_lines(spark, corpus), "value", WHITESPACE)
         t1 = time.perf_counter()
         n = df.first()["word_count"]
         t2 = time.perf_counter()
         if i:
-            print(json.dumps({"run_id": cores * 1000 + i, "cores": cores, "init_s": t1 - t0,
-                              "processing_s": t2 - t1, "runtime_s": t2 - t0,
-                              "word_count": n, "dataset_bytes": size}), flush=True)
+            print(json.dumps({"run_id": cores * 1000 + i, "ts": cores * 1000 + i,
+                              "cores": cores, "init_s": t1 - t0, "processing_s": t2 - t1,
+                              "runtime_s": t2 - t0, "word_count": n, "dataset_bytes": size}),
+                  flush=True)
     spark.stop()
 
 
-def main(argv) -> None:
-    sf_dir = argv[1] if len(argv) > 1 else os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cores = [int(c) for c in (argv[2] if len(argv) > 2 else "1,2,4,8").split(",")]
-    runs = int(argv[3]) if len(argv) > 3 else 3
+def _sub(*args: str) -> str:
+    out = subprocess.run([sys.executable, __file__, *args], capture_output=True, text=True,
+                         timeout=1800, check=True)
+    return out.stdout
+
+
+def run_scaling(sf_dir: str, cores: list[int], runs: int = 3) -> dict:
+    corpus = tempfile.mkdtemp(prefix="lexitally-corpus-") + "/documents"
+    _sub("--prepare", sf_dir, corpus, str(4 * max(cores)))
     log = []
     for c in cores:
-        out = subprocess.run([sys.executable, __file__, "--one", sf_dir, str(c), str(runs)],
-                             capture_output=True, text=True, timeout=1800, check=True)
-        log += [json.loads(l) for l in out.stdout.splitlines() if l.startswith("{")]
+        log += [json.loads(l) for l in _sub("--one", corpus, str(c), str(runs)).splitlines()
+                if l.startswith("{")]
 
     from pyspark.sql import functions as F
 
@@ -64,16 +83,19 @@ def main(argv) -> None:
     from lexitally.session import build_session
 
     spark = build_session("local[2]", "lexitally-scaling-report", shuffle_partitions=2)
-    runlog = spark.createDataFrame(log).withColumn("dataset", F.lit(Path(sf_dir).name)) \
-                  .withColumn("ts", F.col("run_id")).withColumn("variant", F.lit("baseline"))
-    facts = runlog.groupBy("dataset").agg(F.first("word_count").alias("word_count"),
-                                          F.first("dataset_bytes").alias("dataset_bytes"))
-    summary = R.config_summary(runlog.drop("word_count", "dataset_bytes"), facts,
-                               ("dataset", "cores", "variant"))
+    runlog = (spark.createDataFrame(log)
+              .withColumn("dataset", F.lit("documents"))
+              .withColumn("variant", F.lit("baseline")))
+    facts = runlog.groupBy("dataset").agg(F.min_by("word_count", "ts").alias("word_count"),
+                                          F.min_by("dataset_bytes", "ts").alias("dataset_bytes"))
+    summary = R.config_summary(runlog.drop("word_count", "dataset_bytes"), facts)
     sp = R.speedup(summary.withColumn("runtime_s", F.col("avg_runtime_s")))
-    rows = sorted(sp.collect(), key=lambda r: r.cores)
-    print(json.dumps({
-        "sf_dir": sf_dir, "runs_per_config": runs,
+    rows = sorted(sp.collect(), key=lambda r: r.cores)   # one row per core count
+    spark.stop()
+    return {
+        "input": f"{sf_dir}/documents.parquet text as {4 * max(cores)} text files",
+        "runs_per_config": runs,
+        "words": rows[0].word_count if rows else None,
         "configs": [{"cores": r.cores, "runtime_s": round(r.avg_runtime_s, 4),
                      "init_s": round(r.avg_init_s, 4),
                      "processing_s": round(r.avg_processing_s, 4),
@@ -81,12 +103,20 @@ def main(argv) -> None:
                      "throughput_mb_per_sec": round(r.throughput_mb, 3),
                      "speedup": round(r.speedup, 4),
                      "parallel_efficiency": round(r.parallel_efficiency, 4)} for r in rows],
-    }))
-    spark.stop()
+    }
+
+
+def main(argv) -> None:
+    sf_dir = argv[1] if len(argv) > 1 else os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cores = [int(c) for c in (argv[2] if len(argv) > 2 else "1,2,4,8").split(",")]
+    runs = int(argv[3]) if len(argv) > 3 else 3
+    print(json.dumps(run_scaling(sf_dir, cores, runs)))
 
 
 if __name__ == "__main__":
-    if len(sys.argv) > 1 and sys.argv[1] == "--one":
+    if len(sys.argv) > 1 and sys.argv[1] == "--prepare":
+        prepare_corpus(sys.argv[2], sys.argv[3], int(sys.argv[4]))
+    elif len(sys.argv) > 1 and sys.argv[1] == "--one":
         one_config(sys.argv[2], int(sys.argv[3]), int(sys.argv[4]))
     else:
         main(sys.argv)
