@@ -54,7 +54,7 @@ def q_stream_first_crossing(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_wordcount(spark: SparkSession, d: str) -> DataFrame:
     """Letter-rule word counts kept as streaming state (update mode)."""
-    docs = stream_table(spark, d, "documents", ["text"])
+    docs = stream_table(spark, d, "documents", ["text"], spread_narrow=True)
     counts = W.word_freq(docs, "text", LETTERS)
     out, ckpt = _paths(spark, "wordcount")
     sinks.run_upserts(counts, out, ckpt)
