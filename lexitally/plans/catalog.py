@@ -198,6 +198,23 @@ def q_attach_events(spark, d):
                              "cpu", "mem_bytes", "event"), "cpu", "mem_bytes")
 
 
+SERIES_SCHEMA = "run_key bigint, ts_us bigint, cpu double, mem_bytes double, event string"
+
+
+def q_metrics_series(spark, d):
+    """IO12 + J5: per-tick metrics with their attached event, written as one CSV
+    time series per core count (NULL event -> empty cell) and read back."""
+    ticks = R.tick_totals(_samples(spark, d)).drop("n_procs")
+    series = (attach.attach_events(ticks, _triggers(spark, d))
+              .select(FX.cores_of(F.col("run_key")).alias("cores"), "run_key",
+                      epoch_micros("ts").alias("ts_us"), "cpu", "mem_bytes", "event"))
+    out = scratch_path(spark, "series")
+    sinks.write_series(series, out, by=("cores",))
+    back = (spark.read.schema(SERIES_SCHEMA).option("header", "true")
+                 .option("nullValue", "").csv(out))
+    return _round(back, "cpu", "mem_bytes")
+
+
 def q_cumulative_report(spark, d):
     summary = (R.config_summary(R.successful(_runs(spark, d)), _facts(spark, d))
                 .where(F.col("variant") == "baseline"))
@@ -257,6 +274,7 @@ QUERIES: dict[str, Query] = {
     "q_first_crossing": q_first_crossing,
     "q_latest_match": q_latest_match,
     "q_attach_events": q_attach_events,
+    "q_metrics_series": q_metrics_series,
     "q_cumulative_report": q_cumulative_report,
     "q_failure_report": q_failure_report,
     "q_samples_fallback": q_samples_fallback,
@@ -298,6 +316,23 @@ summary AS (SELECT cfg.*, facts.word_count, facts.dataset_bytes,
 _SPEEDUP_OF = """
 CASE WHEN runtime_s = 0 THEN 0.0 ELSE baseline_time / runtime_s END"""
 
+# J5 as plain windows per run (a brute-force statement of the FIFO rule)
+_ATTACH_CTES = """
+, ticks AS (SELECT run_key, ts, sum(cpu) AS cpu, sum(mem_bytes) AS mem_bytes
+            FROM samples GROUP BY run_key, ts),
+line AS (SELECT run_key, ts, 1 AS kind, CAST(NULL AS VARCHAR) AS event FROM ticks
+         UNION ALL SELECT run_key, ts, 0 AS kind, event FROM triggers),
+scan AS (SELECT *, sum(kind) OVER w AS n_ticks, sum(1 - kind) OVER w AS n_events
+         FROM line
+         WINDOW w AS (PARTITION BY run_key ORDER BY ts, kind, event
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+slot AS (SELECT run_key, event,
+                n_events + max(n_ticks + 1 - n_events) OVER (
+                    PARTITION BY run_key ORDER BY ts, kind, event
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk
+         FROM scan WHERE kind = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_key ORDER BY ts) AS rk FROM ticks)"""
+
 ORACLE: dict[str, str] = {
     "q_ws_word_total": f"""
 SELECT CAST(count(*) AS BIGINT) AS word_count
@@ -380,25 +415,17 @@ FROM samples WHERE progress >= 50.0 GROUP BY run_key""", "samples"),
     "q_latest_match": """
 SELECT user_id, epoch_us(max(ts)) AS last_ts_us, max_by(event_id, ts) AS last_event_id
 FROM events WHERE contains(event_type, 'error') GROUP BY user_id""",
-    "q_attach_events": with_fixtures("""
-, ticks AS (SELECT run_key, ts, sum(cpu) AS cpu, sum(mem_bytes) AS mem_bytes
-            FROM samples GROUP BY run_key, ts),
-line AS (SELECT run_key, ts, 1 AS kind, CAST(NULL AS VARCHAR) AS event FROM ticks
-         UNION ALL SELECT run_key, ts, 0 AS kind, event FROM triggers),
-scan AS (SELECT *, sum(kind) OVER w AS n_ticks, sum(1 - kind) OVER w AS n_events
-         FROM line
-         WINDOW w AS (PARTITION BY run_key ORDER BY ts, kind, event
-                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-slot AS (SELECT run_key, event,
-                n_events + max(n_ticks + 1 - n_events) OVER (
-                    PARTITION BY run_key ORDER BY ts, kind, event
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk
-         FROM scan WHERE kind = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY run_key ORDER BY ts) AS rk FROM ticks)
+    "q_attach_events": with_fixtures(_ATTACH_CTES + """
 SELECT r.run_key, epoch_us(r.ts) AS ts_us, round(r.cpu, 6) AS cpu,
        round(r.mem_bytes, 6) AS mem_bytes, s.event
 FROM ranked r LEFT JOIN slot s ON r.run_key = s.run_key AND r.rk = s.rk""",
                                      "samples", "triggers"),
+    "q_metrics_series": with_fixtures(_ATTACH_CTES + """
+SELECT CASE r.run_key % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END AS cores,
+       r.run_key, epoch_us(r.ts) AS ts_us, round(r.cpu, 6) AS cpu,
+       round(r.mem_bytes, 6) AS mem_bytes, s.event
+FROM ranked r LEFT JOIN slot s ON r.run_key = s.run_key AND r.rk = s.rk""",
+                                      "samples", "triggers"),
     "q_cumulative_report": with_fixtures(f"""
 , {_FACTS}, {_CFG},
 sp AS (SELECT *, avg_runtime_s AS runtime_s,
