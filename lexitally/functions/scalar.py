@@ -38,16 +38,16 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
     return (epoch_micros(end) - epoch_micros(start)) / F.lit(1e6)
 
 
-def _format_signed2(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: None if pd.isna(x) else format(x, " .2f"))
-
-
 _UDFS: dict = {}
 
 
 def _py_signed2(col: Column) -> Column:
     if "signed2" not in _UDFS:  # built on first use: needs an active session
-        _UDFS["signed2"] = F.pandas_udf(_format_signed2, "string")
+        # A local function is shipped to the Python workers by value, so they
+        # need pandas but not this package on their path.
+        def format_signed2(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: None if pd.isna(x) else format(x, " .2f"))
+        _UDFS["signed2"] = F.pandas_udf(format_signed2, "string")
     return _UDFS["signed2"](col)
 
 
