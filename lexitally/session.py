@@ -57,17 +57,27 @@ def build_session(master: str | None = None, app_name: str = "lexitally",
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        return None
+
+
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return master.startswith("local")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Return the cluster-wide checkpoint folder, creating one only locally."""
+    sc = _context(spark)
     value = spark.conf.get(CHECKPOINT_KEY, None) or \
-        spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+        (sc.getConf().get(CHECKPOINT_KEY, None) if sc is not None else None)
     if value:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(value)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(value)
         return value.rstrip("/")
     if not _is_local(spark):
         raise RuntimeError(
@@ -75,7 +85,8 @@ def shared_dir(spark: SparkSession) -> str:
             "(HDFS/S3/...) before running jobs that write state")
     value = tempfile.mkdtemp(prefix="lexitally-ckpt-")
     spark.conf.set(CHECKPOINT_KEY, value)
-    spark.sparkContext.setCheckpointDir(value)
+    if sc is not None:
+        sc.setCheckpointDir(value)
     return value
 
 
@@ -86,7 +97,7 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 
 def ensure_utc(spark: SparkSession) -> None:
-    """Event-time logic assumes UTC; refuse to run silently in another zone."""
+    """Event-time logic reads NTZ times as UTC; pin the session zone to UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
