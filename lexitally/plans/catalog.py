@@ -67,35 +67,43 @@ def _triggers(spark, d):
 
 # ------------------------------------------------------------------ text
 def q_ws_word_total(spark, d):
+    """A1 + G1 + P1 + P2: whitespace-rule token total of all documents."""
     return W.word_total(_text(spark, d), "text", WHITESPACE)
 
 
 def q_alpha_word_freq(spark, d):
+    """A2 + G2 (flagship): letter-rule count per word."""
     return W.word_freq(_text(spark, d), "text", LETTERS)
 
 
 def q_ws_word_freq(spark, d):
+    """A2 + G1: whitespace-rule count per word."""
     return W.word_freq(_text(spark, d), "text", WHITESPACE)
 
 
 def q_dataset_words(spark, d):
+    """Letter-rule words per dataset (language)."""
     return W.dataset_words(_text(spark, d, "lang", "text"), "lang", "text", LETTERS)
 
 
 def q_dataset_size(spark, d):
+    """Rows and UTF-8 bytes per dataset."""
     return W.dataset_bytes(_docs(spark, d, "lang", "text"), "lang", "text")
 
 
 def q_sorted_kv_lines(spark, d):
+    """S1 + IO7: ``word<TAB>count`` lines in hash-partitioned, sorted reducer files."""
     freq = W.word_freq(_text(spark, d), "text", LETTERS)
     return W.kv_lines(W.hash_sorted(freq, SORTED_FILES))
 
 
 def q_partition_profile(spark, d):
+    """Rows per input partition (a skew profile; rows-only check)."""
     return sampling.partition_profile(_docs(spark, d, "doc_id"))
 
 
 def q_missing_datasets(spark, d):
+    """J7 + IO5: documents not yet in the target (labels), by left anti join."""
     docs = _docs(spark, d, "doc_id", "lang")
     have = read_table(spark, d, "labels", ["doc_id"])
     return (docs.join(have, "doc_id", "left_anti")
@@ -138,6 +146,7 @@ def q_results_csv_roundtrip(spark, d):
 
 # ------------------------------------------------------------------ runs
 def q_samples_avg(spark, d):
+    """A6 -> A3 -> A4 + F6: ticks, per-run means, mean of means per core count."""
     per_run = R.run_means(R.tick_totals(_samples(spark, d)))
     per_run = per_run.withColumn("cores", FX.cores_of(F.col("run_key")))
     out = R.mean_of_means(per_run, ["cores"], ["avg_cpu", "avg_mem_mb"])
@@ -149,42 +158,50 @@ def _facts(spark, d):
 
 
 def q_run_summary(spark, d):
+    """M9: per-configuration summary with J4 facts, M1/M2 throughput, A5."""
     out = R.config_summary(R.successful(_runs(spark, d)), _facts(spark, d))
     return _round(out, "avg_runtime_s", "avg_init_s", "avg_processing_s",
                   "throughput_words", "throughput_mb")
 
 
 def q_speedup(spark, d):
+    """W1 + M3 + M4: speedup and parallel efficiency per (dataset, cores)."""
     per_cfg = R.runtime_by_config(R.successful(_runs(spark, d)))
     return _round(R.speedup(per_cfg), "runtime_s", "baseline_time", "speedup",
                   "parallel_efficiency")
 
 
 def q_recovery_overhead(spark, d):
+    """J1 + M5: baseline vs failure runtime per configuration."""
     out = R.recovery_overhead(R.successful(_runs(spark, d)))
     return _round(out, "baseline_runtime_s", "failure_runtime_s", "recovery_overhead_s")
 
 
 def q_policy_grid(spark, d):
+    """J2 + J3 + P12: configurations with a positive failure budget."""
     return R.policy_grid(_runs(spark, d), R.policy_frame(spark, FAILURE_POLICY))
 
 
 def q_outcomes(spark, d):
+    """P6 + F10 + S3: failure-test outcomes with run labels, in order."""
     return _round(R.outcomes(_runs(spark, d)).orderBy("dataset", "cores", "run_id"),
                   "runtime_s")
 
 
 def q_union_results(spark, d):
+    """Run results and failure-test results in one table."""
     return _round(R.results_union(_runs(spark, d)), "runtime_seconds")
 
 
 def q_first_crossing(spark, d):
+    """W3 + P10: first sample at or above 50 % progress per run."""
     out = R.first_crossing(_samples(spark, d), CROSSING_THRESHOLD)
     return out.select("run_key", epoch_micros("first_ts").alias("first_ts_us"),
                       F.col("value_at").alias("progress_at"))
 
 
 def q_latest_match(spark, d):
+    """W4 + P7: latest event whose type contains the needle, per user."""
     ev = _events(spark, d, "event_id", "ts", "user_id", "event_type")
     out = R.latest_match(ev, "user_id", "ts", "event_type", LATEST_NEEDLE, "event_id")
     return out.select("user_id", epoch_micros("last_ts").alias("last_ts_us"),
@@ -192,6 +209,7 @@ def q_latest_match(spark, d):
 
 
 def q_attach_events(spark, d):
+    """J5 + W5: each pending event attached to the next tick (FIFO)."""
     ticks = R.tick_totals(_samples(spark, d)).drop("n_procs")
     out = attach.attach_events(ticks, _triggers(spark, d))
     return _round(out.select("run_key", epoch_micros("ts").alias("ts_us"),
@@ -216,6 +234,7 @@ def q_metrics_series(spark, d):
 
 
 def q_cumulative_report(spark, d):
+    """W2 + F9 + M10: scalability lines, cumulative table, report block."""
     summary = (R.config_summary(R.successful(_runs(spark, d)), _facts(spark, d))
                 .where(F.col("variant") == "baseline"))
     sp = R.speedup(summary.withColumn("runtime_s", F.col("avg_runtime_s")))
@@ -235,6 +254,7 @@ def q_failure_report(spark, d):
 
 
 def q_samples_fallback(spark, d):
+    """Sample mean per run, else the latest reading, else 0."""
     ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
     keys = (ev.groupBy(F.col("user_id").alias("run_key"))
               .agg(F.max_by("value", "ts").alias("fallback")))
@@ -245,16 +265,19 @@ def q_samples_fallback(spark, d):
 
 
 def q_json_default(spark, d):
+    """IO15 + F11 + F12: JSON number with default 0.0."""
     ev = _events(spark, d, "event_id", "props")
     return ev.select("event_id", json_number("props", "$.k").alias("k"))
 
 
 def q_distinct_first_field(spark, d):
+    """P8 + S2 + U1: distinct integer first fields, sorted."""
     ev = _events(spark, d, "user_id", "event_type")
     return R.distinct_first_fields(FX.process_lines(ev))
 
 
 def q_sample_k(spark, d):
+    """S4 + F7: repeatable k-of-n sample (md5 order)."""
     return sampling.sample_k(_events(spark, d, "event_id"), "event_id", SAMPLE_K, SAMPLE_SEED)
 
 
