@@ -1,0 +1,129 @@
+"""The scalability experiment: word count timed at several core counts.
+
+For each core count a fresh ``local[N]`` session (one subprocess each, since
+a JVM holds one SparkContext) scans a text dataset and counts its tokens;
+each run records init time (building the plan) and processing time (the
+action).  The run log is then summarised with the engine's own operators -
+mean of runs per configuration, throughput over processing time, speedup
+against the first core count, parallel efficiency - and written as a result
+CSV and a text report.
+
+This is a benchmark harness around the operators, not an operator: the
+per-run timings are measured on the driver by definition.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import subprocess
+import sys
+import time
+from pathlib import Path
+
+from .functions.tokenize import WHITESPACE
+
+RESULT_COLUMNS = ["dataset", "cores", "runtime_s", "avg_init_s", "avg_processing_s",
+                  "throughput_words", "throughput_mb", "speedup", "parallel_efficiency"]
+
+
+def time_runs(path: str, cores: int, runs: int, rule: str = WHITESPACE,
+              recursive: bool = False) -> list[dict]:
+    """Time ``runs`` word counts of ``path`` in a ``local[cores]`` session."""
+    from .operators.wordcount import word_total
+    from .session import build_session
+    from .sources.text import dataset_bytes, read_lines
+
+    spark = build_session(f"local[{cores}]", "lexitally-experiment", shuffle_partitions=cores)
+    size = dataset_bytes(spark, path, by_dataset=False).first()["dataset_bytes"]
+    log = []
+    for i in range(runs + 1):                    # run 0 warms the JVM, not logged
+        t0 = time.perf_counter()
+        df = word_total(read_lines(spark, path, recursive), "value", rule)
+        t1 = time.perf_counter()
+        n = df.first()["word_count"]
+        t2 = time.perf_counter()
+        if i:
+            log.append({"run_id": cores * 1000 + i, "ts": cores * 1000 + i, "cores": cores,
+                        "init_s": t1 - t0, "processing_s": t2 - t1, "runtime_s": t2 - t0,
+                        "word_count": n, "dataset_bytes": size})
+    spark.stop()
+    return log
+
+
+def collect_runs(path: str, cores: list[int], runs: int, rule: str = WHITESPACE,
+                 recursive: bool = False) -> list[dict]:
+    """Run ``time_runs`` once per core count, each in its own process."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = dict(os.environ, PYTHONPATH=os.pathsep.join(
+        p for p in (root, os.environ.get("PYTHONPATH", "")) if p))
+    log: list[dict] = []
+    for c in cores:
+        out = subprocess.run(
+            [sys.executable, "-m", "lexitally.experiment", path, str(c), str(runs), rule,
+             "1" if recursive else "0"],
+            capture_output=True, text=True, timeout=3600, check=True, env=env)
+        log += [json.loads(line) for line in out.stdout.splitlines() if line.startswith("{")]
+    return log
+
+
+def summarise(spark, log: list[dict], dataset: str):
+    """Per-core-count summary with speedup, from a run log (one row per run)."""
+    from pyspark.sql import functions as F
+
+    from .operators import runs as R
+
+    runlog = (spark.createDataFrame(log)
+              .withColumn("dataset", F.lit(dataset))
+              .withColumn("variant", F.lit("baseline")))
+    facts = runlog.groupBy("dataset").agg(F.min_by("word_count", "ts").alias("word_count"),
+                                          F.min_by("dataset_bytes", "ts").alias("dataset_bytes"))
+    summary = R.config_summary(runlog.drop("word_count", "dataset_bytes"), facts)
+    return R.speedup(summary.withColumn("runtime_s", F.col("avg_runtime_s")))
+
+
+def write_outputs(speedups, results_path: str | None, report_path: str | None) -> None:
+    """Result CSV (fixed column order) and the text report (blocks + table)."""
+    from pyspark.sql import functions as F
+
+    from .operators import report
+    from .sinks import files
+
+    if results_path:
+        files.write_table_csv(speedups.orderBy("cores"), results_path, RESULT_COLUMNS)
+    if report_path:
+        lines = report.run_block(report.scalability_lines(speedups))
+        last = lines.agg(F.max("cores").alias("cores"))
+        text = (lines.select("cores", F.lit(0).alias("part"), "block")
+                .unionByName(lines.join(last, "cores")
+                             .select("cores", F.lit(1).alias("part"),
+                                     F.col("cumulative").alias("block")))
+                .orderBy("cores", "part"))
+        # one row per core count: a single ordered report file
+        files.write_report(text.coalesce(1), report_path)
+
+
+def run_experiment(path: str, cores: list[int], runs: int, dataset: str | None = None,
+                   rule: str = WHITESPACE, recursive: bool = False,
+                   results_path: str | None = None, report_path: str | None = None) -> list:
+    """Time, summarise and write; returns the summary rows (one per core count)."""
+    from pyspark.sql import SparkSession
+
+    from .session import build_session
+
+    log = collect_runs(path, cores, runs, rule, recursive)
+    active = SparkSession.getActiveSession()      # reuse the caller's session if any
+    spark = active or build_session("local[2]", "lexitally-experiment-report",
+                                    shuffle_partitions=2)
+    sp = summarise(spark, log, dataset or path.rstrip("/").rsplit("/", 1)[-1])
+    write_outputs(sp, results_path, report_path)
+    rows = sorted(sp.collect(), key=lambda r: r.cores)   # one row per core count
+    if active is None:
+        spark.stop()
+    return rows
+
+
+if __name__ == "__main__":
+    _path, _cores, _runs, _rule, _rec = sys.argv[1:6]
+    for rec in time_runs(_path, int(_cores), int(_runs), _rule, _rec == "1"):
+        print(json.dumps(rec), flush=True)

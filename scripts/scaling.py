@@ -1,14 +1,10 @@
-"""Scalability experiment: the word count at several core counts.
+"""Scalability experiment over the documents table, written as text files.
 
 Like the published experiment, the input is a folder of text files: the
 ``documents`` table's text is written once as a corpus of ``4 x max cores``
-files (data Spark derives from the table).  For each core count a fresh
-``local[N]`` session (one subprocess each, since a JVM holds one
-SparkContext) scans the folder with ``read.text`` and counts tokens under
-the whitespace rule.  Each run records init time (building the plan) and
-processing time (the action); the run log is then summarised with the
-engine's own operators: mean of runs per configuration, throughput over
-processing time, speedup against the first core count, parallel efficiency.
+files (data Spark derives from the table), then ``lexitally.experiment``
+times the whitespace-rule count at each core count and summarises the run
+log with the engine's own operators.
 
 Usage: python scripts/scaling.py [sf_dir] [cores,...] [runs]
 Prints one JSON line.
@@ -21,7 +17,6 @@ import os
 import subprocess
 import sys
 import tempfile
-import time
 from pathlib import Path
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -41,57 +36,14 @@ def prepare_corpus(sf_dir: str, out: str, n_files: int) -> None:
     spark.stop()
 
 
-def one_config(corpus: str, cores: int, runs: int) -> None:
-    from lexitally.functions.tokenize import WHITESPACE
-    from lexitally.operators.wordcount import word_total
-    from lexitally.session import build_session
-    from lexitally.sources.text import dataset_bytes, read_lines
-
-    spark = build_session(f"local[{cores}]", "lexitally-scaling", shuffle_partitions=cores)
-    size = dataset_bytes(spark, corpus, by_dataset=False).first()["dataset_bytes"]
-    for i in range(runs + 1):                    # run 0 warms the JVM, not logged
-        t0 = time.perf_counter()
-        df = word_total(read_lines(spark, corpus), "value", WHITESPACE)
-        t1 = time.perf_counter()
-        n = df.first()["word_count"]
-        t2 = time.perf_counter()
-        if i:
-            print(json.dumps({"run_id": cores * 1000 + i, "ts": cores * 1000 + i,
-                              "cores": cores, "init_s": t1 - t0, "processing_s": t2 - t1,
-                              "runtime_s": t2 - t0, "word_count": n, "dataset_bytes": size}),
-                  flush=True)
-    spark.stop()
-
-
-def _sub(*args: str) -> str:
-    out = subprocess.run([sys.executable, __file__, *args], capture_output=True, text=True,
-                         timeout=1800, check=True)
-    return out.stdout
-
-
 def run_scaling(sf_dir: str, cores: list[int], runs: int = 3) -> dict:
-    corpus = tempfile.mkdtemp(prefix="lexitally-corpus-") + "/documents"
-    _sub("--prepare", sf_dir, corpus, str(4 * max(cores)))
-    log = []
-    for c in cores:
-        log += [json.loads(l) for l in _sub("--one", corpus, str(c), str(runs)).splitlines()
-                if l.startswith("{")]
+    from lexitally.experiment import run_experiment
 
-    from pyspark.sql import functions as F
-
-    from lexitally.operators import runs as R
-    from lexitally.session import build_session
-
-    spark = build_session("local[2]", "lexitally-scaling-report", shuffle_partitions=2)
-    runlog = (spark.createDataFrame(log)
-              .withColumn("dataset", F.lit("documents"))
-              .withColumn("variant", F.lit("baseline")))
-    facts = runlog.groupBy("dataset").agg(F.min_by("word_count", "ts").alias("word_count"),
-                                          F.min_by("dataset_bytes", "ts").alias("dataset_bytes"))
-    summary = R.config_summary(runlog.drop("word_count", "dataset_bytes"), facts)
-    sp = R.speedup(summary.withColumn("runtime_s", F.col("avg_runtime_s")))
-    rows = sorted(sp.collect(), key=lambda r: r.cores)   # one row per core count
-    spark.stop()
+    corpus = tempfile.mkdtemp(prefix="lexitally-corpus-") + "/documents"
+    subprocess.run([sys.executable, __file__, "--prepare", sf_dir, corpus,
+                    str(4 * max(cores))], capture_output=True, text=True,
+                   timeout=1800, check=True)
+    rows = run_experiment(corpus, cores, runs, dataset="documents")
     return {
         "input": f"{sf_dir}/documents.parquet text as {4 * max(cores)} text files",
         "runs_per_config": runs,
@@ -116,7 +68,5 @@ def main(argv) -> None:
 if __name__ == "__main__":
     if len(sys.argv) > 1 and sys.argv[1] == "--prepare":
         prepare_corpus(sys.argv[2], sys.argv[3], int(sys.argv[4]))
-    elif len(sys.argv) > 1 and sys.argv[1] == "--one":
-        one_config(sys.argv[2], int(sys.argv[3]), int(sys.argv[4]))
     else:
         main(sys.argv)
