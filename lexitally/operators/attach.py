@@ -15,8 +15,8 @@ each run's time line.  A plain ``Window.partitionBy(run_key)`` would put a run
 holding a third of all rows into one task, so the scan is done in two levels:
 
 1. the merged time line is range-partitioned on ``(run_key, ts, kind, tie)``
-   into bounded chunks (one chunk per shuffle partition, so a hot run spans
-   many chunks);
+   into bounded chunks (one chunk per shuffle partition, sized by AQE, so a
+   hot run spans many chunks);
 2. a window per ``(run_key, chunk)`` computes local counts and the local
    running max;
 3. a per-chunk summary (one row per chunk) gets exclusive prefix sums and a
@@ -42,27 +42,6 @@ from ..session import shared_dir
 SAMPLE, EVENT = 1, 0  # kind: an event sorts before a tick with the same time
 
 
-def _num_chunks(df: DataFrame, n_chunks: int | None) -> int:
-    """Chunks of the time line: explicit, else the job's shuffle width.
-
-    Large jobs raise ``spark.sql.shuffle.partitions`` (or, with AQE, the
-    initial partition number that AQE later coalesces); the chunk count
-    follows it, and is never below the cluster's parallelism.
-    """
-    if n_chunks:
-        return n_chunks
-    conf = df.sparkSession.conf
-    width = int(conf.get("spark.sql.shuffle.partitions"))
-    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    if initial:
-        width = max(width, int(initial))
-    try:
-        width = max(width, df.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no context access in a remote session
-        pass
-    return width
-
-
 def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
                   ts: str = "ts", event: str = "event",
                   n_chunks: int | None = None) -> DataFrame:
@@ -70,7 +49,6 @@ def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
 
     ``ticks`` must have one row per ``(key, ts)`` (see ``tick_totals``).
     """
-    n = _num_chunks(ticks, n_chunks)
     payload = [c for c in ticks.columns if c not in (key, ts)]
     # Tick payload rides along the time line (NULL on event rows), so the
     # result needs no join back to ``ticks``.
@@ -82,8 +60,12 @@ def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
                                        F.col(event).cast("string").alias("ev")),
                          allowMissingColumns=True))
     order = ["t", "kind", "ev"]
-    chunked = (line.repartitionByRange(n, "k", *order)
-                   .withColumn("chunk", F.spark_partition_id()))
+    # Without an explicit count the range shuffle starts at the job's shuffle
+    # width and AQE merges adjacent small ranges up to its advisory partition
+    # size, so chunk sizes follow the data; merged ranges stay contiguous.
+    ranged = (line.repartitionByRange(n_chunks, "k", *order) if n_chunks
+              else line.repartitionByRange("k", *order))
+    chunked = ranged.withColumn("chunk", F.spark_partition_id())
 
     is_s = (F.col("kind") == SAMPLE).cast("long")
     is_e = (F.col("kind") == EVENT).cast("long")

@@ -17,7 +17,7 @@ def _case(seed, n_keys=4, n_ticks=60, n_events=25, hot=True):
     return sorted(ticks), events
 
 
-@pytest.mark.parametrize("seed,chunks", [(1, 1), (2, 3), (3, 7), (4, 16), (5, 5)])
+@pytest.mark.parametrize("seed,chunks", [(1, 1), (2, 3), (3, 7), (4, 16), (5, 5), (6, None)])
 def test_matches_fifo_replay(spark, seed, chunks):
     ticks, events = _case(seed)
     tdf = spark.createDataFrame([(k, t, float(t)) for k, t in ticks], "run_key long, ts long, cpu double")
