@@ -42,12 +42,13 @@ from ..session import shared_dir
 SAMPLE, EVENT = 1, 0  # kind: an event sorts before a tick with the same time
 
 
-def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
-                  ts: str = "ts", event: str = "event",
-                  n_chunks: int | None = None) -> DataFrame:
-    """Return ``ticks`` with a nullable ``event`` column (FIFO attachment).
+def chunked_scan(ticks: DataFrame, events: DataFrame, key: str = "run_key",
+                 ts: str = "ts", event: str = "event",
+                 n_chunks: int | None = None) -> DataFrame:
+    """Steps 1-2: the merged time line in range chunks with local prefix values.
 
-    ``ticks`` must have one row per ``(key, ts)`` (see ``tick_totals``).
+    Columns ``k, t, kind, ev, <tick payload>, chunk, ls, le, lv, lmax``; the
+    result is checkpointed (materialised once in the shared folder).
     """
     payload = [c for c in ticks.columns if c not in (key, ts)]
     # Tick payload rides along the time line (NULL on event rows), so the
@@ -83,7 +84,18 @@ def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
     # runs the range shuffle and the local scans once, and cuts the lineage
     # so a lost executor re-reads chunks instead of re-sorting the input.
     shared_dir(ticks.sparkSession)
-    local = local.checkpoint(eager=True)
+    return local.checkpoint(eager=True)
+
+
+def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
+                  ts: str = "ts", event: str = "event",
+                  n_chunks: int | None = None) -> DataFrame:
+    """Return ``ticks`` with a nullable ``event`` column (FIFO attachment).
+
+    ``ticks`` must have one row per ``(key, ts)`` (see ``tick_totals``).
+    """
+    payload = [c for c in ticks.columns if c not in (key, ts)]
+    local = chunked_scan(ticks, events, key, ts, event, n_chunks)
 
     w_prev = (Window.partitionBy("k").orderBy("chunk")
               .rowsBetween(Window.unboundedPreceding, -1))

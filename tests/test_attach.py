@@ -37,3 +37,21 @@ def test_event_at_tick_time_goes_to_that_tick(spark):
                                 "run_key long, ts long, event string")
     got = {r.ts: r.event for r in attach_events(tdf, edf, n_chunks=2).collect()}
     assert got == {10: "E1", 20: "E2"}
+
+
+def test_hot_run_is_split_across_chunks(spark):
+    """One run holding a third of all ticks is spread over many chunks."""
+    from pyspark.sql import functions as F
+
+    from lexitally.operators.attach import chunked_scan
+
+    n = 60000
+    ticks = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("run_key"),
+        F.col("id").alias("ts"), F.lit(1.0).alias("cpu"))
+    events = ticks.where(F.col("ts") % 50 == 7).select("run_key", "ts", F.lit("E").alias("event"))
+    local = chunked_scan(ticks, events, n_chunks=16)
+    sizes = {r.chunk: r.n for r in local.groupBy("chunk").agg(F.count("*").alias("n")).collect()}
+    hot = local.where(F.col("k") == 0).select("chunk").distinct().count()
+    assert hot >= 4                                   # the hot run spans several tasks
+    assert max(sizes.values()) <= 2 * (sum(sizes.values()) / len(sizes))
