@@ -25,6 +25,13 @@ def read_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     return reader.text(path)
 
 
+def read_dataset(spark: SparkSession, root: str, name: str,
+                 recursive: bool = False) -> DataFrame:
+    """IO1 + IO3: the lines of the dataset called ``name`` under ``root``
+    (a missing dataset raises ``AnalysisException``)."""
+    return read_lines(spark, f"{root.rstrip('/')}/{name}", recursive)
+
+
 def _strip_scheme(path: str) -> str:
     return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
 

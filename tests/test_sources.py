@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql.utils import AnalysisException
 
 from lexitally.sources.results import read_results
-from lexitally.sources.text import dataset_bytes, read_datasets, read_lines
+from lexitally.sources.text import dataset_bytes, read_dataset, read_datasets, read_lines
 
 
 def _write(path, data: bytes):
@@ -79,3 +79,11 @@ def test_result_tables_three_spellings(spark, tmp):
     assert (main.dataset, main.cores, main.runtime_seconds, main.init_overhead_s) == ("toy", 1, 16.63, 1.44)
     assert (spill.dataset, spill.cores, spill.executor_memory, spill.speedup_vs_1_core) == ("toy", 2, "128 MB", 2.92)
     assert (fail.dataset, fail.cores, fail.failures, fail.runtime_seconds) == ("small", 4, 1, 550.0)
+
+
+def test_dataset_by_name(spark, tmp):
+    root = os.path.join(tmp, "root")
+    _write(f"{root}/toy/a.txt", b"one two\n")
+    assert [r.value for r in read_dataset(spark, root, "toy").collect()] == ["one two"]
+    with pytest.raises(AnalysisException):
+        read_dataset(spark, root, "medium").collect()
