@@ -2,8 +2,8 @@
 
     python -m lexitally.cli wordcount IN OUT [--rule letters] [--files N] [--overwrite]
     python -m lexitally.cli count PATH [--rule whitespace] [--recursive]
-    python -m lexitally.cli experiment DATASET [--cores 1,2,4,8] [--runs 1]
-                                        [--results CSV_DIR] [--report TEXT_DIR]
+    python -m lexitally.cli experiment DATASET|ROOT [--datasets toy,small]
+                        [--cores 1,2,4,8] [--runs 1] [--results CSV_DIR] [--report TEXT_DIR]
 
 ``wordcount`` is the per-word job: recursive text scan, letter rule,
 ``word<TAB>count`` files hash-partitioned by word and sorted (one file per
@@ -43,12 +43,18 @@ def cmd_experiment(spark, args) -> None:
     from .experiment import run_experiment
 
     cores = [int(c) for c in args.cores.split(",")]
-    rows = run_experiment(args.dataset, cores, args.runs, rule=args.rule,
-                          recursive=args.recursive, results_path=args.results,
-                          report_path=args.report)
-    print(json.dumps([{"cores": r.cores, "runtime_s": r.avg_runtime_s,
-                       "throughput_words": r.throughput_words, "speedup": r.speedup,
-                       "parallel_efficiency": r.parallel_efficiency} for r in rows]))
+    # one dataset, or each named dataset folder under a root (datasets x cores)
+    names = args.datasets.split(",") if args.datasets else [None]
+    out = []
+    for i, name in enumerate(names):
+        path = f"{args.dataset.rstrip('/')}/{name}" if name else args.dataset
+        rows = run_experiment(path, cores, args.runs, dataset=name, rule=args.rule,
+                              recursive=args.recursive, results_path=args.results,
+                              report_path=args.report, mode="append" if i else "overwrite")
+        out += [{"dataset": r.dataset, "cores": r.cores, "runtime_s": r.avg_runtime_s,
+                 "throughput_words": r.throughput_words, "speedup": r.speedup,
+                 "parallel_efficiency": r.parallel_efficiency} for r in rows]
+    print(json.dumps(out))
 
 
 def main(argv=None) -> None:
@@ -71,7 +77,8 @@ def main(argv=None) -> None:
     c.set_defaults(fn=cmd_count)
 
     e = sub.add_parser("experiment", help="time the count at several core counts")
-    e.add_argument("dataset")
+    e.add_argument("dataset", help="a dataset folder, or a root with --datasets")
+    e.add_argument("--datasets", default=None, help="comma-separated folders under the root")
     e.add_argument("--cores", default="1,2,4,8")
     e.add_argument("--runs", type=int, default=1)
     e.add_argument("--rule", choices=RULES, default=WHITESPACE)

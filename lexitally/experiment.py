@@ -82,30 +82,32 @@ def summarise(spark, log: list[dict], dataset: str):
     return R.speedup(summary.withColumn("runtime_s", F.col("avg_runtime_s")))
 
 
-def write_outputs(speedups, results_path: str | None, report_path: str | None) -> None:
-    """Result CSV (fixed column order) and the text report (blocks + table)."""
+def write_outputs(speedups, results_path: str | None, report_path: str | None,
+                  mode: str = "overwrite") -> None:
+    """Result CSV (fixed column order) and the text report (blocks + table);
+    ``append`` adds to earlier datasets' output instead of replacing it."""
     from pyspark.sql import functions as F
 
     from .operators import report
     from .sinks import files
 
     if results_path:
-        files.write_table_csv(speedups.orderBy("cores"), results_path, RESULT_COLUMNS)
+        files.write_table_csv(speedups.orderBy("cores"), results_path, RESULT_COLUMNS, mode)
     if report_path:
+        # per core count: its block, then the scalability table so far
         lines = report.run_block(report.scalability_lines(speedups))
-        last = lines.agg(F.max("cores").alias("cores"))
         text = (lines.select("cores", F.lit(0).alias("part"), "block")
-                .unionByName(lines.join(last, "cores")
-                             .select("cores", F.lit(1).alias("part"),
-                                     F.col("cumulative").alias("block")))
+                .unionByName(lines.select("cores", F.lit(1).alias("part"),
+                                          F.col("cumulative").alias("block")))
                 .orderBy("cores", "part"))
         # one row per core count: a single ordered report file
-        files.write_report(text.coalesce(1), report_path)
+        files.write_report(text.coalesce(1), report_path, mode=mode)
 
 
 def run_experiment(path: str, cores: list[int], runs: int, dataset: str | None = None,
                    rule: str = WHITESPACE, recursive: bool = False,
-                   results_path: str | None = None, report_path: str | None = None) -> list:
+                   results_path: str | None = None, report_path: str | None = None,
+                   mode: str = "overwrite") -> list:
     """Time, summarise and write; returns the summary rows (one per core count)."""
     from pyspark.sql import SparkSession
 
@@ -116,7 +118,7 @@ def run_experiment(path: str, cores: list[int], runs: int, dataset: str | None =
     spark = active or build_session("local[2]", "lexitally-experiment-report",
                                     shuffle_partitions=2)
     sp = summarise(spark, log, dataset or path.rstrip("/").rsplit("/", 1)[-1])
-    write_outputs(sp, results_path, report_path)
+    write_outputs(sp, results_path, report_path, mode)
     rows = sorted(sp.collect(), key=lambda r: r.cores)   # one row per core count
     if active is None:
         spark.stop()
