@@ -41,6 +41,21 @@ def q_stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
                       "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
 
 
+SAMPLE_WINDOW = "1 day"
+
+
+def q_stream_sample_windows(spark: SparkSession, d: str) -> DataFrame:
+    """T1 + A3: resource samples of each run averaged per tumbling window."""
+    ev = stream_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    agg = tumbling_stats(FX.samples(ev), "ts", SAMPLE_WINDOW, ("run_key",), "cpu", WATERMARK)
+    out, ckpt = _paths(spark, "sample_windows")
+    sinks.run_upserts(agg, out, ckpt)
+    res = sinks.latest_rows(spark, out, ["window_start", "run_key"])
+    return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "run_key", F.col("n").alias("n_samples"),
+                      F.round("avg_value", 6).alias("avg_cpu"))
+
+
 def q_stream_first_crossing(spark: SparkSession, d: str) -> DataFrame:
     """First sample per run at or above 50 % progress, as samples arrive."""
     ev = stream_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "value"])
@@ -74,6 +89,7 @@ def q_stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 STREAM_QUERIES = {
     "q_stream_tumbling": q_stream_tumbling,
+    "q_stream_sample_windows": q_stream_sample_windows,
     "q_stream_first_crossing": q_stream_first_crossing,
     "q_stream_wordcount": q_stream_wordcount,
     "q_stream_outcomes": q_stream_outcomes,
@@ -84,6 +100,11 @@ STREAM_ORACLE = {
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
        CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS avg_value
 FROM events GROUP BY 1, 2""",
+    "q_stream_sample_windows": """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       user_id AS run_key, CAST(count(*) AS BIGINT) AS n_samples,
+       round(avg(value), 6) AS avg_cpu
+FROM events WHERE event_type <> 'error' GROUP BY 1, 2""",
     "q_stream_first_crossing": ORACLE["q_first_crossing"],
     "q_stream_wordcount": _ALPHA_FREQ,
     "q_stream_outcomes": ORACLE["q_outcomes"],
