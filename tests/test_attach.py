@@ -55,3 +55,24 @@ def test_hot_run_is_split_across_chunks(spark):
     hot = local.where(F.col("k") == 0).select("chunk").distinct().count()
     assert hot >= 4                                   # the hot run spans several tasks
     assert max(sizes.values()) <= 2 * (sum(sizes.values()) / len(sizes))
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ticks=st.sets(st.tuples(st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=60),
+       events=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 45), st.sampled_from("AB")),
+                       max_size=40),
+       chunks=st.sampled_from([1, 2, 5, 13]))
+def test_property_matches_fifo_replay(spark, ticks, events, chunks):
+    ticks = sorted(ticks)
+    tdf = spark.createDataFrame([(k, t, 0.0) for k, t in ticks], "run_key long, ts long, cpu double")
+    edf = spark.createDataFrame(events or [(0, 0, "A")], "run_key long, ts long, event string")
+    events = events or [(0, 0, "A")]
+    got = attach_events(tdf, edf, n_chunks=chunks).collect()
+    assert len(got) == len(ticks)
+    have = {(r.run_key, r.ts): r.event for r in got if r.event is not None}
+    assert have == attach_events_bruteforce(ticks, events)
