@@ -26,8 +26,8 @@ holding a third of all rows into one task, so the scan is done in two levels:
    and ``s_idx``; an equi-join on ``(run_key, rank)`` attaches the event.
 
 The chunk id comes from the range exchange's partition index.  The chunked,
-locally scanned time line is checkpointed once, so summary and detail see the
-same chunking; rows with equal sort keys are interchangeable (same run, time
+locally scanned time line is written once as a table in the shared folder, so
+summary and detail see the same chunking; rows with equal sort keys are interchangeable (same run, time
 and event), so the result does not depend on where the range partitioner's
 sample placed the chunk bounds.
 """
@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch_path
 
 SAMPLE, EVENT = 1, 0  # kind: an event sorts before a tick with the same time
 
@@ -48,7 +48,7 @@ def chunked_scan(ticks: DataFrame, events: DataFrame, key: str = "run_key",
     """Steps 1-2: the merged time line in range chunks with local prefix values.
 
     Columns ``k, t, kind, ev, <tick payload>, chunk, ls, le, lv, lmax``; the
-    result is checkpointed (materialised once in the shared folder).
+    result is written once as a table in the shared folder and read back.
     """
     payload = [c for c in ticks.columns if c not in (key, ts)]
     # Tick payload rides along the time line (NULL on event rows), so the
@@ -80,11 +80,15 @@ def chunked_scan(ticks: DataFrame, events: DataFrame, key: str = "run_key",
              .withColumn("lmax", F.max("lv").over(w_local)))
     # The chunk ids must be the same for the summary and the detail branch,
     # and a range exchange re-planned in each branch would sample its own
-    # bounds.  A reliable checkpoint in the shared folder fixes one chunking,
-    # runs the range shuffle and the local scans once, and cuts the lineage
-    # so a lost executor re-reads chunks instead of re-sorting the input.
-    shared_dir(ticks.sparkSession)
-    return local.checkpoint(eager=True)
+    # bounds.  Writing the chunked line once as a table in the shared folder
+    # fixes one chunking, runs the range shuffle and the local scans once, and
+    # cuts the lineage: a lost executor re-reads chunks instead of re-sorting
+    # the input.  Parquet keeps it columnar, so the branches read only the
+    # columns they use and skip row groups on ``kind``.
+    spark = ticks.sparkSession
+    path = scratch_path(spark, "attach")
+    local.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
