@@ -1,7 +1,10 @@
 """The scalability experiment: word count timed at several core counts.
 
 For each core count a fresh ``local[N]`` session (one subprocess each, since
-a JVM holds one SparkContext) scans a text dataset and counts its tokens;
+a JVM holds one SparkContext) scans a text dataset and runs the jobs: the
+global token count (the Spark program) and optionally the per-word count
+written as ``word<TAB>count`` files with one reducer per core (the MapReduce
+program);
 each run records init time (building the plan) and processing time (the
 action).  The run log is then summarised with the engine's own operators -
 mean of runs per configuration, throughput over processing time, speedup
@@ -21,43 +24,70 @@ import sys
 import time
 from pathlib import Path
 
-from .functions.tokenize import WHITESPACE
+from .functions.tokenize import LETTERS, WHITESPACE
 
 RESULT_COLUMNS = ["dataset", "cores", "runtime_s", "avg_init_s", "avg_processing_s",
                   "throughput_words", "throughput_mb", "speedup", "parallel_efficiency"]
 
 
+JOBS = ("count", "wordcount")
+
+
+def _job(spark, job: str, path: str, rule: str, recursive: bool, cores: int, out: str):
+    """Build and run one job; returns (plan built at, finished at, word total)."""
+    from pyspark.sql import functions as F
+
+    from .operators.wordcount import word_freq, word_total
+    from .sinks.files import write_word_counts
+    from .sources.text import read_lines
+
+    if job == "count":              # the Spark program: one global total
+        df = word_total(read_lines(spark, path, recursive), "value", rule)
+        t1 = time.perf_counter()
+        n = df.first()["word_count"]
+    else:                           # the MapReduce program: per-word files, reducers = cores
+        freq = word_freq(read_lines(spark, path, recursive=True), "value", LETTERS)
+        t1 = time.perf_counter()
+        write_word_counts(freq, out, cores, mode="overwrite")
+        t2 = time.perf_counter()
+        # its token total, from its own (small) output, outside the timing
+        n = (spark.read.text(out)
+             .agg(F.sum(F.split("value", "\t").getItem(1).cast("long")).alias("n"))
+             .first()["n"])
+        return t1, t2, n
+    return t1, time.perf_counter(), n
+
+
 def time_runs(path: str, cores: int, runs: int, rule: str = WHITESPACE,
-              recursive: bool = False) -> list[dict]:
-    """Time ``runs`` word counts of ``path`` in a ``local[cores]`` session."""
-    from .operators.wordcount import word_total
+              recursive: bool = False, jobs: tuple[str, ...] = ("count",)) -> list[dict]:
+    """Time ``runs`` of each job over ``path`` in a ``local[cores]`` session."""
+    import tempfile
+
     from .session import build_session
-    from .sources.text import dataset_bytes, read_lines
+    from .sources.text import dataset_bytes
 
     spark = build_session(f"local[{cores}]", "lexitally-experiment", shuffle_partitions=cores)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
              .load(path).select("path", "length"))
     size = dataset_bytes(spark, path, by_dataset=False).first()["dataset_bytes"]
-    # warm the JVM (JIT, codegen) on one file of the dataset; not logged
     first = files.orderBy("path").first()
-    if first is not None:
-        word_total(read_lines(spark, first["path"]), "value", rule).first()
+    out = tempfile.mkdtemp(prefix="lexitally-wordcount-")
     log = []
-    for i in range(1, runs + 1):
-        t0 = time.perf_counter()
-        df = word_total(read_lines(spark, path, recursive), "value", rule)
-        t1 = time.perf_counter()
-        n = df.first()["word_count"]
-        t2 = time.perf_counter()
-        log.append({"run_id": cores * 1000 + i, "ts": cores * 1000 + i, "cores": cores,
-                    "init_s": t1 - t0, "processing_s": t2 - t1, "runtime_s": t2 - t0,
-                    "word_count": n, "dataset_bytes": size})
+    for job in jobs:
+        if first is not None:       # warm the JVM (JIT, codegen) on one file; not logged
+            _job(spark, job, first["path"], rule, False, cores, out + "/warm")
+        for i in range(1, runs + 1):
+            t0 = time.perf_counter()
+            t1, t2, n = _job(spark, job, path, rule, recursive, cores, f"{out}/{job}{i}")
+            log.append({"run_id": cores * 1000 + i, "ts": cores * 1000 + i, "cores": cores,
+                        "job": job, "init_s": t1 - t0, "processing_s": t2 - t1,
+                        "runtime_s": t2 - t0, "word_count": n, "dataset_bytes": size})
     spark.stop()
     return log
 
 
 def collect_runs(path: str, cores: list[int], runs: int, rule: str = WHITESPACE,
-                 recursive: bool = False) -> list[dict]:
+                 recursive: bool = False, jobs: tuple[str, ...] = ("count",)) -> list[dict]:
     """Run ``time_runs`` once per core count, each in its own process."""
     root = str(Path(__file__).resolve().parents[1])
     env = dict(os.environ, PYTHONPATH=os.pathsep.join(
@@ -66,7 +96,7 @@ def collect_runs(path: str, cores: list[int], runs: int, rule: str = WHITESPACE,
     for c in cores:
         out = subprocess.run(
             [sys.executable, "-m", "lexitally.experiment", path, str(c), str(runs), rule,
-             "1" if recursive else "0"],
+             "1" if recursive else "0", ",".join(jobs)],
             capture_output=True, text=True, timeout=3600, check=True, env=env)
         log += [json.loads(line) for line in out.stdout.splitlines() if line.startswith("{")]
     return log
@@ -78,9 +108,13 @@ def summarise(spark, log: list[dict], dataset: str):
 
     from .operators import runs as R
 
-    runlog = (spark.createDataFrame(log)
-              .withColumn("dataset", F.lit(dataset))
-              .withColumn("variant", F.lit("baseline")))
+    schema = ("run_id long, ts long, cores int, job string, init_s double, processing_s double, "
+              "runtime_s double, word_count long, dataset_bytes long")
+    runlog = spark.createDataFrame(log, schema)
+    # one speedup series per job: the job is part of the dataset label
+    label = F.when(F.col("job") == "count", F.lit(dataset)) \
+             .otherwise(F.concat(F.lit(dataset), F.lit("/"), F.col("job")))
+    runlog = runlog.withColumn("dataset", label).withColumn("variant", F.lit("baseline"))
     facts = runlog.groupBy("dataset").agg(F.min_by("word_count", "ts").alias("word_count"),
                                           F.min_by("dataset_bytes", "ts").alias("dataset_bytes"))
     summary = R.config_summary(runlog.drop("word_count", "dataset_bytes"), facts)
@@ -97,14 +131,15 @@ def write_outputs(speedups, results_path: str | None, report_path: str | None,
     from .sinks import files
 
     if results_path:
-        files.write_table_csv(speedups.orderBy("cores"), results_path, RESULT_COLUMNS, mode)
+        files.write_table_csv(speedups.orderBy("dataset", "cores"), results_path,
+                              RESULT_COLUMNS, mode)
     if report_path:
         # per core count: its block, then the scalability table so far
         lines = report.run_block(report.scalability_lines(speedups))
-        text = (lines.select("cores", F.lit(0).alias("part"), "block")
-                .unionByName(lines.select("cores", F.lit(1).alias("part"),
+        text = (lines.select("dataset", "cores", F.lit(0).alias("part"), "block")
+                .unionByName(lines.select("dataset", "cores", F.lit(1).alias("part"),
                                           F.col("cumulative").alias("block")))
-                .orderBy("cores", "part"))
+                .orderBy("dataset", "cores", "part"))
         # one row per core count: a single ordered report file
         files.write_report(text.coalesce(1), report_path, mode=mode)
 
@@ -112,25 +147,26 @@ def write_outputs(speedups, results_path: str | None, report_path: str | None,
 def run_experiment(path: str, cores: list[int], runs: int, dataset: str | None = None,
                    rule: str = WHITESPACE, recursive: bool = False,
                    results_path: str | None = None, report_path: str | None = None,
-                   mode: str = "overwrite") -> list:
+                   mode: str = "overwrite", jobs: tuple[str, ...] = ("count",)) -> list:
     """Time, summarise and write; returns the summary rows (one per core count)."""
     from pyspark.sql import SparkSession
 
     from .session import build_session
 
-    log = collect_runs(path, cores, runs, rule, recursive)
+    log = collect_runs(path, cores, runs, rule, recursive, jobs)
     active = SparkSession.getActiveSession()      # reuse the caller's session if any
     spark = active or build_session("local[2]", "lexitally-experiment-report",
                                     shuffle_partitions=2)
     sp = summarise(spark, log, dataset or path.rstrip("/").rsplit("/", 1)[-1])
     write_outputs(sp, results_path, report_path, mode)
-    rows = sorted(sp.collect(), key=lambda r: r.cores)   # one row per core count
+    rows = sorted(sp.collect(), key=lambda r: (r.dataset, r.cores))  # one per job x cores
     if active is None:
         spark.stop()
     return rows
 
 
 if __name__ == "__main__":
-    _path, _cores, _runs, _rule, _rec = sys.argv[1:6]
-    for rec in time_runs(_path, int(_cores), int(_runs), _rule, _rec == "1"):
+    _path, _cores, _runs, _rule, _rec, _jobs = sys.argv[1:7]
+    for rec in time_runs(_path, int(_cores), int(_runs), _rule, _rec == "1",
+                         tuple(_jobs.split(","))):
         print(json.dumps(rec), flush=True)

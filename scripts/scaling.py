@@ -1,10 +1,12 @@
 """Scalability experiment over the documents table, written as text files.
 
-Like the published experiment, the input is a folder of text files: the
-``documents`` table's text is written once as a corpus of ``4 x max cores``
-files (data Spark derives from the table), then ``lexitally.experiment``
-times the whitespace-rule count at each core count and summarises the run
-log with the engine's own operators.
+Like the published experiments, the input is a folder of text files: the
+``documents`` table's text is written as a corpus of ``4 x max cores`` files
+(data Spark derives from the table, optionally several copies to reach the
+published data size), then ``lexitally.experiment`` times, at each core
+count, the global count (the Spark program) and the per-word files (the
+MapReduce program), and summarises the run log with the engine's own
+operators.
 
 Usage: python scripts/scaling.py [sf_dir] [cores,...] [runs] [copies]
 Prints one JSON line.
@@ -53,7 +55,8 @@ def corpus_path() -> str:
 
 
 def run_scaling(sf_dir: str, cores: list[int], runs: int = 3, copies: int = 1,
-                corpus: str | None = None) -> dict:
+                corpus: str | None = None,
+                jobs: tuple[str, ...] = ("count", "wordcount")) -> dict:
     """Time the count per core count; ``corpus`` may be written beforehand
     (``write_corpus``) by a session the caller already has."""
     from lexitally.experiment import run_experiment
@@ -63,13 +66,15 @@ def run_scaling(sf_dir: str, cores: list[int], runs: int = 3, copies: int = 1,
         subprocess.run([sys.executable, __file__, "--prepare", sf_dir, corpus,
                         str(4 * max(cores)), str(copies)], capture_output=True, text=True,
                        timeout=1800, check=True)
-    rows = run_experiment(corpus, cores, runs, dataset="documents")
+    rows = run_experiment(corpus, cores, runs, dataset="documents", jobs=jobs)
     return {
         "input": f"{sf_dir}/documents.parquet text x{copies} as text files",
         "copies": copies,
         "runs_per_config": runs,
-        "words": rows[0].word_count if rows else None,
-        "configs": [{"cores": r.cores, "runtime_s": round(r.avg_runtime_s, 4),
+        "words": {("count" if "/" not in r.dataset else r.dataset.split("/", 1)[1]):
+                  r.word_count for r in rows},
+        "configs": [{"job": "count" if "/" not in r.dataset else r.dataset.split("/", 1)[1],
+                     "cores": r.cores, "runtime_s": round(r.avg_runtime_s, 4),
                      "init_s": round(r.avg_init_s, 4),
                      "processing_s": round(r.avg_processing_s, 4),
                      "throughput_words_per_sec": round(r.throughput_words, 1),
