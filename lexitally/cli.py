@@ -50,7 +50,8 @@ def cmd_experiment(spark, args) -> None:
         path = f"{args.dataset.rstrip('/')}/{name}" if name else args.dataset
         rows = run_experiment(path, cores, args.runs, dataset=name, rule=args.rule,
                               recursive=args.recursive, results_path=args.results,
-                              report_path=args.report, mode="append" if i else "overwrite")
+                              report_path=args.report, mode="append" if i else "overwrite",
+                              jobs=tuple(args.jobs.split(",")))
         out += [{"dataset": r.dataset, "cores": r.cores, "runtime_s": r.avg_runtime_s,
                  "throughput_words": r.throughput_words, "speedup": r.speedup,
                  "parallel_efficiency": r.parallel_efficiency} for r in rows]
@@ -82,6 +83,8 @@ def main(argv=None) -> None:
     e.add_argument("--cores", default="1,2,4,8")
     e.add_argument("--runs", type=int, default=1)
     e.add_argument("--rule", choices=RULES, default=WHITESPACE)
+    e.add_argument("--jobs", default="count",
+                   help="count (global total) and/or wordcount (per-word files), comma-separated")
     e.add_argument("--recursive", action="store_true")
     e.add_argument("--results", default=None)
     e.add_argument("--report", default=None)
