@@ -2,13 +2,15 @@
 
     python -m lexitally.cli wordcount IN OUT [--rule letters] [--files N] [--overwrite]
     python -m lexitally.cli count PATH [--rule whitespace] [--recursive]
+    python -m lexitally.cli results IN OUT [--format parquet|csv] [--overwrite]
     python -m lexitally.cli experiment DATASET|ROOT [--datasets toy,small]
                         [--cores 1,2,4,8] [--runs 1] [--results CSV_DIR] [--report TEXT_DIR]
 
 ``wordcount`` is the per-word job: recursive text scan, letter rule,
 ``word<TAB>count`` files hash-partitioned by word and sorted (one file per
 reducer), refusing an existing output folder unless ``--overwrite``.
-``count`` prints the global token total.  ``experiment`` times the count at
+``count`` prints the global token total.  ``results`` reads result CSVs
+written with any of the known header spellings into one canonical schema.  ``experiment`` times the count at
 each core count and writes the result table and the text report.
 """
 
@@ -39,6 +41,17 @@ def cmd_count(spark, args) -> None:
     print(total.first()["word_count"])
 
 
+def cmd_results(spark, args) -> None:
+    from .sources.results import read_results
+
+    table = read_results(spark, args.input)
+    writer = table.write.mode("overwrite" if args.overwrite else "errorifexists")
+    if args.format == "csv":
+        writer.option("header", "true").csv(args.output)
+    else:
+        writer.parquet(args.output)
+
+
 def cmd_experiment(spark, args) -> None:
     from .experiment import run_experiment
 
@@ -77,6 +90,13 @@ def main(argv=None) -> None:
     c.add_argument("--recursive", action="store_true")
     c.set_defaults(fn=cmd_count)
 
+    r = sub.add_parser("results", help="result CSVs (any header spelling) to one schema")
+    r.add_argument("input")
+    r.add_argument("output")
+    r.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    r.add_argument("--overwrite", action="store_true")
+    r.set_defaults(fn=cmd_results)
+
     e = sub.add_parser("experiment", help="time the count at several core counts")
     e.add_argument("dataset", help="a dataset folder, or a root with --datasets")
     e.add_argument("--datasets", default=None, help="comma-separated folders under the root")

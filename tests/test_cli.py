@@ -59,3 +59,12 @@ def test_experiment_writes_results_and_report(spark, corpus, tmp):
     assert text[5:7] == ["**Scalability:** T₁ / T across core configurations", "1 cores:  1.00x"]
     assert text[-3].startswith("**Scalability:** T")
     assert text[-2:] == ["1 cores:  1.00x", f"2 cores: {rows[1].speedup: .2f}x"]
+
+
+def test_results_conversion(spark, tmp):
+    _write(tmp + "/in/r.csv", "Cores,Data set,Num Failures,runtime\n2,toy,1,76.92\n")
+    args = argparse.Namespace(input=tmp + "/in", output=tmp + "/out", format="parquet",
+                              overwrite=False)
+    cli.cmd_results(spark, args)
+    row = spark.read.parquet(tmp + "/out").first()
+    assert (row.cores, row.dataset, row.failures, row.runtime_seconds) == (2, "toy", 1, 76.92)
