@@ -53,7 +53,7 @@ def cmd_results(spark, args) -> None:
 
 
 def cmd_experiment(spark, args) -> None:
-    from .experiment import run_experiment
+    from .experiment import scaling_run
 
     cores = [int(c) for c in args.cores.split(",")]
     # one dataset, or each named dataset folder under a root (datasets x cores)
@@ -61,7 +61,7 @@ def cmd_experiment(spark, args) -> None:
     out = []
     for i, name in enumerate(names):
         path = f"{args.dataset.rstrip('/')}/{name}" if name else args.dataset
-        rows = run_experiment(path, cores, args.runs, dataset=name, rule=args.rule,
+        rows = scaling_run(path, cores, args.runs, dataset=name, rule=args.rule,
                               recursive=args.recursive, results_path=args.results,
                               report_path=args.report, mode="append" if i else "overwrite",
                               jobs=tuple(args.jobs.split(",")))

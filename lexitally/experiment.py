@@ -144,7 +144,7 @@ def write_outputs(speedups, results_path: str | None, report_path: str | None,
         files.write_report(text.coalesce(1), report_path, mode=mode)
 
 
-def run_experiment(path: str, cores: list[int], runs: int, dataset: str | None = None,
+def scaling_run(path: str, cores: list[int], runs: int, dataset: str | None = None,
                    rule: str = WHITESPACE, recursive: bool = False,
                    results_path: str | None = None, report_path: str | None = None,
                    mode: str = "overwrite", jobs: tuple[str, ...] = ("count",)) -> list:

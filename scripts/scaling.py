@@ -59,14 +59,14 @@ def run_scaling(sf_dir: str, cores: list[int], runs: int = 3, copies: int = 1,
                 jobs: tuple[str, ...] = ("count", "wordcount")) -> dict:
     """Time the count per core count; ``corpus`` may be written beforehand
     (``write_corpus``) by a session the caller already has."""
-    from lexitally.experiment import run_experiment
+    from lexitally.experiment import scaling_run
 
     if corpus is None:
         corpus = corpus_path()
         subprocess.run([sys.executable, __file__, "--prepare", sf_dir, corpus,
                         str(4 * max(cores)), str(copies)], capture_output=True, text=True,
                        timeout=1800, check=True)
-    rows = run_experiment(corpus, cores, runs, dataset="documents", jobs=jobs)
+    rows = scaling_run(corpus, cores, runs, dataset="documents", jobs=jobs)
     return {
         "input": f"{sf_dir}/documents.parquet text x{copies} as text files",
         "copies": copies,

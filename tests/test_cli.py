@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql.utils import AnalysisException
 
 from lexitally import cli
-from lexitally.experiment import run_experiment
+from lexitally.experiment import scaling_run
 
 
 def _write(path, text):
@@ -48,7 +48,7 @@ def test_count(spark, corpus, capsys):
 
 
 def test_experiment_writes_results_and_report(spark, corpus, tmp):
-    rows = run_experiment(corpus, [1, 2], 1, dataset="toy", recursive=True,
+    rows = scaling_run(corpus, [1, 2], 1, dataset="toy", recursive=True,
                           results_path=tmp + "/res", report_path=tmp + "/log")
     assert [r.cores for r in rows] == [1, 2]
     assert rows[0].speedup == 1.0 and rows[0].word_count == 9
