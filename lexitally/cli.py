@@ -24,12 +24,13 @@ from .functions.tokenize import LETTERS, RULES, WHITESPACE
 
 def cmd_wordcount(spark, args) -> None:
     from .operators.wordcount import word_freq
-    from .sinks.files import write_word_counts
+    from .sinks.files import reducer_session, write_word_counts
     from .sources.text import read_lines
 
-    freq = word_freq(read_lines(spark, args.input, recursive=True), "value", args.rule)
     n_files = args.files or spark.sparkContext.defaultParallelism
-    write_word_counts(freq, args.output, n_files,
+    reducer_session(spark, n_files)      # the command owns its session
+    freq = word_freq(read_lines(spark, args.input, recursive=True), "value", args.rule)
+    write_word_counts(freq, args.output, None,
                       mode="overwrite" if args.overwrite else "errorifexists")
 
 

@@ -14,11 +14,26 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.wordcount import hash_sorted, kv_lines
 
 
-def write_word_counts(freq: DataFrame, path: str, n_files: int,
+def write_word_counts(freq: DataFrame, path: str, n_files: int | None,
                       mode: str = "errorifexists") -> None:
     """IO7 + S1: ``word<TAB>count`` text, ``n_files`` files hash-partitioned by
-    word and sorted inside each file."""
-    kv_lines(hash_sorted(freq, n_files)).write.mode(mode).text(path)
+    word and sorted inside each file.
+
+    ``n_files=None`` keeps the aggregate's own hash partitioning on ``word``
+    as the reducer layout (one shuffle): for a session whose shuffle width is
+    the wanted file count and whose AQE coalescing is off, as
+    ``reducer_session`` sets up.
+    """
+    laid = hash_sorted(freq, n_files) if n_files else freq.sortWithinPartitions("word")
+    kv_lines(laid).write.mode(mode).text(path)
+
+
+def reducer_session(spark, n_files: int) -> None:
+    """Make the next per-word aggregation shuffle into exactly ``n_files``
+    hash partitions (the reducers), so no second shuffle is needed.  Only for
+    a session the caller owns (a job's own session, not a shared one)."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(n_files))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
 
 
 def write_table_csv(df: DataFrame, path: str, columns: list[str],
