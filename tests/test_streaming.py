@@ -118,3 +118,16 @@ def test_compacted_log_reads_the_same(spark, tmp):
     assert sorted(sinks.latest_rows(spark, out, ["word"]).collect()) == want
     assert sinks.compact(spark, out, ["word"]) == 4
     assert sorted(sinks.latest_rows(spark, out, ["word"]).collect()) == want
+
+
+def test_empty_log(spark, tmp):
+    """No batch written yet: compaction is a no-op, reads need a schema hint."""
+    import pytest
+    from pyspark.sql.utils import AnalysisException
+
+    out = tmp + "/none"
+    assert sinks.compact(spark, out, ["word"]) is None
+    hint = spark.createDataFrame([], "word string, n long")
+    assert sinks.latest_rows(spark, out, ["word"], schema_hint=hint).count() == 0
+    with pytest.raises(AnalysisException):
+        sinks.latest_rows(spark, out, ["word"])
