@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import epoch_micros, json_number
+from ..functions.scalar import epoch_micros, json_number, rounded
 from ..functions.tokenize import LETTERS, WHITESPACE
 from ..operators import attach, report, runs as R, sampling, wordcount as W
 from ..session import scratch_path
@@ -44,7 +44,7 @@ FAILURE_POLICY = {1: 1, 2: 1, 4: 1}
 
 
 def _round(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(c), places).alias(c) if c in cols else F.col(c)
+    return df.select(*[rounded(c, places).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 

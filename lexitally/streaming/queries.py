@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import epoch_micros
+from ..functions.scalar import epoch_micros, rounded
 from ..functions.tokenize import LETTERS
 from ..operators import runs as R
 from ..operators import wordcount as W
@@ -38,7 +38,7 @@ def q_stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     sinks.run_upserts(agg, out, ckpt)
     res = sinks.latest_rows(spark, out, ["window_start", "event_type"])
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                      "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
+                      "event_type", "n", rounded("avg_value").alias("avg_value"))
 
 
 SAMPLE_WINDOW = "1 day"
@@ -53,7 +53,7 @@ def q_stream_sample_windows(spark: SparkSession, d: str) -> DataFrame:
     res = sinks.latest_rows(spark, out, ["window_start", "run_key"])
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "run_key", F.col("n").alias("n_samples"),
-                      F.round("avg_value", 6).alias("avg_cpu"))
+                      rounded("avg_value").alias("avg_cpu"))
 
 
 def q_stream_first_crossing(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def q_stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     out, ckpt = _paths(spark, "outcomes")
     sinks.run_append(rows, out, ckpt)
     return spark.read.parquet(out).select(
-        "run_id", "dataset", "cores", F.round("runtime_s", 6).alias("runtime_s"),
+        "run_id", "dataset", "cores", rounded("runtime_s").alias("runtime_s"),
         "outcome", "label")
 
 

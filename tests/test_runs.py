@@ -158,3 +158,29 @@ def test_seconds_between(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS a, "
                    "TIMESTAMP_NTZ'2024-01-01 00:01:01.5' AS b")
     assert df.select(seconds_between("a", "b").alias("d")).first().d == 61.5
+
+
+def test_rounding_matches_scaled_binary_rule(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from lexitally.functions.scalar import rounded
+    vals = [2.675, -2.675, 1.005, 0.125, 1391.13 / 32, 1234.5678915, None]
+
+    def c_round(x, p):         # C's round(x * 10^p) / 10^p: half away from zero
+        m = 10.0 ** p
+        v = x * m
+        return math.copysign(math.floor(abs(v) + 0.5), v) / m
+
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for p in (2, 6):
+        got = [r.r for r in df.select(rounded("x", p).alias("r")).collect()]
+        assert got == [None if v is None else c_round(v, p) for v in vals], p
+    # where the rules part: 1.005 * 100 is 100.49999... in binary, so scaled
+    # rounding gives 1.0, while Spark's round works on the decimal form
+    # "1.005" and gives 1.01; likewise 33.4634375 at 6 places
+    ties = spark.createDataFrame([(1.005, 33.4634375)], "a double, b double").select(
+        rounded("a", 2).alias("a2"), F.round("a", 2).alias("a2s"),
+        rounded("b", 6).alias("b6"), F.round("b", 6).alias("b6s")).first()
+    assert (ties.a2, ties.a2s, ties.b6, ties.b6s) == (1.0, 1.01, 33.463437, 33.463438)
