@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -96,6 +98,28 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, *parts, uuid.uuid4().hex])
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers (as ``--py-files`` would), once an application.
+
+    Functions that run inside tasks import it by name; a worker started
+    elsewhere than in the repository would not find it.
+    """
+    sc = _context(spark)
+    if sc is None or sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="lexitally-ship-") as folder:
+        archive = Path(folder) / "lexitally.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Event-time logic reads NTZ times as UTC; pin the session zone to UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
