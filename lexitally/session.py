@@ -9,7 +9,9 @@ an error rather than a silent fall-back to a machine-local folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -111,12 +113,14 @@ def ship_package(spark: SparkSession) -> None:
     if sc is None or sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory(prefix="lexitally-ship-") as folder:
-        archive = Path(folder) / "lexitally.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(archive))
+    # the driver serves this file to executors that start later, too
+    folder = tempfile.mkdtemp(prefix="lexitally-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / "lexitally.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
 
 
