@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, langid, packing, rff
+from . import ann, bpe, fertility, htmltext, langid, packing, rff, warc
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op1_bpe(spark, d):
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_html_extraction(spark, d):
+    """Main text of every page."""
+    return htmltext.extract(table(spark, d, "pages", "page_id", "url", "html"))
+
+
 def op4_language_id(spark, d):
     """Language of every document, learned from the documents that are not held out."""
     return langid.query(spark, table(spark, d, "documents", "doc_id", "text", "lang"))
@@ -27,17 +32,30 @@ def op6_best_fit_packing(spark, d):
     return packing.query(spark, table(spark, d, "documents", "doc_id", "text"))
 
 
+def op7_warc_revisits(spark, d):
+    """Pages written as WARC archives with revisit records, and read back."""
+    found = warc.round_trip(table(spark, d, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_fertility_rules(spark, d):
     """Base rules and fertility bands for every document."""
     return fertility.query(spark, table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
+def op9_block_matrix_neighbours(spark, d):
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    vectors = table(spark, d, "embeddings", "vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op10_quality_classifier(spark, d):
     """Quality score of every document, learned from labels that are not held out."""
     return rff.query(spark, table(spark, d, "documents", "doc_id", "text"),
                      table(spark, d, "labels", "doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_language_id, op6_best_fit_packing, op8_fertility_rules,
-                                   op10_quality_classifier)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op3_html_extraction, op4_language_id, op6_best_fit_packing, op7_warc_revisits, op8_fertility_rules,
+    op9_block_matrix_neighbours, op10_quality_classifier)}
+ORACLE: dict[str, str] = {"op7_warc_revisits": warc.SQL, "op9_block_matrix_neighbours": ann.SQL}
