@@ -10,12 +10,14 @@ with a null or letterless text is rejected by the language stage.
 
 from __future__ import annotations
 
-from lexitally.llm import langid, packing, rff
+from lexitally.llm import jaccard, langid, packing, rff, suffix
 from lexitally.llm.common import table, written
 
 STAGES = [
     ("language_id", langid.stage),
     ("quality_classifier", rff.stage),
+    ("ngram_jaccard_join", jaccard.stage),
+    ("suffix_array_dedup", suffix.stage),
     ("best_fit_packing", packing.stage),
 ]
 

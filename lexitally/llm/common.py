@@ -32,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find that finished steps' shuffle files are no longer needed.
+
+    Spark deletes them when the driver's collector has found their handles
+    unused; a driver with little garbage may not look for a long time.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 (``bytes.split`` splits on just these)."""
     return text.encode("utf-8", "surrogatepass").split()

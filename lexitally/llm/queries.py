@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fertility, htmltext, langid, packing, rff, warc
+from . import ann, bpe, fertility, htmltext, jaccard, langid, packing, rff, suffix, warc
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op1_bpe(spark, d):
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_suffix_dedup(spark, d):
+    """Every document without the bytes of 400-byte strings that start anywhere else."""
+    return suffix.query(spark, table(spark, d, "documents", "doc_id", "text"))
+
+
 def op3_html_extraction(spark, d):
     """Main text of every page."""
     return htmltext.extract(table(spark, d, "pages", "page_id", "url", "html"))
@@ -27,6 +32,11 @@ def op4_language_id(spark, d):
     return langid.query(spark, table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
+def op5_jaccard_join(spark, d):
+    """Components of documents whose 5-word shingles have a similarity of 0.8 or more."""
+    return jaccard.query(spark, table(spark, d, "documents", "doc_id", "text"))
+
+
 def op6_best_fit_packing(spark, d):
     """Pieces of every document, packed into sequences of at most 2048 tokens."""
     return packing.query(spark, table(spark, d, "documents", "doc_id", "text"))
@@ -56,6 +66,6 @@ def op10_quality_classifier(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op3_html_extraction, op4_language_id, op6_best_fit_packing, op7_warc_revisits, op8_fertility_rules,
+    op1_bpe, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_jaccard_join, op6_best_fit_packing, op7_warc_revisits, op8_fertility_rules,
     op9_block_matrix_neighbours, op10_quality_classifier)}
-ORACLE: dict[str, str] = {"op7_warc_revisits": warc.SQL, "op9_block_matrix_neighbours": ann.SQL}
+ORACLE: dict[str, str] = {"op5_jaccard_join": jaccard.SQL, "op7_warc_revisits": warc.SQL, "op9_block_matrix_neighbours": ann.SQL}
