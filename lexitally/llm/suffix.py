@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunks, mix64, rows_of, written
+from .common import Chunks, mix64, release, rows_of, written
 
 THRESHOLD = 400
 GRAM = 16
@@ -205,7 +205,9 @@ def find_blocks(texts: DataFrame, wanted: DataFrame, threshold: int) -> DataFram
                              left, right, run["open"]), 150)
         yield from out.rest()
 
-    return (texts.join(wanted, "uid").select("uid", "text", "runs").mapInArrow(cut, BLOCK_DDL))
+    # equal rows share a uid: one of them is enough to read the bytes from (the join has brought them together)
+    one = texts.join(wanted, "uid").select("uid", "text", "runs").dropDuplicates(["uid"])
+    return one.mapInArrow(cut, BLOCK_DDL)
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -213,6 +215,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     ``docs``: uid (equal for equal rows) and text.
     """
+    spark = docs.sparkSession
     found = written(find_runs(docs, threshold), "runs")
     runs, certain = found.where("digit is not null"), found.where("digit is null")
     # one row per distinct run, with how often it occurs and one place where it does
@@ -222,18 +225,24 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                                        F.max("whole").alias("_b")).where("total > 1").select(
         "digit", (F.col("_a") != F.col("_b")).alias("mixed"))
     groups = written(distinct.join(digits, "digit"), "run_groups")
-    equal_runs = (runs.join(groups.where("n > 1").select("digit", "whole"), ["digit", "whole"], "left_semi")
-                  .select("uid", "lo", "hi"))
+    release(spark)
+    equal_runs = written(certain.select("uid", "lo", "hi").unionByName(
+        runs.join(groups.where("n > 1").select("digit", "whole"), ["digit", "whole"], "left_semi")
+        .select("uid", "lo", "hi")), "equal_runs")
+    release(spark)
     # at most the runs of one text in one list
     wanted = (groups.where("mixed").select("at.*", "digit", (F.col("n") == 1).alias("open"))
               .groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "anchor", "digit", "open")).alias("runs")))
-    # equal rows share a uid: one of them is enough to read the bytes from
     blocks = written(find_blocks(docs, wanted, threshold), "blocks")
-    content = blocks.select("core", "edges", "uid", "lo").distinct().groupBy("core", "edges").agg(
-        F.count("*").alias("n"))
+    release(spark)
+    content = blocks.groupBy("core", "edges").agg(F.count("*").alias("n"))
     cores = content.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     states = written(content.join(cores, "core"), "block_groups")
-    placed = blocks.join(states, ["core", "edges"])
+    release(spark)
+    # blocks that are repeated as a whole, and those whose core is shared by different edges
+    placed = written(blocks.join(states.where("kinds > 1 or n > 1"), ["core", "edges"])
+                     .where("kinds > 1 or (open and n > 1)"), "placed")
+    release(spark)
     equal_blocks = placed.where("open and n > 1").select("uid", "lo", "hi")
     # pass 3: the strings of blocks whose core is shared by different edges
     t = F.explode(F.sequence("first", "last"))
@@ -247,9 +256,10 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
               .where("_a <> _b").select(*key))
     single = (strings.where("open and n = 1").join(shared, key, "left_semi")
               .select("uid", "lo", (F.col("lo") + threshold).alias("hi")))
-    spans = (certain.select("uid", "lo", "hi").unionByName(equal_runs).unionByName(equal_blocks)
-             .unionByName(single))
-    return spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    spans = equal_runs.unionByName(equal_blocks).unionByName(single)
+    out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
+    release(spark)
+    return out
 
 
 RESULT_SCHEMA = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
@@ -311,11 +321,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Bytes of characters that a removed run cuts are dropped with it; n_chars is
     counted anew; a null text stays null.
     """
-    done = remove_repeats(docs, keep=tuple(docs.columns))
+    columns = list(docs.columns)
+    done = remove_repeats(docs, keep=tuple(columns))
 
     def text(batches):
         for batch in batches:
-            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in docs.columns}
+            cols = {n: batch.column(batch.schema.get_field_index(n)) for n in columns}
             old = cols["text"].to_pylist()
             new = [None if o is None else k.decode("utf-8", "ignore")
                    for o, k in zip(old, batch.column(batch.schema.get_field_index("kept")).to_pylist())]
@@ -325,4 +336,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 cols["n_chars"] = pa.array([None if x is None else len(x) for x in new]).cast(kind)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return done.select(*docs.columns, "kept").mapInArrow(text, docs.schema)
+    return done.select(*columns, "kept").mapInArrow(text, docs.schema)

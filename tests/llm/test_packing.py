@@ -83,3 +83,15 @@ def test_empty_table_and_sequences(spark):
     assert K.pack_documents(df.limit(0), PATH).count() == 0
     packed = K.sequences(K.pack_documents(df, PATH)).collect()
     assert len(packed) == 1 and packed[0]["tokens"] == 4
+
+
+def test_encoder_same_as_library():
+    from test_bpe import texts
+    source = open(PATH, encoding="utf-8").read()
+    fast, lib = K.Encoder(source), Tokenizer.from_file(PATH)
+    assert fast.fast is not None
+    for text in texts():
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert fast.encode_packed(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+    word = K.Encoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert word.fast is None and word.encode_packed("Hello") == word.bpe.encode_packed("Hello")
