@@ -3,21 +3,18 @@
     python -m lexitally.cli wordcount IN OUT [--rule letters] [--files N] [--overwrite]
     python -m lexitally.cli count PATH [--rule whitespace] [--recursive]
     python -m lexitally.cli results IN OUT [--format parquet|csv] [--overwrite]
-    python -m lexitally.cli experiment DATASET|ROOT [--datasets toy,small]
-                        [--cores 1,2,4,8] [--runs 1] [--results CSV_DIR] [--report TEXT_DIR]
 
 ``wordcount`` is the per-word job: recursive text scan, letter rule,
 ``word<TAB>count`` files hash-partitioned by word and sorted (one file per
 reducer), refusing an existing output folder unless ``--overwrite``.
 ``count`` prints the global token total.  ``results`` reads result CSVs
-written with any of the known header spellings into one canonical schema.  ``experiment`` times the count at
-each core count and writes the result table and the text report.
+written with any of the known header spellings into one canonical schema.  The
+timing experiment is ``scripts/experiment.py``.
 """
 
 from __future__ import annotations
 
 import argparse
-import json
 
 from .functions.tokenize import LETTERS, RULES, WHITESPACE
 
@@ -53,25 +50,6 @@ def cmd_results(spark, args) -> None:
         writer.parquet(args.output)
 
 
-def cmd_experiment(spark, args) -> None:
-    from .experiment import scaling_run
-
-    cores = [int(c) for c in args.cores.split(",")]
-    # one dataset, or each named dataset folder under a root (datasets x cores)
-    names = args.datasets.split(",") if args.datasets else [None]
-    out = []
-    for i, name in enumerate(names):
-        path = f"{args.dataset.rstrip('/')}/{name}" if name else args.dataset
-        rows = scaling_run(path, cores, args.runs, dataset=name, rule=args.rule,
-                              recursive=args.recursive, results_path=args.results,
-                              report_path=args.report, mode="append" if i else "overwrite",
-                              jobs=tuple(args.jobs.split(",")))
-        out += [{"dataset": r.dataset, "cores": r.cores, "runtime_s": r.avg_runtime_s,
-                 "throughput_words": r.throughput_words, "speedup": r.speedup,
-                 "parallel_efficiency": r.parallel_efficiency} for r in rows]
-    print(json.dumps(out))
-
-
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="lexitally")
     ap.add_argument("--master", default=None, help="Spark master (default: from spark-submit)")
@@ -98,23 +76,7 @@ def main(argv=None) -> None:
     r.add_argument("--overwrite", action="store_true")
     r.set_defaults(fn=cmd_results)
 
-    e = sub.add_parser("experiment", help="time the count at several core counts")
-    e.add_argument("dataset", help="a dataset folder, or a root with --datasets")
-    e.add_argument("--datasets", default=None, help="comma-separated folders under the root")
-    e.add_argument("--cores", default="1,2,4,8")
-    e.add_argument("--runs", type=int, default=1)
-    e.add_argument("--rule", choices=RULES, default=WHITESPACE)
-    e.add_argument("--jobs", default="count",
-                   help="count (global total) and/or wordcount (per-word files), comma-separated")
-    e.add_argument("--recursive", action="store_true")
-    e.add_argument("--results", default=None)
-    e.add_argument("--report", default=None)
-    e.set_defaults(fn=cmd_experiment)
-
     args = ap.parse_args(argv)
-    if args.cmd == "experiment":        # runs its own sessions, one per core count
-        args.fn(None, args)
-        return
     from .session import build_session
     spark = build_session(args.master, "lexitally-cli")
     try:

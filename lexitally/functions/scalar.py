@@ -20,15 +20,6 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(n.cast("double") / d)
 
 
-def to_mb(x: str | Column) -> Column:
-    return _c(x).cast("double") / F.lit(MB)
-
-
-def epoch_seconds(ts: str | Column) -> Column:
-    """Seconds since the epoch as double; NTZ values are read as UTC."""
-    return F.unix_micros(_c(ts).cast("timestamp")) / F.lit(1e6)
-
-
 def epoch_micros(ts: str | Column) -> Column:
     return F.unix_micros(_c(ts).cast("timestamp"))
 
@@ -58,7 +49,9 @@ def signed2(x: str | Column) -> Column:
     while Java's formatter - behind ``format_string`` - rounds the shortest
     decimal form half-up (" 81.98").  Report lines must read like the
     reference's, so this one formatter is an Arrow-batched pandas UDF; it is
-    only applied to report rows (one per configuration), never to raw data.
+    only applied to report rows (one per configuration), never to raw data: its
+    callers in ``operators.report`` pass the output of an aggregate by
+    configuration.
     """
     return _py_signed2(_c(x).cast("double"))
 
@@ -71,7 +64,7 @@ def json_number(doc: str | Column, path: str, default: float = 0.0) -> Column:
 
 def first_field_int(line: str | Column) -> Column:
     """First whitespace-separated field of a line as INT, NULL if not a number."""
-    return F.split(F.trim(_c(line)), r"\s+").getItem(0).try_cast("int")
+    return F.regexp_extract(_c(line), r"^\s*(\S+)", 1).try_cast("int")
 
 
 def rounded(x: str | Column, places: int = 6) -> Column:

@@ -14,140 +14,94 @@ Everything above is a prefix computation (counts and a running max) along
 each run's time line.  A plain ``Window.partitionBy(run_key)`` would put a run
 holding a third of all rows into one task, so the scan is done in two levels:
 
-1. the merged time line is range-partitioned on ``(run_key, ts, kind, tie)``
-   into bounded chunks (one chunk per shuffle partition, sized by AQE, so a
-   hot run spans many chunks);
-2. a window per ``(run_key, chunk)`` computes local counts and the local
-   running max;
-3. a per-chunk summary (one row per chunk) gets exclusive prefix sums and a
-   prefix max with a window per ``run_key`` over chunks - this table has
-   ``#chunks`` rows, not ``#rows``;
-4. local values plus the chunk's carried offsets give the global tick rank
-   and ``s_idx``; an equi-join on ``(run_key, rank)`` attaches the event.
-
-The chunk id comes from the range exchange's partition index.  The chunked,
-locally scanned time line is written once as a table in the shared folder, so
-summary and detail see the same chunking; rows with equal sort keys are interchangeable (same run, time
-and event), so the result does not depend on where the range partitioner's
-sample placed the chunk bounds.
+1. equal events (same run, time and text) become one row with a count, before
+   any shuffle of theirs is sorted;
+2. the time line is cut into buckets of a fixed width of time, a pure function
+   of the row; a window per ``(run, bucket)`` computes local counts and the
+   local running max.  A bucket's rows are bounded by its width over the
+   sampling interval, however long the run is;
+3. a summary with one row per ``(run, bucket)`` gets exclusive prefix sums and a
+   prefix max with a window per run over its buckets;
+4. local values plus the bucket's carried offsets give the global tick rank
+   and ``s_idx``; an equi-join on ``(run, rank)`` attaches the event.
+
+The line is exchanged twice: by (run, bucket), then by (run, rank).  Run keys may
+be NULL; ticks and events without a run key form one run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
 SAMPLE, EVENT = 1, 0  # kind: an event sorts before a tick with the same time
+BUCKET_SECONDS = 86400
+
 
+def time_bucket(ts: Column, dtype: str, width: int) -> Column:
+    """Number of the bucket that a time falls in; plain numbers count as seconds."""
+    if dtype.startswith("timestamp"):
+        return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(width * 1_000_000))
+    return F.floor(ts / F.lit(width))
 
-def chunked_scan(ticks: DataFrame, events: DataFrame, key: str = "run_key",
-                 ts: str = "ts", event: str = "event",
-                 n_chunks: int | None = None) -> DataFrame:
-    """Steps 1-2: the merged time line in range chunks with local prefix values.
 
-    Columns ``k, t, kind, ev, <tick payload>, chunk, ls, le, lv, lmax``; the
-    result is written once as a table in the shared folder and read back.
+def bucketed_scan(ticks: DataFrame, events: DataFrame, key: str = "run_key",
+                  ts: str = "ts", event: str = "event",
+                  bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Steps 1-2: the merged time line with local prefix values.
+
+    Columns ``k, t, kind, ev, m, <tick payload>, bucket, ls, le, lv, lmax``; ``m`` is
+    how many equal events a row stands for, ``le`` counts up to its last one.
     """
     payload = [c for c in ticks.columns if c not in (key, ts)]
+    once = (events.groupBy(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(event).cast("string").alias("ev"))
+                  .agg(F.count(F.lit(1)).alias("m")))
     # Tick payload rides along the time line (NULL on event rows), so the
     # result needs no join back to ``ticks``.
-    line = (ticks.select(F.col(key).alias("k"), F.col(ts).alias("t"),
-                         F.lit(SAMPLE).alias("kind"),
-                         F.lit(None).cast("string").alias("ev"), *payload)
-            .unionByName(events.select(F.col(key).alias("k"), F.col(ts).alias("t"),
-                                       F.lit(EVENT).alias("kind"),
-                                       F.col(event).cast("string").alias("ev")),
+    line = (ticks.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.lit(SAMPLE).alias("kind"),
+                         F.lit(None).cast("string").alias("ev"), F.lit(0).cast("bigint").alias("m"), *payload)
+            .unionByName(once.select("k", "t", F.lit(EVENT).alias("kind"), "ev", "m"),
                          allowMissingColumns=True))
-    order = ["t", "kind", "ev"]
-    # Without an explicit count the range shuffle starts at the job's shuffle
-    # width and AQE merges adjacent small ranges up to its advisory partition
-    # size, so chunk sizes follow the data; merged ranges stay contiguous.
-    ranged = (line.repartitionByRange(n_chunks, "k", *order) if n_chunks
-              else line.repartitionByRange("k", *order))
-    chunked = ranged.withColumn("chunk", F.spark_partition_id())
-
-    is_s = (F.col("kind") == SAMPLE).cast("long")
-    is_e = (F.col("kind") == EVENT).cast("long")
-    w_local = (Window.partitionBy("k", "chunk").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (chunked
-             .withColumn("ls", F.sum(is_s).over(w_local))
-             .withColumn("le", F.sum(is_e).over(w_local))
-             .withColumn("lv", F.when(F.col("kind") == EVENT,
-                                      F.col("ls") + 1 - F.col("le")))
-             .withColumn("lmax", F.max("lv").over(w_local)))
-    # The chunk ids must be the same for the summary and the detail branch,
-    # and a range exchange re-planned in each branch would sample its own
-    # bounds.  Writing the chunked line once as a table in the shared folder
-    # fixes one chunking, runs the range shuffle and the local scans once, and
-    # cuts the lineage: a lost executor re-reads chunks instead of re-sorting
-    # the input.  Parquet keeps it columnar, so the branches read only the
-    # columns they use and skip row groups on ``kind``.
-    spark = ticks.sparkSession
-    path = scratch_path(spark, "attach")
-    local.write.parquet(path)
-    return spark.read.parquet(path)
+    line = line.withColumn("bucket", time_bucket(F.col("t"), dict(line.dtypes)["t"], bucket_seconds))
+    w = (Window.partitionBy("k", "bucket").orderBy("t", "kind", "ev")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (line.withColumn("ls", F.sum(F.col("kind").cast("bigint")).over(w))
+                .withColumn("le", F.sum("m").over(w))
+                # the first of the m equal events decides: later ones have smaller values
+                .withColumn("lv", F.when(F.col("kind") == EVENT, F.col("ls") - F.col("le") + F.col("m")))
+                .withColumn("lmax", F.max("lv").over(w)))
 
 
 def attach_events(ticks: DataFrame, events: DataFrame, key: str = "run_key",
                   ts: str = "ts", event: str = "event",
-                  n_chunks: int | None = None) -> DataFrame:
+                  bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Return ``ticks`` with a nullable ``event`` column (FIFO attachment).
 
     ``ticks`` must have one row per ``(key, ts)`` (see ``tick_totals``).
     """
     payload = [c for c in ticks.columns if c not in (key, ts)]
-    local = chunked_scan(ticks, events, key, ts, event, n_chunks)
-
-    w_prev = (Window.partitionBy("k").orderBy("chunk")
+    local = bucketed_scan(ticks, events, key, ts, event, bucket_seconds)
+    w_prev = (Window.partitionBy("k").orderBy("bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
-    summary = (local.groupBy("k", "chunk")
+    summary = (local.groupBy("k", "bucket")
                     .agg(F.max("ls").alias("cs"), F.max("le").alias("ce"),
                          F.max("lv").alias("cmax"))
                     .withColumn("s0", F.coalesce(F.sum("cs").over(w_prev), F.lit(0)))
                     .withColumn("e0", F.coalesce(F.sum("ce").over(w_prev), F.lit(0)))
                     .withColumn("gmax", F.col("s0") - F.col("e0") + F.col("cmax"))
                     .withColumn("pmax", F.max("gmax").over(w_prev))
-                    .select("k", "chunk", "s0", "e0", "pmax"))
+                    .select(F.col("k").alias("k2"), F.col("bucket").alias("b2"), "s0", "e0", "pmax"))
 
-    placed = local.join(summary, ["k", "chunk"])
+    placed = local.join(summary, F.col("k").eqNullSafe(F.col("k2"))
+                        & F.col("bucket").eqNullSafe(F.col("b2")))
     tick_rank = (placed.where(F.col("kind") == SAMPLE)
                        .select("k", "t", *payload,
                                (F.col("s0") + F.col("ls")).alias("rank")))
+    first = F.col("e0") + F.col("le") - F.col("m") + 1           # number of the row's first event
+    reach = F.greatest(F.col("pmax"), F.col("s0") - F.col("e0") + F.col("lmax"))
     event_slot = (placed.where(F.col("kind") == EVENT)
-                        .select("k", "ev",
-                                (F.col("e0") + F.col("le")
-                                 + F.greatest(F.col("pmax"),
-                                              F.col("s0") - F.col("e0") + F.col("lmax")))
-                                .alias("rank")))
-    return (tick_rank.join(event_slot, ["k", "rank"], "left")
+                        .select(F.col("k").alias("ek"), "ev",
+                                F.explode(F.sequence(first + reach, first + reach + F.col("m") - 1)).alias("slot")))
+    return (tick_rank.join(event_slot, F.col("k").eqNullSafe(F.col("ek")) & (F.col("rank") == F.col("slot")), "left")
                      .select(F.col("k").alias(key), F.col("t").alias(ts), *payload,
                              F.col("ev").alias(event)))
-
-
-def attach_events_bruteforce(ticks: list[tuple], events: list[tuple]) -> dict:
-    """Reference loop for tests: replay the sampler with a FIFO queue.
-
-    ``ticks``/``events`` are lists of ``(key, ts)`` / ``(key, ts, event)``.
-    Returns ``{(key, ts): event}`` for the ticks that received an event.
-    """
-    out: dict = {}
-    by_key: dict = {}
-    for k, t in ticks:
-        by_key.setdefault(k, ([], []))[0].append(t)
-    for k, t, e in events:
-        by_key.setdefault(k, ([], []))[1].append((t, e))
-    for k, (ts_list, ev_list) in by_key.items():
-        ts_list.sort()
-        ev_list.sort(key=lambda x: (x[0], x[1]))
-        queue: list = []
-        i = 0
-        for t in ts_list:
-            while i < len(ev_list) and ev_list[i][0] <= t:
-                queue.append(ev_list[i][1])
-                i += 1
-            if queue:
-                out[(k, t)] = queue.pop(0)
-    return out

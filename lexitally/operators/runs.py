@@ -5,9 +5,9 @@ Every operator aggregates before it windows or joins: raw samples and runs are
 reduced with partial (map-side) aggregation, so a run key or configuration
 that holds a third of all rows costs one partial row per task.  Windows only
 ever run over per-configuration rows, partitioned by dataset.  Joins against
-derived per-dataset facts are left to AQE, which broadcasts a side only after
-measuring it; the one literal lookup table (the failure policy) is broadcast
-after its length is checked.
+derived per-dataset facts and the failure policy are plain joins: Spark broadcasts
+a side whose size (by statistics when planning, by measurement under AQE) is
+below its threshold, and shuffles beyond it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import MB, safe_ratio
+from ..functions.scalar import MB, safe_ratio, seconds_between
 
 # Outcome labels and run-label formats of the experiment scripts.
 OUTCOME_OK = "Recovered"
@@ -24,16 +24,19 @@ OUTCOME_FAILED = "Failed"
 RUN_LABEL_FORMAT = "%s_%dcores_%dmb"      # {dataset}_{cores}cores_{sort_mb}mb
 FAILURE_LABEL_FORMAT = "%s_%dc_FT"        # {dataset}_{cores}c_FT
 
-MAX_POLICY_ROWS = 4096  # a policy maps core counts to failures; far below any broadcast limit
-
 
 # ---------------------------------------------------------------- samples
 def tick_totals(samples: DataFrame, key: str = "run_key", ts: str = "ts") -> DataFrame:
-    """Sum the readings of all processes sampled at the same tick."""
+    """Sum the readings of all processes sampled at the same tick.
+
+    Disk counters, where the samples have them, are the host's: the largest
+    reading of the tick.
+    """
+    disk = [F.max(c).alias(c) for c in ("disk_read", "disk_write") if c in samples.columns]
     return (samples.groupBy(key, ts)
                    .agg(F.sum("cpu").alias("cpu"),
                         F.sum("mem_bytes").alias("mem_bytes"),
-                        F.count(F.lit(1)).alias("n_procs")))
+                        F.count(F.lit(1)).alias("n_procs"), *disk))
 
 
 def run_means(ticks: DataFrame, key: str = "run_key") -> DataFrame:
@@ -58,14 +61,18 @@ def with_fallback(keys: DataFrame, means: DataFrame, key: str = "run_key",
     ``keys`` holds every run key and optionally a ``fallback`` reading;
     ``means`` holds ``(key, n_samples, value)`` for keys that have samples.
     """
-    out = keys.join(means, key, "left")
+    return fallback_columns(keys.join(means, key, "left"), key, value)
+
+
+def fallback_columns(rows: DataFrame, key: str = "run_key", value: str = "avg_cpu") -> DataFrame:
+    """J6 on one row per key: ``n_samples``, ``value`` or its fallback, and which it was."""
     cand = [F.col(value)]
-    if "fallback" in keys.columns:
+    if "fallback" in rows.columns:
         cand.append(F.col("fallback"))
-    return out.select(key,
-                      F.coalesce(F.col("n_samples"), F.lit(0)).cast("bigint").alias("n_samples"),
-                      F.coalesce(*cand, F.lit(0.0)).alias(value),
-                      F.col(value).isNull().alias("used_fallback"))
+    return rows.select(key,
+                       F.coalesce(F.col("n_samples"), F.lit(0)).cast("bigint").alias("n_samples"),
+                       F.coalesce(*cand, F.lit(0.0)).alias(value),
+                       F.col(value).isNull().alias("used_fallback"))
 
 
 # ---------------------------------------------------------------- runs
@@ -74,29 +81,50 @@ def successful(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("return_code") == 0)
 
 
-def config_summary(runs: DataFrame, facts: DataFrame,
+def with_durations(runs: DataFrame) -> DataFrame:
+    """M7 + F8: initialisation, processing and run time as differences of timestamps."""
+    return (runs.withColumn("init_s", seconds_between("start_ts", "action_ts"))
+                .withColumn("processing_s", seconds_between("action_ts", "end_ts"))
+                .withColumn("runtime_s", seconds_between("start_ts", "end_ts")))
+
+
+FIRST_RUN = ("failure_reschedules", "failed_core_budget", "total_cores")
+
+
+def first_run(runs: DataFrame, config: tuple[str, ...]) -> DataFrame:
+    """A5 + M8: constants of each configuration's first run (smallest time, then run_id).
+
+    One row per (configuration, time) first, then the earliest of those: equal
+    times are decided by run_id, and both steps are hash aggregates.
+    """
+    cols = [c for c in FIRST_RUN if c in runs.columns]
+    per_time = (runs.groupBy(*config, "ts")
+                    .agg(F.min("run_id").alias("first_run_id"),
+                         *[F.min_by(c, "run_id").alias(c) for c in cols]))
+    return per_time.groupBy(*config).agg(*[F.min_by(c, "ts").alias(c) for c in ("first_run_id", *cols)])
+
+
+def config_summary(runs: DataFrame, facts: DataFrame, per_run: DataFrame | None = None,
                    config: tuple[str, ...] = ("dataset", "cores", "variant")) -> DataFrame:
     """M9: per-configuration averages, constants from the first run, throughput.
 
     ``facts`` carries ``(dataset, word_count, dataset_bytes)``.  Throughput is
     words (or MB) over the mean *processing* time, 0 when that time is 0.
-    Optional run columns: ``retry_s`` (mean, missing = 0.0) and
-    ``failure_reschedules`` / ``failed_core_budget`` (taken from the first run).
+    ``per_run`` carries ``(run_key, avg_cpu, avg_mem_mb)`` (A3); a configuration
+    gets the mean over its runs (A4).  A run without a retry adds 0 s (M6).
     """
-    extra = []
-    if "retry_s" in runs.columns:           # M6: a run without a retry adds 0.0
-        extra.append(F.avg(F.coalesce(F.col("retry_s"), F.lit(0.0))).alias("avg_retry_s"))
-    for c in ("failure_reschedules", "failed_core_budget"):   # M8 via A5
-        if c in runs.columns:
-            extra.append(F.min_by(c, "ts").alias(c))
+    if per_run is not None:
+        runs = runs.join(per_run.select("run_key", "avg_cpu", "avg_mem_mb"), "run_key", "left")
+    means = [F.avg(c).alias(c) for c in ("avg_cpu", "avg_mem_mb") if c in runs.columns]
+    if "retry_s" in runs.columns:
+        means.append(F.avg(F.coalesce(F.col("retry_s"), F.lit(0.0))).alias("avg_retry_s"))
     per_cfg = (runs.groupBy(*config)
                    .agg(F.count(F.lit(1)).alias("n_runs"),
                         F.avg("runtime_s").alias("avg_runtime_s"),
                         F.avg("init_s").alias("avg_init_s"),
-                        F.avg("processing_s").alias("avg_processing_s"),
-                        F.min_by("run_id", "ts").alias("first_run_id"),
-                        *extra))
-    return (per_cfg.join(facts, "dataset", "left")
+                        F.avg("processing_s").alias("avg_processing_s"), *means))
+    return (per_cfg.join(first_run(runs, config), list(config))
+                   .join(facts, "dataset", "left")
                    .withColumn("throughput_words",
                                safe_ratio("word_count", "avg_processing_s"))
                    .withColumn("throughput_mb",
@@ -151,21 +179,22 @@ def pair_runs(baseline: DataFrame, failure: DataFrame,
 
 def policy_frame(spark: SparkSession, policy: dict[int, int]) -> DataFrame:
     """The failure policy ``cores -> failures`` as a small table."""
-    if len(policy) > MAX_POLICY_ROWS:
-        raise ValueError(f"policy has {len(policy)} entries; at most {MAX_POLICY_ROWS}")
     schema = T.StructType([T.StructField("cores", T.IntegerType(), False),
                            T.StructField("failures", T.IntegerType(), False)])
     return spark.createDataFrame([(int(k), int(v)) for k, v in policy.items()], schema)
 
 
-def policy_grid(runs: DataFrame, policy: DataFrame, positive_only: bool = True) -> DataFrame:
-    """J2 + J3 + P12: every configuration in the run log with its failure budget.
+def policy_grid(runs: DataFrame, policy: DataFrame, cores: list[int],
+                positive_only: bool = True) -> DataFrame:
+    """J2 + J3 + P12: every dataset at every declared core count, with its failure budget.
 
-    The grid is the distinct (dataset, cores) pairs that occur, not a cross
-    product; the policy lookup is a broadcast left join with default 0.
+    The grid explodes the experiment's core list for each dataset of the run log,
+    so pairs that never ran are there, too; a core count without a policy has
+    budget 0.
     """
-    grid = runs.select("dataset", "cores").distinct()
-    out = (grid.join(F.broadcast(policy), "cores", "left")
+    grid = (runs.select("dataset").distinct()
+                .select("dataset", F.explode(F.array(*[F.lit(int(c)) for c in cores])).alias("cores")))
+    out = (grid.join(policy, "cores", "left")
                .select("dataset", "cores",
                        F.coalesce(F.col("failures"), F.lit(0)).alias("failures")))
     return out.where(F.col("failures") > 0) if positive_only else out
@@ -189,9 +218,11 @@ def results_union(runs: DataFrame, sort_mb: int = 100) -> DataFrame:
     """
     main = (successful(runs).where(F.col("variant") == "baseline")
             .select("run_id", "dataset", "cores", F.lit(sort_mb).alias("sort_mb"),
-                    F.col("runtime_s").alias("runtime_seconds")))
+                    F.col("runtime_s").alias("runtime_seconds"),
+                    F.format_string(RUN_LABEL_FORMAT, F.col("dataset"), F.col("cores"),
+                                    F.lit(sort_mb)).alias("label")))
     ft = outcomes(runs).select("run_id", "dataset", "cores",
-                               F.col("runtime_s").alias("runtime_seconds"), "outcome")
+                               F.col("runtime_s").alias("runtime_seconds"), "outcome", "label")
     return main.unionByName(ft, allowMissingColumns=True)
 
 
@@ -201,27 +232,35 @@ def first_crossing(samples: DataFrame, threshold: float = 50.0,
                    value: str = "progress") -> DataFrame:
     """W3 + P10: first time each run reaches ``threshold``, latched once.
 
-    ``min`` / ``min_by`` on a fixed-width key stay hash aggregates with a
-    map-side partial step (a struct key would force a sort aggregate).  A run
-    has one reading per timestamp, so the value at the first time is unique.
+    Readings of one time are reduced to their largest first, so the result does
+    not depend on the order of rows; both steps are hash aggregates with a
+    map-side partial step.
     """
-    return (samples.where(F.col(value) >= threshold)
-                   .groupBy(key)
-                   .agg(F.min(ts).alias("first_ts"),
-                        F.min_by(value, ts).alias("value_at")))
+    per_time = (samples.where(F.col(value) >= threshold)
+                       .groupBy(key, ts).agg(F.max(value).alias("_value")))
+    return (per_time.groupBy(key)
+                    .agg(F.min(ts).alias("first_ts"),
+                         F.min_by("_value", ts).alias("value_at")))
 
 
 def latest_match(df: DataFrame, key: str, ts: str, text: str, needle: str,
                  pick: str) -> DataFrame:
     """W4 + P7: per key, the most recent row whose ``text`` contains ``needle``.
 
-    A hash aggregate instead of ``row_number`` over a window: no key's rows are
-    sorted or gathered in one task.  Timestamps are unique per key.
+    Hash aggregates instead of ``row_number`` over a window: no key's rows are
+    sorted or gathered in one task.  Of rows with equal times the largest
+    ``pick`` counts.
     """
-    return (df.where(F.col(text).contains(needle))
-              .groupBy(key)
-              .agg(F.max(ts).alias("last_ts"),
-                   F.max_by(pick, ts).alias(f"last_{pick}")))
+    per_time = (df.where(F.col(text).contains(needle))
+                  .groupBy(key, ts).agg(F.max(pick).alias("_pick")))
+    return (per_time.groupBy(key)
+                    .agg(F.max(ts).alias("last_ts"),
+                         F.max_by("_pick", ts).alias(f"last_{pick}")))
+
+
+def text_lines(df: DataFrame, block: str, line: str = "line") -> DataFrame:
+    """one row per line of a text block (``\\n``, ``\\r\\n`` and ``\\r`` end a line)."""
+    return df.select(F.explode(F.split(block, "\\r\\n|\\r|\\n")).alias(line))
 
 
 def distinct_first_fields(lines: DataFrame, line: str = "line") -> DataFrame:

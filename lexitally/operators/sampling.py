@@ -17,7 +17,8 @@ def sample_k(df: DataFrame, key: str, k: int, seed: str = "42") -> DataFrame:
 
     A top-k on a hash of the key: each task keeps its own k best rows and only
     those reach the final merge (``TakeOrderedAndProject``), so the driver and
-    the final task see at most ``k * tasks`` rows whatever n is.
+    the final task see at most ``k * tasks`` rows whatever n is.  ``k`` is meant to
+    be small: the k rows of the result are merged in one task.
     """
     if k <= 0:
         return df.limit(0)
@@ -27,6 +28,13 @@ def sample_k(df: DataFrame, key: str, k: int, seed: str = "42") -> DataFrame:
 
 
 def partition_profile(df: DataFrame) -> DataFrame:
-    """Rows per partition of ``df`` as laid out now (a skew profile)."""
+    """S6 + X3: rows per partition of ``df`` as laid out now (a skew profile)."""
     return (df.groupBy(F.spark_partition_id().alias("partition_id"))
               .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def bucket_profile(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows per key bucket (``key mod n``): the layout a job would get that
+    deals rows by this key, whatever the layout of the files."""
+    return (df.groupBy(F.pmod(F.col(key), F.lit(n)).cast("int").alias("partition_id"))
+              .agg(F.count(F.lit(1)).alias("n_rows")))

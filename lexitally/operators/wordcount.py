@@ -62,13 +62,13 @@ def dataset_facts(df: DataFrame, dataset: str = "dataset",
                    F.sum(F.octet_length(t)).cast("bigint").alias("dataset_bytes")))
 
 
-def hash_sorted(freq: DataFrame, n_files: int, key: str = "word") -> DataFrame:
-    """Reducer layout: ``n_files`` hash partitions on ``key``, each sorted.
+def reducer_sorted(freq: DataFrame, key: str = "word") -> DataFrame:
+    """Reducer layout: the aggregate's own hash partitions on ``key``, each sorted.
 
-    The repartition runs on already aggregated rows (one per distinct key), so
-    it moves the vocabulary, not the tokens.
+    No exchange of its own; the number of reducers is the job's shuffle width,
+    which AQE fits to the output.
     """
-    return freq.repartition(n_files, key).sortWithinPartitions(key)
+    return freq.sortWithinPartitions(key)
 
 
 def kv_lines(freq: DataFrame, key: str = "word", value: str = "n") -> DataFrame:

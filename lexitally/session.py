@@ -2,15 +2,14 @@
 
 Everything that must survive an executor loss (streaming checkpoints, result
 tables that cut lineage) lives under the folder the cluster names in
-``spark.checkpoint.dir``.  We only invent one when that setting is absent and
-Spark runs in local mode (tests, the bench); on a cluster a missing setting is
-an error rather than a silent fall-back to a machine-local folder.
+``spark.checkpoint.dir``.  Only where that is unset (tests, the bench) a folder
+below the session's warehouse is used, which all executors share as well.
 """
 
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +19,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_RUN = uuid.uuid4().hex
+_cleaned: set[str] = set()
 
 
 def build_session(master: str | None = None, app_name: str = "lexitally",
@@ -68,30 +69,19 @@ def _context(spark: SparkSession):
         return None
 
 
-def _is_local(spark: SparkSession) -> bool:
-    sc = _context(spark)
-    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-    return master.startswith("local")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Return the cluster-wide checkpoint folder, creating one only locally."""
+    """The cluster-wide folder for working files: ``spark.checkpoint.dir``, else one
+    below the warehouse."""
     sc = _context(spark)
     value = spark.conf.get(CHECKPOINT_KEY, None) or \
         (sc.getConf().get(CHECKPOINT_KEY, None) if sc is not None else None)
     if value:
-        if sc is not None and sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(value)
         return value.rstrip("/")
-    if not _is_local(spark):
-        raise RuntimeError(
-            f"{CHECKPOINT_KEY} is not set; point it at a shared folder "
-            "(HDFS/S3/...) before running jobs that write state")
-    value = tempfile.mkdtemp(prefix="lexitally-ckpt-")
-    spark.conf.set(CHECKPOINT_KEY, value)
-    if sc is not None:
-        sc.setCheckpointDir(value)
-    return value
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexitally-work/{_RUN}"
+    if own not in _cleaned and own.startswith(("file:/", "/")):
+        atexit.register(shutil.rmtree, re.sub("^file:/+", "/", own), True)      # scratch of this run
+        _cleaned.add(own)
+    return own
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
@@ -128,10 +118,3 @@ def ensure_utc(spark: SparkSession) -> None:
     """Event-time logic reads NTZ times as UTC; pin the session zone to UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
-def local_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default

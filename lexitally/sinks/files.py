@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
-from ..operators.wordcount import hash_sorted, kv_lines
+from ..operators.wordcount import kv_lines, reducer_sorted
 
 
 def write_word_counts(freq: DataFrame, path: str, n_files: int | None,
@@ -24,8 +24,9 @@ def write_word_counts(freq: DataFrame, path: str, n_files: int | None,
     the wanted file count and whose AQE coalescing is off, as
     ``reducer_session`` sets up.
     """
-    laid = hash_sorted(freq, n_files) if n_files else freq.sortWithinPartitions("word")
-    kv_lines(laid).write.mode(mode).text(path)
+    if n_files:
+        freq = freq.repartition(n_files, "word")
+    kv_lines(reducer_sorted(freq)).write.mode(mode).text(path)
 
 
 def reducer_session(spark, n_files: int) -> None:
@@ -79,7 +80,9 @@ def ingest_missing(df: DataFrame, path: str, key: str = "dataset") -> None:
     spark = df.sparkSession
     try:
         existing = spark.read.parquet(path).select(key).distinct()
-    except AnalysisException:  # no target yet: everything is new
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":     # no target yet: everything is new
+            raise
         new = df
     else:
         new = df.join(existing, key, "left_anti")

@@ -1,9 +1,11 @@
 """Result tables written by earlier experiments (CSV with a header).
 
-Three header spellings exist for the same quantities; ``read_results`` maps
-them onto one set of names and casts with ``try_cast`` (a malformed cell
-becomes NULL instead of failing the scan).  No schema inference: the header
-is read, then columns are renamed and cast explicitly.
+Three header spellings exist for the same quantities, and files of several
+spellings may share a folder.  ``read_results`` finds each file's own header
+line, parses its rows by that header and maps the columns onto one set of names
+with ``try_cast`` (a malformed cell becomes NULL instead of failing the scan).
+Memory was recorded in two units, which stay two columns: MB of the process
+(``memory usage``) and percent of the host (``avg_mem``).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ HEADER_NAMES = {
     "sort_mb": "sort_mb",
     "runtime_seconds": "runtime_seconds", "runtime": "runtime_seconds",
     "avg_cpu": "avg_cpu", "cpu usage": "avg_cpu",
-    "avg_mem": "avg_mem", "memory usage": "avg_mem",
+    "avg_mem": "avg_mem_percent", "memory usage": "avg_mem_mb",
     "throughput_words_per_sec": "throughput_words_per_sec", "throughput": "throughput_words_per_sec",
     "speedup_vs_1_core": "speedup_vs_1_core", "scalability": "speedup_vs_1_core",
     "initialization overhead": "init_overhead_s",
@@ -32,20 +34,48 @@ HEADER_NAMES = {
 
 TYPES = {
     "dataset": "string", "cores": "int", "sort_mb": "int", "runtime_seconds": "double",
-    "avg_cpu": "double", "avg_mem": "double", "throughput_words_per_sec": "double",
+    "avg_cpu": "double", "avg_mem_percent": "double", "avg_mem_mb": "double", "throughput_words_per_sec": "double",
     "speedup_vs_1_core": "double", "init_overhead_s": "double", "failures": "int",
     "executor_memory": "string", "total_words": "bigint", "baseline_time": "double",
     "parallel_efficiency": "double", "outcome": "string",
 }
 
 
+def _name(cell: str) -> str:
+    return HEADER_NAMES.get(cell.strip(), cell.strip().lower().replace(" ", "_"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """IO14: a result CSV with canonical column names and types."""
-    raw = spark.read.option("header", "true").csv(path)
-    cols = []
-    for c in raw.columns:
-        name = HEADER_NAMES.get(c.strip(), c.strip().lower().replace(" ", "_"))
-        typ = TYPES.get(name, "string")
-        col = F.trim(F.col(f"`{c}`"))
-        cols.append((col if typ == "string" else col.try_cast(typ)).alias(name))
-    return raw.select(*cols)
+    """IO14: result CSVs below ``path`` with canonical column names and types.
+
+    A file's header is its only line whose cells are all known column names.
+    Headers are few (one per spelling), so their texts come to the driver; rows
+    are joined to their file's header and parsed by it, one branch a spelling.
+    Rows of a file without a header match no branch and are dropped.  Cells may be
+    quoted, but hold no line breaks.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"),
+                                         F.trim("value").alias("value")).where("value <> ''")
+    known = F.array(*[F.lit(n) for n in HEADER_NAMES])
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    marked = lines.withColumn("_head", F.forall(cells, lambda c: F.array_contains(known, c)))
+    heads = marked.where("_head").groupBy("_file").agg(F.min("value").alias("_header"))
+    body = marked.where("not _head").join(heads, "_file")
+    spellings = [r["_header"] for r in heads.select("_header").distinct().orderBy("_header").collect()]
+    out = None
+    for header in spellings:
+        names = [c.strip().strip('"') for c in header.split(",")]
+        ddl = ", ".join(f"`c{i}` string" for i in range(len(names)))
+        row = body.where(F.col("_header") == header).select(
+            F.from_csv("value", ddl, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
+        cols = []
+        for i, cell in enumerate(names):
+            name = _name(cell)
+            typ = TYPES.get(name, "string")
+            value = F.trim(F.col(f"r.c{i}"))
+            cols.append((value if typ == "string" else value.try_cast(typ)).alias(name))
+        part = row.select(*cols)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no known result header below {path}")
+    return out

@@ -24,20 +24,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster when its scan is narrower than that.
-
-    A table stored as few large row groups scans as few tasks, which leaves
-    cores idle for CPU-heavy work such as tokenising.  When the scan has fewer
-    partitions than ``min_partitions`` (default: the default parallelism) the
-    pruned rows are spread once; a wide scan - the normal case for a large
-    table of many files and row groups - is returned untouched, so this never
-    adds a shuffle at scale.  Counting the partitions plans the scan (a file
-    listing), it runs no job.
+def split_session(spark: SparkSession, split_bytes: int) -> SparkSession:
+    """A session whose file scans are cut into splits of ``split_bytes``.
+
+    The split-count hint of a job (how many map tasks it wants) becomes the size
+    of a split, as ``input bytes / wanted tasks``.  It is a reader setting: no row
+    is shuffled, and the caller's own session keeps its setting.  Files and row
+    groups that can't be cut any further stay one split.
     """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
-        return df
-    return df.repartition(want) if have < want else df
+    if split_bytes < 1:
+        raise ValueError("a split has at least one byte")
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    own.conf.set("spark.sql.files.openCostInBytes", str(min(split_bytes, 4 << 20)))
+    return own

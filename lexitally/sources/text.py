@@ -4,8 +4,9 @@ A dataset is a named folder of text files.  ``read_lines`` is the one-level
 scan (a missing path raises ``AnalysisException``); ``recursive=True`` walks
 sub-folders like the MapReduce input format.  Files whose names start with
 ``_`` or ``.`` are hidden from both scans (Hadoop's hidden-file rule), and
-``dataset_bytes`` counts bytes from the same listing, so throughput numerator
-and denominator describe the same files.  ``\\n``, ``\\r\\n`` and ``\\r`` all end
+``dataset_bytes`` lists files with the same rule and takes the same ``recursive``
+flag, so throughput numerator and denominator describe the same files if both
+get the same one.  ``\\n``, ``\\r\\n`` and ``\\r`` all end
 a line.
 """
 
@@ -36,10 +37,15 @@ def _strip_scheme(path: str) -> str:
     return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
 
 
-def dataset_of(file_path: Column, root: str) -> Column:
-    """The first folder below ``root`` in a file path; '' for a loose file."""
-    pat = re.escape(_strip_scheme(root)) + r"/([^/]+)/"
-    return F.regexp_extract(file_path, pat, 1)
+def dataset_of(file_path: Column, root: str, encoded: bool = True) -> Column:
+    """The first folder below ``root`` in a file path; '' for a loose file.
+
+    ``_metadata.file_path`` is URI-encoded (a blank is ``%20``), ``root`` and the
+    binary-file source's ``path`` are not; a plus sign stands for itself in a path.
+    """
+    plain = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B"))) if encoded else file_path
+    pat = "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?)?" + re.escape(_strip_scheme(root)) + r"/([^/]+)/"
+    return F.regexp_extract(plain, pat, 1)
 
 
 def read_datasets(spark: SparkSession, root: str) -> DataFrame:
@@ -53,18 +59,24 @@ def read_datasets(spark: SparkSession, root: str) -> DataFrame:
                  .where(F.col("dataset") != ""))
 
 
-def dataset_bytes(spark: SparkSession, root: str, by_dataset: bool = True) -> DataFrame:
+def dataset_bytes(spark: SparkSession, root: str, by_dataset: bool = True,
+                  recursive: bool = True) -> DataFrame:
     """IO4 + A7: total file bytes, from a listing that reads no file content.
 
+    ``recursive`` as for ``read_lines``; totals by dataset need it, as a dataset is
+    a folder below ``root``.
+
     Only ``length`` (and ``path``) are selected from the binary-file source,
     so the scan's ReadSchema carries no ``content`` column.
     """
-    files = (spark.read.format("binaryFile")
-                  .option("recursiveFileLookup", "true").load(root))
+    reader = spark.read.format("binaryFile")
+    if recursive or by_dataset:
+        reader = reader.option("recursiveFileLookup", "true")
+    files = reader.load(root)
     if not by_dataset:
         return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint")
                          .alias("dataset_bytes"))
-    return (files.select(dataset_of(F.col("path"), root).alias("dataset"), "length")
+    return (files.select(dataset_of(F.col("path"), root, encoded=False).alias("dataset"), "length")
                  .where(F.col("dataset") != "")
                  .groupBy("dataset")
                  .agg(F.sum("length").cast("bigint").alias("dataset_bytes")))

@@ -1,8 +1,11 @@
 """Registered streaming queries.
 
-Each runs a Structured Streaming query over a test table with
-``trigger(availableNow=True)`` into a fresh folder under the shared
-checkpoint folder, then returns the folded result as a batch DataFrame.
+Each takes a test table in several parts, in order of time (or by id, where there
+is no time).  A part arrives, the stream is started with
+``trigger(availableNow=True)`` on the same checkpoint, takes what is new, and stops;
+then the next part arrives.  So every query reads several batches, restarts in
+between, and depends on its restored state.  The folded result is returned as a
+batch DataFrame; the queries run whole while they are built.
 """
 
 from __future__ import annotations
@@ -17,26 +20,48 @@ from ..operators import wordcount as W
 from ..plans import fixtures as FX
 from ..plans.catalog import ORACLE, _ALPHA_FREQ
 from ..session import scratch_path
+from ..sources.tables import read_table
 from . import sinks
 from .operators import tumbling_stats
-from .sources import event_time, stream_table
+from .sources import event_time, stream_folder
 
 WINDOW = "1 hour"
 WATERMARK = "10 minutes"
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
+PARTS = 5
+
+
+def _time_parts(events: DataFrame) -> list:
+    """Conditions that cut the table into PARTS pieces of equal time, in order."""
+    low, high = events.agg(F.min(epoch_micros("ts")), F.max(epoch_micros("ts"))).first()
+    if low is None:
+        return [F.lit(True)]
+    step = (high - low) // PARTS + 1
+    part = F.floor((epoch_micros("ts") - F.lit(low)) / F.lit(step))
+    return [part == i for i in range(PARTS)]
+
+
+def _run_parts(spark: SparkSession, name: str, table: DataFrame, parts: list, start) -> str:
+    """Let the parts of ``table`` arrive one by one; ``start(stream, out, checkpoint)`` runs
+    the query over what is new.  Returns the folder of results."""
     base = scratch_path(spark, "streams", name)
-    return f"{base}/out", f"{base}/checkpoint"
+    for part in parts:
+        table.where(part).write.mode("append").parquet(f"{base}/in")
+        start(stream_folder(spark, f"{base}/in", table), f"{base}/out", f"{base}/checkpoint")
+    return f"{base}/out"
+
+
+def _events(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return event_time(read_table(spark, d, "events", list(cols)))
 
 
 def q_stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Hourly count / mean value per event type, watermarked."""
-    ev = stream_table(spark, d, "events", ["ts", "event_type", "value"])
-    agg = tumbling_stats(ev, "ts", WINDOW, ("event_type",), "value", WATERMARK)
-    out, ckpt = _paths(spark, "tumbling")
-    sinks.run_upserts(agg, out, ckpt)
-    res = sinks.latest_rows(spark, out, ["window_start", "event_type"])
+    ev = _events(spark, d, "ts", "event_type", "value")
+    out = _run_parts(spark, "tumbling", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_upserts(
+        tumbling_stats(stream, "ts", WINDOW, ("event_type",), "value", WATERMARK), out, ckpt))
+    res = sinks.latest_rows(spark, out, ["window_start", "window_end", "event_type"])
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "event_type", "n", rounded("avg_value").alias("avg_value"))
 
@@ -46,42 +71,57 @@ SAMPLE_WINDOW = "1 day"
 
 def q_stream_sample_windows(spark: SparkSession, d: str) -> DataFrame:
     """T1 + A3: resource samples of each run averaged per tumbling window."""
-    ev = stream_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "value"])
-    agg = tumbling_stats(FX.samples(ev), "ts", SAMPLE_WINDOW, ("run_key",), "cpu", WATERMARK)
-    out, ckpt = _paths(spark, "sample_windows")
-    sinks.run_upserts(agg, out, ckpt)
-    res = sinks.latest_rows(spark, out, ["window_start", "run_key"])
+    ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
+    out = _run_parts(spark, "sample_windows", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_upserts(
+        # samples carry the start of their day: the watermark allows for it
+        tumbling_stats(FX.samples(stream), "ts", SAMPLE_WINDOW, ("run_key",), "cpu", "2 days"), out, ckpt))
+    res = sinks.latest_rows(spark, out, ["window_start", "window_end", "run_key"])
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "run_key", F.col("n").alias("n_samples"),
                       rounded("avg_value").alias("avg_cpu"))
 
 
 def q_stream_first_crossing(spark: SparkSession, d: str) -> DataFrame:
-    """First sample per run at or above 50 % progress, as samples arrive."""
-    ev = stream_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "value"])
-    crossing = R.first_crossing(event_time(FX.samples(ev)), 50.0)
-    out, ckpt = _paths(spark, "first_crossing")
-    sinks.run_upserts(crossing, out, ckpt)
-    res = sinks.latest_rows(spark, out, ["run_key"])
-    return res.select("run_key", epoch_micros("first_ts").alias("first_ts_us"),
-                      F.col("value_at").alias("progress_at"))
+    """First sample per run at or above 50 % progress, as samples arrive.
+
+    The stream itself keeps no state: each batch is reduced to its first crossing
+    per run, and the fold takes the first of those, whatever order they came in.
+    """
+    ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
+    out = _run_parts(spark, "first_crossing", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_upserts(
+        FX.samples(stream), out, ckpt, per_batch=lambda b: R.first_crossing(b, 50.0)))
+    log = sinks.read_log(spark, out).withColumnsRenamed({"first_ts": "ts", "value_at": "progress"})
+    return R.first_crossing(log, 50.0).select("run_key", epoch_micros("first_ts").alias("first_ts_us"),
+                                              F.col("value_at").alias("progress_at"))
+
+
+def _doc_parts() -> list:
+    return [F.pmod("doc_id", F.lit(PARTS)) == i for i in range(PARTS)]
 
 
 def q_stream_wordcount(spark: SparkSession, d: str) -> DataFrame:
-    """Letter-rule word counts kept as streaming state (update mode)."""
-    docs = stream_table(spark, d, "documents", ["text"], spread_narrow=True)
-    counts = W.word_freq(docs, "text", LETTERS)
-    out, ckpt = _paths(spark, "wordcount")
-    sinks.run_upserts(counts, out, ckpt)
+    """Letter-rule word counts kept as streaming state (update mode) over several batches."""
+    docs = read_table(spark, d, "documents", ["doc_id", "text"])
+    out = _run_parts(spark, "wordcount", docs, _doc_parts(), lambda stream, out, ckpt: sinks.run_upserts(
+        W.word_freq(stream, "text", LETTERS), out, ckpt))
     return sinks.latest_rows(spark, out, ["word"])
 
 
+def q_stream_wordcount_restart(spark: SparkSession, d: str) -> DataFrame:
+    """Words per language; stopped and started again, the counts go on from the checkpoint,
+    and a start without new input changes nothing."""
+    docs = read_table(spark, d, "documents", ["doc_id", "lang", "text"])
+    parts = [F.col("doc_id") % 2 == 0, F.lit(False), F.col("doc_id") % 2 == 1, F.lit(False)]
+    out = _run_parts(spark, "restart", docs, parts, lambda stream, out, ckpt: sinks.run_upserts(
+        W.dataset_words(stream, "lang", "text", LETTERS), out, ckpt))
+    return sinks.latest_rows(spark, out, ["dataset"])
+
+
 def q_stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """T4: failure-test outcomes appended to a file sink as runs arrive."""
-    ev = stream_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "value"])
-    rows = R.outcomes(FX.runs(ev))
-    out, ckpt = _paths(spark, "outcomes")
-    sinks.run_append(rows, out, ckpt)
+    ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
+    out = _run_parts(spark, "outcomes", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_append(
+        R.outcomes(R.with_durations(FX.runs(stream))), out, ckpt))
     return spark.read.parquet(out).select(
         "run_id", "dataset", "cores", rounded("runtime_s").alias("runtime_s"),
         "outcome", "label")
@@ -92,6 +132,7 @@ STREAM_QUERIES = {
     "q_stream_sample_windows": q_stream_sample_windows,
     "q_stream_first_crossing": q_stream_first_crossing,
     "q_stream_wordcount": q_stream_wordcount,
+    "q_stream_wordcount_restart": q_stream_wordcount_restart,
     "q_stream_outcomes": q_stream_outcomes,
 }
 
@@ -107,5 +148,6 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
 FROM events WHERE event_type <> 'error' GROUP BY 1, 2""",
     "q_stream_first_crossing": ORACLE["q_first_crossing"],
     "q_stream_wordcount": _ALPHA_FREQ,
+    "q_stream_wordcount_restart": ORACLE["q_dataset_words"],
     "q_stream_outcomes": ORACLE["q_outcomes"],
 }

@@ -1,12 +1,11 @@
 """Streaming sinks.
 
-``run_upserts`` drives an aggregating stream in *update* mode and writes each
-micro-batch's changed rows to ``<out>/batch_id=<n>`` with overwrite.  A batch
-replayed after a failure (same id, from the checkpoint's offset log) rewrites
-its own folder, so the log is exactly-once; ``latest_rows`` folds the log into
-the current value per key (the row of the highest batch id).  ``compact``
-folds the log into a snapshot so that reads do not grow with the number of
-batches; readers then take the snapshot plus the batches after it.
+``run_upserts`` drives a stream and writes each micro-batch's rows to
+``<out>/batch_id=<n>`` with overwrite: an aggregating stream in *update* mode gives
+its changed rows, and ``per_batch`` may aggregate a batch first.  A batch replayed
+after a failure (same id, from the checkpoint's offset log) rewrites its own
+folder, so the log is exactly-once; ``latest_rows`` folds the log into the current
+value per key (the row of the highest batch id).
 
 ``run_append`` is the plain append-mode file sink for row-wise (non
 aggregating) streams: results are written as they arrive.
@@ -14,24 +13,29 @@ aggregating) streams: results are written as they arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 BATCH_COL = "batch_id"
 
 
-def _batch_writer(out: str):
+def _batch_writer(out: str, per_batch: Callable[[DataFrame], DataFrame] | None):
     def write(batch: DataFrame, batch_id: int) -> None:
+        if per_batch:
+            batch = per_batch(batch)
         batch.write.mode("overwrite").parquet(f"{out}/{BATCH_COL}={batch_id}")
     return write
 
 
 def run_upserts(df: DataFrame, out: str, checkpoint: str,
-                available_now: bool = True, query_name: str | None = None):
+                available_now: bool = True, query_name: str | None = None,
+                per_batch: Callable[[DataFrame], DataFrame] | None = None):
     """Start an update-mode stream into the batch log; wait when bounded."""
     writer = (df.writeStream.outputMode("update")
-                .foreachBatch(_batch_writer(out))
+                .foreachBatch(_batch_writer(out, per_batch))
                 .option("checkpointLocation", checkpoint))
     if query_name:
         writer = writer.queryName(query_name)
@@ -43,74 +47,26 @@ def run_upserts(df: DataFrame, out: str, checkpoint: str,
     return q
 
 
-SNAPSHOT_DIR = "_snapshot"        # hidden from the log's own listing ("_" prefix)
-SNAPSHOT_META = "_snapshot_meta"  # one row: the batch id the snapshot covers
-
-
-def _snapshot_upto(spark: SparkSession, out: str) -> int | None:
+def read_log(spark: SparkSession, out: str, schema_hint: DataFrame | None = None) -> DataFrame:
+    """The batch log; with ``schema_hint``, a log that no batch has begun is empty."""
     try:
-        row = spark.read.parquet(f"{out}/{SNAPSHOT_META}").first()
-    except AnalysisException:
-        return None
-    return None if row is None else row["upto"]
-
-
-def _view(spark: SparkSession, out: str, max_batch: int | None = None) -> DataFrame:
-    """The log as rows tagged with their batch id; with a snapshot, the
-    snapshot stands in for every batch it covers."""
-    log = spark.read.parquet(out)
-    if max_batch is not None:
-        log = log.where(F.col(BATCH_COL) <= max_batch)
-    upto = _snapshot_upto(spark, out)
-    if upto is not None:
-        snap = (spark.read.parquet(f"{out}/{SNAPSHOT_DIR}/upto={upto}")
-                     .withColumn(BATCH_COL, F.lit(upto).cast(log.schema[BATCH_COL].dataType)))
-        log = log.where(F.col(BATCH_COL) > upto).unionByName(snap)
-    return log
-
-
-def _fold(log: DataFrame, keys: list[str]) -> DataFrame:
-    values = [c for c in log.columns if c not in keys and c != BATCH_COL]
-    # top-1 per key by batch id; Spark plans this as a WindowGroupLimit that
-    # also runs before the shuffle, and a key's group has one row per batch
-    w = Window.partitionBy(*keys).orderBy(F.col(BATCH_COL).desc())
-    return (log.withColumn("_rn", F.row_number().over(w))
-               .where(F.col("_rn") == 1)
-               .select(*keys, *values))
+        return spark.read.parquet(out)
+    except AnalysisException as e:
+        if schema_hint is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema_hint.schema).withColumn(BATCH_COL, F.lit(0))
 
 
 def latest_rows(spark: SparkSession, out: str, keys: list[str],
                 schema_hint: DataFrame | None = None) -> DataFrame:
-    """Current value per key: the row of the highest batch id."""
-    try:
-        log = _view(spark, out)
-    except AnalysisException:
-        if schema_hint is None:
-            raise
-        return spark.createDataFrame([], schema_hint.schema)
-    return _fold(log, keys)
-
-
-def compact(spark: SparkSession, out: str, keys: list[str]) -> int | None:
-    """Fold the log into a snapshot (one row per key) so reads stop growing
-    with the number of batches.  Safe while the stream keeps appending: the
-    snapshot covers exactly the batches up to the highest one seen now.
+    """Current value per key: the row of the highest batch id.
 
-    The snapshot data is written first and the one-row meta table last, so a
-    crash in between leaves the previous snapshot in force.  Returns the
-    batch id the snapshot covers (None for an empty log).
+    One aggregate with partial results, so a key that changes in every batch
+    costs a row per task.  A key has one row per batch.
     """
-    try:
-        upto = spark.read.parquet(out).agg(F.max(BATCH_COL)).first()[0]
-    except AnalysisException:
-        return None
-    if upto is None or upto == _snapshot_upto(spark, out):
-        return upto
-    (_fold(_view(spark, out, max_batch=upto), keys)
-        .write.mode("overwrite").parquet(f"{out}/{SNAPSHOT_DIR}/upto={upto}"))
-    (spark.createDataFrame([(int(upto),)], "upto long")
-        .write.mode("overwrite").parquet(f"{out}/{SNAPSHOT_META}"))
-    return upto
+    log = read_log(spark, out, schema_hint)
+    values = [c for c in log.columns if c not in keys and c != BATCH_COL]
+    return log.groupBy(*keys).agg(*[F.max_by(c, BATCH_COL).alias(c) for c in values])
 
 
 def run_append(df: DataFrame, out: str, checkpoint: str, fmt: str = "parquet",

@@ -10,15 +10,11 @@ from ..sources.tables import table_path
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str,
                  columns: list[str] | None = None,
-                 max_files_per_trigger: int | None = None,
-                 spread_narrow: bool = False) -> DataFrame:
+                 max_files_per_trigger: int | None = None) -> DataFrame:
     """Read ``<sf_dir>/<name>.parquet`` as a stream.
 
     The schema comes from the file footer (a stream needs it up front); the
-    glob filter keeps the other tables of the folder out of the stream.  With
-    ``spread_narrow`` a table whose batch scan is narrower than the cluster
-    (few files and row groups) is round-robined before CPU-heavy work, as
-    ``tables.spread`` does for batch reads; a wide table is left alone.
+    glob filter keeps the other tables of the folder out of the stream.
     """
     static = spark.read.parquet(table_path(sf_dir, name))
     reader = (spark.readStream.schema(static.schema)
@@ -26,16 +22,12 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.parquet(sf_dir)
-    df = df.select(*columns) if columns else df
-    if spread_narrow:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            narrow = static.select(*(columns or static.columns[:1])).rdd.getNumPartitions() < want
-        except Exception:  # noqa: BLE001 - no RDD access: leave the stream as is
-            narrow = False
-        if narrow:
-            df = df.repartition(want)
-    return df
+    return df.select(*columns) if columns else df
+
+
+def stream_folder(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A folder of Parquet files with the schema of ``like`` as a stream."""
+    return spark.readStream.schema(like.schema).parquet(path)
 
 
 def stream_text(spark: SparkSession, path: str, recursive: bool = False,

@@ -11,20 +11,23 @@ mean of runs per configuration, throughput over processing time, speedup
 against the first core count, parallel efficiency - and written as a result
 CSV and a text report.
 
-This is a benchmark harness around the operators, not an operator: the
-per-run timings are measured on the driver by definition.
+This is a benchmark harness around the operators, for one machine, not part of
+the library: the per-run timings are measured on the driver by definition.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 import subprocess
 import sys
 import time
 from pathlib import Path
 
-from .functions.tokenize import LETTERS, WHITESPACE
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from lexitally.functions.tokenize import LETTERS, WHITESPACE  # noqa: E402
 
 RESULT_COLUMNS = ["dataset", "cores", "runtime_s", "avg_init_s", "avg_processing_s",
                   "throughput_words", "throughput_mb", "speedup", "parallel_efficiency"]
@@ -37,9 +40,9 @@ def _job(spark, job: str, path: str, rule: str, recursive: bool, cores: int, out
     """Build and run one job; returns (plan built at, finished at, word total)."""
     from pyspark.sql import functions as F
 
-    from .operators.wordcount import word_freq, word_total
-    from .sinks.files import write_word_counts
-    from .sources.text import read_lines
+    from lexitally.operators.wordcount import word_freq, word_total
+    from lexitally.sinks.files import write_word_counts
+    from lexitally.sources.text import read_lines
 
     if job == "count":              # the Spark program: one global total
         df = word_total(read_lines(spark, path, recursive), "value", rule)
@@ -63,18 +66,18 @@ def time_runs(path: str, cores: int, runs: int, rule: str = WHITESPACE,
     """Time ``runs`` of each job over ``path`` in a ``local[cores]`` session."""
     import tempfile
 
-    from .session import build_session
-    from .sources.text import dataset_bytes
+    from lexitally.session import build_session
+    from lexitally.sources.text import dataset_bytes
 
     spark = build_session(f"local[{cores}]", "lexitally-experiment", shuffle_partitions=cores)
     if "wordcount" in jobs:
-        from .sinks.files import reducer_session
+        from lexitally.sinks.files import reducer_session
         reducer_session(spark, cores)    # reducers = cores, as in the published runs
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
              .load(path).select("path", "length"))
-    size = dataset_bytes(spark, path, by_dataset=False).first()["dataset_bytes"]
+    size = dataset_bytes(spark, path, by_dataset=False, recursive=recursive).first()["dataset_bytes"]
     first = files.orderBy("path").first()
-    out = tempfile.mkdtemp(prefix="lexitally-wordcount-")
+    out = tempfile.mkdtemp(prefix="lexitally-wordcount-")     # a bench on one machine
     log = []
     for job in jobs:
         if first is not None:       # warm the JVM (JIT, codegen) on one file; not logged
@@ -86,6 +89,7 @@ def time_runs(path: str, cores: int, runs: int, rule: str = WHITESPACE,
                         "job": job, "init_s": t1 - t0, "processing_s": t2 - t1,
                         "runtime_s": t2 - t0, "word_count": n, "dataset_bytes": size})
     spark.stop()
+    shutil.rmtree(out, ignore_errors=True)
     return log
 
 
@@ -98,9 +102,9 @@ def collect_runs(path: str, cores: list[int], runs: int, rule: str = WHITESPACE,
     log: list[dict] = []
     for c in cores:
         out = subprocess.run(
-            [sys.executable, "-m", "lexitally.experiment", path, str(c), str(runs), rule,
+            [sys.executable, "-m", "scripts.experiment", path, str(c), str(runs), rule,
              "1" if recursive else "0", ",".join(jobs)],
-            capture_output=True, text=True, timeout=3600, check=True, env=env)
+            capture_output=True, text=True, timeout=3600, check=True, env=env, cwd=root)
         log += [json.loads(line) for line in out.stdout.splitlines() if line.startswith("{")]
     return log
 
@@ -109,7 +113,7 @@ def summarise(spark, log: list[dict], dataset: str):
     """Per-core-count summary with speedup, from a run log (one row per run)."""
     from pyspark.sql import functions as F
 
-    from .operators import runs as R
+    from lexitally.operators import runs as R
 
     schema = ("run_id long, ts long, cores int, job string, init_s double, processing_s double, "
               "runtime_s double, word_count long, dataset_bytes long")
@@ -120,7 +124,10 @@ def summarise(spark, log: list[dict], dataset: str):
     runlog = runlog.withColumn("dataset", label).withColumn("variant", F.lit("baseline"))
     facts = runlog.groupBy("dataset").agg(F.min_by("word_count", "ts").alias("word_count"),
                                           F.min_by("dataset_bytes", "ts").alias("dataset_bytes"))
+    # the harness takes no resource samples: the report shows 0 for them
     summary = R.config_summary(runlog.drop("word_count", "dataset_bytes"), facts)
+    summary = summary.withColumn("avg_cpu", F.lit(None).cast("double")).withColumn(
+        "avg_mem_mb", F.lit(None).cast("double"))
     return R.speedup(summary.withColumn("runtime_s", F.col("avg_runtime_s")))
 
 
@@ -130,8 +137,8 @@ def write_outputs(speedups, results_path: str | None, report_path: str | None,
     ``append`` adds to earlier datasets' output instead of replacing it."""
     from pyspark.sql import functions as F
 
-    from .operators import report
-    from .sinks import files
+    from lexitally.operators import report
+    from lexitally.sinks import files
 
     if results_path:
         files.write_table_csv(speedups.orderBy("dataset", "cores"), results_path,
@@ -154,7 +161,7 @@ def scaling_run(path: str, cores: list[int], runs: int, dataset: str | None = No
     """Time, summarise and write; returns the summary rows (one per core count)."""
     from pyspark.sql import SparkSession
 
-    from .session import build_session
+    from lexitally.session import build_session
 
     log = collect_runs(path, cores, runs, rule, recursive, jobs)
     active = SparkSession.getActiveSession()      # reuse the caller's session if any

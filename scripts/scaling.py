@@ -3,7 +3,7 @@
 Like the published experiments, the input is a folder of text files: the
 ``documents`` table's text is written as a corpus of ``4 x max cores`` files
 (data Spark derives from the table, optionally several copies to reach the
-published data size), then ``lexitally.experiment`` times, at each core
+published data size), then ``scripts.experiment`` times, at each core
 count, the global count (the Spark program) and the per-word files (the
 MapReduce program), and summarises the run log with the engine's own
 operators.
@@ -59,7 +59,7 @@ def run_scaling(sf_dir: str, cores: list[int], runs: int = 3, copies: int = 1,
                 jobs: tuple[str, ...] = ("count", "wordcount")) -> dict:
     """Time the count per core count; ``corpus`` may be written beforehand
     (``write_corpus``) by a session the caller already has."""
-    from lexitally.experiment import scaling_run
+    from scripts.experiment import scaling_run
 
     if corpus is None:
         corpus = corpus_path()

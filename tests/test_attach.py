@@ -4,7 +4,27 @@ import random
 
 import pytest
 
-from lexitally.operators.attach import attach_events, attach_events_bruteforce
+from lexitally.operators.attach import attach_events
+
+
+def attach_events_bruteforce(ticks, events):
+    """Replay the sampler with a FIFO queue: ``{(key, ts): event}``."""
+    out, by_key = {}, {}
+    for k, t in ticks:
+        by_key.setdefault(k, ([], []))[0].append(t)
+    for k, t, e in events:
+        by_key.setdefault(k, ([], []))[1].append((t, e))
+    for k, (ts_list, ev_list) in by_key.items():
+        ts_list.sort()
+        ev_list.sort()
+        queue, i = [], 0
+        for t in ts_list:
+            while i < len(ev_list) and ev_list[i][0] <= t:
+                queue.append(ev_list[i][1])
+                i += 1
+            if queue:
+                out[(k, t)] = queue.pop(0)
+    return out
 
 
 def _case(seed, n_keys=4, n_ticks=60, n_events=25, hot=True):
@@ -17,12 +37,12 @@ def _case(seed, n_keys=4, n_ticks=60, n_events=25, hot=True):
     return sorted(ticks), events
 
 
-@pytest.mark.parametrize("seed,chunks", [(1, 1), (2, 3), (3, 7), (4, 16), (5, 5), (6, None)])
-def test_matches_fifo_replay(spark, seed, chunks):
+@pytest.mark.parametrize("seed,width", [(1, 1000), (2, 150), (3, 60), (4, 25), (5, 7), (6, 1)])
+def test_matches_fifo_replay(spark, seed, width):
     ticks, events = _case(seed)
     tdf = spark.createDataFrame([(k, t, float(t)) for k, t in ticks], "run_key long, ts long, cpu double")
     edf = spark.createDataFrame(events, "run_key long, ts long, event string")
-    got = attach_events(tdf, edf, n_chunks=chunks).collect()
+    got = attach_events(tdf, edf, bucket_seconds=width).collect()
     assert len(got) == len(ticks)
     want = attach_events_bruteforce(ticks, events)
     have = {(r.run_key, r.ts): r.event for r in got if r.event is not None}
@@ -35,26 +55,35 @@ def test_event_at_tick_time_goes_to_that_tick(spark):
     tdf = spark.createDataFrame([(1, 10, 0.0), (1, 20, 0.0)], "run_key long, ts long, cpu double")
     edf = spark.createDataFrame([(1, 10, "E1"), (1, 10, "E2"), (1, 30, "late")],
                                 "run_key long, ts long, event string")
-    got = {r.ts: r.event for r in attach_events(tdf, edf, n_chunks=2).collect()}
+    got = {r.ts: r.event for r in attach_events(tdf, edf, bucket_seconds=15).collect()}
     assert got == {10: "E1", 20: "E2"}
 
 
-def test_hot_run_is_split_across_chunks(spark):
-    """One run holding a third of all ticks is spread over many chunks."""
+def test_hot_run_is_split_across_buckets(spark):
+    """One run holding a third of all ticks is spread over buckets of bounded size."""
     from pyspark.sql import functions as F
 
-    from lexitally.operators.attach import chunked_scan
+    from lexitally.operators.attach import bucketed_scan
 
     n = 60000
     ticks = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("run_key"),
         F.col("id").alias("ts"), F.lit(1.0).alias("cpu"))
     events = ticks.where(F.col("ts") % 50 == 7).select("run_key", "ts", F.lit("E").alias("event"))
-    local = chunked_scan(ticks, events, n_chunks=16)
-    sizes = {r.chunk: r.n for r in local.groupBy("chunk").agg(F.count("*").alias("n")).collect()}
-    hot = local.where(F.col("k") == 0).select("chunk").distinct().count()
-    assert hot >= 4                                   # the hot run spans several tasks
-    assert max(sizes.values()) <= 2 * (sum(sizes.values()) / len(sizes))
+    local = bucketed_scan(ticks, events, bucket_seconds=3000)
+    hot = local.where(F.col("k") == 0).groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    assert len(hot) == 20 and max(r.n for r in hot) <= 1100
+
+
+def test_null_run_keys_and_equal_events(spark):
+    tdf = spark.createDataFrame([(None, t, 0.0) for t in range(0, 100, 10)] + [(1, 5, 0.0), (1, 500, 0.0)],
+                                "run_key long, ts long, cpu double")
+    edf = spark.createDataFrame([(None, 12, "A")] * 3 + [(None, 12, "B"), (None, 41, "C"), (1, 2, "D"), (1, 2, "D")],
+                                "run_key long, ts long, event string")
+    got = {(r.run_key, r.ts): r.event for r in attach_events(tdf, edf, bucket_seconds=20).collect()}
+    assert len(got) == 12
+    assert {k: v for k, v in got.items() if v} == {
+        (None, 20): "A", (None, 30): "A", (None, 40): "A", (None, 50): "B", (None, 60): "C", (1, 5): "D", (1, 500): "D"}
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402
@@ -66,13 +95,13 @@ from hypothesis import strategies as st  # noqa: E402
 @given(ticks=st.sets(st.tuples(st.integers(0, 2), st.integers(0, 40)), min_size=1, max_size=60),
        events=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 45), st.sampled_from("AB")),
                        max_size=40),
-       chunks=st.sampled_from([1, 2, 5, 13]))
-def test_property_matches_fifo_replay(spark, ticks, events, chunks):
+       width=st.sampled_from([1, 3, 10, 60]))
+def test_property_matches_fifo_replay(spark, ticks, events, width):
     ticks = sorted(ticks)
     tdf = spark.createDataFrame([(k, t, 0.0) for k, t in ticks], "run_key long, ts long, cpu double")
     edf = spark.createDataFrame(events or [(0, 0, "A")], "run_key long, ts long, event string")
     events = events or [(0, 0, "A")]
-    got = attach_events(tdf, edf, n_chunks=chunks).collect()
+    got = attach_events(tdf, edf, bucket_seconds=width).collect()
     assert len(got) == len(ticks)
     have = {(r.run_key, r.ts): r.event for r in got if r.event is not None}
     assert have == attach_events_bruteforce(ticks, events)

@@ -1,4 +1,4 @@
-"""The command line programs: per-word job, global count, experiment."""
+"""The command line programs: per-word job, global count, result conversion; the experiment script."""
 
 import argparse
 import glob
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql.utils import AnalysisException
 
 from lexitally import cli
-from lexitally.experiment import scaling_run
+from scripts.experiment import scaling_run
 
 
 def _write(path, text):
@@ -56,7 +56,7 @@ def test_experiment_writes_results_and_report(spark, corpus, tmp):
     assert res.columns[:3] == ["dataset", "cores", "runtime_s"] and res.count() == 2
     text = [r.value for r in spark.read.text(tmp + "/log").collect()]
     assert text[1] == "1 Cores (steady state):"
-    assert text[5:7] == ["**Scalability:** T₁ / T across core configurations", "1 cores:  1.00x"]
+    assert text[7:9] == ["**Scalability:** T₁ / T across core configurations", "1 cores:  1.00x"]
     assert text[-3].startswith("**Scalability:** T")
     assert text[-2:] == ["1 cores:  1.00x", f"2 cores: {rows[1].speedup: .2f}x"]
 

@@ -78,6 +78,40 @@ def test_global_total_does_not_explode(plans):
     assert "Generate" not in plans["q_ws_word_total"]
 
 
-def test_policy_is_broadcast_and_only_it(plans):
-    p = plans["q_policy_grid"]
-    assert "BroadcastExchange" in p and "Scan ExistingRDD" in p
+@pytest.mark.parametrize("name", BATCH)
+def test_no_round_robin(plans, name):
+    """No plan deals raw rows out anew because the cluster has more cores than splits."""
+    assert "RoundRobinPartitioning" not in plans[name] and "REPARTITION" not in plans[name]
+
+
+def test_sorted_files_shuffle_words_once(plans):
+    assert plans["q_sorted_kv_lines"].count("hashpartitioning(word") == len(
+        re.findall(r"hashpartitioning\(word", plans["q_sorted_kv_lines"]))
+    assert len(re.findall(r"\(\d+\) Exchange\n", plans["q_sorted_kv_lines"])) == 1
+
+
+def test_attached_line_is_exchanged_by_bucket_then_by_rank(plans):
+    p = plans["q_attach_events"]
+    keys = set(re.findall(r"Arguments: hashpartitioning\(([^)]*\)?[^)]*)\), ENSURE", p))
+    by_bucket = [x for x in re.findall(r"hashpartitioning\((.*), \d+\), ENSURE", p) if "bucket" in x]
+    assert keys and by_bucket
+    assert "rangepartitioning" not in p
+
+
+def test_write_side_plans(spark, tmp_path):
+    """Plans of what the file queries write, taken by a listener on the writer's data."""
+    from pyspark.sql import DataFrameWriter
+    seen = []
+    kept = {n: getattr(DataFrameWriter, n) for n in ("text", "parquet", "csv")}
+    try:
+        for n, f in kept.items():
+            setattr(DataFrameWriter, n, lambda self, path, *a, f=f, **k: (seen.append(plan_of(self._df)), f(self, path, *a, **k))[1])
+        for name in ("q_metrics_series", "q_file_dataset_words", "q_write_modes", "q_report_file", "q_ingest_datasets"):
+            QUERIES[name](spark, SF_SMOKE)
+    finally:
+        for n, f in kept.items():
+            setattr(DataFrameWriter, n, f)
+    assert len(seen) >= 8
+    for p in seen:
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+        assert "RoundRobinPartitioning" not in p and "SinglePartition" not in p

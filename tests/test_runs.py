@@ -88,11 +88,10 @@ def test_policy_default_zero_and_positive_filter(spark):
                                  "dataset string, cores int")
     pol = R.policy_frame(spark, {1: 1, 8: 0})
     allrows = {(r.dataset, r.cores): r.failures
-               for r in R.policy_grid(runs, pol, positive_only=False).collect()}
-    assert allrows == {("en", 1): 1, ("en", 2): 0, ("fr", 8): 0}
-    assert [(r.dataset, r.cores) for r in R.policy_grid(runs, pol).collect()] == [("en", 1)]
-    with pytest.raises(ValueError):
-        R.policy_frame(spark, {i: 0 for i in range(R.MAX_POLICY_ROWS + 1)})
+               for r in R.policy_grid(runs, pol, [1, 2, 8], positive_only=False).collect()}
+    # every declared core count, also those that a dataset never ran on
+    assert allrows == {("en", 1): 1, ("en", 2): 0, ("en", 8): 0, ("fr", 1): 1, ("fr", 2): 0, ("fr", 8): 0}
+    assert sorted((r.dataset, r.cores) for r in R.policy_grid(runs, pol, [1, 2, 8]).collect()) == [("en", 1), ("fr", 1)]
 
 
 def test_pair_runs_left_outer(spark):
@@ -126,8 +125,12 @@ def test_json_default(spark):
 
 
 def test_first_fields(spark):
-    lines = spark.createDataFrame([("3 Container",), ("  1 x",), ("3 y",), ("abc z",)], "line string")
-    assert [r.core for r in R.distinct_first_fields(lines).collect()] == [1, 3]
+    block = spark.createDataFrame([("3 Container\n  1 x\r\n3 y\rabc z\n\t7 tab",), (None,)], "block string")
+    lines = R.text_lines(block, "block")
+    assert lines.count() == 5
+    assert [r.core for r in R.distinct_first_fields(lines).collect()] == [1, 3, 7]
+    named = lines.where(F.col("line").contains("Cont"))
+    assert [r.core for r in R.distinct_first_fields(named).collect()] == [3]
 
 
 def test_cumulative_lines(spark):
@@ -184,3 +187,34 @@ def test_rounding_matches_scaled_binary_rule(spark):
         rounded("a", 2).alias("a2"), F.round("a", 2).alias("a2s"),
         rounded("b", 6).alias("b6"), F.round("b", 6).alias("b6s")).first()
     assert (ties.a2, ties.a2s, ties.b6, ties.b6s) == (1.0, 1.01, 33.463437, 33.463438)
+
+
+def test_ties_do_not_depend_on_row_order(spark):
+    rows = [(1, 5, 90.0, "xa", 3), (1, 5, 50.0, "xb", 9), (1, 7, 99.0, "y", 1), (2, 1, 60.0, "x", 4)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "run_key long, ts long, progress double, name string, pid long").coalesce(1)
+        got = {r.run_key: (r.first_ts, r.value_at) for r in R.first_crossing(df).collect()}
+        assert got == {1: (5, 90.0), 2: (1, 60.0)}
+        last = {r.run_key: (r.last_ts, r.last_pid) for r in R.latest_match(df, "run_key", "ts", "name", "x", "pid").collect()}
+        assert last == {1: (5, 9), 2: (1, 4)}
+
+
+def test_durations_are_differences(spark):
+    df = spark.sql("SELECT TIMESTAMP'2024-01-01 00:00:00' AS start_ts, TIMESTAMP'2024-01-01 00:00:02.5' AS action_ts, "
+                   "TIMESTAMP'2024-01-01 00:01:00' AS end_ts")
+    r = R.with_durations(df).first()
+    assert (r.init_s, r.processing_s, r.runtime_s) == (2.5, 57.5, 60.0)
+
+
+def test_failure_block_shows_the_runs_reschedules(spark):
+    from lexitally.operators.report import failure_block
+    row = (4, 5, 10.0, 1.0, 50.0, 512.0, 12.5, 100.0, 2.0, 0.25, 3, 2.5)
+    cols = ("cores int, failures int, baseline_runtime_s double, f_avg_init_s double, f_avg_cpu double, "
+            "f_avg_mem_mb double, f_avg_runtime_s double, f_throughput_words double, f_throughput_mb double, "
+            "f_avg_retry_s double, f_failure_reschedules int, recovery_overhead_s double")
+    lines = failure_block(spark.createDataFrame([row], cols)).first().block.split("\n")
+    assert lines[1] == "4 Cores with 5 core failure(s):"
+    assert lines[-2] == "Measured Retry Overhead (time spent reprocessing):  0.25 seconds"
+    assert lines[-1] == "Rescheduled partitions (proxy for failed cores): 3"
+    none = failure_block(spark.createDataFrame([row[:10] + (0, 2.5)], cols)).first().block
+    assert "Rescheduled" not in none

@@ -86,3 +86,11 @@ def test_ingest_only_missing_datasets(spark, tmp):
     assert got == [("small", "c d"), ("toy", "a b")]
     files.ingest(both, out)  # unconditional
     assert spark.read.parquet(out).count() == 4
+
+
+def test_ingest_into_a_table_of_another_shape_fails(spark, tmp):
+    out = tmp + "/odd"
+    spark.createDataFrame([("x", 1)], "name string, n long").write.parquet(out)
+    with pytest.raises(AnalysisException):
+        files.ingest_missing(spark.createDataFrame([("toy", "a")], "dataset string, value string"), out)
+    assert spark.read.parquet(out).count() == 1

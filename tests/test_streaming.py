@@ -77,7 +77,7 @@ def test_crash_after_write_is_replayed_exactly_once(spark, tmp):
     def counts():
         return word_freq(stream_text(spark, src, max_files_per_trigger=1), "value", LETTERS)
 
-    write = sinks._batch_writer(out)
+    write = sinks._batch_writer(out, None)
     crashed = {}
 
     def flaky(batch, batch_id):
@@ -97,37 +97,18 @@ def test_crash_after_write_is_replayed_exactly_once(spark, tmp):
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 3
 
 
-def test_compacted_log_reads_the_same(spark, tmp):
-    docs = read_table(spark, SF_SMOKE, "documents", ["doc_id", "text"])
-    src, out, ckpt = tmp + "/src", tmp + "/out", tmp + "/ckpt"
-    first, second = docs.where("doc_id < 120"), docs.where("doc_id >= 120")
-    first.select(F.col("text").alias("value")).repartition(3).write.text(src)
-
-    def run():
-        counts = word_freq(stream_text(spark, src, max_files_per_trigger=1), "value", LETTERS)
-        sinks.run_upserts(counts, out, ckpt)
-
-    run()
-    assert sinks.compact(spark, out, ["word"]) == 2
-    assert sinks.compact(spark, out, ["word"]) == 2          # nothing new: no-op
-    mid = sorted(sinks.latest_rows(spark, out, ["word"]).collect())
-    assert mid == sorted(word_freq(first, "text", LETTERS).collect())
-    second.select(F.col("text").alias("value")).repartition(2).write.mode("append").text(src)
-    run()                                                    # batches after the snapshot
-    want = sorted(word_freq(docs, "text", LETTERS).collect())
-    assert sorted(sinks.latest_rows(spark, out, ["word"]).collect()) == want
-    assert sinks.compact(spark, out, ["word"]) == 4
-    assert sorted(sinks.latest_rows(spark, out, ["word"]).collect()) == want
-
-
 def test_empty_log(spark, tmp):
-    """No batch written yet: compaction is a no-op, reads need a schema hint."""
+    """No batch written yet: reads need a schema hint; other errors are not an empty log."""
+    import os
+
     import pytest
-    from pyspark.sql.utils import AnalysisException
+    from pyspark.errors import AnalysisException
 
     out = tmp + "/none"
-    assert sinks.compact(spark, out, ["word"]) is None
     hint = spark.createDataFrame([], "word string, n long")
     assert sinks.latest_rows(spark, out, ["word"], schema_hint=hint).count() == 0
     with pytest.raises(AnalysisException):
         sinks.latest_rows(spark, out, ["word"])
+    os.makedirs(tmp + "/odd")
+    with pytest.raises(AnalysisException):
+        sinks.latest_rows(spark, tmp + "/odd", ["word"], schema_hint=hint)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from ..sources.tables import TABLES, table_path
+from lexitally.sources.tables import TABLES, table_path
 
 
 def duck_connect(sf_dir: str):
