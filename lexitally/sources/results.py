@@ -59,7 +59,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     known = F.array(*[F.lit(n) for n in HEADER_NAMES])
     cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
     marked = lines.withColumn("_head", F.forall(cells, lambda c: F.array_contains(known, c)))
-    heads = marked.where("_head").groupBy("_file").agg(F.min("value").alias("_header"))
+    heads = marked.where("_head").select("_file", F.col("value").alias("_header")).distinct()
     body = marked.where("not _head").join(heads, "_file")
     spellings = [r["_header"] for r in heads.select("_header").distinct().orderBy("_header").collect()]
     out = None
