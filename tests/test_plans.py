@@ -13,7 +13,7 @@ from conftest import SF_SMOKE
 # queries whose builders write derived data first (fine to plan, but skip the
 # per-query write cost here) are still planned; streams live elsewhere
 BATCH = sorted(QUERIES)
-GLOBAL_TOTALS = {"q_ws_word_total"}          # a one-row total may end in one partition
+GLOBAL_TOTALS = {"q_ws_word_total", "q_split_word_total", "q_lines_one_level"}   # a one-row total may end in one partition
 ORDERED = {"q_outcomes", "q_distinct_first_field", "q_sample_k"}  # requested order / top-k
 
 
