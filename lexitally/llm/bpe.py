@@ -36,6 +36,9 @@ CACHE_WORDS = 1 << 17      # words kept per task before the table is emptied
 NO_RANK = 1 << 62
 ODD_SPACE = re.compile("[\x1c-\x1f]").search     # white space to str.split alone
 
+# Fixed value: the split pattern of byte-level vocabularies.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def byte_symbols() -> list[str]:
     """Byte -> printable character of byte-level vocabularies.
@@ -133,8 +136,7 @@ class Bpe:
             if s["type"] == "Split":
                 return regex.compile(s["pattern"]["Regex"]).findall, (
                     s["behavior"] == "Removed" and s["invert"] and "[^\\s" in s["pattern"]["Regex"])
-        # Fixed value: the split pattern of byte-level vocabularies.
-        return regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall, False
+        return regex.compile(BYTE_LEVEL_PATTERN).findall, False
 
     # ------------------------------------------------------------ encoding
     def parts(self, word: str) -> tuple[list[int], list[int]]:
@@ -189,7 +191,7 @@ class Bpe:
     def _word(self, word: str) -> bytes:
         return np.array(self.parts(word)[1], dtype="<u4").tobytes()
 
-    def _segments(self, text: str) -> Iterator[tuple[str, int]]:
+    def segments(self, text: str) -> Iterator[tuple[str, int]]:
         """(text, id of the added token that follows it, or -1)."""
         if self.added_re is None or not any(t in text for t in self.added):
             yield text, -1
@@ -217,7 +219,7 @@ class Bpe:
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         out = []
-        for part, special in self._segments(text or ""):
+        for part, special in self.segments(text or ""):
             for step in self.steps:
                 part = step(part)
             out.extend(self._ids(part))
