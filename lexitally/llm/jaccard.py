@@ -14,7 +14,7 @@ for candidates, and the long ones are only probed for candidates already found.
    one aggregate with partial counts.
 3. Whole sets of the classes that are left: shingles are ordered by the length of
    their list, and only a class's short lists are kept, as above.
-4. Rounds over the lists: each list picks hubs (one, then four, sixteen, ...), its
+4. Rounds over the lists: each list picks hubs (one, then eight, 64, ...), its
    other members are searched for them, links merge components, and a list ends
    when its members are one component or all have been hubs.  So a list of
    thousands of near copies costs about its length, and still no pair of different
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunks, ascii_words, mix64, release, rows_of, written
+from .common import Chunks, ascii_words, discard, mix64, release, rows_of, written
 
 WORDS = 5
 PERCENT = 80                      # least similarity, in hundredths
@@ -165,7 +165,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def short_lists(sets: DataFrame) -> DataFrame:
-    """(key, cls): every class on its n - T + 1 shortest lists, without lists of one class."""
+    """(key, cls, n): every class on its n - T + 1 shortest lists, without lists of one class."""
     posts = sets.select("cls", F.explode("members").alias("key"))
     lengths = posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     # one list of a class's own shingles
@@ -174,8 +174,9 @@ def short_lists(sets: DataFrame) -> DataFrame:
     sized = own.join(sets.select("cls", "n").distinct(), "cls")
     # shingles found once are its shortest lists and hold nobody else
     keep = F.col("n") - least(F.col("n")) + 1 - (F.col("n") - F.size("found"))
-    lists = (sized.where(keep > 0).select("cls", F.explode(F.slice("found", F.lit(1), keep.cast("int"))).alias("f"))
-             .select(F.col("f.key").alias("key"), "cls"))
+    lists = (sized.where(keep > 0)
+             .select("cls", "n", F.explode(F.slice("found", F.lit(1), keep.cast("int"))).alias("f"))
+             .select(F.col("f.key").alias("key"), "cls", "n"))
     shared = lists.groupBy("key").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a <> _b")
     return lists.join(shared.select("key"), "key", "left_semi")
 
@@ -239,12 +240,8 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Candidates of a hub come in cells of a bounded size; a hub's set is sent to
     each of its cells.
     """
-    sized = sets.select("cls", "n")
-    near = (pairs.join(sized.withColumnRenamed("n", "n_cls"), "cls")
-            .join(sized.select(F.col("cls").alias("hub"), F.col("n").alias("n_hub")), "hub")
-            .where("100 * least(n_cls, n_hub) >= %d * greatest(n_cls, n_hub)" % PERCENT))
-    cells = near.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("bigint").alias("cells"))
-    placed = written(near.join(cells, "hub")
+    cells = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("bigint").alias("cells"))
+    placed = written(pairs.join(cells, "hub")
                      .select("hub", "cls", F.pmod(F.col("cls"), F.col("cells")).alias("cell")), "cells")
     cands = placed.join(sets.select("cls", "members"), "cls").select("hub", "cell", "cls", "members")
     hubs = (placed.select("hub", "cell").distinct()
@@ -308,27 +305,37 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
     lists = written(lists, "lists")
     labels = written(lists.select("cls").distinct().select("cls", F.col("cls").alias("comp")), "labels")
     tested, width = None, 1
+    pairs_done, read = [], [lists]             # tables to delete: at the end, once the next round has read them
     while True:
         live = lists.join(labels, "cls")
         mixed = live.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b")
-        live = written(live.join(mixed.select("key"), "key", "left_semi").select("key", "cls", "comp"), "live")
+        live = written(live.join(mixed.select("key"), "key", "left_semi").select("key", "cls", "n", "comp"), "live")
+        discard(*read)
         if live.isEmpty():
+            discard(live, *pairs_done)
             return labels
         # up to ``width`` hubs a list: the smallest class of each residue
-        picked = live.groupBy("key", F.pmod("cls", F.lit(width))).agg(F.min(F.struct("cls", "comp")).alias("h"))
-        hubs = written(picked.select("key", F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
+        picked = live.groupBy("key", F.pmod("cls", F.lit(width))).agg(F.min(F.struct("cls", "comp", "n")).alias("h"))
+        hubs = written(picked.select("key", F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp"),
+                                     F.col("h.n").alias("hub_n")), "hubs")
+        # sets of too different sizes can't link
+        alike = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
         met = live.alias("l").join(hubs.alias("h"), (F.col("l.key") == F.col("h.key"))
-                                   & (F.col("l.comp") != F.col("h.hub_comp")))
+                                   & (F.col("l.comp") != F.col("h.hub_comp")) & alike)
         pairs = met.select("hub", "cls").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "cls"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(links(pairs, sets), "links")
+        pairs_done.append(pairs)
+        found, old = written(links(pairs, sets), "links"), labels
         labels = written(merge_components(labels, found), "labels")
         both = pairs.union(pairs.select(F.col("cls").alias("hub"), F.col("hub").alias("cls")))
         tested = both if tested is None else tested.union(both)
-        lists = live.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls")
-        width *= 4
+        lists = live.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti").select(
+            "key", "cls", "n")
+        read = [live, hubs]
+        discard(found, old)
+        width *= 8
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -340,14 +347,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         *[F.first(c).alias(c) for c in ("n", "posted", "whole")]), "classes")
     wanted = written(promising(sketch, classes), "promising")
     release(spark)
+    members = written(sketch.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "members")
     sets = written(sets_of(docs, wanted), "sets")
+    discard(sketch, wanted)
     release(spark)
     labels = components(short_lists(sets), sets)
+    discard(sets)
     named = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = written(named, "named")
     ids = named.groupBy("comp").agg(F.min("rep").alias("smallest"))
     of = named.join(ids, "comp").select("cls", "smallest")
-    return (sketch.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left")
+    return (members.join(of, "cls", "left")
             .select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id")))
 
 
