@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunks, rows_of, split_key, table, written
+from .common import Chunks, discard, rows_of, split_key, table, written
 
 FEATURES = ("log_chars", "log_words", "word_length", "symbols", "marks", "upper", "digits", "letters",
             "blanks", "distinct_words", "repeat_pairs", "repeat_lines", "top_word", "plain_words",
@@ -197,6 +197,7 @@ def train(stats: DataFrame, labels: DataFrame, target: str = "quality") -> Model
     b = _sum_partitions(hold_rows.select("y", "stats"), bins, 2 * BINS)
     if not b.any():
         b = _sum_partitions(fit_rows.select("y", "stats"), bins, 2 * BINS)
+    discard(rows)
     used = np.flatnonzero(b[:BINS])
     model.grid = LOW + (used + 0.5) * (HIGH - LOW) / BINS
     model.prob = isotonic(b[BINS:][used], b[:BINS][used])

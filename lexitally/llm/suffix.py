@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunks, mix64, release, rows_of, written
+from .common import Chunks, discard, mix64, release, rows_of, written
 
 THRESHOLD = 400
 GRAM = 16
@@ -258,6 +258,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
               .select("uid", "lo", (F.col("lo") + threshold).alias("hi")))
     spans = equal_runs.unionByName(equal_blocks).unionByName(single)
     out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
+    discard(found, groups, equal_runs, blocks, states, placed)
     release(spark)
     return out
 
