@@ -26,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SharedVocabulary, worker_bpe
+from .bpe import SharedVocabulary
 from .common import Chunks, ascii_words, rows_of, written
+from .packing import worker_encoder
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 CACHE_WORDS = 1 << 16
 MIN_GROUP = 30
-FENCE = 5.0                     # band: quartiles +- FENCE * (distance of the quartiles)
-SLACK = {"chars_per_token": 0.35, "byte_share": 0.05, "token_entropy": 0.06}
+FENCE = 3.0                     # band: quartiles +- FENCE * (distance of the quartiles)
+STEADY_WORDS = 150              # measures of shorter texts spread more: bands widen by sqrt(1 + this / n_words)
+SLACK = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.03}
 MEASURES = tuple(SLACK)
 
 
@@ -156,7 +158,7 @@ def measures(docs: DataFrame, bpe_path: str, pieces_path: str) -> DataFrame:
                        + [(m, pa.float64()) for m in MEASURES] + [("band_group", pa.string())])
 
     def run(batches):
-        meter, out = Meter(worker_bpe(bpe), _worker_pieces(pieces)), Chunks(schema)
+        meter, out = Meter(worker_encoder(bpe), _worker_pieces(pieces)), Chunks(schema)
         for batch in batches:
             for doc, text, lang in rows_of(batch, "doc_id", "text", "lang"):
                 group = f"language {lang}" if lang is not None else f"script {script_of(text)}"
@@ -173,7 +175,7 @@ def base_failed():
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """One row per group: low and high of each measure.
+    """One row per group: quartiles of each measure and how far the band reaches beyond them.
 
     Quartiles are mergeable sketches over all passing documents, so a group of
     any size is aggregated before the shuffle.
@@ -188,7 +190,7 @@ def bands(measured: DataFrame) -> DataFrame:
     out = groups.unionByName(whole)
     for m in MEASURES:
         reach = F.greatest(FENCE * (F.col(m)[1] - F.col(m)[0]), F.lit(SLACK[m]))
-        out = out.withColumn(m, F.struct((F.col(m)[0] - reach).alias("low"), (F.col(m)[1] + reach).alias("high")))
+        out = out.withColumn(m, F.struct(F.col(m)[0].alias("low"), F.col(m)[1].alias("high"), reach.alias("reach")))
     return out.drop("n")
 
 
@@ -201,12 +203,16 @@ def judge(measured: DataFrame) -> DataFrame:
         F.col("band_group"), *[F.col(m).alias(f"_{m}") for m in MEASURES])
     joined = measured.join(own, "band_group", "left")
     inside = F.lit(True)
+    wider = F.sqrt(1 + STEADY_WORDS / F.greatest("n_words", F.lit(1)))
     for m in MEASURES:
-        band, default = F.col(f"_{m}"), whole[m] if whole else None
-        low, high = (default["low"], default["high"]) if default else (None, None)
-        inside = inside & F.coalesce(
-            F.col(m) >= F.coalesce(band["low"], F.lit(low).cast("double")), F.lit(True)) & F.coalesce(
-            F.col(m) <= F.coalesce(band["high"], F.lit(high).cast("double")), F.lit(True))
+        default = whole[m] if whole else None
+
+        def part(name):
+            fixed = default[name] if default else None
+            return F.coalesce(F.col(f"_{m}")[name], F.lit(fixed).cast("double"))
+        reach = part("reach") * wider
+        outside = (F.col(m) < part("low") - reach) | (F.col(m) > part("high") + reach)
+        inside = inside & ~F.coalesce(outside, F.lit(False))
     return joined.select(*measured.columns, base_failed().alias("base_failed"), inside.alias("inside"),
                          (~base_failed() & inside).alias("kept"))
 
