@@ -56,6 +56,21 @@ def ascii_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def masked_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with neutral column names, and {neutral name: own name}.
+
+    Operators add columns of their own; a stage that carries all columns of its
+    input through one masks their names first.
+    """
+    names = {f"_in{i}": c for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(m) for m, c in names.items()]), names
+
+
+def names_of(names: dict[str, str], own: str) -> str:
+    """The neutral name of a column."""
+    return next(m for m, c in names.items() if c == own)
+
+
 def split_key(name: str = "doc_id"):
     """crc32 of the id as text, modulo 3; a null id gives 0 (never held out)."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 3, F.lit(0))

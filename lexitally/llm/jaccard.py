@@ -371,7 +371,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat this doc_id stay once; rows without a doc_id all stay.
     """
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 

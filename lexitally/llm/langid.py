@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunks, rows_of, split_key
+from .common import Chunks, masked_columns, names_of, rows_of, split_key
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -214,7 +214,8 @@ class Scorer:
         return self.model.languages[best], float(p[best]), bool(p[best] >= self.model.threshold)
 
 
-def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",),
+             text_col: str = "text") -> DataFrame:
     """``keep`` + lang_pred, score, accepted for every whole text.
 
     The model (buckets x languages floats) is broadcast: its size is fixed by
@@ -222,7 +223,7 @@ def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_i
     """
     from pyspark.sql.pandas.types import to_arrow_type
     shared = df.sparkSession.sparkContext.broadcast(model)
-    src = df.select(*keep, "text") if "text" not in keep else df.select(*keep)
+    src = df.select(*keep, text_col) if text_col not in keep else df.select(*keep)
     fields = [src.schema[k] for k in keep]
     schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields]
                        + [("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
@@ -232,8 +233,8 @@ def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_i
     def predict(batches):
         scorer, out = Scorer(shared.value), Chunks(schema)
         for batch in batches:
-            for *kept, text in rows_of(batch, *keep, "text"):
-                size = 64 + (len(text) * 2 if text and "text" in keep else 0)
+            for *kept, text in rows_of(batch, *keep, text_col):
+                size = 64 + (len(text) * 2 if text and text_col in keep else 0)
                 yield from out.add((*kept, *scorer.score(text)), size)
         yield from out.rest()
 
@@ -246,6 +247,7 @@ def query(spark, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; others go."""
-    scored = identify(docs, train(docs), keep=tuple(docs.columns))
-    return scored.where("accepted").select(*docs.columns)
+    """Documents whose language is accepted; others go.  Further columns may have any name."""
+    masked, names = masked_columns(docs)
+    scored = identify(masked, train(docs), keep=tuple(names), text_col=names_of(names, "text"))
+    return scored.where("accepted").select(*[F.col(m).alias(c) for m, c in names.items()])

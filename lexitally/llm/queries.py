@@ -68,4 +68,4 @@ def op10_quality_classifier(spark, d):
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_jaccard_join, op6_best_fit_packing, op7_warc_revisits, op8_fertility_rules,
     op9_block_matrix_neighbours, op10_quality_classifier)}
-ORACLE: dict[str, str] = {"op5_jaccard_join": jaccard.SQL, "op7_warc_revisits": warc.SQL, "op9_block_matrix_neighbours": ann.SQL}
+ORACLE: dict[str, str] = {"op2_suffix_dedup": suffix.SQL, "op5_jaccard_join": jaccard.SQL, "op7_warc_revisits": warc.SQL, "op9_block_matrix_neighbours": ann.SQL}

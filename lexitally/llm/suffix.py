@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunks, discard, mix64, release, rows_of, written
+from .common import Chunks, discard, masked_columns, mix64, names_of, release, rows_of, written
 
 THRESHOLD = 400
 GRAM = 16
@@ -279,12 +279,13 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: int = THRESHOLD) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: int = THRESHOLD,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``keep`` + n_bytes, n_removed, n_spans, removed (spans), kept (bytes) of every text."""
     from pyspark.sql.pandas.types import to_arrow_type
-    uid = F.xxhash64("doc_id", "text")
-    base = docs.select(*keep, *([] if "text" in keep else ["text"]), uid.alias("uid"))
-    texts = docs.select(uid.alias("uid"), "text")
+    uid = F.xxhash64(id_col, text_col)
+    base = docs.select(*keep, *([] if text_col in keep else [text_col]), uid.alias("uid"))
+    texts = docs.select(uid.alias("uid"), F.col(text_col).alias("text"))
     spans = repeated_spans(texts, threshold)
     joined = base.join(spans, "uid", "left")
     fields = [joined.schema[k] for k in keep]
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), thresho
     def cut(batches):
         out = Chunks(schema)
         for batch in batches:
-            for *kept, text, found in rows_of(batch, *keep, "text", "spans"):
+            for *kept, text, found in rows_of(batch, *keep, text_col, "spans"):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 spans = merge_spans((s["lo"], s["hi"]) for s in found or ())
                 parts, at = [], 0
@@ -322,19 +323,44 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Bytes of characters that a removed run cuts are dropped with it; n_chars is
     counted anew; a null text stays null.
     """
-    columns = list(docs.columns)
-    done = remove_repeats(docs, keep=tuple(columns))
+    masked, names = masked_columns(docs)
+    columns = list(names)
+    id_col, text_col = names_of(names, "doc_id"), names_of(names, "text")
+    counted = names_of(names, "n_chars") if "n_chars" in docs.columns else None
+    done = remove_repeats(masked, keep=tuple(columns), id_col=id_col, text_col=text_col)
 
     def text(batches):
         for batch in batches:
             cols = {n: batch.column(batch.schema.get_field_index(n)) for n in columns}
-            old = cols["text"].to_pylist()
+            old = cols[text_col].to_pylist()
             new = [None if o is None else k.decode("utf-8", "ignore")
                    for o, k in zip(old, batch.column(batch.schema.get_field_index("kept")).to_pylist())]
-            cols["text"] = pa.array(new, pa.string())
-            if "n_chars" in cols:
-                kind = cols["n_chars"].type
-                cols["n_chars"] = pa.array([None if x is None else len(x) for x in new]).cast(kind)
+            cols[text_col] = pa.array(new, pa.string())
+            if counted:
+                kind = cols[counted].type
+                cols[counted] = pa.array([None if x is None else len(x) for x in new]).cast(kind)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return done.select(*columns, "kept").mapInArrow(text, docs.schema)
+    return done.select(*columns, "kept").mapInArrow(text, masked.schema).select(
+        *[F.col(m).alias(c) for m, c in names.items()])
+
+
+SQL = f"""
+WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n_bytes
+           FROM documents),
+w AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, {2 * THRESHOLD})) AS h
+      FROM (SELECT doc_id, hx, unnest(range(n_bytes - {THRESHOLD - 1})) AS i FROM n WHERE n_bytes >= {THRESHOLD}) p),
+d AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {THRESHOLD} THEN 0 ELSE 1 END AS f
+      FROM d),
+g AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + {THRESHOLD} AS hi FROM g GROUP BY doc_id, run),
+p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
+k AS (SELECT doc_id, string_agg(substr(hx, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head,
+             max(hi) AS stop, sum(hi - lo) AS removed, count(*) AS spans
+      FROM p JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)
+"""

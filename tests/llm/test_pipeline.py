@@ -42,3 +42,19 @@ def test_empty_and_null_documents(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Columns that share a name with an operator's own pass through the filtering stages."""
+    from pyspark.sql import functions as F
+    extra = ["uid", "spans", "kept", "removed", "n_bytes", "lang_pred", "score", "accepted", "cls", "comp", "key",
+             "stats", "predicted", "component_id", "a.b"]
+    docs = table(spark, SF, "documents").where("doc_id < 60")
+    for i, c in enumerate(extra):
+        docs = docs.withColumn(c, F.lit(f"{c}{i}"))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{i}" for r in rows for i, c in enumerate(extra)), name
+    assert C.STAGES[-1][1](spark, docs, SF).count() >= 60
