@@ -15,7 +15,8 @@ for candidates, and the long ones are only probed for candidates already found.
 3. Whole sets of the classes that are left: shingles are ordered by the length of
    their list, and only a class's short lists are kept, as above.
 4. Rounds over the lists: each list picks hubs (one, then eight, 64, ...), its
-   other members are searched for them, links merge components, and a list ends
+   other members are searched for them, links merge components (in full at the end, by one
+   step in each round), and a list ends
    when its members are one component or all have been hubs.  So a list of
    thousands of near copies costs about its length, and still no pair of different
    components on one list stays unsearched.
@@ -241,8 +242,8 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     each of its cells.
     """
     cells = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("bigint").alias("cells"))
-    placed = written(pairs.join(cells, "hub")
-                     .select("hub", "cls", F.pmod(F.col("cls"), F.col("cells")).alias("cell")), "cells")
+    placed = (pairs.join(cells, "hub")
+              .select("hub", "cls", F.pmod(F.col("cls"), F.col("cells")).alias("cell")))
     cands = placed.join(sets.select("cls", "members"), "cls").select("hub", "cell", "cls", "members")
     hubs = (placed.select("hub", "cell").distinct()
             .join(sets.select(F.col("cls").alias("hub"), F.col("members").alias("own")), "hub")
@@ -264,16 +265,13 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- components
 def merge_components(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """New (cls, comp) after the links (a, b): the smallest class reachable.
+    """New (cls, comp) after the links (a, b): the smallest component reachable.
 
-    Links become edges between old components.  Every component takes the
-    smallest neighbour, then labels jump to their label's label, until no edge
-    joins different labels; the number of rounds grows with the logarithm of the
-    longest chain.
+    Every component takes its smallest neighbour, then labels jump to their
+    label's label, until no edge joins different labels; the number of rounds
+    grows with the logarithm of the longest chain.
     """
-    edges = written(found.join(labels.select(F.col("cls").alias("a"), F.col("comp").alias("x")), "a")
-                    .join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("y")), "b")
-                    .where("x <> y").select("x", "y").distinct(), "edges")
+    edges = written(_edges(found, labels).distinct(), "edges")
     nodes = written(edges.select("x").union(edges.select("y")).distinct()
                     .select(F.col("x").alias("node"), F.col("x").alias("root")), "roots")
     while not edges.isEmpty():
@@ -300,20 +298,37 @@ def _flatten(nodes: DataFrame) -> DataFrame:
             return nodes
 
 
+def _edges(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between classes as edges (x, y) between different components."""
+    return (found.join(labels.select(F.col("cls").alias("a"), F.col("comp").alias("x")), "a")
+            .join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("y")), "b")
+            .where("x <> y").select("x", "y"))
+
+
+def take_smallest(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """One step of merging: each component takes its smallest linked one's label.
+
+    Merges a star around a hub at once; longer chains are left for later steps.
+    """
+    edges = _edges(found, labels)
+    low = (edges.select("x", "y").union(edges.select("y", "x")).groupBy("x").agg(F.min("y").alias("y"))
+           .where("y < x").select(F.col("x").alias("comp"), "y"))
+    return labels.join(low, "comp", "left").select("cls", F.coalesce("y", "comp").alias("comp"))
+
+
 def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(cls, comp) of all classes on the lists, by rounds of hubs (see the module)."""
     lists = written(lists, "lists")
     labels = written(lists.select("cls").distinct().select("cls", F.col("cls").alias("comp")), "labels")
-    tested, width = None, 1
-    pairs_done, read = [], [lists]             # tables to delete: at the end, once the next round has read them
+    tested, all_links, width = None, None, 1
+    kept, read = [], [lists]                   # tables to delete: at the end, once the next round has read them
     while True:
         live = lists.join(labels, "cls")
         mixed = live.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b")
         live = written(live.join(mixed.select("key"), "key", "left_semi").select("key", "cls", "n", "comp"), "live")
         discard(*read)
         if live.isEmpty():
-            discard(live, *pairs_done)
-            return labels
+            break
         # up to ``width`` hubs a list: the smallest class of each residue
         picked = live.groupBy("key", F.pmod("cls", F.lit(width))).agg(F.min(F.struct("cls", "comp", "n")).alias("h"))
         hubs = written(picked.select("key", F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp"),
@@ -326,16 +341,21 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "cls"], "left_anti")
         pairs = written(pairs, "pairs")
-        pairs_done.append(pairs)
         found, old = written(links(pairs, sets), "links"), labels
-        labels = written(merge_components(labels, found), "labels")
+        labels = written(take_smallest(old, found), "labels")
         both = pairs.union(pairs.select(F.col("cls").alias("hub"), F.col("hub").alias("cls")))
         tested = both if tested is None else tested.union(both)
+        all_links = found if all_links is None else all_links.union(found)
         lists = live.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti").select(
             "key", "cls", "n")
-        read = [live, hubs]
-        discard(found, old)
+        kept += [pairs, found]
+        read = [live, hubs, old]
         width *= 8
+    if all_links is None:
+        return labels
+    done = written(merge_components(labels, all_links), "labels")
+    discard(live, labels, *kept)
+    return done
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
