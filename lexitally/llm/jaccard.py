@@ -14,10 +14,12 @@ for candidates, and the long ones are only probed for candidates already found.
    one aggregate with partial counts.
 3. Whole sets of the classes that are left: shingles are ordered by the length of
    their list, and only a class's short lists are kept, as above.
-4. Rounds over the lists: each list picks hubs (one, then eight, 64, ...), its
+4. Rounds over the lists: each list picks hubs (one, then 16, 256, ...), its
    other members are searched for them, links merge components (in full at the end, by one
    step in each round), and a list ends
-   when its members are one component or all have been hubs.  So a list of
+   when its members are one component or all have been hubs. Members remember how
+   far they are from the list's first hub: by the triangle inequality of the Jaccard
+   distance, pairs whose distances to it differ by more than a link allows are done.  So a list of
    thousands of near copies costs about its length, and still no pair of different
    components on one list stays unsearched.
 5. A search: the lists of a hub's shingles over a bounded cell of candidates; the
@@ -217,28 +219,38 @@ def t_occurrence(lists: list[list[int]], need: int, longest: int) -> dict[int, i
     return out
 
 
+def inverted(query: np.ndarray, candidates: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the query, candidate) of every shingle of the query that a candidate holds."""
+    at = np.concatenate([np.searchsorted(query, c) for c in candidates])
+    member = np.concatenate(candidates)
+    who = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
+    hit = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == member)
+    order = np.argsort(at[hit], kind="stable")
+    return at[hit][order], who[hit][order]
+
+
+def distances(query: np.ndarray, candidates: list[np.ndarray]) -> list[float]:
+    """Jaccard distance of each candidate to the query set."""
+    both = np.bincount(inverted(query, candidates)[1], minlength=len(candidates)).tolist()
+    return [1 - b / (len(query) + len(c) - b) for b, c in zip(both, candidates)]
+
+
 def search(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     """Indexes of the candidates that link with the query set."""
     if not candidates:
         return []
     sizes = [len(c) for c in candidates]
     need = min(required(len(query), n) for n in sizes)
-    # inverted lists of the query's shingles over the candidates
-    at = np.concatenate([np.searchsorted(query, c) for c in candidates])
-    member = np.concatenate(candidates)
-    who = np.repeat(np.arange(len(candidates)), sizes)
-    hit = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == member)
-    order = np.argsort(at[hit], kind="stable")
-    at, who = at[hit][order], who[hit][order]
+    at, who = inverted(query, candidates)
     lists = [x.tolist() for x in np.split(who, np.flatnonzero(np.diff(at)) + 1)] if len(at) else []
     found = t_occurrence(lists, need, need - 1 - need // 8)
     return sorted(i for i, n in found.items() if n >= required(len(query), sizes[i]))
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (hub, cls) that link.
+def links(pairs: DataFrame, sets: DataFrame, measure: bool = False) -> DataFrame:
+    """(a, b) of the pairs (hub, cls) that link, with a null distance.
 
-    Candidates of a hub come in cells of a bounded size; a hub's set is sent to
+    With ``measure`` also all pairs with their distance.  Candidates of a hub come in cells of a bounded size; a hub's set is sent to
     each of its cells.
     """
     cells = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("bigint").alias("cells"))
@@ -251,16 +263,22 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def cell(key, c: pa.Table, h: pa.Table) -> pa.Table:
         found: list[int] = []
+        others: list[int] = []
+        dist: list[float] = []
         if len(c) and len(h):
             classes = c.column("cls").to_pylist()
             members = [np.asarray(x.values) for chunk in c.column("members").chunks for x in chunk]
             query = np.asarray(h.column("own")[0].values)
             found = [classes[i] for i in search(query, members)]
+            if measure:
+                others, dist = classes, distances(query, members)
         hub = key[0].as_py()
-        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        return pa.table({"a": pa.array([hub] * (len(found) + len(others)), pa.int64()),
+                         "b": pa.array(found + others, pa.int64()),
+                         "dist": pa.array([None] * len(found) + dist, pa.float64())})
 
     return (cands.groupBy("hub", "cell").cogroup(hubs.groupBy("h", "k"))
-            .applyInArrow(cell, "a bigint, b bigint"))
+            .applyInArrow(cell, "a bigint, b bigint, dist double"))
 
 
 # ------------------------------------------------------------- components
@@ -318,39 +336,50 @@ def take_smallest(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(cls, comp) of all classes on the lists, by rounds of hubs (see the module)."""
-    lists = written(lists, "lists")
+    lists = written(lists.withColumn("d", F.lit(None).cast("double")), "lists")
     labels = written(lists.select("cls").distinct().select("cls", F.col("cls").alias("comp")), "labels")
     tested, all_links, width = None, None, 1
     kept, read = [], [lists]                   # tables to delete: at the end, once the next round has read them
     while True:
         live = lists.join(labels, "cls")
-        mixed = live.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b")
-        live = written(live.join(mixed.select("key"), "key", "left_semi").select("key", "cls", "n", "comp"), "live")
+        mixed = live.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"),
+                                        F.count("*").alias("size")).where("_a <> _b")
+        live = written(live.join(mixed.select("key", "size"), "key").select("key", "cls", "n", "d", "comp", "size"),
+                       "live")
         discard(*read)
         if live.isEmpty():
             break
-        # up to ``width`` hubs a list: the smallest class of each residue
-        picked = live.groupBy("key", F.pmod("cls", F.lit(width))).agg(F.min(F.struct("cls", "comp", "n")).alias("h"))
+        # a short list ends with all members as hubs, a long one picks the smallest class of each residue
+        slot = F.when(F.col("size") <= 2 * width, F.col("cls")).otherwise(F.pmod("cls", F.lit(width)))
+        picked = live.groupBy("key", slot).agg(F.min(F.struct("cls", "comp", "n", "d")).alias("h"))
         hubs = written(picked.select("key", F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp"),
-                                     F.col("h.n").alias("hub_n")), "hubs")
-        # sets of too different sizes can't link
+                                     F.col("h.n").alias("hub_n"), F.col("h.d").alias("hub_d")), "hubs")
+        # sets of too different sizes can't link, nor sets at too different distances from the list's first hub
         alike = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
+        near = F.coalesce(F.abs(F.col("d") - F.col("hub_d")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
         met = live.alias("l").join(hubs.alias("h"), (F.col("l.key") == F.col("h.key"))
-                                   & (F.col("l.comp") != F.col("h.hub_comp")) & alike)
-        pairs = met.select("hub", "cls").distinct()
+                                   & (F.col("l.comp") != F.col("h.hub_comp")) & alike & near)
+        # the smaller class searches for the larger one, whichever is the hub
+        pairs = met.select(F.least("hub", "cls").alias("hub"), F.greatest("hub", "cls").alias("cls")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "cls"], "left_anti")
         pairs = written(pairs, "pairs")
-        found, old = written(links(pairs, sets), "links"), labels
+        first = all_links is None
+        result, old = written(links(pairs, sets, measure=first), "links"), labels
+        found = result.where("dist is null").select("a", "b")
         labels = written(take_smallest(old, found), "labels")
-        both = pairs.union(pairs.select(F.col("cls").alias("hub"), F.col("hub").alias("cls")))
-        tested = both if tested is None else tested.union(both)
-        all_links = found if all_links is None else all_links.union(found)
+        tested = pairs if tested is None else tested.union(pairs)
+        all_links = found if first else all_links.union(found)
         lists = live.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti").select(
-            "key", "cls", "n")
-        kept += [pairs, found]
+            "key", "cls", "n", "d")
+        if first:
+            # distances to the first hub stay with the members of its lists
+            dist = result.where("dist is not null").select(F.col("a").alias("hub"), F.col("b").alias("cls"), "dist")
+            lists = (lists.drop("d").join(hubs.select("key", "hub"), "key").join(dist, ["hub", "cls"], "left")
+                     .select("key", "cls", "n", F.col("dist").alias("d")))
+        kept += [pairs, result]
         read = [live, hubs, old]
-        width *= 8
+        width *= 16
     if all_links is None:
         return labels
     done = written(merge_components(labels, all_links), "labels")
