@@ -357,8 +357,15 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         # sets of too different sizes can't link, nor sets at too different distances from the list's first hub
         alike = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
         near = F.coalesce(F.abs(F.col("d") - F.col("hub_d")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-        met = live.alias("l").join(hubs.alias("h"), (F.col("l.key") == F.col("h.key"))
-                                   & (F.col("l.comp") != F.col("h.hub_comp")) & alike & near)
+        met_on = (F.col("l.key") == F.col("h.key")) & (F.col("l.comp") != F.col("h.hub_comp")) & alike & near
+        members, found_by = live, hubs
+        if all_links is not None:
+            # few lists are left: a pair meets on the first list that both are still on, not on each
+            shared = live.groupBy("cls").agg(F.collect_set("key").alias("keys"))
+            members = live.join(shared, "cls")
+            found_by = hubs.join(shared.select(F.col("cls").alias("hub"), F.col("keys").alias("hub_keys")), "hub")
+            met_on = met_on & (F.col("l.key") == F.array_min(F.array_intersect("keys", "hub_keys")))
+        met = members.alias("l").join(found_by.alias("h"), met_on)
         # the smaller class searches for the larger one, whichever is the hub
         pairs = met.select(F.least("hub", "cls").alias("hub"), F.greatest("hub", "cls").alias("cls")).distinct()
         if tested is not None:
