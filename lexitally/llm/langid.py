@@ -29,33 +29,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunks, masked_columns, names_of, rows_of, split_key
+from .common import Chunks, masked_columns, mix64, names_of, rows_of, split_key
 
 BUCKETS = 1 << 15
 DIM = 16
 SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 1000
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 SNIPPETS = (1, 2, 4, 9)                 # words in the short cuts of a training text
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: itself and its 2- to 4-grams with edges."""
-    edged = f"<{word}>"
-    grams = [edged] + [edged[i:i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for g in grams]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of each word and its 2- to 4-grams with edges, all words at once."""
+    edged = "".join([f"<{w}>" for w in words])
+    codes = np.frombuffer(edged.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    numbers, buckets = [np.arange(len(words))], [whole]
+    h = codes
+    for n in (2, 3, 4):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1:]
+        inside = of[:len(h)] == of[n - 1:]                 # grams that do not cross into the next word
+        numbers.append(of[:len(h)][inside])
+        buckets.append(mix64(h[inside] + np.uint64(n)))
+    return np.concatenate(numbers), (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def bag(words: list[str] | Counter) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, their shares) of a list of words."""
-    total: Counter = Counter()
-    for word, n in Counter(words).items():
-        for b in subwords(word):
-            total[b] += n
-    idx = np.fromiter(total.keys(), dtype=np.int32, count=len(total))
-    share = np.fromiter(total.values(), dtype=np.float32, count=len(total))
-    return idx, share / max(share.sum(), 1)
+    counts = Counter(words)
+    of, buckets = subwords(list(counts))
+    times = np.fromiter(counts.values(), np.float64, len(counts))
+    total = np.bincount(buckets, times[of], minlength=BUCKETS)
+    idx = np.flatnonzero(total)
+    return idx.astype(np.int32), (total[idx] / total.sum()).astype(np.float32)
 
 
 def training_bags(labelled: DataFrame) -> DataFrame:
@@ -182,13 +190,18 @@ class _WordLogits(dict):
         self.model = model
         self.rows = np.zeros((CACHE_WORDS, len(model.languages) + 1), np.float32)
 
-    def __missing__(self, word):
-        idx = subwords(word)
+    def learn(self, words: list[str]) -> None:
+        """Add the rows of words that are new."""
+        new = [w for w in words if w not in self]
+        if not new:
+            return
+        of, buckets = subwords(new)
+        order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[order], np.arange(len(new)))
         at = len(self)
-        self.rows[at, :-1] = self.model.logits[idx].sum(axis=0)
-        self.rows[at, -1] = len(idx)
-        self[word] = at
-        return at
+        self.rows[at:at + len(new), :-1] = np.add.reduceat(self.model.logits[buckets[order]], starts, axis=0)
+        self.rows[at:at + len(new), -1] = np.bincount(of, minlength=len(new))
+        self.update(zip(new, range(at, at + len(new))))
 
 
 class Scorer:
@@ -206,6 +219,7 @@ class Scorer:
             if len(self.words) + (1 << 14) > CACHE_WORDS:
                 self.words.clear()
             part = words[start:start + (1 << 14)]
+            self.words.learn(part)
             at = np.fromiter(map(self.words.__getitem__, part), np.int64, len(part))
             n = np.fromiter((counts[w] for w in part), np.float64, len(part))
             total += n @ self.words.rows[at]
