@@ -115,24 +115,3 @@ def test_write_side_plans(spark, tmp_path):
     for p in seen:
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
         assert "RoundRobinPartitioning" not in p and "SinglePartition" not in p
-
-
-def test_stream_batches_shuffle_by_key_only(spark, tmp_path):
-    """The plan of a micro-batch: partial counts before the exchange by word, nothing dealt round robin."""
-    from lexitally.functions.tokenize import LETTERS
-    from lexitally.operators.wordcount import word_freq
-    from lexitally.sources.tables import read_table
-    from lexitally.streaming.sources import stream_folder
-    docs = read_table(spark, SF_SMOKE, "documents", ["text"])
-    docs.write.parquet(f"{tmp_path}/in")
-    seen = []
-    q = (word_freq(stream_folder(spark, f"{tmp_path}/in", docs), "text", LETTERS).writeStream.outputMode("update")
-         .foreachBatch(lambda b, i: seen.append(plan_of(b))).option("checkpointLocation", f"{tmp_path}/c")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = q._jsq.lastProgress() is not None
-    assert seen and last
-    for p in seen:
-        assert "RoundRobinPartitioning" not in p and "CartesianProduct" not in p
-    log = word_freq(docs, "text", LETTERS)
-    assert "Window" not in plan_of(log)
