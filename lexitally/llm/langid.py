@@ -7,8 +7,16 @@ Embeddings and softmax are trained by stochastic gradient descent in numpy on a
 bounded sample: at most about ``sample`` labelled documents a language (a
 documented bound), whole texts, plus short cuts of them so that texts of a few
 words are learned too.  A temperature fitted on documents kept out of the
-training calibrates the score, and a threshold on it rejects texts that fit no
-learned language.
+training calibrates the score.
+
+The score is a share among the learned languages, so it cannot show that a text
+is in none of them.  The evidence does: the mean log probability of a text's
+subwords in the language it is given, against chance.  A text is accepted when
+its score and its evidence are as high as those of clean texts of its length:
+bounds are fitted by length class, the score's on documents kept out of the
+training, the evidence's by language with each document's own subwords taken
+out of the counts.  A language with fewer than ``MIN_CLASS`` calibration texts
+(whole and cut) has no bound on the evidence.
 
 The average is linear, so a word's share of the logits is computed once per
 task and text cost is one table look-up per distinct word.
@@ -36,6 +44,11 @@ DIM = 16
 SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 1000
 CACHE_WORDS = 1 << 18
+CACHE_BYTES = 64 << 20                  # of a task's word table, where there are many languages
+LEARN_WORDS = 1 << 14                   # words looked up at once
+CLASSES = (32, 128, 512)                # length classes: subwords of a text over the least count of one
+MIN_CLASS = 30                          # a class with fewer calibration texts takes in the shorter ones
+FENCE = 1.5                             # bounds: median - FENCE * (median - 0.1 % quantile)
 SNIPPETS = (1, 2, 4, 9)                 # words in the short cuts of a training text
 WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -91,11 +104,20 @@ def training_bags(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Bucket logits (embeddings times softmax weights), bias, temperature, threshold."""
+    """Bucket logits (embeddings times softmax weights), bias, temperature; log probabilities
+    of the buckets (against chance) and the bounds of score and evidence by length class."""
 
-    def __init__(self, languages, logits, bias, temperature=1.0, threshold=0.0):
+    def __init__(self, languages, logits, bias, temperature=1.0):
         self.languages, self.logits, self.bias = languages, logits, bias
-        self.temperature, self.threshold = temperature, threshold
+        self.temperature = temperature
+        self.log_odds = np.zeros_like(logits)
+        self.least_logit = [(-np.inf, 0.0, 1.0)] * (len(CLASSES) + 1)
+        self.least_evidence = [[(-np.inf, 0.0, 1.0)] * (len(CLASSES) + 1) for _ in languages]
+
+    def accepts(self, language: int, score: float, evidence: float, length: float) -> bool:
+        at = int(np.searchsorted(CLASSES, length, "right"))
+        return (_logit(score) >= _bound(self.least_logit[at], length)
+                and evidence >= _bound(self.least_evidence[language][at], length))
 
     def probabilities(self, z: np.ndarray) -> np.ndarray:
         z = z / self.temperature
@@ -137,15 +159,47 @@ def fit(rows: list[tuple], epochs: int = 6, rate: float = 0.5, seed: int = 7) ->
         emb[idx] -= lr * min(len(idx), 64) * share[:, None] * back
     model = Model(languages, emb @ soft, bias)
     _calibrate(model, hold)
+    _fit_evidence(model, rows)
     return model
 
 
-def _calibrate(model: Model, hold: list) -> None:
-    """Temperature of least held-out log loss, then the rejection threshold.
+def _logit(p):
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.log(p / (1 - p))
 
-    The threshold is half the score that all but one in a thousand of the
-    rightly named held-out texts reach: it rejects what scores far below them.
-    """
+
+def _length(share: np.ndarray) -> float:
+    """Subwords of a text over the least count of one of them."""
+    return 1 / float(share.min())
+
+
+def _bound(fitted: tuple[float, float, float], length: float) -> float:
+    """Least value for a text; shorter than all that calibrated it, its reach widens."""
+    median, reach, shortest = fitted
+    return median - reach * max(1.0, shortest / length) ** 0.5
+
+
+def _bounds(values: np.ndarray, lengths: np.ndarray) -> list[tuple[float, float, float]]:
+    """(median, reach, shortest length) for each length class; no bound without enough texts."""
+    of = np.searchsorted(CLASSES, lengths, "right")
+    out = []
+    for c in range(len(CLASSES) + 1):
+        # the class itself, with shorter ones (then longer ones) until there are enough
+        low = next((i for i in range(c, -1, -1) if ((of >= i) & (of <= c)).sum() >= MIN_CLASS), 0)
+        high = next((j for j in range(c, len(CLASSES) + 1) if ((of >= low) & (of <= j)).sum() >= MIN_CLASS), None)
+        if high is None:
+            out.append((-np.inf, 0.0, 1.0))
+            continue
+        inside = (of >= low) & (of <= high)
+        x = np.sort(values[inside])
+        median = float(np.median(x))
+        out.append((median, FENCE * (median - float(x[len(x) // 1000])), float(lengths[inside].min())))
+    return out
+
+
+def _calibrate(model: Model, hold: list) -> None:
+    """Temperature of least held-out log loss, then the bounds of the score's logit
+    from the rightly named held-out texts."""
     z = np.array([share @ model.logits[idx] for _, idx, share, _ in hold]) + model.bias
     y = np.array([d[0] for d in hold])
     best = None
@@ -157,9 +211,47 @@ def _calibrate(model: Model, hold: list) -> None:
             best = (loss, t)
     model.temperature = best[1]
     p = model.probabilities(z)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-    floor = 1 / max(2, len(model.languages))
-    model.threshold = max(floor, right[len(right) // 1000] / 2) if len(right) else floor
+    right = p.argmax(axis=1) == y
+    lengths = np.array([_length(share) for _, _, share, _ in hold])
+    model.least_logit = _bounds(_logit(p.max(axis=1)[right]), lengths[right])
+
+
+def _fit_evidence(model: Model, rows: list[tuple]) -> None:
+    """Log probabilities of the buckets by language over all whole texts, and the bounds of the
+    evidence: each rightly named text and cut is held against the counts without its own document."""
+    documents: dict[tuple, list] = {}
+    whole: dict[tuple, list] = {}
+    for lang, doc, part, idx, share in rows:
+        idx, share = np.frombuffer(idx, np.int32), np.frombuffer(share, np.float32)
+        documents.setdefault((lang, doc), []).append((idx, share))
+        if part == 0:
+            whole.setdefault((lang, doc), []).append((idx, np.rint(share / share.min())))
+    for at, lang in enumerate(model.languages):
+        counts = np.zeros(BUCKETS)
+        for key, texts in whole.items():
+            if key[0] == lang:
+                for idx, n in texts:
+                    counts[idx] += n
+        total, values, lengths = counts.sum(), [], []
+        for key, parts in documents.items():
+            if key[0] != lang:
+                continue
+            own = np.zeros(BUCKETS)
+            for idx, n in whole.get(key, []):
+                own[idx] += n
+            rest = total - own.sum()
+            for idx, share in parts:
+                if int((share @ model.logits[idx] + model.bias).argmax()) != at:
+                    continue                               # a cut in another language, or of none
+                values.append(float(share @ _log_odds(counts[idx] - own[idx], rest)))
+                lengths.append(_length(share))
+        model.log_odds[:, at] = _log_odds(counts, total)
+        model.least_evidence[at] = _bounds(np.array(values), np.array(lengths))
+
+
+def _log_odds(counts: np.ndarray, total: float) -> np.ndarray:
+    """Smoothed log probability of buckets, 0 for one that is as frequent as by chance."""
+    return np.log((counts + 0.5) / (total + 0.5 * BUCKETS) * BUCKETS).astype(np.float32)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
@@ -183,12 +275,14 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
 
 
 class _WordLogits(dict):
-    """word -> row of a matrix of (summed logits, number of subwords)."""
+    """word -> row of a matrix of (summed logits, summed log odds, number of subwords)."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((CACHE_WORDS, len(model.languages) + 1), np.float32)
+        self.parts = np.hstack([model.logits, model.log_odds])
+        width = self.parts.shape[1] + 1
+        self.rows = np.zeros((max(LEARN_WORDS, min(CACHE_WORDS, CACHE_BYTES // (4 * width))), width), np.float32)
 
     def learn(self, words: list[str]) -> None:
         """Add the rows of words that are new."""
@@ -199,7 +293,7 @@ class _WordLogits(dict):
         order = np.argsort(of, kind="stable")
         starts = np.searchsorted(of[order], np.arange(len(new)))
         at = len(self)
-        self.rows[at:at + len(new), :-1] = np.add.reduceat(self.model.logits[buckets[order]], starts, axis=0)
+        self.rows[at:at + len(new), :-1] = np.add.reduceat(self.parts[buckets[order]], starts, axis=0)
         self.rows[at:at + len(new), -1] = np.bincount(of, minlength=len(new))
         self.update(zip(new, range(at, at + len(new))))
 
@@ -214,18 +308,21 @@ class Scorer:
         counts = Counter(WORDS(text.lower())) if text and self.model else None
         if not counts:
             return "und", 0.0, False
-        words, total = list(counts), np.zeros(len(self.model.languages) + 1)
-        for start in range(0, len(words), 1 << 14):
-            if len(self.words) + (1 << 14) > CACHE_WORDS:
+        k = len(self.model.languages)
+        words, total = list(counts), np.zeros(2 * k + 1)
+        for start in range(0, len(words), LEARN_WORDS):
+            part = words[start:start + LEARN_WORDS]
+            if len(self.words) + len(part) > len(self.words.rows):
                 self.words.clear()
-            part = words[start:start + (1 << 14)]
             self.words.learn(part)
             at = np.fromiter(map(self.words.__getitem__, part), np.int64, len(part))
             n = np.fromiter((counts[w] for w in part), np.float64, len(part))
             total += n @ self.words.rows[at]
-        p = self.model.probabilities(total[:-1] / total[-1] + self.model.bias)
+        means = total[:-1] / total[-1]
+        p = self.model.probabilities(means[:k] + self.model.bias)
         best = int(p.argmax())
-        return self.model.languages[best], float(p[best]), bool(p[best] >= self.model.threshold)
+        accepted = self.model.accepts(best, p[best], means[k + best], total[-1] / min(counts.values()))
+        return self.model.languages[best], float(p[best]), bool(accepted)
 
 
 def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",),

@@ -193,3 +193,38 @@ def test_rules_keep_clean_and_reject_odd_texts(spark):
 @pytest.mark.parametrize("text, script", [("abc é", "latin"), ("Привет a", "cyrillic"), ("12", "none"), (None, "none")])
 def test_script(text, script):
     assert T.script_of(text) == script
+
+
+# ------------------------------------------- language ID: texts in no learned language
+ALIENS = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны "
+          "поступать в отношении друг друга в духе братства.",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由。",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+          "i powinni postępować wobec innych w duchu braterstwa.",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e "
+          "devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "noise": "sdkfjh qweoriu zxmcnb lkjasd poiqwe mnbzxc asdlkj qpwoei vbnmzx ghfjdk tyruei wqpoxz jklsdf xcvbnm rtyfgh uioplk",
+}
+
+
+@pytest.mark.parametrize("languages", [("de", "en", "es", "fr"), ("en", "fr")])
+def test_foreign_texts_and_noise_are_rejected_and_clean_ones_stay(spark, languages):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where(
+        "lang in ({})".format(", ".join(f"'{x}'" for x in languages)))
+    scorer = L.Scorer(L.train(docs))
+    for name, text in ALIENS.items():
+        assert not scorer.score(text)[2], name
+    out = [r for r in docs.collect() if held(r["doc_id"])]
+    assert sum(scorer.score(r["text"])[2] for r in out) >= 0.98 * len(out)
+    assert all(scorer.score(" ".join(r["text"].split()[:12]))[0] in languages for r in out)
+
+
+def test_evidence_needs_enough_texts_of_a_language():
+    rows = []
+    for i in range(3):
+        idx, share = L.bag(["abcde", "bcdea", f"cde{'ab'[i % 2]}"])
+        rows.append(("aa", i, 0, idx.tobytes(), share.tobytes()))
+    model = L.fit(rows)
+    assert all(bound[0] == -np.inf for bound in model.least_evidence[0])
+    assert L.Scorer(model).score("abcde bcdea")[2]
