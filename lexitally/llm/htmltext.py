@@ -28,7 +28,8 @@ from .common import Chunks, rows_of
 TAG = re.compile(r"""<(?:
     (?P<comment>!--) | (?P<other>[!?][^>]*+>) |
     (?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)> )""", re.X)
-ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# one attribute: its name, and its value if it has one; findall goes on behind the value
+ATTR = re.compile(r"""([^\s/>][^\s/>=]*+) (?:\s*+=\s*+ ("[^"]*+" | '[^']*+' | [^\s>]++))?""", re.X)
 
 # Element names of the HTML standard, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,8 +74,12 @@ def _furniture(name: str, attrs: str, inside_main: bool) -> bool:
 
 
 def _named(attrs: str) -> bool:
+    seen = set()
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
+        if key in seen:                                    # as in browsers, the first of a name counts
+            continue
+        seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "style":

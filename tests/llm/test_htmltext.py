@@ -65,3 +65,27 @@ def test_frame(spark):
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in X.extract(df).collect())
     assert got == [(0, LONG, len(LONG)), (1, "", 0), (1, "", 0)]
     assert X.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("attrs", [
+    'data-hidden="false"', 'title="a hidden truth"', "title='id=comments class=ad'", 'data-id="social"', 'data-class="ad"',
+    'data-role="search"', 'data-x="aria-hidden=true"', 'alt="style=display:none"', "data-q=/find?id=search", 'title = "x hidden"',
+    'x-hidden', 'class="text"class="ad"', 'title="a"data-hidden'])
+def test_only_attributes_of_the_exact_name_count(attrs):
+    assert X.main_text(f"<article><p>{LONG} 1</p><div {attrs}>{LONG} 2</div></article>") == f"{LONG} 1\n{LONG} 2"
+
+
+@pytest.mark.parametrize("href", ["/trail/hidden-lake", "/find?id=search", "/a?class=ad&role=navigation", "x hidden"])
+def test_words_inside_link_targets_are_not_attributes(href):
+    assert X.main_text(f'<article><p>{LONG} <a href="{href}">to the lake</a></p></article>') == f"{LONG} to the lake"
+
+
+@pytest.mark.parametrize("attrs", [
+    "hidden", "HIDDEN", 'hidden=""', "hidden=hidden/", 'title="a" hidden', 'title="a"hidden', "class=ad", "CLASS = 'ad'", 'id="comments"',
+    "role=navigation", "aria-hidden='true'", 'style="color:red; display: none"', "title='>' id=comments"])
+def test_hiding_attributes_still_count(attrs):
+    assert X.main_text(f"<article><p>{LONG} 1</p><div {attrs}>{LONG} 2</div></article>") == f"{LONG} 1"
+
+
+def test_long_attributes_take_linear_time():
+    X.main_text("<p " + "a = " * 200000 + ">" + "<p " + " " * 500000 + "x>" + "<p " + "=" * 500000 + ">")
