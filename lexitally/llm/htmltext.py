@@ -2,8 +2,11 @@
 
 A page becomes a small tree of elements; text is gathered into blocks, each
 with the element it stands in.  Parts that are never main text (scripts, forms,
-navigation, adverts, comments, ... by element or by the words of class, id and
-role) are left out.  Every paragraph passes points for its length and commas to
+navigation, adverts, comments, ... by element or by whole names in class, id and
+role) are left out; a name that only contains such a word lowers its element's
+points.  Where a part left out by its name holds most of the page's paragraph
+points, it stays, unless it is of a kind that readers or advertisers write; where
+nothing else is left, all parts left out by name are scored.  Every paragraph passes points for its length and commas to
 its ancestors, full to the nearest, less to those above; a container's points
 are discounted by its link density.  The best container is kept whole, with
 those siblings that score well or hold real paragraphs; where it lies in an
@@ -52,28 +55,44 @@ FURNITURE = frozenset(
     "comment comments commentlist disqus respond reply replies discussion reviews "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
     "share sharing social related recommended recirculation outbrain taboola search".split())
+# those that name a place on the page: main text may stand there
+PLACES = frozenset("header footer masthead banner sidebar aside rail widget widgets toolbar modal overlay popup search "
+                   "complementary contentinfo".split())
+# those that an article element is left out for: single entries of a discussion
+ENTRIES = frozenset("comment comments commentlist reply replies respond disqus".split())
+# words that beside one of FURNITURE in a name say no more than where it stands
+STRUCTURE = frozenset(
+    "list lists box block slot slots container wrapper wrap holder section area bar button buttons btn link links item items "
+    "posts left right top bottom site page global primary secondary inner outer unit units module panel icon icons group row "
+    "zone region desktop mobile sticky fixed".split())
+# last words that make a whole name furniture, as in post-comments or left-sidebar
+SUFFIXES = frozenset(
+    "comments commentlist replies respond related recommended newsletter breadcrumb breadcrumbs pagination navigation nav "
+    "navbar menu sidebar footer ads advert advertisement share sharing widget widgets popup modal overlay consent".split())
+# first words of names that tell of a state or a subject, as in has-comments or category-reviews
+STATES = frozenset("has with without no not is hide show category tag cat term topic format status".split())
+MAIN_NAMES = frozenset("content article main entry story post".split())
+LOWERED = 0.7                                             # share of its points for an element with a furniture word in a name
+NONE, LOWER, PLACE, OUT = range(4)                        # what the names of an element say
 MIN_PARAGRAPH = 25
 
 
 class _Node:
-    __slots__ = ("name", "parent", "drop", "points", "size", "links", "depth")
+    __slots__ = ("name", "parent", "drop", "named", "points", "size", "links", "depth")
 
-    def __init__(self, name, parent, drop):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name, parent, drop, named=NONE):
+        self.name, self.parent, self.drop, self.named = name, parent, drop, named
         self.points, self.size, self.links = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _furniture(name: str, attrs: str, inside_main: bool) -> bool:
-    """Is an element page furniture, by its name or attributes?"""
+def _furniture(name: str, attrs: str, inside_main: bool) -> tuple[bool, int]:
+    """(is an element furniture by its name or hidden, what its class, id and role say)."""
     if name in DROP and not (name == "header" and inside_main):
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return bool(attrs) and name == "article" and _named(attrs)
-    return _named(attrs)
-
-
-def _named(attrs: str) -> bool:
+        return True, NONE
+    if not attrs or name in ("html", "body", "main"):
+        return False, NONE
+    hidden, names = False, []
     seen = set()
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -81,22 +100,47 @@ def _named(attrs: str) -> bool:
             continue
         seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif key in ("class", "id", "role") and not FURNITURE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
-
-
-def blocks_of(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
-    """((text, element, characters inside links) of each block in page order, all elements)."""
+            hidden = True
+        elif key == "style":
+            hidden = hidden or "display:none" in value.replace(" ", "")
+        elif key in ("class", "id", "role"):
+            names += value.split()
+    return hidden, _named(names, name == "article")
+
+
+def _named(names: list[str], article: bool) -> int:
+    """The most that one of an element's names says; main names beside it weaken a place."""
+    found = max(map(_token, names), default=NONE)
+    if found == PLACE and not MAIN_NAMES.isdisjoint(names):
+        return LOWER
+    if article and found >= PLACE and ENTRIES.isdisjoint(names):
+        return LOWER
+    return found
+
+
+def _token(token: str) -> int:
+    """What one whole name says."""
+    parts = [x for x in re.split(r"[^a-z]+", token) if len(x) > 1]
+    words = [x for x in parts if x in FURNITURE]
+    if not words or parts[0] in STATES:
+        return NONE
+    if parts[-1] in SUFFIXES or all(x in FURNITURE or x in STRUCTURE for x in parts):
+        return PLACE if PLACES.issuperset(words) else OUT
+    return LOWER
+
+
+def blocks_of(page: str, stays=frozenset()) -> tuple[list[tuple[str, _Node, int]], list[_Node], int]:
+    """((text, element, characters inside links) of each block in page order, all elements,
+    characters left out for the names of elements).
+
+    ``stays``: numbers of elements that their names do not leave out; None for all.
+    """
     root = _Node("#root", None, False)
     stack, nodes, blocks = [root], [root], []
     parts: list[str] = []
     link_parts: list[str] = []
     links = 0                                             # open <a> elements
+    lost = 0
 
     def flush():
         if parts:
@@ -123,7 +167,9 @@ def blocks_of(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
                 return
 
     def add_text(text):
+        nonlocal lost
         if stack[-1].drop or not text:
+            lost += len(text) if stack[-1].drop == OUT else 0
             return
         if "&" in text:
             text = html.unescape(text)
@@ -186,12 +232,45 @@ def blocks_of(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
             continue
         top = stack[-1]
         inside = any(n.name in ("article", "main") for n in stack) if name == "header" else False
-        node = _Node(name, top, top.drop or _furniture(name, attrs, inside))
+        drop, named = _furniture(name, attrs, inside)
+        out = named >= PLACE and stays is not None and len(nodes) not in stays
+        # 1: left out with certainty, OUT: by names, which a later look may overrule
+        node = _Node(name, top, 1 if drop or top.drop == 1 else OUT if out else top.drop, named)
         nodes.append(node)
         stack.append(node)
         links += name == "a"
     flush()
-    return blocks, nodes
+    return blocks, nodes, lost
+
+
+def _points(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def _paragraph(owner: _Node, text: str) -> bool:
+    return owner.name in PARAGRAPHS and len(text) >= MIN_PARAGRAPH
+
+
+def _kept_parts(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
+    """Blocks and elements of a page without its furniture, as far as that leaves the main text."""
+    blocks, nodes, lost = blocks_of(page)
+    if 2 * lost <= sum(len(text) for text, _, _ in blocks):
+        return blocks, nodes
+    every, all_nodes, _ = blocks_of(page, None)
+    if not blocks:
+        return every, all_nodes
+    total, inside = 0.0, {}
+    for text, owner, linked in every:
+        if _paragraph(owner, text):
+            points = _points(text) * (1 - linked / len(text))
+            total += points
+            node = owner
+            while node:
+                if node.named == PLACE:
+                    inside[id(node)] = inside.get(id(node), 0.0) + points
+                node = node.parent
+    stays = frozenset(i for i, n in enumerate(all_nodes) if 2 * inside.get(id(n), 0.0) > total)
+    return blocks_of(page, stays)[:2] if stays else (blocks, nodes)
 
 
 def _score(blocks, nodes) -> None:
@@ -201,14 +280,16 @@ def _score(blocks, nodes) -> None:
             node.size += len(text)
             node.links += linked
             node = node.parent
-        if owner.name in PARAGRAPHS and len(text) >= MIN_PARAGRAPH:
-            points = 1 + text.count(",") + min(len(text) / 100, 3)
+        if _paragraph(owner, text):
+            points = _points(text)
             node, share = owner if owner.name in ("div", "section", "article", "main", "body") else owner.parent, 1.0
             while node and share > 0.1:
                 node.points += points * share
                 node, share = node.parent, share / 2
     for node in nodes:
         node.points *= 1 - node.links / node.size if node.size else 0
+        if node.named:
+            node.points *= LOWERED
 
 
 def _inside(node, container) -> bool:
@@ -221,7 +302,7 @@ def main_text(page: str | None) -> str:
     """Main text of a page: blocks in page order, joined by one line break."""
     if not page:
         return ""
-    blocks, nodes = blocks_of(page)
+    blocks, nodes = _kept_parts(page)
     if not blocks:
         return ""
     _score(blocks, nodes)

@@ -89,3 +89,40 @@ def test_hiding_attributes_still_count(attrs):
 
 def test_long_attributes_take_linear_time():
     X.main_text("<p " + "a = " * 200000 + ">" + "<p " + " " * 500000 + "x>" + "<p " + "=" * 500000 + ">")
+
+
+@pytest.mark.parametrize("name", ["category-reviews", "tag-social has-comments", "story-header", "with-sidebar", "no-sidebar",
+                                  "search-result", "content-sidebar-wrap", "content sidebar", "reviews"])
+def test_furniture_words_inside_other_names_leave_the_main_text(name):
+    page = (f"<body><div class=menu><a href=1>{LONG}</a></div><article class='post {name}'><p>{LONG} 1</p><p>{LONG} 2</p></article>"
+            f"<p>Copyright of the page.</p></body>")
+    assert X.main_text(page) == f"{LONG} 1\n{LONG} 2"
+    if name != "reviews":
+        page = f"<div><div class='{name}'><p>{LONG} 1</p><p>{LONG} 2</p></div><div class=footer>{LONG}</div></div>"
+        assert X.main_text(page) == f"{LONG} 1\n{LONG} 2"
+        inner = f"<article><p>{LONG} 1</p><div class='{name}'><p>{LONG} 2</p></div></article>"
+        assert X.main_text(inner) == f"{LONG} 1\n{LONG} 2"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "right-sidebar", "widget", "search"])
+def test_places_that_hold_most_of_the_paragraphs_stay(name):
+    page = f"<div class='{name}'><p>{LONG} 1</p><p>{LONG} 2</p><p>{LONG} 3</p></div><p>A short line of another kind.</p>"
+    assert f"{LONG} 1\n{LONG} 2\n{LONG} 3" in X.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["comments", "reviews", "promo", "search"])
+def test_nothing_else_left(name):
+    assert X.main_text(f"<div class='{name}'><p>{LONG} 1</p><p>{LONG} 2</p></div>") == f"{LONG} 1\n{LONG} 2"
+    assert X.main_text(f"<div class='{name}' hidden><p>{LONG} 1</p></div>") == ""
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "ad_300x250", "cookie-notice", "related-posts", "post-comments", "comment-list",
+                                  "site-footer", "left-sidebar", "c-share", "newsletter-signup", "x comments y"])
+def test_names_of_furniture_are_left_out(name):
+    page = f"<article><p>{LONG} 1</p><p>{LONG} 2</p><div class='{name}'><p>{LONG} 3</p></div></article>"
+    assert X.main_text(page) == f"{LONG} 1\n{LONG} 2"
+
+
+def test_long_comments_do_not_outweigh_a_short_text():
+    page = f"<div id=content><p>{LONG}</p></div><div class=comments>" + f"<article class=comment><p>{LONG}!</p></article>" * 40
+    assert X.main_text(page + "</div>") == LONG
