@@ -4,14 +4,17 @@ Public vocabularies measure each whole text: characters per token, the share of
 byte-fallback tokens, and the entropy of its tokens.  Rejection bands come from
 the corpus itself: quartiles of each measure over all documents of a language
 (or of a script, where the language is unknown) that pass the base rules, widened
-by a multiple of their distance.  A document outside a band is rejected.
+by a multiple of their distance.  A document outside a band is rejected.  A group
+of few documents has its own quartiles too, with a band that is at least as wide
+as that of all documents and grows as the group gets smaller: a rare language is
+never held against the majority's band.
 
 Tokens are counted word by word with one table per task, so cost follows the
 number of distinct words of a text.
 
-Defined results: a null text has no words and fails the base rules; groups with
-fewer than ``MIN_GROUP`` passing documents share the band of all documents;
-an empty table gives no rows; repeated rows count as often as they occur.
+Defined results: a null text has no words and fails the base rules; texts of
+unknown language without a letter share the band of all documents where fewer than
+``MIN_GROUP`` of them pass; an empty table gives no rows; repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ from .packing import worker_encoder
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 CACHE_WORDS = 1 << 18
-MIN_GROUP = 30
+MIN_GROUP = 30                  # bands of smaller groups widen by sqrt(this / passing documents)
 FENCE = 3.0                     # band: quartiles +- FENCE * (distance of the quartiles)
 STEADY_WORDS = 150              # measures of shorter texts spread more: bands widen by sqrt(1 + this / n_words)
 SLACK = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.03}
 MEASURES = tuple(SLACK)
+NO_SCRIPT = "script none"
 
 
 def repeated_window_words(ids: np.ndarray, n: int = 3) -> int:
@@ -184,14 +188,14 @@ def bands(measured: DataFrame) -> DataFrame:
     tagged = passing.select("band_group", *MEASURES)
     quart = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in MEASURES]
     groups = tagged.groupBy("band_group").agg(F.count("*").alias("n"), *quart)
-    groups = groups.where(F.col("n") >= MIN_GROUP)
+    groups = groups.where((F.col("n") >= MIN_GROUP) | (F.col("band_group") != NO_SCRIPT))
     whole = tagged.agg(F.count("*").alias("n"), *quart).select(
         F.lit(None).cast("string").alias("band_group"), "n", *MEASURES)
     out = groups.unionByName(whole)
     for m in MEASURES:
         reach = F.greatest(FENCE * (F.col(m)[1] - F.col(m)[0]), F.lit(SLACK[m]))
         out = out.withColumn(m, F.struct(F.col(m)[0].alias("low"), F.col(m)[1].alias("high"), reach.alias("reach")))
-    return out.drop("n")
+    return out
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -200,9 +204,10 @@ def judge(measured: DataFrame) -> DataFrame:
     # the single row over all documents becomes constants of the plan
     whole = all_bands.where("band_group is null").first()
     own = all_bands.where("band_group is not null").select(
-        F.col("band_group"), *[F.col(m).alias(f"_{m}") for m in MEASURES])
+        F.col("band_group"), F.col("n").alias("_n"), *[F.col(m).alias(f"_{m}") for m in MEASURES])
     joined = measured.join(own, "band_group", "left")
     inside = F.lit(True)
+    few = F.col("_n") < MIN_GROUP
     wider = F.sqrt(1 + STEADY_WORDS / F.greatest("n_words", F.lit(1)))
     for m in MEASURES:
         default = whole[m] if whole else None
@@ -210,7 +215,9 @@ def judge(measured: DataFrame) -> DataFrame:
         def part(name):
             fixed = default[name] if default else None
             return F.coalesce(F.col(f"_{m}")[name], F.lit(fixed).cast("double"))
-        reach = part("reach") * wider
+        least = F.lit(default["reach"] if default else None).cast("double")
+        reach = F.when(few, F.greatest(part("reach"), least) * F.sqrt(MIN_GROUP / F.col("_n"))).otherwise(part("reach"))
+        reach = reach * wider
         outside = (F.col(m) < part("low") - reach) | (F.col(m) > part("high") + reach)
         inside = inside & ~F.coalesce(outside, F.lit(False))
     return joined.select(*measured.columns, base_failed().alias("base_failed"), inside.alias("inside"),

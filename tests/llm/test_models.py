@@ -228,3 +228,34 @@ def test_evidence_needs_enough_texts_of_a_language():
     model = L.fit(rows)
     assert all(bound[0] == -np.inf for bound in model.least_evidence[0])
     assert L.Scorer(model).score("abcde bcdea")[2]
+
+
+# ------------------------------------------------ fertility: rare languages
+def test_clean_documents_of_a_rare_language_stay(spark, tmp_path):
+    rnd = random.Random(9)
+    base = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 3000")
+    english = base.where("lang = 'en'").orderBy("doc_id").limit(2000)
+    rare = [(r["doc_id"], r["text"], r["lang"]) for lang in ("de", "es", "fr")
+            for r in base.where(f"lang = '{lang}' and length(text) > 600").orderBy("doc_id").limit(29).collect()]
+    words = "все люди рождаются свободными и равными в своем достоинстве правах они наделены разумом совестью должны".split()
+    rare += [(10**6 + i, " ".join(rnd.choice(words) for _ in range(rnd.randint(80, 160))), lang)
+             for i, lang in enumerate(["ru"] * 29 + [None] * 29)]
+    noise = (10**7, " ".join("☃☄★☎" + chr(0x2700 + rnd.randint(0, 80)) for _ in range(200)))
+    docs = english.unionByName(spark.createDataFrame([*rare, (*noise, "en"), (noise[0] + 1, noise[1], "de")], english.schema))
+    measured = T.measures(docs, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    measured.write.parquet(f"{tmp_path}/measured")
+    measured = spark.read.parquet(f"{tmp_path}/measured")
+    for n in (5, 29):
+        few, seen = [], {}
+        for doc, _, lang in rare:
+            seen[lang] = seen.get(lang, 0) + 1
+            if seen[lang] <= n:
+                few.append(doc)
+        ids = spark.createDataFrame([(d,) for d in few + [noise[0], noise[0] + 1]], "doc_id long")
+        some = measured.where("band_group = 'language en'").unionByName(
+            measured.where("band_group <> 'language en'").join(ids, "doc_id").select(measured.columns))
+        got = {r["doc_id"]: r for r in T.judge(some).collect()}
+        lost = [d for d in few if not got[d]["base_failed"] and not got[d]["kept"]]
+        assert not lost, (n, [got[d] for d in lost])
+        assert sum(got[d]["kept"] for d in few) > 0.8 * len(few)
+        assert not got[noise[0]]["kept"] and not got[noise[0] + 1]["kept"]
