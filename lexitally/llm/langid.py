@@ -4,8 +4,8 @@ A text is the average of embeddings of hashed subwords: each word of letters
 gives itself and its character 2- to 4-grams (with word edges), hashed into a
 fixed number of buckets.  A linear softmax on the average gives the language.
 Embeddings and softmax are trained by stochastic gradient descent in numpy on a
-bounded sample: at most about ``sample`` labelled documents a language (a
-documented bound), whole texts, plus short cuts of them so that texts of a few
+bounded sample: at most ``sample`` labelled documents a language (a documented
+bound), whole texts, plus short cuts of them so that texts of a few
 words are learned too.  A temperature fitted on documents kept out of the
 training calibrates the score.
 
@@ -34,7 +34,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Chunks, masked_columns, mix64, names_of, rows_of, split_key
@@ -257,20 +257,25 @@ def _log_odds(counts: np.ndarray, total: float) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """Fit on labelled documents that are not held out (crc32(doc_id) mod 3 is not 1).
 
-    The sample is drawn by a hash of doc_id with one share per language, about
-    ``sample`` documents each; all counts are over all labelled documents.
+    The sample is drawn by a hash of doc_id and text, which stands for the document from
+    here on: ``sample`` different documents a language, or all if there are fewer, for
+    null and repeated ids too; a document that occurs more than once is drawn once.
     """
-    usable = docs.where((split_key() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n"))
+    usable = docs.where((split_key() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.xxhash64("doc_id", "text").alias("doc_id"), "text", "lang")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
               .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} different lang values")
     if not counts:
         return None
+    # about twice as many as needed, each once, then the exact cut
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items())
-                           for x in (lang, int(min(1.0, sample / n) * (1 << 30)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = training_bags(usable.where(draw < share[F.col("lang")])).collect()
+                           for x in (lang, int(min(1.0, 2 * sample / max(1, n)) * (1 << 30)))])
+    drawn = usable.where(F.pmod("doc_id", F.lit(1 << 30)) < share[F.col("lang")])
+    once = drawn.groupBy("lang", "doc_id").agg(F.first("text").alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    rows = training_bags(once.withColumn("at", order).where(F.col("at") <= sample)).collect()
     return fit([tuple(r) for r in rows])
 
 

@@ -259,3 +259,22 @@ def test_clean_documents_of_a_rare_language_stay(spark, tmp_path):
         assert not lost, (n, [got[d] for d in lost])
         assert sum(got[d]["kept"] for d in few) > 0.8 * len(few)
         assert not got[noise[0]]["kept"] and not got[noise[0] + 1]["kept"]
+
+
+# ----------------------------------------------- language ID: size of the sample
+def test_sample_is_bounded_for_null_and_repeated_ids(spark, monkeypatch):
+    texts = [f"wort {i} satz {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} ende" for i in range(900)]
+    rows = [(None, t, "null ids") for t in texts] + [(1, t, "one id") for t in texts]
+    rows += [(1, "immer gleich", "one row")] * 900 + [(i, t, "own ids") for i, t in enumerate(texts)]
+    rows += [(i, texts[i], "few") for i in range(20)] + [(None, texts[0], "few")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda rows: seen.extend(rows))
+    L.train(df, 50)
+    got = {}
+    for lang, doc, part, *_ in seen:
+        got.setdefault(lang, []).append(doc) if part == 0 else None
+    assert all(len(docs) == len(set(docs)) for docs in got.values())
+    few = sum(not held(i) for i in range(20)) + 1
+    assert {lang: len(docs) for lang, docs in got.items()} == {
+        "null ids": 50, "one id": 50, "one row": 1, "own ids": 50, "few": few}
