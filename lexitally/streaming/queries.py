@@ -39,7 +39,7 @@ def _time_parts(events: DataFrame) -> list:
         return [F.lit(True)]
     step = (high - low) // PARTS + 1
     part = F.floor((epoch_micros("ts") - F.lit(low)) / F.lit(step))
-    return [part == i for i in range(PARTS)]
+    return [F.coalesce(part, F.lit(0)) == i for i in range(PARTS)]   # without a time: in the first
 
 
 def _run_parts(spark: SparkSession, name: str, table: DataFrame, parts: list, start) -> str:
@@ -52,6 +52,22 @@ def _run_parts(spark: SparkSession, name: str, table: DataFrame, parts: list, st
     return f"{base}/out"
 
 
+def _all_windows(spark: SparkSession, out: str, table: DataFrame, keys: list[str], value: str,
+                 view=lambda stream: stream) -> DataFrame:
+    """The log's windows, and the rows without a time: a window takes none of them, so a stream
+    of their own over what has arrived counts them, with null for the window."""
+    base = out.removesuffix("/out")
+    rows = view(stream_folder(spark, f"{base}/in", table)).where("ts is null")
+    nowhen = F.lit(None).cast("timestamp")
+    sinks.run_upserts(
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("sum_value"))
+        .select(nowhen.alias("window_start"), nowhen.alias("window_end"), *keys, "n",
+                (F.col("sum_value") / F.col("n")).alias("avg_value")),
+        f"{base}/untimed", f"{base}/untimed-checkpoint")
+    keys = ["window_start", "window_end", *keys]
+    return sinks.latest_rows(spark, out, keys).unionByName(sinks.latest_rows(spark, f"{base}/untimed", keys))
+
+
 def _events(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return event_time(read_table(spark, d, "events", list(cols)))
 
@@ -61,7 +77,7 @@ def q_stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     ev = _events(spark, d, "ts", "event_type", "value")
     out = _run_parts(spark, "tumbling", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_upserts(
         tumbling_stats(stream, "ts", WINDOW, ("event_type",), "value", WATERMARK), out, ckpt))
-    res = sinks.latest_rows(spark, out, ["window_start", "window_end", "event_type"])
+    res = _all_windows(spark, out, ev, ["event_type"], "value")
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "event_type", "n", rounded("avg_value").alias("avg_value"))
 
@@ -75,7 +91,7 @@ def q_stream_sample_windows(spark: SparkSession, d: str) -> DataFrame:
     out = _run_parts(spark, "sample_windows", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_upserts(
         # samples carry the start of their day: the watermark allows for it
         tumbling_stats(FX.samples(stream), "ts", SAMPLE_WINDOW, ("run_key",), "cpu", "2 days"), out, ckpt))
-    res = sinks.latest_rows(spark, out, ["window_start", "window_end", "run_key"])
+    res = _all_windows(spark, out, ev, ["run_key"], "cpu", FX.samples)
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "run_key", F.col("n").alias("n_samples"),
                       rounded("avg_value").alias("avg_cpu"))
@@ -95,8 +111,9 @@ def q_stream_first_crossing(spark: SparkSession, d: str) -> DataFrame:
                                               F.col("value_at").alias("progress_at"))
 
 
-def _doc_parts() -> list:
-    return [F.pmod("doc_id", F.lit(PARTS)) == i for i in range(PARTS)]
+def _doc_parts(n: int = PARTS) -> list:
+    """Conditions that cut the documents into ``n`` pieces by id; those without one are in the first."""
+    return [F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)) == i for i in range(n)]
 
 
 def q_stream_wordcount(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +128,8 @@ def q_stream_wordcount_restart(spark: SparkSession, d: str) -> DataFrame:
     """Words per language; stopped and started again, the counts go on from the checkpoint,
     and a start without new input changes nothing."""
     docs = read_table(spark, d, "documents", ["doc_id", "lang", "text"])
-    parts = [F.col("doc_id") % 2 == 0, F.lit(False), F.col("doc_id") % 2 == 1, F.lit(False)]
+    even, odd = _doc_parts(2)
+    parts = [even, F.lit(False), odd, F.lit(False)]
     out = _run_parts(spark, "restart", docs, parts, lambda stream, out, ckpt: sinks.run_upserts(
         W.dataset_words(stream, "lang", "text", LETTERS), out, ckpt))
     return sinks.latest_rows(spark, out, ["dataset"])
