@@ -55,14 +55,14 @@ def test_dataset_bytes_and_facts(spark):
     assert sum(r.dataset_bytes for r in by.values()) == raw
 
 
-def test_hash_sorted_layout(spark):
+def test_reducer_layout_is_sorted_and_disjoint(spark):
     docs = read_table(spark, SF_SMOKE, "documents", ["text"])
-    laid = W.hash_sorted(W.word_freq(docs, "text", LETTERS), 4)
+    laid = W.reducer_sorted(W.word_freq(docs, "text", LETTERS))
     parts = laid.rdd.glom().collect()  # test-only inspection of the layout
-    assert len(parts) == 4
     seen = set()
     for p in parts:
         words = [r.word for r in p]
         assert words == sorted(words)
         assert not (seen & set(words))
         seen |= set(words)
+    assert len(seen) == W.word_freq(docs, "text", LETTERS).count()
