@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fertility, htmltext, jaccard, langid, packing, rff, suffix, warc
+from . import align, ann, bpe, fertility, htmltext, jaccard, langid, lexical, packing, piece, rff, suffix, warc
 from .common import table
 
 
@@ -65,7 +65,28 @@ def op10_quality_classifier(spark, d):
                      table(spark, d, "labels", "doc_id", "quality"))
 
 
+def op11_lexical_search(spark, d):
+    """The 10 highest-scoring documents of every benchmark item."""
+    return lexical.query(spark, table(spark, d, "documents", "doc_id", "text"),
+                         table(spark, d, "benchmark", "item_id", "text"))
+
+
+def op12_sentencepiece(spark, d):
+    """Ids of every document with a merge-type SentencePiece vocabulary, and the text decoded from them."""
+    import public_tokenizers as P
+    coded = piece.encode(table(spark, d, "documents", "doc_id", "text"), P.path("piece_bpe_32k.model"),
+                         keep=("doc_id",), decode=True, check=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "agrees")
+
+
+def op13_cross_alignment(spark, d):
+    """Every document's tokens of two vocabularies in groups between common ends, with corpus-wide link counts."""
+    return align.query(spark, table(spark, d, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_jaccard_join, op6_best_fit_packing, op7_warc_revisits, op8_fertility_rules,
-    op9_block_matrix_neighbours, op10_quality_classifier)}
-ORACLE: dict[str, str] = {"op2_suffix_dedup": suffix.SQL, "op5_jaccard_join": jaccard.SQL, "op7_warc_revisits": warc.SQL, "op9_block_matrix_neighbours": ann.SQL}
+    op9_block_matrix_neighbours, op10_quality_classifier, op11_lexical_search, op12_sentencepiece, op13_cross_alignment)}
+ORACLE: dict[str, str] = {"op2_suffix_dedup": suffix.SQL, "op5_jaccard_join": jaccard.SQL, "op7_warc_revisits": warc.SQL, "op9_block_matrix_neighbours": ann.SQL,
+                         "op11_lexical_search": lexical.SQL}

@@ -19,12 +19,15 @@ COLUMNS = {
     "op8": ("documents", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"),
     "op9": (None, "query_id rank vec_id score"),
     "op10": ("documents", "doc_id held_out score predicted"),
+    "op11": (None, "item_id rank doc_id score"),
+    "op12": ("documents", "doc_id n_tokens ids_sha256 decoded_sha256 agrees"),
+    "op13": ("documents", "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"),
 }
 TYPES = {"held_out": "boolean", "score": "double", "predicted": "int", "rank": "int", "piece": "int", "kept": "boolean",
-         "base_failed": "boolean", "text": "string", "url": "string", "record_type": "string"}
+         "base_failed": "boolean", "agrees": "boolean", "text": "string", "url": "string", "record_type": "string"}
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     assert {n.split("_")[0] for n in QUERIES} == set(COLUMNS)
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(ORACLE) <= set(oracle_sql())
@@ -37,7 +40,7 @@ def test_columns_and_rows(spark, name):
     types = dict(df.dtypes)
     for c in columns.split():
         assert c in types
-        want = TYPES.get(c, "string" if c.endswith(("sha256", "digest", "pred")) else "bigint")
+        want = "bigint" if (name, c) == ("op11_lexical_search", "score") else TYPES.get(c, "string" if c.endswith(("sha256", "digest", "pred")) else "bigint")
         assert types[c] == want, (c, types[c])
     rows = df.count()
     assert rows == spark.read.parquet(f"{SF}/{source}.parquet").count() if source else rows > 0
