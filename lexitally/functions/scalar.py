@@ -1,9 +1,7 @@
-"""Small scalar helpers used by the run analytics (built-in expressions, except
-the Python-exact number formatter for report lines)."""
+"""Small scalar helpers used by the run analytics, all built-in expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,31 +27,52 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
     return (epoch_micros(end) - epoch_micros(start)) / F.lit(1e6)
 
 
-_UDFS: dict = {}
-
-
-def _py_signed2(col: Column) -> Column:
-    if "signed2" not in _UDFS:  # built on first use: needs an active session
-        # A local function is shipped to the Python workers by value, so they
-        # need pandas but not this package on their path.
-        def format_signed2(v: pd.Series) -> pd.Series:
-            return v.map(lambda x: None if pd.isna(x) else format(x, " .2f"))
-        _UDFS["signed2"] = F.pandas_udf(format_signed2, "string")
-    return _UDFS["signed2"](col)
+_SPLIT = 134217729.0      # 2^27 + 1: cuts a double into two halves of 26 bits
 
 
 def signed2(x: str | Column) -> Column:
     """Python's ``f"{x: .2f}"``: two decimals, a space where a plus sign would go.
 
-    Python rounds the exact binary value (81.975 is 81.97499.. -> " 81.97"),
-    while Java's formatter - behind ``format_string`` - rounds the shortest
-    decimal form half-up (" 81.98").  Report lines must read like the
-    reference's, so this one formatter is an Arrow-batched pandas UDF; it is
-    only applied to report rows (one per configuration), never to raw data: its
-    callers in ``operators.report`` pass the output of an aggregate by
-    configuration.
+    Python rounds the exact binary value, ties to even (81.975 is 81.97499.. ->
+    " 81.97"); Java's formatter, behind ``format_string``, rounds the shortest decimal
+    form half-up (" 81.98").  So the rounding is done here, in built-in expressions:
+    the whole part is taken off (exactly), the rest f is multiplied by 100 as an
+    error-free product (f is cut in two halves whose products are exact, so ``p + err``
+    is 100 f to the last bit), and p's fraction, with err where that is a half, decides.
+    Exact for all values below 2^63; larger ones, whole numbers all, show the digits
+    of their shortest form.  NULL and NaN give NULL.
     """
-    return _py_signed2(_c(x).cast("double"))
+    def cents(f: Column) -> Column:
+        c = f * F.lit(_SPLIT)
+        high = c - (c - f)
+        return _let(F.struct((f * 100.0).alias("p"),
+                             (high * 100.0 - f * 100.0 + (f - high) * 100.0).alias("err")), nearest)
+
+    def nearest(product: Column) -> Column:
+        p, err = product["p"], product["err"]
+        rest = p - F.floor(p).cast("double")
+        # 100 times the whole part is even: the tie's parity is that of the cents alone
+        up = (rest > 0.5) | ((rest == 0.5) & ((err > 0.0) | ((err == 0.0) & (F.floor(p) % 2 == 1))))
+        return F.floor(p) + F.when(up, F.lit(1)).otherwise(F.lit(0))               # 0 .. 100
+
+    def digits(size: Column) -> Column:
+        return _let(F.struct(F.floor(size).alias("whole"), cents(size - F.floor(size).cast("double")).alias("cents")),
+                    lambda n: F.concat((n["whole"] + F.when(n["cents"] == 100, F.lit(1)).otherwise(F.lit(0))).cast("string"),
+                                       F.lit("."), F.lpad(F.pmod(n["cents"], F.lit(100)).cast("string"), 2, "0")))
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        number = (F.when(size == float("inf"), F.lit("inf"))
+                   .when(size >= 2.0 ** 63, F.format_string("%.2f", size)).otherwise(digits(size)))
+        sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(" "))   # -0.0, too
+        return F.when(v.isNotNull() & ~F.isnan(v), F.concat(sign, number))
+
+    return _let(_c(x).cast("double"), text)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def json_number(doc: str | Column, path: str, default: float = 0.0) -> Column:

@@ -15,7 +15,7 @@ trailing separator, empty line) are never counted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITESPACE = "whitespace"
@@ -60,3 +60,18 @@ def tokens(df: DataFrame, text: str | Column = "value", rule: str = WHITESPACE,
     """
     return (df.select(*keep, F.explode(raw_split(text, rule)).alias("word"))
               .where(F.col("word") != ""))
+
+
+def register_sql(spark: SparkSession) -> None:
+    """X1 + X2 for SQL users: the rules as functions ``letters(text)`` and
+    ``whitespace_words(text)`` of the session, each the array of a text's tokens.
+
+    They are SQL functions, which Catalyst inlines: ``SELECT word FROM (SELECT letters(text)
+    AS words FROM t) LATERAL VIEW explode(words) AS word`` is a scan and a Generate, as
+    :func:`tokens` is.  A function that returns a table reads shorter (``FROM t, LATERAL letters(text)``), but
+    Catalyst joins its rows back by the text, with a shuffle of all texts; so there is none.
+    """
+    for name, split in (("letters", f"split(lower(coalesce(text, '')), '{LETTER_PATTERN}')"),
+                        ("whitespace_words", f"split(coalesce(text, ''), r'{WHITESPACE_PATTERN}')")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS ARRAY<STRING> "
+                  f"RETURN filter({split}, w -> w <> '')")

@@ -12,6 +12,8 @@ below its threshold, and shuffles beyond it.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,7 +113,8 @@ def config_summary(runs: DataFrame, facts: DataFrame, per_run: DataFrame | None
     ``facts`` carries ``(dataset, word_count, dataset_bytes)``.  Throughput is
     words (or MB) over the mean *processing* time, 0 when that time is 0.
     ``per_run`` carries ``(run_key, avg_cpu, avg_mem_mb)`` (A3); a configuration
-    gets the mean over its runs (A4).  A run without a retry adds 0 s (M6).
+    gets the mean over its runs (A4).  A run without a retry adds 0 s (M6).  A null in
+    ``config`` is a configuration of its own.
     """
     if per_run is not None:
         runs = runs.join(per_run.select("run_key", "avg_cpu", "avg_mem_mb"), "run_key", "left")
@@ -123,8 +126,10 @@ def config_summary(runs: DataFrame, facts: DataFrame, per_run: DataFrame | None
                         F.avg("runtime_s").alias("avg_runtime_s"),
                         F.avg("init_s").alias("avg_init_s"),
                         F.avg("processing_s").alias("avg_processing_s"), *means))
-    return (per_cfg.join(first_run(runs, config), list(config))
-                   .join(facts, "dataset", "left")
+    firsts = first_run(runs, config).withColumnsRenamed({c: f"_{c}" for c in config})
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in config])
+    per_cfg = per_cfg.join(firsts, same).drop(*[f"_{c}" for c in config])
+    return (per_cfg.join(facts, "dataset", "left")
                    .withColumn("throughput_words",
                                safe_ratio("word_count", "avg_processing_s"))
                    .withColumn("throughput_mb",

@@ -14,7 +14,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import LETTERS, WHITESPACE, token_count, tokens
@@ -62,6 +62,18 @@ def dataset_facts(df: DataFrame, dataset: str = "dataset",
                    F.sum(F.octet_length(t)).cast("bigint").alias("dataset_bytes")))
 
 
+def observed(lines: DataFrame, facts: Observation, text: str | Column = "value", rule: str = LETTERS) -> DataFrame:
+    """A9 + M1 + M2: ``lines``, with rows, words and UTF-8 bytes counted as they pass.
+
+    The counts are there once an action over the result has run (``facts.get``): the scan
+    that writes a job's files gives its throughput facts, too.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    return lines.observe(facts, F.count(F.lit(1)).alias("n_rows"),
+                         F.coalesce(F.sum(token_count(t, rule)), F.lit(0)).cast("bigint").alias("n_words"),
+                         F.coalesce(F.sum(F.octet_length(t)), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
 def reducer_sorted(freq: DataFrame, key: str = "word") -> DataFrame:
     """Reducer layout: the aggregate's own hash partitions on ``key``, each sorted.
 

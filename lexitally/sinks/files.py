@@ -70,6 +70,13 @@ def ingest(df: DataFrame, path: str, partition_by: str | None = "dataset",
     w.parquet(path)
 
 
+def replace_datasets(df: DataFrame, path: str, key: str = "dataset") -> None:
+    """IO8 for one dataset of many: the datasets that ``df`` holds are replaced whole (a half
+    loaded one, too); the files of all others stay as they are (dynamic partition overwrite)."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(key).parquet(path))
+
+
 def ingest_missing(df: DataFrame, path: str, key: str = "dataset") -> None:
     """IO5 + J7: append only the datasets the target does not hold yet.
 

@@ -1,18 +1,24 @@
 """Result tables written by earlier experiments (CSV with a header).
 
-Three header spellings exist for the same quantities, and files of several
-spellings may share a folder.  ``read_results`` finds each file's own header
-line, parses its rows by that header and maps the columns onto one set of names
-with ``try_cast`` (a malformed cell becomes NULL instead of failing the scan).
+Header spellings differ for the same quantities, and files of several spellings
+may share a folder.  ``read_results`` deals the files by their header and scans the
+files of each spelling as CSV with an explicit schema under one set of names, so no
+row is shuffled to find its header.  Cells may be quoted and hold line breaks.  A
+malformed row keeps what could be read of it and shows its text in ``bad_record``.
 Memory was recorded in two units, which stay two columns: MB of the process
-(``memory usage``) and percent of the host (``avg_mem``).
+(``memory usage``, and ``avg_mem`` in files of the Spark job) and percent of the host
+(``avg_mem`` beside ``sort_mb``, in files of the MapReduce job).
 """
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BAD = "bad_record"
+
 # Header spellings found in the published result files.
 HEADER_NAMES = {
     "dataset": "dataset", "Dataset": "dataset", "Data set": "dataset",
@@ -20,7 +26,7 @@ HEADER_NAMES = {
     "sort_mb": "sort_mb",
     "runtime_seconds": "runtime_seconds", "runtime": "runtime_seconds",
     "avg_cpu": "avg_cpu", "cpu usage": "avg_cpu",
-    "avg_mem": "avg_mem_percent", "memory usage": "avg_mem_mb",
+    "avg_mem": "avg_mem_mb", "memory usage": "avg_mem_mb",      # avg_mem beside sort_mb is percent
     "throughput_words_per_sec": "throughput_words_per_sec", "throughput": "throughput_words_per_sec",
     "speedup_vs_1_core": "speedup_vs_1_core", "scalability": "speedup_vs_1_core",
     "initialization overhead": "init_overhead_s",
@@ -41,41 +47,52 @@ TYPES = {
 }
 
 
-def _name(cell: str) -> str:
-    return HEADER_NAMES.get(cell.strip(), cell.strip().lower().replace(" ", "_"))
+def canonical_names(header: list[str]) -> list[str]:
+    """Names of a header's cells; the unit of memory is read from the whole header."""
+    names = [HEADER_NAMES.get(c.strip(), c.strip().lower().replace(" ", "_")) for c in header]
+    if "sort_mb" in names:
+        names = ["avg_mem_percent" if c.strip() == "avg_mem" else n for c, n in zip(header, names)]
+    return names
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """IO14: result CSVs below ``path`` with canonical column names and types.
+def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files below ``path``, by header line.
 
-    A file's header is its only line whose cells are all known column names.
-    Headers are few (one per spelling), so their texts come to the driver; rows
-    are joined to their file's header and parsed by it, one branch a spelling.
-    Rows of a file without a header match no branch and are dropped.  Cells may be
-    quoted, but hold no line breaks.
+    A header is a line whose cells are all known column names.  One row a file comes to the
+    driver, as from any listing.  A file with rows but no header, or with two different ones,
+    is an error that names it.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"),
-                                         F.trim("value").alias("value")).where("value <> ''")
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(path).select(place.alias("file"), F.trim("value").alias("value")).where("value <> ''")
     known = F.array(*[F.lit(n) for n in HEADER_NAMES])
     cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
-    marked = lines.withColumn("_head", F.forall(cells, lambda c: F.array_contains(known, c)))
-    heads = marked.where("_head").select("_file", F.col("value").alias("_header")).distinct()
-    body = marked.where("not _head").join(heads, "_file")
-    spellings = [r["_header"] for r in heads.select("_header").distinct().orderBy("_header").collect()]
+    header = F.when(F.forall(cells, lambda c: F.array_contains(known, c)), F.col("value"))
+    found = (lines.select("file", header.alias("header")).groupBy("file")
+             .agg(F.min("header").alias("header"), F.max("header").alias("other")).orderBy("file").collect())
+    if wrong := [r["file"] for r in found if r["header"] is None or r["header"] != r["other"]]:
+        raise ValueError(f"{len(wrong)} files without one known header, the first: {wrong[:3]}")
+    if not found:
+        raise ValueError(f"no known result header below {path}")
+    out: dict[str, list[str]] = {}
+    for r in found:
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """IO14: result CSVs below ``path`` with canonical column names and types, and ``bad_record``:
+    the text of a row that does not fit its header or types, else NULL.
+
+    One CSV scan a spelling; the results are a union without a shuffle.
+    """
     out = None
-    for header in spellings:
-        names = [c.strip().strip('"') for c in header.split(",")]
-        ddl = ", ".join(f"`c{i}` string" for i in range(len(names)))
-        row = body.where(F.col("_header") == header).select(
-            F.from_csv("value", ddl, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-        cols = []
-        for i, cell in enumerate(names):
-            name = _name(cell)
-            typ = TYPES.get(name, "string")
-            value = F.trim(F.col(f"r.c{i}"))
-            cols.append((value if typ == "string" else value.try_cast(typ)).alias(name))
-        part = row.select(*cols)
+    for header, files in files_by_header(spark, path).items():
+        names = canonical_names(next(csv.reader([header])))
+        ddl = ", ".join(f"`{n}` {TYPES.get(n, 'string')}" for n in names)
+        part = (spark.read.schema(f"{ddl}, `{BAD}` string")
+                .option("header", "true").option("enforceSchema", "true").option("multiLine", "true")
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("columnPruning", "false")
+                .option("escape", '"').option("ignoreLeadingWhiteSpace", "true")
+                .option("ignoreTrailingWhiteSpace", "true").csv(files))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError(f"no known result header below {path}")
     return out

@@ -1,11 +1,11 @@
 """Registered streaming queries.
 
-Each takes a test table in several parts, in order of time (or by id, where there
-is no time).  A part arrives, the stream is started with
+Each takes a table in PARTS parts, in order of time by whole days (or by id, where
+there is no time).  A part arrives, the stream is started with
 ``trigger(availableNow=True)`` on the same checkpoint, takes what is new, and stops;
-then the next part arrives.  So every query reads several batches, restarts in
-between, and depends on its restored state.  The folded result is returned as a
-batch DataFrame; the queries run whole while they are built.
+then the next part arrives.  So every query restarts once and depends on its restored
+state.  The result is returned as a batch DataFrame; the queries run whole while they
+are built.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..plans import fixtures as FX
 from ..plans.catalog import ORACLE, _ALPHA_FREQ
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import sinks
+from . import sinks, stateful
 from .operators import tumbling_stats
 from .sources import event_time, stream_folder
 
@@ -29,16 +29,17 @@ WINDOW = "1 hour"
 WATERMARK = "10 minutes"
 
 
-PARTS = 5
+PARTS = 2
 
 
 def _time_parts(events: DataFrame) -> list:
-    """Conditions that cut the table into PARTS pieces of equal time, in order."""
-    low, high = events.agg(F.min(epoch_micros("ts")), F.max(epoch_micros("ts"))).first()
+    """Conditions that cut the table into PARTS pieces of as many days, in order."""
+    day = F.floor(epoch_micros("ts") / F.lit(86_400_000_000))
+    low, high = events.agg(F.min(day), F.max(day)).first()
     if low is None:
         return [F.lit(True)]
     step = (high - low) // PARTS + 1
-    part = F.floor((epoch_micros("ts") - F.lit(low)) / F.lit(step))
+    part = F.floor((day - F.lit(low)) / F.lit(step))
     return [F.coalesce(part, F.lit(0)) == i for i in range(PARTS)]   # without a time: in the first
 
 
@@ -100,15 +101,23 @@ def q_stream_sample_windows(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_first_crossing(spark: SparkSession, d: str) -> DataFrame:
     """First sample per run at or above 50 % progress, as samples arrive.
 
-    The stream itself keeps no state: each batch is reduced to its first crossing
-    per run, and the fold takes the first of those, whatever order they came in.
+    The rows are the stream's own output: a latch in the state lets each run fire once.
     """
-    ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
-    out = _run_parts(spark, "first_crossing", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_upserts(
-        FX.samples(stream), out, ckpt, per_batch=lambda b: R.first_crossing(b, 50.0)))
-    log = sinks.read_log(spark, out).withColumnsRenamed({"first_ts": "ts", "value_at": "progress"})
-    return R.first_crossing(log, 50.0).select("run_key", epoch_micros("first_ts").alias("first_ts_us"),
-                                              F.col("value_at").alias("progress_at"))
+    own = stateful.state_session(spark)
+    ev = _events(own, d, "event_id", "ts", "user_id", "event_type", "value")
+    out = _run_parts(own, "first_crossing", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_append(
+        stateful.first_crossings(FX.samples(stream), 50.0), out, ckpt))
+    return spark.read.parquet(out).select("run_key", "first_ts_us", F.col("value_at").alias("progress_at"))
+
+
+def q_stream_attach_events(spark: SparkSession, d: str) -> DataFrame:
+    """Pending events wait in their run's queue on the stream until a tick takes them."""
+    own = stateful.state_session(spark)
+    ev = _events(own, d, "event_id", "ts", "user_id", "event_type", "value")
+    out = _run_parts(own, "attach", ev, _time_parts(ev), lambda stream, out, ckpt: sinks.run_append(
+        stateful.live_attach(FX.samples(stream), FX.triggers(stream)), out, ckpt))
+    return spark.read.parquet(out).select("run_key", "ts_us", "n_procs", rounded("cpu").alias("cpu"),
+                                          rounded("mem_bytes").alias("mem_bytes"), "event")
 
 
 def _doc_parts(n: int = PARTS) -> list:
@@ -135,6 +144,22 @@ def q_stream_wordcount_restart(spark: SparkSession, d: str) -> DataFrame:
     return sinks.latest_rows(spark, out, ["dataset"])
 
 
+def q_stream_wordcount_state(spark: SparkSession, d: str) -> DataFrame:
+    """The word counts in the state itself, read from the checkpoint by the state-store reader:
+    as the first start left them, and after the restart with the other documents."""
+    docs = read_table(spark, d, "documents", ["doc_id", "text"])
+    seen = []
+
+    def start(stream, out, ckpt):
+        sinks.run_upserts(W.word_freq(stream, "text", LETTERS), out, ckpt)
+        seen.append((ckpt, sinks.read_log(spark, out).agg(F.max(sinks.BATCH_COL)).first()[0]))
+
+    _run_parts(spark, "state", docs, _doc_parts(2), start)
+    points = [sinks.state_rows(spark, ckpt, batch).select(F.lit(i).alias("start"), "key.word", F.col("value.count").alias("n"))
+              for i, (ckpt, batch) in enumerate(seen, 1) if batch is not None]
+    return points[0] if len(points) == 1 else points[0].unionByName(points[1])
+
+
 def q_stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """T4: failure-test outcomes appended to a file sink as runs arrive."""
     ev = _events(spark, d, "event_id", "ts", "user_id", "event_type", "value")
@@ -152,6 +177,8 @@ STREAM_QUERIES = {
     "q_stream_wordcount": q_stream_wordcount,
     "q_stream_wordcount_restart": q_stream_wordcount_restart,
     "q_stream_outcomes": q_stream_outcomes,
+    "q_stream_attach_events": q_stream_attach_events,
+    "q_stream_wordcount_state": q_stream_wordcount_state,
 }
 
 STREAM_ORACLE = {
@@ -168,4 +195,8 @@ FROM events WHERE event_type <> 'error' GROUP BY 1, 2""",
     "q_stream_wordcount": _ALPHA_FREQ,
     "q_stream_wordcount_restart": ORACLE["q_dataset_words"],
     "q_stream_outcomes": ORACLE["q_outcomes"],
+    "q_stream_attach_events": ORACLE["q_attach_events"],
+    "q_stream_wordcount_state": f"""
+SELECT 1 AS start, word, n FROM ({_ALPHA_FREQ.replace("FROM documents", "FROM documents WHERE coalesce(abs(doc_id) % 2, 0) = 0")}) a
+UNION ALL SELECT 2 AS start, word, n FROM ({_ALPHA_FREQ}) b""",
 }

@@ -69,6 +69,15 @@ def latest_rows(spark: SparkSession, out: str, keys: list[str],
     return log.groupBy(*keys).agg(*[F.max_by(c, BATCH_COL).alias(c) for c in values])
 
 
+def state_rows(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """``(key, value, partition_id)``: an aggregating stream's state as its checkpoint holds it
+    after ``batch_id`` (the last batch, if not given)."""
+    reader = spark.read.format("statestore")
+    if batch_id is not None:
+        reader = reader.option("batchId", str(batch_id))
+    return reader.load(checkpoint)
+
+
 def run_append(df: DataFrame, out: str, checkpoint: str, fmt: str = "parquet",
                available_now: bool = True, options: dict[str, str] | None = None):
     """Append-mode file sink (T4): each batch adds files, exactly once."""

@@ -77,15 +77,42 @@ def test_result_tables_three_spellings_in_one_folder(spark, tmp):
     got = {r.dataset: r for r in read_results(spark, f"{tmp}/r").collect()}
     assert len(got) == 4
     a, b, c, g = got["alpha"], got["beta, two"], got["delta"], got["gamma"]
-    assert (a.cores, a.runtime_seconds, a.init_overhead_s, a.avg_mem_percent, a.avg_mem_mb) == (1, 10.5, 2.5, 700.0, None)
-    assert (b.cores, b.executor_memory, b.speedup_vs_1_core, b.avg_mem_mb, b.avg_mem_percent) == (2, "256 MB", 1.5, 900.0, None)
+    assert (a.cores, a.runtime_seconds, a.init_overhead_s, a.avg_mem_mb) == (1, 10.5, 2.5, 700.0)
+    assert (b.cores, b.executor_memory, b.speedup_vs_1_core, b.avg_mem_mb) == (2, "256 MB", 1.5, 900.0)
     assert (c.cores, c.failures, c.runtime_seconds) == (4, 1, 99.0)
     assert (g.cores, g.avg_cpu, g.avg_mem_mb) == (3, None, None)
+    assert (a.bad_record, b.bad_record, c.bad_record) == (None, None, None) and g.bad_record.startswith("3,gamma")
     with pytest.raises(ValueError):
         _write(f"{tmp}/none/x.csv", b"1,2\n")
         read_results(spark, f"{tmp}/none")
 
 
+def test_memory_unit_by_the_whole_header(spark, tmp):
+    _write(f"{tmp}/r/a.csv", b"dataset,cores,sort_mb,runtime_seconds,avg_cpu,avg_mem\nx,1,100,2.5,20,66.5\n")
+    _write(f"{tmp}/r/b.csv", f"{MAIN}\ny,1,1,1,700,1,1,1\n".encode())
+    got = {r.dataset: (r.avg_mem_percent, r.avg_mem_mb) for r in read_results(spark, f"{tmp}/r").collect()}
+    assert got == {"x": (66.5, None), "y": (None, 700.0)}
+
+
+def test_result_rows_are_reported_not_dropped(spark, tmp):
+    _write(f"{tmp}/a b/x.csv", f'{FAIL}\n1,"two\nlines, ""quoted""",1,0.5,800,99,3,2\n2,short\n3,long,1,0.5,800,99,3,2,9,9\n'.encode())
+    got = {r.cores: r for r in read_results(spark, f"{tmp}/a b").collect()}
+    assert got[1].dataset == 'two\nlines, "quoted"' and got[1].bad_record is None
+    assert got[2].dataset == "short" and got[2].runtime_seconds is None and "short" in got[2].bad_record
+    assert got[3].runtime_seconds == 99.0 and "long" in got[3].bad_record
+    plan = read_results(spark, f"{tmp}/a b")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("other", [b"1,2,3\n", f"{FAIL}\n1,a,1,1,1,1,1,1\n{SPILL}\n1,b,x,1,1,1,1,1\n".encode()])
+def test_result_files_without_one_header_are_named(spark, tmp, other):
+    _write(f"{tmp}/r/good.csv", f"{MAIN}\nalpha,1,1,1,1,1,1,1\n".encode())
+    _write(f"{tmp}/r/empty.csv", b"")
+    _write(f"{tmp}/r/bad.csv", other)
+    with pytest.raises(ValueError, match="bad.csv"):
+        read_results(spark, f"{tmp}/r")
+
+
 def test_blanks_in_the_root_and_one_level_bytes(spark, tmp):
     root = os.path.join(tmp, "my data+x")
     _write(f"{root}/toy set/a b.txt", b"one two\n")
