@@ -3,7 +3,8 @@
 Two tokenisers cut the same bytes.  The byte offsets at which a token of either
 ends stand in an end-to-index dictionary for each; the intersection of their keys
 holds the common ends.  Sorted, these cut both id lists into groups, and inside a
-group every pair of tokens whose byte ranges overlap is a link.
+group every pair of tokens whose byte ranges overlap is a link.  The spans (below)
+that are new to a task are aligned as one text, one after another.
 
 A (a rank file's byte-level vocabulary) runs over blank + text, B (a
 SentencePiece model, which adds the blank itself) over the text.  Both end a
@@ -32,7 +33,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+import itertools
+from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, written
-from .piece import BLANK, SharedModel
+from .common import no_cycle_search, written
+from .piece import BLANK, SharedModel, groups
 
 BLOCK_CHARS = 4 << 20      # text of a block; a longer document has a block of its own
 SPANS = 1 << 17            # spans kept by a task before the table is emptied
@@ -56,57 +59,38 @@ RESULT_DDL = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links b
               "count_sum bigint, groups_sha256 string")
 
 
-# ---------------------------------------------------------------- one span
-def align(a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """Groups (a from, a to, b from, b to) between common ends of two cuts of the same bytes."""
-    ends = []
-    for tokens in (a_bytes, b_bytes):
-        end, index_of = 0, {}
-        for i, t in enumerate(tokens):
-            end += len(t)
-            index_of[end] = i + 1              # of tokens without bytes the last one counts
-        ends.append(index_of)
-    a_at, b_at = ends
-    groups, a0, b0 = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        groups.append((a0, a_at[end], b0, b_at[end]))
-        a0, b0 = a_at[end], b_at[end]
-    return groups
-
-
-def group_links(a_bytes: list[bytes], b_bytes: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Index pairs of one group's tokens whose byte ranges overlap."""
-    if len(a_bytes) == 1 or len(b_bytes) == 1:
-        yield from ((i, j) for i in range(len(a_bytes)) for j in range(len(b_bytes)))
-        return
-    i = j = a_end = b_end = 0
-    a_end, b_end = len(a_bytes[0]), len(b_bytes[0])
-    while True:
-        yield i, j
-        if a_end == b_end and i + 1 == len(a_bytes):
-            return
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a:
-            i += 1
-            a_end += len(a_bytes[i])
-        if step_b:
-            j += 1
-            b_end += len(b_bytes[j])
+# ---------------------------------------------------------------- spans
+class Span(NamedTuple):
+    """One aligned span: sizes, the groups' text, its links as packed pair numbers (a id above, b id below)."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    groups: bytes
+    links: bytes
+
 
+_SIZES = [itemgetter(i) for i in range(4)]
+_GROUPS = itemgetter(4)
 
-class Span:
-    """One aligned span: sizes, the groups' text, its links as pair numbers (a id above, b id below)."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "links")
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each common end of two cuts of the same bytes, in order: how many tokens of A and of B it closes."""
+    a_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
+    b_at = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return (np.fromiter(map(a_at.__getitem__, common), np.int64, len(common)),
+            np.fromiter(map(b_at.__getitem__, common), np.int64, len(common)))
 
-    def __init__(self, a_ids, b_ids, a_bytes, b_bytes):
-        parts, self.links = [], []
-        for a0, a1, b0, b1 in align(a_bytes, b_bytes):
-            parts.append(f"{','.join(map(str, a_ids[a0:a1]))}|{','.join(map(str, b_ids[b0:b1]))}")
-            self.links += [a_ids[a0 + i] << 32 | b_ids[b0 + j]
-                           for i, j in group_links(a_bytes[a0:a1], b_bytes[b0:b1])]
-        self.n_a, self.n_b, self.n_groups = len(a_ids), len(b_ids), len(parts)
-        self.groups = ";".join(parts).encode()
+
+def expand_links(a_sizes: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links per token of A, and the links as (A index, B index): B's tokens from the one that holds
+    a token's first byte to the one that holds its last.  They never pass a common end."""
+    first, last = np.searchsorted(b_ends, a_ends - a_sizes, "right"), np.searchsorted(b_ends, a_ends, "left")
+    n = last - first + 1
+    return (n, np.repeat(np.arange(len(n)), n),
+            np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
 
 
 class Aligner:
@@ -120,6 +104,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, dtype=np.int64)
+        for i, token in self.a_bytes.items():
+            self.a_sizes[i] = len(token)
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+        self.a_text, self.b_text = list(map(str, range(len(self.a_sizes)))), list(map(str, range(len(pieces))))
         self.blank = self.b.piece_to_id(BLANK)
         self.by_span = all(BLANK not in p.lstrip(BLANK) for p in pieces) and not self.b.is_unknown(self.blank)
 
@@ -137,17 +126,35 @@ class Aligner:
 
     def cut(self, spans: list[str]) -> list[Span | None]:
         """The spans aligned; None where the tokens of A or B do not join to the span's bytes."""
-        b_ids = self.b.encode([s[1:] for s in spans], num_threads=1)
-        out = []
-        for span, b in zip(spans, b_ids):
-            if span == " ":                    # the library gives nothing for a text without a character
-                b = [self.blank]
-            a = self.a.encode_ordinary(span)
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            data = span.encode("utf-8", "surrogatepass")
-            same = b"".join(a_bytes) == data and b"".join(b_bytes) == data
-            out.append(Span(a, b, a_bytes, b_bytes) if same else None)
-        return out
+        a = [self.a.encode_ordinary(s) for s in spans]
+        # the library gives nothing for a text without a character
+        b = [ids or [self.blank] for ids in self.b.encode([s[1:] for s in spans], num_threads=1)]
+        data = [s.encode("utf-8", "surrogatepass") for s in spans]
+        fine = [b"".join(map(self.a_bytes.__getitem__, x)) == d == b"".join(map(self.b_bytes.__getitem__, y))
+                for x, y, d in zip(a, b, data)]
+        found = iter(self._align([x for x, ok in zip(a, fine) if ok], [y for y, ok in zip(b, fine) if ok]))
+        return [next(found) if ok else None for ok in fine]
+
+    def _align(self, a: list[list[int]], b: list[list[int]]) -> list[Span]:
+        """Spans one after another are one text of which every span's end is a common end."""
+        if not a:
+            return []
+        a_ids, b_ids = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a, b))
+        a_sizes = self.a_sizes[a_ids]
+        a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(self.b_sizes[b_ids])
+        a_cut, b_cut = common_ends(a_ends, b_ends)
+        a_text = list(map(self.a_text.__getitem__, a_ids.tolist()))
+        b_text = list(map(self.b_text.__getitem__, b_ids.tolist()))
+        a_to, b_to = a_cut.tolist(), b_cut.tolist()
+        groups = [f"{a_text[i]}|{b_text[k]}" if j - i == 1 == m - k else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}"
+                  for i, j, k, m in zip([0, *a_to], a_to, [0, *b_to], b_to)]
+        n_links, left, right = expand_links(a_sizes, a_ends, b_ends)
+        links = (a_ids[left] << 32 | b_ids[right]).tobytes()
+        stop = np.cumsum(np.fromiter(map(len, a), np.int64, len(a)))
+        group_stop = (np.searchsorted(a_cut, stop) + 1).tolist()
+        link_stop = np.cumsum(n_links)[stop - 1].tolist()
+        return [Span(len(x), len(y), g1 - g0, l1 - l0, ";".join(groups[g0:g1]).encode(), links[8 * l0:8 * l1])
+                for x, y, g0, g1, l0, l1 in zip(a, b, [0, *group_stop], group_stop, [0, *link_stop], link_stop)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,26 +177,24 @@ class _Block:
         if not found or None in found:
             self.docs.append((doc_id, 0, 0, 0, 0, "", b"", b""))
             return
-        numbers = []
-        for word, span in zip(words, found):
-            n = self.number.get(word)
-            if n is None:
-                n = self.number[word] = len(self.spans)
+        number = self.number
+        for word, span in dict(zip(words, found)).items():
+            if word not in number:
+                number[word] = len(self.spans)
                 self.spans.append(span)
-            numbers.append(n)
-        used, times = np.unique(np.array(numbers, dtype=np.int32), return_counts=True)
-        digest = hashlib.sha256(b";".join([s.groups for s in found])).hexdigest()
-        self.docs.append((doc_id, sum(s.n_a for s in found), sum(s.n_b for s in found),
-                          sum(s.n_groups for s in found), sum(len(s.links) for s in found), digest,
-                          used.tobytes(), times.astype(np.int32).tobytes()))
+        numbers = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        used, times = np.unique(numbers, return_counts=True)
+        digest = hashlib.sha256(b";".join(map(_GROUPS, found))).hexdigest()
+        self.docs.append((doc_id, *[sum(map(size, found)) for size in _SIZES], digest,
+                          np.diff(used, prepend=np.int32(0)).tobytes(), times.astype(np.int32).tobytes()))
 
     def rows(self, schema: pa.Schema) -> pa.RecordBatch:
         """A row for each document, the first with the block's tables of pairs and spans."""
         times = np.zeros(len(self.spans), dtype=np.int64)
         for *_, used, counts in self.docs:
-            times[np.frombuffer(used, np.int32)] += np.frombuffer(counts, np.int32)
-        sizes = np.array([len(s.links) for s in self.spans], dtype=np.int64)
-        links = np.array([x for s in self.spans for x in s.links], dtype=np.int64)
+            times[np.cumsum(np.frombuffer(used, np.int32))] += np.frombuffer(counts, np.int32)
+        sizes = np.array([s.n_links for s in self.spans], dtype=np.int64)
+        links = np.frombuffer(b"".join([s.links for s in self.spans]), np.int64)
         pairs, members = np.unique(links, return_inverse=True)
         linked = np.zeros(len(pairs), dtype=np.int64)
         np.add.at(linked, members, np.repeat(times, sizes))
@@ -216,26 +221,29 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, model_path: str) ->
         known: dict[str, Span | None] = {}
         first = TaskContext.get().partitionId() << 32
         block = _Block(first)
-        for batch in batches:
-            for doc_id, text in rows_of(batch, "doc_id", "text"):
-                words = tool.spans(text) if text else []
+        for rows in groups(batches, "doc_id", "text"):
+            split = [tool.spans(text) if text else [] for _, text in rows]
+            if len(known) >= SPANS:
+                known.clear()
+            new = list(set().union(*split) - known.keys())
+            known.update(zip(new, tool.cut(new)))
+            for (doc_id, text), words in zip(rows, split):
                 if block.docs and block.chars + len(text or "") > BLOCK_CHARS:
                     yield block.rows(schema)
                     block = _Block(block.ident + 1)
-                new = list(dict.fromkeys(w for w in words if w not in known))
-                if len(known) + len(new) > SPANS:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                known.update(zip(new, tool.cut(new)))
-                block.add(doc_id, words, [known[w] for w in words])
+                block.add(doc_id, words, list(map(known.__getitem__, words)))
                 block.chars += len(text or "") + 16
-                for w in new:
-                    if len(w) > LONG:
-                        del known[w]
+            for w in new:
+                if len(w) > LONG:
+                    del known[w]
         if block.docs:
             yield block.rows(schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK_DDL)
+    def quietly(batches):
+        with no_cycle_search():
+            yield from run(batches)
+
+    return docs.select("doc_id", "text").mapInArrow(quietly, BLOCK_DDL)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -261,7 +269,7 @@ def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
         count[place], top[place] = values.column("n").to_numpy(), values.column("best").cast(pa.int8()).to_numpy()
         by_span = np.add.reduceat(count[members], starts), np.add.reduceat(top[members], starts)
         for r in range(n):
-            used = np.frombuffer(docs.column("spans")[r].as_py(), np.int32)
+            used = np.cumsum(np.frombuffer(docs.column("spans")[r].as_py(), np.int32))
             times = np.frombuffer(docs.column("uses")[r].as_py(), np.int32).astype(np.int64)
             total[r], best[r] = (by_span[0][used] * times).sum(), (by_span[1][used] * times).sum()
     return docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"]).append_column(
@@ -271,7 +279,7 @@ def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
 
 def alignment(docs: DataFrame, ranks_path: str, pattern: str, model_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
-    blocks = written(aligned(docs, ranks_path, pattern, model_path), "aligned")
+    blocks = written(aligned(docs, ranks_path, pattern, model_path), "aligned", compression="zstd")
     wanted = (blocks.where("pairs is not null")
               .select(F.col("block").alias("of"), F.posexplode("pairs").alias("place", "pair")))
     values = wanted.join(pair_counts(blocks), "pair").select("of", "place", "n", "best")

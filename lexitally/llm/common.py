@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return read_table(spark, sf_dir, name, cols or None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a reread, not the work before it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "llm", name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -105,6 +107,18 @@ class Chunks:
             yield self.flush()
 
 
+@contextlib.contextmanager
+def no_cycle_search():
+    """A task that builds large tables and no reference cycles: Python need not look for any."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """Rows of a batch as Python values, a few at a time (texts may be long)."""
     cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
