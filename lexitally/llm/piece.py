@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Chunks, rows_of
+from .common import Chunks, no_cycle_search, rows_of
 
 BLANK = "▁"
 CACHE_WORDS = 1 << 18      # words kept per task before the table is emptied
@@ -181,20 +181,19 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.joined[at], NO_PIECE)
 
-    def symbols_of_all(self, words: list[str]) -> list[list[int]]:
-        """:meth:`symbols` of words of one length: a row of the matrix is a word's agenda, and
-        each round takes the best entry off every row that has one left."""
+    def pack_all(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of one length: a row of the matrix is a word's agenda, and each
+        round takes the best entry off every row that has one left."""
         n, width = len(words), len(words[0])
         ids = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")].reshape(n, width)
-        out: list[list[int]] = [[]] * n
+        out: list[bytes] = [b""] * n
         rows = np.arange(n)
         agenda = self._joined(ids[:, :-1], ids[:, 1:])
         while True:
             best = (agenda >> 24).argmin(axis=1) if agenda.shape[1] else np.zeros(len(rows), np.int64)
             entry = agenda[np.arange(len(rows)), best] if agenda.shape[1] else np.full(len(rows), NO_PIECE)
             done = entry == NO_PIECE
-            for row, symbols in zip(rows[done].tolist(), ids[done].tolist()):
-                out[row] = symbols
+            self._put(out, rows[done], ids[done])
             rows, best, entry = rows[~done], best[~done], entry[~done]
             if not len(rows):
                 return out
@@ -210,6 +209,14 @@ class Pieces:
                 r, p = each[inside], place[inside]
                 agenda[r, p] = self._joined(ids[r, p], ids[r, p + 1])
 
+    def _put(self, out: list[bytes], rows: np.ndarray, ids: np.ndarray) -> None:
+        """Pack rows of symbols of one width into their places of ``out``."""
+        size, data = 4 * ids.shape[1], ids.astype("<u4").tobytes()
+        for k, row in enumerate(rows.tolist()):
+            out[row] = data[k * size:(k + 1) * size]
+        for k in np.flatnonzero((ids >= len(self.pieces)).any(axis=1)).tolist():
+            out[rows[k]] = self._pack(ids[k].tolist())
+
     def _pack(self, ids: list[int]) -> bytes:
         n = len(self.pieces)
         if max(ids) >= n:
@@ -243,7 +250,7 @@ class Pieces:
         for same in by_length.values():
             for start in range(0, len(same), ROWS):
                 part = same[start:start + ROWS]
-                table.update(zip(part, map(self._pack, self.symbols_of_all(part))))
+                table.update(zip(part, self.pack_all(part)))
 
     def encode_all(self, texts: list[str | None], table: dict[str, bytes]) -> list[bytes]:
         """Ids of whole texts, with begin and end, as little-endian unsigned 32-bit integers.
@@ -254,7 +261,7 @@ class Pieces:
         split = [self.split(t) if t else [] for t in texts]
         if len(table) >= CACHE_WORDS:
             table.clear()
-        new = {w for words in split for w in words if w not in table}
+        new = set().union(*split) - table.keys()
         self.pack_words(new, table)
         begin, end = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
         out = [b"".join([begin, *map(table.__getitem__, words), end]) for words in split]
@@ -393,7 +400,11 @@ def encode(df: DataFrame, model: str, text_col: str = "text", keep: tuple[str, .
                 yield from out.add(tuple(row), 64 + 3 * len(packed))
         yield from out.rest()
 
-    return df.select(*[f"`{c}`" for c in keep], text_col).mapInArrow(run, ddl)
+    def quietly(batches):
+        with no_cycle_search():
+            yield from run(batches)
+
+    return df.select(*[f"`{c}`" for c in keep], text_col).mapInArrow(quietly, ddl)
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:

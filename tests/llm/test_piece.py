@@ -51,7 +51,7 @@ def test_matrix_of_agendas_equals_single_agendas(own):
     rnd = random.Random(3)
     for width in (1, 2, 5, 17):
         words = ["".join(rnd.choice("▁thernigsaé\n") for _ in range(width)) for _ in range(300)]
-        assert own.symbols_of_all(words) == [own.symbols(w) for w in words]
+        assert own.pack_all(words) == [own._pack(own.symbols(w)) for w in words]
 
 
 def test_word_table_is_emptied_and_keeps_no_long_words(own, monkeypatch):
