@@ -5,24 +5,25 @@ byte-fallback tokens, and the entropy of its tokens.  Rejection bands come from
 the corpus itself: quartiles of each measure over all documents of a language
 (or of a script, where the language is unknown) that pass the base rules, widened
 by a multiple of their distance.  A document outside a band is rejected.  A group
-of few documents has its own quartiles too, with a band that is at least as wide
-as that of all documents and grows as the group gets smaller: a rare language is
-never held against the majority's band.
+of few documents has its own quartiles too; its band's reach goes from that of all
+documents to its own as the group grows, by one formula without a step, and is the
+wider the smaller the group: a rare language is never held against the majority's band.
 
 Tokens are counted word by word with one table per task, so cost follows the
 number of distinct words of a text.
 
 Defined results: a null text has no words and fails the base rules; texts of
-unknown language without a letter share the band of all documents where fewer than
-``MIN_GROUP`` of them pass; an empty table gives no rows; repeated rows count as often as they occur.
+unknown language without a letter are a group of their own; an empty table gives no rows; repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
 from collections import Counter
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SharedVocabulary
-from .common import Chunks, ascii_words, rows_of, written
+from .common import Chunks, ascii_words, no_cycle_search, written
 from .packing import worker_encoder
+from .piece import groups
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 CACHE_WORDS = 1 << 18
-MIN_GROUP = 30                  # bands of smaller groups widen by sqrt(this / passing documents)
+SURE = 30                       # passing documents at which a group's own quartiles count as much as the corpus's
 FENCE = 3.0                     # band: quartiles +- FENCE * (distance of the quartiles)
 STEADY_WORDS = 150              # measures of shorter texts spread more: bands widen by sqrt(1 + this / n_words)
 SLACK = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.03}
 MEASURES = tuple(SLACK)
-NO_SCRIPT = "script none"
 
 
 def repeated_window_words(ids: np.ndarray, n: int = 3) -> int:
@@ -85,51 +86,58 @@ def script_of(text: str | None) -> str:
     return min(seen, key=lambda s: (-seen[s], s)).lower() if seen else "none"
 
 
-class _Pieces(dict):
-    """word -> (its token ids, number of byte-fallback tokens)."""
-
-    def __init__(self, bpe, pieces):
-        super().__init__()
-        self.bpe, self.pieces = bpe, pieces
-        self.byte_ids = {i for i in range(pieces.get_piece_size()) if pieces.is_byte(i)}
-
-    def __missing__(self, word: str):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        fallback = self.pieces.encode(word)
-        value = self[word] = (np.frombuffer(self.bpe.encode_packed(" " + word), "<u4"),
-                              sum(i in self.byte_ids for i in fallback), len(fallback))
-        return value
-
-
 class Meter:
-    """Fertility measures of a text with the two vocabularies."""
+    """Fertility measures of texts with the two vocabularies.
 
-    def __init__(self, bpe, pieces):
-        self.words = _Pieces(bpe, pieces)
+    Keeps a bounded table: word -> (packed ids, number of ids, byte-fallback tokens, pieces).
+    """
 
-    def measure(self, text: str | None) -> tuple[float, float, float]:
-        """(characters per token, byte-fallback share, entropy of the tokens).
+    def __init__(self, bpe, pieces):
+        self.bpe, self.pieces = bpe, pieces
+        self.is_byte = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
+        self.words: dict[str, tuple[bytes, int, int, int]] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words new to the table, each vocabulary in one go."""
+        if not words:
+            return
+        pieces = self.pieces.encode(words, num_threads=1)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = self.is_byte[np.fromiter(itertools.chain.from_iterable(pieces), np.int64, int(sizes.sum()))]
+        done = np.concatenate([[0], np.cumsum(flat)])
+        stop = np.cumsum(sizes)
+        fallback = (done[stop] - done[stop - sizes]).tolist()
+        for word, n, byte in zip(words, sizes.tolist(), fallback):
+            packed = self.bpe.encode_packed(" " + word)
+            self.words[word] = packed, len(packed) // 4, byte, n
+
+    def measure_all(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
+        """(characters per token, byte-fallback share, entropy of the tokens) of each text.
 
         The entropy is a share of the largest one that so many tokens can have.
         All are 0 for a text without words.
         """
-        counts = Counter((text or "").split())
+        counts = [Counter((t or "").split()) for t in texts]
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        self.learn(list(set().union(*counts) - self.words.keys()))
+        return [self._measure(c) for c in counts]
+
+    def measure(self, text: str | None) -> tuple[float, float, float]:
+        return self.measure_all([text])[0]
+
+    def _measure(self, counts: Counter) -> tuple[float, float, float]:
         if not counts:
             return 0.0, 0.0, 0.0
-        found = [self.words[w] for w in counts]
+        packed, sizes, fallback, pieces = zip(*map(self.words.__getitem__, counts))
         n = np.fromiter(counts.values(), np.int64, len(counts))
-        ids = np.concatenate([f[0] for f in found])
-        times = np.repeat(n, [len(f[0]) for f in found])
-        total = int(times.sum())
-        chars = sum(len(w) * c for w, c in counts.items())
+        ids, sizes = np.frombuffer(b"".join(packed), "<u4"), np.array(sizes)
+        total = int(n @ sizes)
+        chars = sum(map(mul, map(len, counts), counts.values()))
         _, back = np.unique(ids, return_inverse=True)
-        per_token = np.bincount(back, times)
-        p = per_token / total
+        p = np.bincount(back, np.repeat(n, sizes)) / total
         entropy = float(-(p * np.log2(p)).sum()) / math.log2(total) if total > 1 else 1.0
-        fallback = int(n @ np.array([f[1] for f in found]))
-        pieces = int(n @ np.array([f[2] for f in found]))
-        return chars / max(1, total), fallback / max(1, pieces), entropy
+        return chars / max(1, total), int(n @ np.array(fallback)) / max(1, int(n @ np.array(pieces))), entropy
 
 
 _models: dict[int, object] = {}
@@ -163,15 +171,19 @@ def measures(docs: DataFrame, bpe_path: str, pieces_path: str) -> DataFrame:
 
     def run(batches):
         meter, out = Meter(worker_encoder(bpe), _worker_pieces(pieces)), Chunks(schema)
-        for batch in batches:
-            for doc, text, lang in rows_of(batch, "doc_id", "text", "lang"):
+        for rows in groups(batches, "doc_id", "lang", "text"):
+            for (doc, lang, text), found in zip(rows, meter.measure_all([r[-1] for r in rows])):
                 group = f"language {lang}" if lang is not None else f"script {script_of(text)}"
-                yield from out.add((doc, *base_counts(text), *meter.measure(text), group), 150)
+                yield from out.add((doc, *base_counts(text), *found, group), 150)
         yield from out.rest()
 
     ddl = ", ".join(["doc_id bigint"] + [f"{n} bigint" for n in names]
                     + [f"{m} double" for m in MEASURES] + ["band_group string"])
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, ddl)
+    def quietly(batches):
+        with no_cycle_search():
+            yield from run(batches)
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(quietly, ddl)
 
 
 def base_failed():
@@ -187,11 +199,10 @@ def bands(measured: DataFrame) -> DataFrame:
     passing = measured.where(~base_failed())
     tagged = passing.select("band_group", *MEASURES)
     quart = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in MEASURES]
-    groups = tagged.groupBy("band_group").agg(F.count("*").alias("n"), *quart)
-    groups = groups.where((F.col("n") >= MIN_GROUP) | (F.col("band_group") != NO_SCRIPT))
+    own = tagged.groupBy("band_group").agg(F.count("*").alias("n"), *quart)
     whole = tagged.agg(F.count("*").alias("n"), *quart).select(
         F.lit(None).cast("string").alias("band_group"), "n", *MEASURES)
-    out = groups.unionByName(whole)
+    out = own.unionByName(whole)
     for m in MEASURES:
         reach = F.greatest(FENCE * (F.col(m)[1] - F.col(m)[0]), F.lit(SLACK[m]))
         out = out.withColumn(m, F.struct(F.col(m)[0].alias("low"), F.col(m)[1].alias("high"), reach.alias("reach")))
@@ -207,7 +218,10 @@ def judge(measured: DataFrame) -> DataFrame:
         F.col("band_group"), F.col("n").alias("_n"), *[F.col(m).alias(f"_{m}") for m in MEASURES])
     joined = measured.join(own, "band_group", "left")
     inside = F.lit(True)
-    few = F.col("_n") < MIN_GROUP
+    # one formula for every size: the reach goes from the corpus's to the group's own as the group
+    # grows, and is wider the less sure its quartiles are
+    trust = F.col("_n") / (F.col("_n") + SURE)
+    spread = F.sqrt(1 + SURE / F.col("_n"))
     wider = F.sqrt(1 + STEADY_WORDS / F.greatest("n_words", F.lit(1)))
     for m in MEASURES:
         default = whole[m] if whole else None
@@ -216,8 +230,8 @@ def judge(measured: DataFrame) -> DataFrame:
             fixed = default[name] if default else None
             return F.coalesce(F.col(f"_{m}")[name], F.lit(fixed).cast("double"))
         least = F.lit(default["reach"] if default else None).cast("double")
-        reach = F.when(few, F.greatest(part("reach"), least) * F.sqrt(MIN_GROUP / F.col("_n"))).otherwise(part("reach"))
-        reach = reach * wider
+        mixed = trust * part("reach") + (1 - trust) * F.greatest(part("reach"), least)
+        reach = F.coalesce(mixed * spread, least) * wider
         outside = (F.col(m) < part("low") - reach) | (F.col(m) > part("high") + reach)
         inside = inside & ~F.coalesce(outside, F.lit(False))
     return joined.select(*measured.columns, base_failed().alias("base_failed"), inside.alias("inside"),

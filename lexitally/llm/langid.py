@@ -43,14 +43,23 @@ BUCKETS = 1 << 15
 DIM = 16
 SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 1000
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 CACHE_BYTES = 64 << 20                  # of a task's word table, where there are many languages
 LEARN_WORDS = 1 << 14                   # words looked up at once
 CLASSES = (32, 128, 512)                # length classes: subwords of a text over the least count of one
 MIN_CLASS = 30                          # a class with fewer calibration texts takes in the shorter ones
 FENCE = 1.5                             # bounds: median - FENCE * (median - 0.1 % quantile)
 SNIPPETS = (1, 2, 4, 9)                 # words in the short cuts of a training text
-WORDS = re.compile(r"[^\W\d_]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; numbers that are no digits (superscripts, fractions) are no letters."""
+    text = text.lower()
+    found = _RUNS(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join([c if c.isalpha() else " " for c in text]).split()
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +97,7 @@ def training_bags(labelled: DataFrame) -> DataFrame:
         out = Chunks(schema)
         for batch in batches:
             for doc, text, lang in rows_of(batch, "doc_id", "text", "lang"):
-                words = WORDS(text.lower()) if text else []
+                words = words_of(text) if text else []
                 cuts = [words]
                 for k, n in enumerate(SNIPPETS):
                     at = zlib.crc32(f"{doc}/{k}".encode()) % max(1, len(words) - n + 1)
@@ -310,7 +319,7 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[str, float, bool]:
         """(language or und, calibrated score, accepted)."""
-        counts = Counter(WORDS(text.lower())) if text and self.model else None
+        counts = Counter(words_of(text)) if text and self.model else None
         if not counts:
             return "und", 0.0, False
         k = len(self.model.languages)

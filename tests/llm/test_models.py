@@ -278,3 +278,43 @@ def test_sample_is_bounded_for_null_and_repeated_ids(spark, monkeypatch):
     few = sum(not held(i) for i in range(20)) + 1
     assert {lang: len(docs) for lang, docs in got.items()} == {
         "null ids": 50, "one id": 50, "one row": 1, "own ids": 50, "few": few}
+
+
+def test_bands_by_plain_python_and_no_step_with_the_group_size(spark):
+    """Every verdict recomputed from the measures; a group's reach changes smoothly with its size."""
+    rng = np.random.default_rng(5)
+    rows, low = [], {}
+    for g, n in (("language a", 400), ("language b", 29), ("language c", 30), ("script none", 3), ("language e", 1)):
+        for _ in range(n):
+            rows.append((len(rows), int(rng.integers(40, 400)), 0, *[float(x) for x in rng.normal([3.0, 0.02, 0.7], 0.3)], g))
+    cols = "doc_id long, n_words long, n_repeat_words long, chars_per_token double, byte_share double, token_entropy double, band_group string"
+    got = {r.doc_id: r for r in T.judge(spark.createDataFrame(rows, cols)).collect()}
+    passing = [r for r in rows if r[1] >= 50]
+
+    def quartiles(sample, m):                  # percentile_approx of small samples: the value at that rank
+        v = sorted(r[3 + m] for r in sample)
+        return [v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.75)]
+
+    def reach(sample, m):
+        a, b = quartiles(sample, m)
+        return max(T.FENCE * (b - a), list(T.SLACK.values())[m])
+
+    for r in rows:
+        own = [x for x in passing if x[6] == r[6]]
+        inside = True
+        for m in range(3):
+            least = reach(passing, m)
+            if own:
+                a, b = quartiles(own, m)
+                trust = len(own) / (len(own) + T.SURE)
+                far = (trust * reach(own, m) + (1 - trust) * max(reach(own, m), least)) * math.sqrt(1 + T.SURE / len(own))
+            else:
+                (a, b), far = quartiles(passing, m), least
+            far *= math.sqrt(1 + T.STEADY_WORDS / max(1, r[1]))
+            inside &= a - far <= r[3 + m] <= b + far
+        assert got[r[0]].inside == inside and got[r[0]].kept == (inside and r[1] >= 50), r
+
+
+def test_numbers_that_are_no_digits_are_no_letters():
+    assert L.words_of("x\u00b2 \u00bd \u2460 \u2167 Na\u00efve a1b \u4e00") == ["x", "na\u00efve", "a", "b", "\u4e00"]
+    assert L.words_of("\u00b2 \u00bd \u2460 \u2167 12 _") == []
