@@ -109,6 +109,11 @@ class Bpe:
         self.chunks = _Words(self._chunk, 2 * cache_words)
         self.spaced = _Words(lambda c: self._chunk(" " + c), 2 * cache_words)
 
+    def drop_tables(self) -> None:
+        """Free what encoding and decoding need; :meth:`segments` still works."""
+        for name in ("pairs", "tokens", "pieces", "words", "chunks", "spaced"):
+            self.__dict__.pop(name, None)
+
     # ------------------------------------------------------------ reading
     def _read_normaliser(self, spec):
         steps = [] if not spec else spec["normalizers"] if spec["type"] == "Sequence" else [spec]

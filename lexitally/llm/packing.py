@@ -59,6 +59,7 @@ class Encoder:
             back = {c: b for b, c in enumerate(byte_symbols())}
             ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if i not in self.bpe.added.values()}
             self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.bpe.drop_tables()             # only the added tokens are still asked for
 
     def encode_packed(self, text: str | None) -> bytes:
         if self.fast is None:
