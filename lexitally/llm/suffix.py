@@ -314,7 +314,10 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), thresho
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     done = remove_repeats(docs)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.col("kept").cast("string")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       # null where a removed run cuts a character, so that the rest is no text
+                       F.when(F.is_valid_utf8(text), text).alias("text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -360,7 +363,7 @@ k AS (SELECT doc_id, string_agg(substr(hx, 2 * before + 1, 2 * (lo - before)), '
              max(hi) AS stop, sum(hi - lo) AS removed, count(*) AS spans
       FROM p JOIN n USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
-FROM n LEFT JOIN k USING (doc_id)
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(rest) AS kept_sha256, TRY(decode(rest)) AS text
+FROM (SELECT *, unhex(coalesce(head, '') || substr(hx, 2 * coalesce(stop, 0) + 1)) AS rest
+      FROM n LEFT JOIN k USING (doc_id))
 """
