@@ -424,11 +424,12 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id.
 
-    Rows that repeat this doc_id stay once; rows without a doc_id all stay.
+    Rows that repeat this doc_id and its text stay once, other texts under it stay, too; rows
+    without a doc_id all stay.
     """
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 SQL = """
