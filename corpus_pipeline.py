@@ -11,7 +11,7 @@ with a null or letterless text is rejected by the language stage.
 from __future__ import annotations
 
 from lexitally.llm import jaccard, langid, packing, rff, suffix
-from lexitally.llm.common import table, written
+from lexitally.llm.common import discard, table, written
 
 STAGES = [
     ("language_id", langid.stage),
@@ -27,7 +27,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str):
     """Apply all stages to ``documents``, each on what its predecessor kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)                    # read for the last time
+        before = docs
     return docs
