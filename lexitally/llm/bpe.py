@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import Chunks, rows_of
 
@@ -35,6 +36,8 @@ SHORT = 96                 # symbols; longer words use the heap
 CACHE_WORDS = 1 << 17      # words kept per task before the table is emptied
 NO_RANK = 1 << 62
 ODD_SPACE = re.compile("[\x1c-\x1f]").search     # white space to str.split alone
+# Letters, numbers and case forms of other characters change from one Unicode version to the next.
+FAR = re.compile("[^\x00-\u02ff\u2000-\u206f]").search
 
 # Fixed value: the split pattern of byte-level vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,6 +80,10 @@ class Bpe:
     steps NFC / Replace / Lowercase, the split pattern, added tokens, decoder.
     Unused truncation, padding and post-processing are ignored, as with
     ``add_special_tokens=False``.
+
+    Which characters are letters and how they are lowered is the library's own
+    Unicode version; texts and chunks with characters beyond those that never
+    differ (``FAR``) are normalised and split by the library's components.
     """
 
     def __init__(self, source: str, cache_words: int = CACHE_WORDS):
@@ -97,7 +104,7 @@ class Bpe:
         self.tokens.update({i: t for t, i in self.added.items()})
         self.added_re = re.compile("(" + "|".join(
             re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.find, self.drops_space = self._pattern(spec["pre_tokenizer"])
+        self.find, self.far_find, self.drops_space = self._pattern(spec["pre_tokenizer"])
         self._read_normaliser(spec.get("normalizer"))
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         if self.byte_decoder:
@@ -117,31 +124,38 @@ class Bpe:
     # ------------------------------------------------------------ reading
     def _read_normaliser(self, spec):
         steps = [] if not spec else spec["normalizers"] if spec["type"] == "Sequence" else [spec]
-        self.steps = []
+        self.steps, whole = [], []
         for s in steps:
             if s["type"] == "NFC":
                 self.steps.append(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
+                whole.append(normalizers.NFC())
             elif s["type"] == "Replace":
+                whole.append(normalizers.Replace(Regex(s["pattern"]["Regex"]), s["content"]))
                 if self.drops_space and (s["pattern"]["Regex"], s["content"]) == (r"\s+", " "):
                     continue                   # white space is dropped anyway
                 sub, to = regex.compile(s["pattern"]["Regex"]).sub, s["content"]
                 self.steps.append(lambda t, sub=sub, to=to: sub(to, t))
             elif s["type"] == "Lowercase":
-                # character by character: a final capital sigma gets no special form
-                self.steps.append(lambda t: t.lower() if t.isascii() else t.replace("Σ", "σ").lower())
+                # character by character, which up to U+02FF is what Python does
+                self.steps.append(str.lower)
+                whole.append(normalizers.Lowercase())
             else:
                 raise ValueError(f"normaliser {s['type']} is not supported")
+        self.far_steps = [normalizers.Sequence(whole).normalize_str] if whole else []
 
     @staticmethod
     def _pattern(spec):
-        """Search for the words (a Split step's pattern, else the byte-level one), and
-        whether white space between them is dropped."""
+        """Search for the words (a Split step's pattern, else the byte-level one), the same
+        by the library, and whether white space between them is dropped."""
         steps = spec["pretokenizers"] if spec["type"] == "Sequence" else [spec]
         for s in steps:
             if s["type"] == "Split":
-                return regex.compile(s["pattern"]["Regex"]).findall, (
-                    s["behavior"] == "Removed" and s["invert"] and "[^\\s" in s["pattern"]["Regex"])
-        return regex.compile(BYTE_LEVEL_PATTERN).findall, False
+                pattern = s["pattern"]["Regex"]
+                split = pre_tokenizers.Split(Regex(pattern), s["behavior"].lower(), s["invert"]).pre_tokenize_str
+                return regex.compile(pattern).findall, lambda t: [w for w, _ in split(t)], (
+                    s["behavior"] == "Removed" and s["invert"] and "[^\\s" in pattern)
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        return regex.compile(BYTE_LEVEL_PATTERN).findall, lambda t: [t[a:b] for _, (a, b) in split(t)], False
 
     # ------------------------------------------------------------ encoding
     def parts(self, word: str) -> tuple[list[int], list[int]]:
@@ -206,7 +220,10 @@ class Bpe:
             yield bits[i], self.added[bits[i + 1]] if i + 1 < len(bits) else -1
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.find(chunk)))
+        return b"".join(map(self.words.__getitem__, self._split(chunk)))
+
+    def _split(self, text: str) -> list[str]:
+        return self.far_find(text) if FAR(text) else self.find(text)
 
     def _ids(self, part: str) -> Iterator[bytes]:
         """Packed ids of a normalised text, by chunks where words can't cross them.
@@ -219,13 +236,13 @@ class Bpe:
         if not self.drops_space and "  " not in part:
             first, *rest = part.split(" ")
             return itertools.chain((self.chunks[first],), map(self.spaced.__getitem__, rest))
-        return map(self.words.__getitem__, self.find(part))
+        return map(self.words.__getitem__, self._split(part))
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         out = []
         for part, special in self.segments(text or ""):
-            for step in self.steps:
+            for step in self.far_steps if FAR(part) else self.steps:
                 part = step(part)
             out.extend(self._ids(part))
             if special >= 0:

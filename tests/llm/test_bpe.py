@@ -29,6 +29,17 @@ def test_same_as_library(name):
         assert own.decode_packed(own.encode_packed(text)) == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_characters_of_all_planes(name):
+    """Letters, numbers and case forms are those of the library's Unicode version."""
+    lib, own = Tokenizer.from_file(P.path(name)), B.Bpe(open(P.path(name), encoding="utf-8").read())
+    points = [c for c in (*range(0x3100), *range(0xA000, 0xAC80), *range(0xF900, 0x20000, 3), *range(0x2FA00, 0x110000, 997))
+              if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 24):
+        text = "".join(f"a{chr(c)}{('b', ' ', '', chr(0x301), '1')[c % 5]}" for c in points[i:i + 24])
+        assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_long_words_merge_as_short_ones(monkeypatch):
     own = B.Bpe(open(P.path(FILES[1]), encoding="utf-8").read())
     words = ["internationalization" * 3, "aaaaaaabbbbbbb" * 5, "x"]
@@ -45,7 +56,7 @@ def test_part_boundaries_cover_the_word():
 
 def test_frame_nulls_repeats_and_extra_columns(spark):
     rows = [(1, "Hello world", "x"), (1, "Hello world", "x"), (2, None, "y"), (None, "", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens_ string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     lib = Tokenizer.from_file(P.path(FILES[0]))
     got = B.bpe_encode(df, P.path(FILES[0]), keep=("doc_id",), decoded_col="decoded").collect()
     assert len(got) == 4
