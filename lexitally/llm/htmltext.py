@@ -10,7 +10,10 @@ nothing else is left, all parts left out by name are scored.  Every paragraph pa
 its ancestors, full to the nearest, less to those above; a container's points
 are discounted by its link density.  The best container is kept whole, with
 those siblings that score well or hold real paragraphs; where it lies in an
-``article`` or ``main`` element, that element is the container.
+``article`` or ``main`` element, that element is the container, and where
+elements above hold like paragraphs of their own (text nested ever deeper), it
+is widened to the highest of them.  The work is linear in the page, however
+deep it nests.
 
 Defined results: a null or empty page, or one without text, gives the empty
 text; text of any length is kept whole; unclosed and wrongly nested markup is
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,15 +79,18 @@ MAIN_NAMES = frozenset("content article main entry story post".split())
 LOWERED = 0.7                                             # share of its points for an element with a furniture word in a name
 NONE, LOWER, PLACE, OUT = range(4)                        # what the names of an element say
 MIN_PARAGRAPH = 25
+SIBLING_SHARE = 0.2                                       # of the best container's points, for what is kept beside it
+GAP = 3                                                   # levels without text of their own inside a chain
 
 
 class _Node:
-    __slots__ = ("name", "parent", "drop", "named", "points", "size", "links", "depth")
+    __slots__ = ("name", "parent", "drop", "named", "points", "own", "size", "links", "depth", "block", "kept")
 
     def __init__(self, name, parent, drop, named=NONE):
         self.name, self.parent, self.drop, self.named = name, parent, drop, named
-        self.points, self.size, self.links = 0.0, 0, 0
+        self.points, self.own, self.size, self.links, self.kept = 0.0, 0.0, 0, 0, False
         self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or name in BLOCK else parent.block      # nearest that owns text
 
 
 def _furniture(name: str, attrs: str, inside_main: bool) -> tuple[bool, int]:
@@ -137,6 +144,8 @@ def blocks_of(page: str, stays=frozenset()) -> tuple[list[tuple[str, _Node, int]
     """
     root = _Node("#root", None, False)
     stack, nodes, blocks = [root], [root], []
+    opened = Counter()                                    # names in the stack
+    last_end = page.rfind(">")
     parts: list[str] = []
     link_parts: list[str] = []
     links = 0                                             # open <a> elements
@@ -146,19 +155,22 @@ def blocks_of(page: str, stays=frozenset()) -> tuple[list[tuple[str, _Node, int]
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                owner = next(n for n in reversed(stack) if n.name in BLOCK or n.parent is None)
                 linked = len(" ".join("".join(link_parts).split())) if link_parts else 0
-                blocks.append((text, owner, min(linked, len(text))))
+                blocks.append((text, stack[-1].block, min(linked, len(text))))
         parts.clear()
         link_parts.clear()
 
     def pop_to(i):
         nonlocal links
-        links -= sum(n.name == "a" for n in stack[i:])
+        gone = Counter(n.name for n in stack[i:])
+        links -= gone["a"]
+        opened.subtract(gone)
         del stack[i:]
 
     def close(names, scope):
         """Close the innermost open element of ``names`` that ``scope`` does not hide."""
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 pop_to(i)
@@ -180,7 +192,7 @@ def blocks_of(page: str, stays=frozenset()) -> tuple[list[tuple[str, _Node, int]
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
-        if lt < 0:
+        if lt < 0 or lt > last_end:                       # no tag ends from here on
             add_text(page[at:])
             break
         add_text(page[at:lt])
@@ -202,8 +214,9 @@ def blocks_of(page: str, stays=frozenset()) -> tuple[list[tuple[str, _Node, int]
         if m["close"]:
             if name in BLOCK:
                 flush()
-            if name in ("br", "p") and not any(n.name == name for n in stack):
-                parts.append(" ")
+            if not opened[name]:
+                if name in ("br", "p"):
+                    parts.append(" ")
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
@@ -231,13 +244,14 @@ def blocks_of(page: str, stays=frozenset()) -> tuple[list[tuple[str, _Node, int]
         if name in VOID:
             continue
         top = stack[-1]
-        inside = any(n.name in ("article", "main") for n in stack) if name == "header" else False
+        inside = name == "header" and opened["article"] + opened["main"] > 0
         drop, named = _furniture(name, attrs, inside)
         out = named >= PLACE and stays is not None and len(nodes) not in stays
         # 1: left out with certainty, OUT: by names, which a later look may overrule
         node = _Node(name, top, 1 if drop or top.drop == 1 else OUT if out else top.drop, named)
         nodes.append(node)
         stack.append(node)
+        opened[name] += 1
         links += name == "a"
     flush()
     return blocks, nodes, lost
@@ -264,38 +278,49 @@ def _kept_parts(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
         if _paragraph(owner, text):
             points = _points(text) * (1 - linked / len(text))
             total += points
-            node = owner
-            while node:
-                if node.named == PLACE:
-                    inside[id(node)] = inside.get(id(node), 0.0) + points
-                node = node.parent
-    stays = frozenset(i for i, n in enumerate(all_nodes) if 2 * inside.get(id(n), 0.0) > total)
+            inside[id(owner)] = inside.get(id(owner), 0.0) + points
+    for node in reversed(all_nodes[1:]):                   # children stand behind their parents
+        if id(node) in inside:
+            inside[id(node.parent)] = inside.get(id(node.parent), 0.0) + inside[id(node)]
+    stays = frozenset(i for i, n in enumerate(all_nodes) if n.named == PLACE and 2 * inside.get(id(n), 0.0) > total)
     return blocks_of(page, stays)[:2] if stays else (blocks, nodes)
 
 
 def _score(blocks, nodes) -> None:
+    """Sizes, link sizes, own points (of paragraphs directly inside) and points of all elements."""
     for text, owner, linked in blocks:
-        node = owner
-        while node:
-            node.size += len(text)
-            node.links += linked
-            node = node.parent
+        owner.size += len(text)
+        owner.links += linked
         if _paragraph(owner, text):
             points = _points(text)
             node, share = owner if owner.name in ("div", "section", "article", "main", "body") else owner.parent, 1.0
+            if node:
+                node.own += points
             while node and share > 0.1:
                 node.points += points * share
                 node, share = node.parent, share / 2
+    for node in reversed(nodes[1:]):                       # children stand behind their parents
+        node.parent.size += node.size
+        node.parent.links += node.links
     for node in nodes:
-        node.points *= 1 - node.links / node.size if node.size else 0
-        if node.named:
-            node.points *= LOWERED
+        weight = (1 - node.links / node.size if node.size else 0) * (LOWERED if node.named else 1)
+        node.points *= weight
+        node.own *= weight
 
 
-def _inside(node, container) -> bool:
-    while node and node is not container:
-        node = node.parent
-    return node is container
+def _widened(best: _Node) -> _Node:
+    """The highest element above that holds paragraphs of its own like those of ``best``.
+
+    Text that nests ever deeper, some on each level, belongs together; so levels
+    are climbed while, within ``GAP`` of them, own points reach a fifth of
+    those of ``best``.
+    """
+    found, node, gap = best, best.parent, 0
+    while node and gap < GAP:
+        if node.own >= SIBLING_SHARE * best.points:
+            found, gap = node, -1
+        node, gap = node.parent, gap + 1
+    return found
 
 
 def main_text(page: str | None) -> str:
@@ -317,8 +342,9 @@ def main_text(page: str | None) -> str:
         kept = {id(node)}
         best = node
     else:
+        need = max(3.0, SIBLING_SHARE * best.points)
+        best = _widened(best) if best.points > 0 else best
         kept = {id(best)}
-        need = max(3.0, 0.2 * best.points)
         for n in nodes:
             if n.parent is best.parent and n is not best and n.size:
                 density = n.links / n.size
@@ -327,15 +353,9 @@ def main_text(page: str | None) -> str:
                     kept.add(id(n))
         if best.parent is not None and len(kept) > 1:      # loose text between kept siblings belongs to them
             kept.add(id(best.parent)) if best.parent.name == "#root" else None
-    out = []
-    for text, owner, _ in blocks:
-        n = owner
-        while n:
-            if id(n) in kept:
-                out.append(text)
-                break
-            n = n.parent
-    return "\n".join(out)
+    for n in nodes:                                        # parents stand before their children
+        n.kept = id(n) in kept or (n.parent is not None and n.parent.kept)
+    return "\n".join(text for text, owner, _ in blocks if owner.kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import html as H
 import re
+import time
 
 import pytest
 
@@ -59,6 +60,32 @@ def test_long_deep_and_broken_pages():
     X.main_text("<" * 5000 + "&" * 5000)
 
 
+@pytest.mark.parametrize("page, n", [
+    ("<div>A sentence of its own on each level. " * 100_000, 100_000),
+    ("<div><span>" + "<div><p>A sentence of its own on each level.</p>" * 20_000, 20_000),
+    ("<div><div><p>A sentence of its own on each level.</p>" * 20_000, 20_000)])
+def test_deep_pages_keep_all_text_in_linear_time(page, n):
+    start = time.monotonic()
+    assert X.main_text(page).count("A sentence of its own on each level.") == n
+    assert time.monotonic() - start < 20
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 50_000 + "x <p>" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<article>" * 50_000 + "<header>" * 50_000,
+    "<a '" * 100_000, "<div class=sidebar><p>Some words, with a comma.</p>" * 30_000, "<ul><li><a href=x>" * 30_000,
+    "<article><p>Some words.</article></p></b>" * 30_000])
+def test_odd_deep_pages_take_linear_time(page):
+    start = time.monotonic()
+    X.main_text(page)
+    assert time.monotonic() - start < 20
+
+
+def test_a_line_above_the_container_does_not_widen_it():
+    body = "".join(f"<p>{LONG}, {i}</p>" for i in range(12))
+    page = f"<div><div class=x><a href=1>Home</a> <a href=2>News</a></div><div><div>{body}</div></div>A line about rights, of the page.</div>"
+    assert X.main_text(page) == "\n".join(f"{LONG}, {i}" for i in range(12))
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", f"<p>{LONG}</p>", 2)],
                                "page_id long, url string, html string, n_chars long")
