@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import Chunks, rows_of
+from .common import Chunks, rows_of, worker_object
 
 SHORT = 96                 # symbols; longer words use the heap
 CACHE_WORDS = 1 << 17      # words kept per task before the table is emptied
@@ -260,15 +260,9 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_loaded: dict[int, Bpe] = {}
-
-
 def worker_bpe(shared) -> Bpe:
     """The vocabulary of this Python worker, parsed once per broadcast."""
-    if shared.id not in _loaded:
-        _loaded.clear()
-        _loaded[shared.id] = Bpe(shared.value)
-    return _loaded[shared.id]
+    return worker_object("bpe", "bpe", shared.id, lambda: Bpe(shared.value))
 
 
 class SharedVocabulary:

@@ -105,6 +105,7 @@ class Chunks:
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.cols[0]:
             yield self.flush()
+        pa.default_memory_pool().release_unused()          # the worker lives on beside the JVM
 
 
 @contextlib.contextmanager
@@ -126,6 +127,27 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield from zip(*[c.slice(start, 64).to_pylist() for c in cols])
 
 
+_kept: dict[tuple[str, str], tuple[int, object]] = {}
+
+
+def keep_only(owner: str) -> None:
+    """Free what operators other than ``owner`` keep in this Python worker between tasks."""
+    if any(o != owner for o, _ in _kept):
+        _kept.clear()
+
+
+def worker_object(owner: str, kind: str, ident: int, build):
+    """An operator's object in this Python worker, built anew for each broadcast ``ident``.
+
+    One of a kind is kept between tasks, until another operator's task comes.
+    """
+    keep_only(owner)
+    if _kept.get((owner, kind), (None,))[0] != ident:
+        _kept.pop((owner, kind), None)
+        _kept[owner, kind] = ident, build()
+    return _kept[owner, kind][1]
+
+
 # ------------------------------------------------------------ 64-bit mixing
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SharedVocabulary
-from .common import Chunks, ascii_words, no_cycle_search, written
+from .common import Chunks, ascii_words, no_cycle_search, worker_object, written
 from .packing import worker_encoder
 from .piece import groups
 
@@ -140,15 +140,10 @@ class Meter:
         return chars / max(1, total), int(n @ np.array(fallback)) / max(1, int(n @ np.array(pieces))), entropy
 
 
-_models: dict[int, object] = {}
-
-
 def _worker_pieces(shared):
-    if shared.id not in _models:
-        import sentencepiece
-        _models.clear()
-        _models[shared.id] = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
-    return _models[shared.id]
+    import sentencepiece
+    return worker_object("fertility", "pieces", shared.id,
+                         lambda: sentencepiece.SentencePieceProcessor(model_proto=shared.value))
 
 
 class _SharedBytes(SharedVocabulary):
@@ -170,7 +165,7 @@ def measures(docs: DataFrame, bpe_path: str, pieces_path: str) -> DataFrame:
                        + [(m, pa.float64()) for m in MEASURES] + [("band_group", pa.string())])
 
     def run(batches):
-        meter, out = Meter(worker_encoder(bpe), _worker_pieces(pieces)), Chunks(schema)
+        meter, out = Meter(worker_encoder(bpe, "fertility"), _worker_pieces(pieces)), Chunks(schema)
         for rows in groups(batches, "doc_id", "lang", "text"):
             for (doc, lang, text), found in zip(rows, meter.measure_all([r[-1] for r in rows])):
                 group = f"language {lang}" if lang is not None else f"script {script_of(text)}"

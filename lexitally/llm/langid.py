@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Chunks, masked_columns, mix64, names_of, rows_of, split_key
+from .common import Chunks, keep_only, masked_columns, mix64, names_of, rows_of, split_key
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -356,6 +356,7 @@ def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_i
                     + ["lang_pred string", "score double", "accepted boolean"])
 
     def predict(batches):
+        keep_only("langid")
         scorer, out = Scorer(shared.value), Chunks(schema)
         for batch in batches:
             for *kept, text in rows_of(batch, *keep, text_col):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import BYTE_LEVEL_PATTERN, Bpe, SharedVocabulary, byte_symbols
-from .common import Chunks, rows_of, written
+from .common import Chunks, rows_of, worker_object, written
 
 PIECE_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -74,15 +74,9 @@ class Encoder:
         return out.tobytes()
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def worker_encoder(shared) -> Encoder:
+def worker_encoder(shared, owner: str = "packing") -> Encoder:
     """The encoder of this Python worker, built once per broadcast."""
-    if shared.id not in _encoders:
-        _encoders.clear()
-        _encoders[shared.id] = Encoder(shared.value)
-    return _encoders[shared.id]
+    return worker_object(owner, "encoder", shared.id, lambda: Encoder(shared.value))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int | None = 0,
