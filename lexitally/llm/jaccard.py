@@ -16,12 +16,13 @@ for candidates, and the long ones are only probed for candidates already found.
    their list, and only a class's short lists are kept, as above.
 4. Rounds over the lists: each list picks hubs (one, then 16, 256, ...), its
    other members are searched for them, links merge components (in full at the end, by one
-   step in each round), and a list ends
-   when its members are one component or all have been hubs. Members remember how
-   far they are from the list's first hub: by the triangle inequality of the Jaccard
-   distance, pairs whose distances to it differ by more than a link allows are done.  So a list of
-   thousands of near copies costs about its length, and still no pair of different
-   components on one list stays unsearched.
+   step in each round), and a list ends when its members are one component or all have been hubs.
+   Two exact bounds spare most searches of members that link with nobody.  By place: all lists have
+   one order, by length, so what precedes the first list that two classes share is shared by neither, and
+   what follows it bounds the overlap.  By signature: each class folds its shingles into 1024 bits by
+   parity; two signatures differ in no more bits than the sets differ in shingles.  So a list of
+   thousands of near copies costs about its length and its links, and still no pair of different
+   components that could link stays unsearched.
 5. A search: the lists of a hub's shingles over a bounded cell of candidates; the
    short ones are merged by a heap, the T - 1 longest probed by binary search.
 
@@ -49,6 +50,7 @@ PERCENT = 80                      # least similarity, in hundredths
 SHARE = 4                         # one in so many shingles is posted in the first pass
 CACHE_WORDS = 1 << 18
 CELL = 256                        # candidates searched for one hub at a time
+SIGNATURE = 16                    # 64-bit words of a class's signature
 # Multipliers of the places in a shingle: odd constants of the 64-bit golden ratio and of public mixers.
 PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                  0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -84,14 +86,21 @@ def class_of(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each of 64 * SIGNATURE bits, as 64-bit words."""
+    odd = np.bincount(s % (64 * SIGNATURE), minlength=64 * SIGNATURE).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def required(n: int, m: int) -> int:
     """Least overlap of sets of n and m members that link."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-SKETCH_DDL = "doc_id bigint, n bigint, cls bigint, posted bigint, whole boolean, keys array<bigint>"
-SKETCH_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("posted", pa.int64()),
-                           ("whole", pa.bool_()), ("keys", pa.list_(pa.int64()))])
+DIGEST = "xxhash64(text) AS digest"               # tells texts under one id, or under none, apart
+SKETCH_DDL = "doc_id bigint, digest bigint, n bigint, cls bigint, posted bigint, whole boolean, keys array<bigint>"
+SKETCH_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
+                           ("posted", pa.int64()), ("whole", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -105,18 +114,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     def scan(batches):
         hashes, out = _Hashes(), Chunks(SKETCH_SCHEMA)
         for batch in batches:
-            for doc, text in rows_of(batch, "doc_id", "text"):
+            for doc, digest, text in rows_of(batch, "doc_id", "digest", "text"):
                 s = shingles(text, hashes)
                 if not len(s):
-                    yield from out.add((doc, 0, None, 0, False, []))
+                    yield from out.add((doc, digest, 0, None, 0, False, []))
                     continue
                 part = s[:np.searchsorted(s, limit)]
                 whole = len(part) <= len(s) - -(-PERCENT * len(s) // 100)
                 keys = np.concatenate([part, -1 - s]) if whole else part
-                yield from out.add((doc, len(s), class_of(s), len(part), whole, keys), 64 + 8 * len(keys))
+                yield from out.add((doc, digest, len(s), class_of(s), len(part), whole, keys), 64 + 8 * len(keys))
         yield from out.rest()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SKETCH_DDL)
+    return docs.selectExpr("doc_id", DIGEST, "text").mapInArrow(scan, SKETCH_DDL)
 
 
 def least(n):
@@ -125,7 +134,7 @@ def least(n):
 
 
 def promising(sketch: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes (rep, cls) that may have a partner, judged by the posted shingles.
+    """Classes (rep, digest, cls) that may have a partner, judged by the posted shingles.
 
     With b posted of n shingles, a partner shares at least T - (n - b) of the
     posted ones; so a class with more than b - T + (n - b) posted shingles of its
@@ -133,26 +142,28 @@ def promising(sketch: DataFrame, classes: DataFrame) -> DataFrame:
     """
     posts = sketch.select("cls", F.explode("keys").alias("key"))
     counts = posts.groupBy("key").agg(F.count("*").alias("found")).where("found > 1")
-    hits = posts.join(counts, "key").groupBy("cls", "found", (F.col("key") < 0).alias("second")).agg(
+    # counts grow with the corpus: merged at every size, never sent to all
+    hits = posts.join(counts.hint("merge"), "key").groupBy("cls", "found", (F.col("key") < 0).alias("second")).agg(
         F.count("*").alias("hits"))
     # a class's own copies find its shingles, too: only more than those count
     shared = (hits.join(classes, "cls").where(F.col("found") > F.col("copies"))
-              .groupBy("cls").agg(*[F.first(c).alias(c) for c in ("rep", "n", "posted", "whole")],
+              .groupBy("cls").agg(*[F.first(c).alias(c) for c in ("rep", "digest", "n", "posted", "whole")],
                                   F.sum(F.when(~F.col("second"), F.col("hits") / F.col("copies"))).alias("a"),
                                   F.sum(F.when(F.col("second"), F.col("hits") / F.col("copies"))).alias("b")))
     spare = F.col("n") - least(F.col("n"))
     first = F.coalesce(F.col("a"), F.lit(0.0)) + spare >= F.col("posted")
     second = F.coalesce(F.col("b"), F.lit(0.0)) >= least(F.col("n"))
     sampled = F.col("a").isNotNull() & F.when(F.col("whole"), F.lit(True)).otherwise(first)
-    return shared.where(sampled | second).select("rep", "cls")
+    return shared.where(sampled | second).select("rep", "digest", "cls")
 
 
-SET_DDL = "cls bigint, n bigint, members array<bigint>"
-SET_SCHEMA = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
+SET_DDL = "cls bigint, n bigint, members array<bigint>, bits array<bigint>"
+SET_SCHEMA = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64())),
+                        ("bits", pa.list_(pa.int64()))])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, members) of the wanted classes, from their representatives' texts."""
+    """(cls, n, members, bits) of the wanted classes, from their representatives' texts."""
 
     def scan(batches):
         hashes, out = _Hashes(), Chunks(SET_SCHEMA)
@@ -160,26 +171,32 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, cls in rows_of(batch, "text", "cls"):
                 s = shingles(text, hashes)
                 if class_of(s) == cls:                  # ids that repeat with another text don't count
-                    yield from out.add((cls, len(s), s), 64 + 8 * len(s))
+                    yield from out.add((cls, len(s), s, signature(s)), 64 + 8 * (len(s) + SIGNATURE))
         yield from out.rest()
 
-    on = docs["doc_id"].eqNullSafe(wanted["rep"])
-    return docs.select("doc_id", "text").join(wanted, on).select("text", "cls").mapInArrow(scan, SET_DDL)
+    on = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t.digest") == F.col("w.digest"))
+    return (docs.selectExpr("doc_id", DIGEST, "text").alias("t").join(wanted.alias("w"), on)
+            .select("text", "cls").mapInArrow(scan, SET_DDL))
 
 
 def short_lists(sets: DataFrame) -> DataFrame:
-    """(key, cls, n): every class on its n - T + 1 shortest lists, without lists of one class."""
+    """(key, cls, n, place): every class on its n - T + 1 shortest lists, without lists of one class.
+
+    The place counts the class's shingles with shorter lists; equal lengths go by the shingle.
+    """
     posts = sets.select("cls", F.explode("members").alias("key"))
     lengths = posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     # one list of a class's own shingles
-    own = (posts.join(lengths, "key").groupBy("cls")
+    own = (posts.join(lengths.hint("merge"), "key").groupBy("cls")
            .agg(F.array_sort(F.collect_set(F.struct("length", "key"))).alias("found")))
     sized = own.join(sets.select("cls", "n").distinct(), "cls")
     # shingles found once are its shortest lists and hold nobody else
-    keep = F.col("n") - least(F.col("n")) + 1 - (F.col("n") - F.size("found"))
+    alone = F.col("n") - F.size("found")
+    keep = F.col("n") - least(F.col("n")) + 1 - alone
     lists = (sized.where(keep > 0)
-             .select("cls", "n", F.explode(F.slice("found", F.lit(1), keep.cast("int"))).alias("f"))
-             .select(F.col("f.key").alias("key"), "cls", "n"))
+             .select("cls", "n", alone.alias("alone"),
+                     F.posexplode(F.slice("found", F.lit(1), keep.cast("int"))).alias("at", "f"))
+             .select(F.col("f.key").alias("key"), "cls", "n", (F.col("alone") + F.col("at")).alias("place")))
     shared = lists.groupBy("key").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a <> _b")
     return lists.join(shared.select("key"), "key", "left_semi")
 
@@ -229,12 +246,6 @@ def inverted(query: np.ndarray, candidates: list[np.ndarray]) -> tuple[np.ndarra
     return at[hit][order], who[hit][order]
 
 
-def distances(query: np.ndarray, candidates: list[np.ndarray]) -> list[float]:
-    """Jaccard distance of each candidate to the query set."""
-    both = np.bincount(inverted(query, candidates)[1], minlength=len(candidates)).tolist()
-    return [1 - b / (len(query) + len(c) - b) for b, c in zip(both, candidates)]
-
-
 def search(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     """Indexes of the candidates that link with the query set."""
     if not candidates:
@@ -247,11 +258,10 @@ def search(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     return sorted(i for i, n in found.items() if n >= required(len(query), sizes[i]))
 
 
-def links(pairs: DataFrame, sets: DataFrame, measure: bool = False) -> DataFrame:
-    """(a, b) of the pairs (hub, cls) that link, with a null distance.
+def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (hub, cls) that link.
 
-    With ``measure`` also all pairs with their distance.  Candidates of a hub come in cells of a bounded size; a hub's set is sent to
-    each of its cells.
+    Candidates of a hub come in cells of a bounded size; a hub's set is sent to each of its cells.
     """
     cells = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("bigint").alias("cells"))
     placed = (pairs.join(cells, "hub")
@@ -263,22 +273,14 @@ def links(pairs: DataFrame, sets: DataFrame, measure: bool = False) -> DataFrame
 
     def cell(key, c: pa.Table, h: pa.Table) -> pa.Table:
         found: list[int] = []
-        others: list[int] = []
-        dist: list[float] = []
         if len(c) and len(h):
             classes = c.column("cls").to_pylist()
             members = [np.asarray(x.values) for chunk in c.column("members").chunks for x in chunk]
-            query = np.asarray(h.column("own")[0].values)
-            found = [classes[i] for i in search(query, members)]
-            if measure:
-                others, dist = classes, distances(query, members)
-        hub = key[0].as_py()
-        return pa.table({"a": pa.array([hub] * (len(found) + len(others)), pa.int64()),
-                         "b": pa.array(found + others, pa.int64()),
-                         "dist": pa.array([None] * len(found) + dist, pa.float64())})
+            found = [classes[i] for i in search(np.asarray(h.column("own")[0].values), members)]
+        return pa.table({"a": pa.array([key[0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     return (cands.groupBy("hub", "cell").cogroup(hubs.groupBy("h", "k"))
-            .applyInArrow(cell, "a bigint, b bigint, dist double"))
+            .applyInArrow(cell, "a bigint, b bigint"))
 
 
 # ------------------------------------------------------------- components
@@ -336,7 +338,7 @@ def take_smallest(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(cls, comp) of all classes on the lists, by rounds of hubs (see the module)."""
-    lists = written(lists.withColumn("d", F.lit(None).cast("double")), "lists")
+    lists = written(lists, "lists")
     labels = written(lists.select("cls").distinct().select("cls", F.col("cls").alias("comp")), "labels")
     tested, all_links, width = None, None, 1
     kept, read = [], [lists]                   # tables to delete: at the end, once the next round has read them
@@ -344,47 +346,45 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         live = lists.join(labels, "cls")
         mixed = live.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"),
                                         F.count("*").alias("size")).where("_a <> _b")
-        live = written(live.join(mixed.select("key", "size"), "key").select("key", "cls", "n", "d", "comp", "size"),
+        live = written(live.join(mixed.select("key", "size"), "key").select("key", "cls", "n", "place", "comp", "size"),
                        "live")
         discard(*read)
         if live.isEmpty():
             break
         # a short list ends with all members as hubs, a long one picks the smallest class of each residue
         slot = F.when(F.col("size") <= 2 * width, F.col("cls")).otherwise(F.pmod("cls", F.lit(width)))
-        picked = live.groupBy("key", slot).agg(F.min(F.struct("cls", "comp", "n", "d")).alias("h"))
+        picked = live.groupBy("key", slot).agg(F.min(F.struct("cls", "comp", "n", "place")).alias("h"))
         hubs = written(picked.select("key", F.col("h.cls").alias("hub"), F.col("h.comp").alias("hub_comp"),
-                                     F.col("h.n").alias("hub_n"), F.col("h.d").alias("hub_d")), "hubs")
-        # sets of too different sizes can't link, nor sets at too different distances from the list's first hub
+                                     F.col("h.n").alias("hub_n"), F.col("h.place").alias("hub_place")), "hubs")
+        # sets of too different sizes can't link, nor sets with too little after the first list they share
         alike = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
-        near = F.coalesce(F.abs(F.col("d") - F.col("hub_d")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-        met_on = (F.col("l.key") == F.col("h.key")) & (F.col("l.comp") != F.col("h.hub_comp")) & alike & near
+        enough = ((100 + PERCENT) * F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+                  >= PERCENT * (F.col("n") + F.col("hub_n")))
+        met_on = (F.col("l.key") == F.col("h.key")) & (F.col("l.comp") != F.col("h.hub_comp")) & alike & enough
         members, found_by = live, hubs
         if all_links is not None:
             # few lists are left: a pair meets on the first list that both are still on, not on each
-            shared = live.groupBy("cls").agg(F.collect_set("key").alias("keys"))
+            shared = (live.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("place", "key"))).alias("on"))
+                      .select("cls", F.col("on.key").alias("keys"))
+                      .join(sets.select("cls", "bits").dropDuplicates(["cls"]), "cls"))
             members = live.join(shared, "cls")
-            found_by = hubs.join(shared.select(F.col("cls").alias("hub"), F.col("keys").alias("hub_keys")), "hub")
-            met_on = met_on & (F.col("l.key") == F.array_min(F.array_intersect("keys", "hub_keys")))
+            found_by = hubs.join(shared.select(F.col("cls").alias("hub"), F.col("keys").alias("hub_keys"),
+                                               F.col("bits").alias("hub_bits")), "hub")
+            met_on = (met_on & similar_signatures()
+                      & (F.col("l.key") == F.element_at(F.array_intersect("keys", "hub_keys"), 1)))
         met = members.alias("l").join(found_by.alias("h"), met_on)
         # the smaller class searches for the larger one, whichever is the hub
         pairs = met.select(F.least("hub", "cls").alias("hub"), F.greatest("hub", "cls").alias("cls")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "cls"], "left_anti")
         pairs = written(pairs, "pairs")
-        first = all_links is None
-        result, old = written(links(pairs, sets, measure=first), "links"), labels
-        found = result.where("dist is null").select("a", "b")
+        found, old = written(links(pairs, sets), "links"), labels
         labels = written(take_smallest(old, found), "labels")
         tested = pairs if tested is None else tested.union(pairs)
-        all_links = found if first else all_links.union(found)
+        all_links = found if all_links is None else all_links.union(found)
         lists = live.join(hubs.select("key", F.col("hub").alias("cls")), ["key", "cls"], "left_anti").select(
-            "key", "cls", "n", "d")
-        if first:
-            # distances to the first hub stay with the members of its lists
-            dist = result.where("dist is not null").select(F.col("a").alias("hub"), F.col("b").alias("cls"), "dist")
-            lists = (lists.drop("d").join(hubs.select("key", "hub"), "key").join(dist, ["hub", "cls"], "left")
-                     .select("key", "cls", "n", F.col("dist").alias("d")))
-        kept += [pairs, result]
+            "key", "cls", "n", "place")
+        kept += [pairs, found]
         read = [live, hubs, old]
         width *= 16
     if all_links is None:
@@ -394,13 +394,19 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return done
 
 
+def similar_signatures():
+    """Condition on bits, hub_bits, n, hub_n: no more bits differ than shingles may."""
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("hub_bits")[i])) for i in range(SIGNATURE)), F.lit(0))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("hub_n"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (see the module)."""
     spark = docs.sparkSession
     sketch = written(sketches(docs), "sketches")
     classes = written(sketch.where("n > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"),
-        *[F.first(c).alias(c) for c in ("n", "posted", "whole")]), "classes")
+        F.min("doc_id").alias("rep"), F.coalesce(F.min_by("digest", "doc_id"), F.first("digest")).alias("digest"),
+        F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "posted", "whole")]), "classes")
     wanted = written(promising(sketch, classes), "promising")
     release(spark)
     members = written(sketch.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "members")

@@ -101,3 +101,42 @@ def test_null_and_repeated_ids_and_empty(spark):
     kept = J.stage(spark, df, "")
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 4]
     assert J.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_signature_bounds_the_difference():
+    rnd = np.random.default_rng(5)
+    for size in (1, 20, 300, 5000):
+        for _ in range(10):
+            a = np.unique(rnd.integers(0, 1 << 62, size))
+            b = np.unique(np.concatenate([rnd.choice(a, max(1, size * 4 // 5), replace=False),
+                                          rnd.integers(0, 1 << 62, size // 5)]))
+            bits = sum(int(x).bit_count() for x in (J.signature(a) ^ J.signature(b)).view(np.uint64))
+            assert len(J.signature(a)) == J.SIGNATURE and bits <= len(np.setxor1d(a, b))
+            assert not (J.signature(a) ^ J.signature(a)).any()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_group_of_near_copies(spark, seed):
+    """Members about the threshold apart: some link, hundreds link with nobody."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    base = [word() for _ in range(90)]
+    docs = []
+    for i in range(300):
+        own = list(base)
+        for at in rnd.sample(range(90), rnd.choice((0, 1, 1, 2, 2, 3, 4))):
+            own[at] = word()
+        docs.append((i, " ".join(own[:rnd.choice((90, 90, 80, 72))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df).collect()}
+    want = brute(docs)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_texts_without_ids(spark):
+    """Each text without an id is read for its own class; links reach texts with ids."""
+    t = [f"{c} b c d e f g h i j k l m n o p q r s t u v w x y z" for c in "123456"]
+    df = spark.createDataFrame([(None, t[0]), (None, t[1]), (None, "some other words that link with nobody here"),
+                                (None, t[0]), (7, t[2]), (3, t[3]), (None, t[4].upper())], "doc_id long, text string")
+    got = J.near_duplicates(df).collect()
+    assert sorted(str(r["component_id"]) for r in got) == ["3"] * 6 + ["None"]
