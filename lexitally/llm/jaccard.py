@@ -175,7 +175,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         yield from out.rest()
 
     on = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t.digest") == F.col("w.digest"))
-    return (docs.selectExpr("doc_id", DIGEST, "text").alias("t").join(wanted.alias("w"), on)
+    return (docs.selectExpr("doc_id", DIGEST, "text").alias("t").join(wanted.hint("merge").alias("w"), on)
             .select("text", "cls").mapInArrow(scan, SET_DDL))
 
 
