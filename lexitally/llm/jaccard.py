@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunks, ascii_words, discard, mix64, release, rows_of, written
+from .common import Chunks, ascii_words, discard, frugal, mix64, release, rows_of, written
 
 WORDS = 5
 PERCENT = 80                      # least similarity, in hundredths
@@ -125,7 +125,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield from out.add((doc, digest, len(s), class_of(s), len(part), whole, keys), 64 + 8 * len(keys))
         yield from out.rest()
 
-    return docs.selectExpr("doc_id", DIGEST, "text").mapInArrow(scan, SKETCH_DDL)
+    return docs.selectExpr("doc_id", DIGEST, "text").mapInArrow(frugal(scan), SKETCH_DDL)
 
 
 def least(n):
@@ -176,7 +176,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     on = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t.digest") == F.col("w.digest"))
     return (docs.selectExpr("doc_id", DIGEST, "text").alias("t").join(wanted.hint("merge").alias("w"), on)
-            .select("text", "cls").mapInArrow(scan, SET_DDL))
+            .select("text", "cls").mapInArrow(frugal(scan), SET_DDL))
 
 
 def short_lists(sets: DataFrame) -> DataFrame:

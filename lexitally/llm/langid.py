@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Chunks, keep_only, masked_columns, mix64, names_of, rows_of, split_key
+from .common import Chunks, frugal, keep_only, masked_columns, mix64, names_of, rows_of, split_key
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -109,7 +109,7 @@ def training_bags(labelled: DataFrame) -> DataFrame:
         yield from out.rest()
 
     return labelled.select("doc_id", "text", "lang").mapInArrow(
-        features, "lang string, doc_id bigint, part int, idx binary, share binary")
+        frugal(features), "lang string, doc_id bigint, part int, idx binary, share binary")
 
 
 class Model:
@@ -364,7 +364,7 @@ def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_i
                 yield from out.add((*kept, *scorer.score(text)), size)
         yield from out.rest()
 
-    return src.mapInArrow(predict, ddl)
+    return src.mapInArrow(frugal(predict), ddl)
 
 
 def query(spark, docs: DataFrame) -> DataFrame:

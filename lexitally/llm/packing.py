@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import BYTE_LEVEL_PATTERN, Bpe, SharedVocabulary, byte_symbols
-from .common import Chunks, rows_of, worker_object, written
+from .common import Chunks, frugal, rows_of, worker_object, written
 
 PIECE_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int |
                     start, piece = start + length, piece + 1
         yield from out.rest()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE_DDL + (", ids binary" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(frugal(cut), PIECE_DDL + (", ids binary" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- the plan

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunks, discard, rows_of, split_key, table, written
+from .common import Chunks, discard, frugal, rows_of, split_key, table, written
 
 FEATURES = ("log_chars", "log_words", "word_length", "symbols", "marks", "upper", "digits", "letters",
             "blanks", "distinct_words", "repeat_pairs", "repeat_lines", "top_word", "plain_words",
@@ -88,7 +88,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 yield from out.add((doc, np.array(statistics(text)).tobytes()), 200)
         yield from out.rest()
 
-    return docs.select("doc_id", "text").mapInArrow(measure, STATS_DDL)
+    return docs.select("doc_id", "text").mapInArrow(frugal(measure), STATS_DDL)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -112,7 +112,7 @@ def _sum_partitions(df: DataFrame, arrays, width: int) -> np.ndarray:
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
-    sums = (df.mapInArrow(partial, "v binary").repartition(16)
+    sums = (df.mapInArrow(frugal(partial), "v binary").repartition(16)
             .mapInArrow(add, "v binary").collect())
     return np.sum([np.frombuffer(r["v"]) for r in sums], axis=0)
 
@@ -217,7 +217,7 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
                 [batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
 
-    return stats.select("doc_id", "stats").mapInArrow(apply, "doc_id bigint, score double, predicted int")
+    return stats.select("doc_id", "stats").mapInArrow(frugal(apply), "doc_id bigint, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:

@@ -58,3 +58,26 @@ def test_stages_carry_columns_of_any_name(spark):
         rows = out.collect()
         assert rows and all(r[c] == f"{c}{i}" for r in rows for i, c in enumerate(extra)), name
     assert C.STAGES[-1][1](spark, docs, SF).count() >= 60
+
+
+def test_tasks_give_back_memory_after_their_tables_are_freed(monkeypatch):
+    """Workers live on beside the JVM: what a task's tables held goes back to the system."""
+    from lexitally.llm import common
+    events = []
+
+    class Table:
+        def __del__(self):
+            events.append("freed")
+
+    class Libc:
+        def malloc_trim(self, pad):
+            events.append("trimmed")
+
+    def scan(batches):
+        table = Table()
+        for batch in batches:
+            yield batch, id(table) != 0
+
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: Libc())
+    assert list(common.frugal(scan)([1, 2])) == [(1, True), (2, True)]
+    assert events == ["freed", "trimmed"]

@@ -99,3 +99,21 @@ def test_stage_keeps_columns_and_valid_text(spark):
     assert got[3]["text"] is None and got[3]["n_chars"] is None
     for i in (1, 2):
         assert got[i]["n_chars"] == len(got[i]["text"]) < 20
+
+
+def test_short_texts_are_hashed_in_small_groups():
+    """The arrays of a group are many times its size and live beside the JVM."""
+    rows = [(i, "x" * 4000) for i in range(1000)]
+    groups = list(S._pieces(iter(rows), 400))
+    assert max(sum(len(p) for _, _, p in g) for g in groups) <= 1 << 19
+    assert [u for g in groups for u, _, _ in g] == list(range(1000))
+    long = list(S._pieces(iter([(1, "y" * (3 << 20)), (2, "z" * 500)]), 400))
+    assert all(long) and {u for g in long for u, _, _ in g} == {1, 2}
+
+
+def test_stage_cuts_texts_in_one_function(spark):
+    """Two Python functions in a task are two workers beside the JVM."""
+    df = spark.createDataFrame([(1, "a" * 900, "en", "s", 900)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    plan = S.stage(spark, df, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
