@@ -77,6 +77,27 @@ def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def _slot(keys: np.ndarray, multiplier: int, size: int) -> np.ndarray:
+    """Slot of each key in a table of ``size`` (a power of two): the product's upper bits."""
+    return (keys.astype(np.uint64) * np.uint64(multiplier) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _slots(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(multiplier, keys, values) of hash tables that hold each key in one of them: a slot takes
+    one of its keys, the others go to the next table."""
+    out, multiplier = [], 0x9E3779B97F4A7C15
+    while len(keys):
+        size = 1 << max(10, (4 * len(keys)).bit_length())
+        at = _slot(keys, multiplier, size)
+        held, kept = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        held[at], kept[at] = keys, values
+        out.append((multiplier, held, kept))
+        left = held[at] != keys
+        keys, values = keys[left], values[left]
+        multiplier = multiplier * 0xD6E8FEB86659FD93 & (1 << 64) - 1 | 1
+    return out
+
+
 class Pieces:
     """A merge-type vocabulary in the public ``.model`` format."""
 
@@ -122,16 +143,15 @@ class Pieces:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.fallback = bool(trainer.get(35, 0)) and len(self.byte_ids) == 256
         self.by_word = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
-        keys = np.array([a << 21 | b for a, b in self.merges], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.joined = keys[order], np.array(list(self.merges.values()), dtype=np.int64)[order]
+        self.slots = _slots(np.array([a << 21 | b for a, b in self.merges], dtype=np.int64),
+                            np.array(list(self.merges.values()), dtype=np.int64))
         # symbol of every character: its piece, or a number from the number of pieces on
         self.symbol_of = np.arange(0x110000, dtype=np.int32) + len(self.pieces)
         for c, i in self.chars.items():
             self.symbol_of[ord(c)] = i
         # decoding: bytes of each id; control pieces are invisible
         self.surface = trainer.get(44, " ⁇ ".encode())
-        self.text = [self._text(i) for i in range(len(self.pieces))]
+        self.text = np.array([self._text(i) for i in range(len(self.pieces))], dtype=object)
         self.is_byte = np.array([k == BYTE for k in self.kinds])
 
     def _special(self, trainer: dict, number: int, default: str) -> int:
@@ -178,8 +198,17 @@ class Pieces:
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank and id of the piece that each pair joins to, NO_PIECE where there is none."""
         key = left.astype(np.int64) << 21 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.joined[at], NO_PIECE)
+        out, ask, where = np.full(key.size, NO_PIECE), key.ravel(), np.arange(key.size)
+        for multiplier, keys, joined in self.slots:
+            at = _slot(ask, multiplier, len(keys))
+            held = keys[at]
+            hit = held == ask
+            out[where[hit]] = joined[at[hit]]
+            left = (held >= 0) & ~hit                  # a pair whose slot is empty is in no table
+            ask, where = ask[left], where[left]
+            if not len(ask):
+                break
+        return out.reshape(key.shape)
 
     def pack_all(self, words: list[str]) -> list[bytes]:
         """Packed ids of words of one length: a row of the matrix is a word's agenda, and each
@@ -261,7 +290,7 @@ class Pieces:
         split = [self.split(t) if t else [] for t in texts]
         if len(table) >= CACHE_WORDS:
             table.clear()
-        new = set().union(*split) - table.keys()
+        new = set().union(*split).difference(table)
         self.pack_words(new, table)
         begin, end = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
         out = [b"".join([begin, *map(table.__getitem__, words), end]) for words in split]
@@ -277,7 +306,7 @@ class Pieces:
     def decode_packed(self, packed: bytes) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, the blank put before it removed."""
         ids = np.frombuffer(packed, dtype="<u4")
-        data = b"".join(map(self.text.__getitem__, ids.tolist()))
+        data = b"".join(self.text.take(ids).tolist())
         if self.prefix:
             data = data[self._drop(ids):]
         try:
@@ -395,7 +424,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", keep: tuple[str, .
                 if decode:
                     row.append(own.decode_packed(packed))
                 if check:
-                    same = np.array(theirs[i], dtype="<u4").tobytes() == packed
+                    same = struct.pack(f"<{len(theirs[i])}I", *theirs[i]) == packed
                     row.append(same and (not decode or library.decode(theirs[i]) == row[-1]))
                 yield from out.add(tuple(row), 64 + 3 * len(packed))
         yield from out.rest()

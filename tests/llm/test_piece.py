@@ -95,3 +95,15 @@ def test_query_digests(spark, tmp_path, library):
         assert r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
         assert r["n_tokens"] == len(ids)
+
+
+def test_joined_pairs_by_hash(own):
+    """Every pair that joins is found with its rank and id, whichever table holds it; others are not."""
+    left, right = np.array(list(own.merges)).T
+    assert (own._joined(left, right) == np.array(list(own.merges.values()))).all()
+    assert sum(int((keys >= 0).sum()) for _, keys, _ in own.slots) == len(own.merges)
+    rnd = np.random.default_rng(3)
+    a, b = rnd.integers(0, len(own.pieces) + 0x110000, (2, 50, 400))
+    want = [[own.merges.get(p, S.NO_PIECE) for p in zip(x, y)] for x, y in zip(a.tolist(), b.tolist())]
+    assert own._joined(a, b).tolist() == want
+    assert own._joined(a[:, :0], b[:, :0]).shape == (50, 0)
