@@ -4,7 +4,8 @@ Two tokenisers cut the same bytes.  The byte offsets at which a token of either
 ends stand in an end-to-index dictionary for each; the intersection of their keys
 holds the common ends.  Sorted, these cut both id lists into groups, and inside a
 group every pair of tokens whose byte ranges overlap is a link.  The spans (below)
-that are new to a task are aligned as one text, one after another.
+that are new to a task are aligned as one text, one after another; a full table of
+spans keeps those that the texts at hand use again.
 
 A (a rank file's byte-level vocabulary) runs over blank + text, B (a
 SentencePiece model, which adds the blank itself) over the text.  Both end a
@@ -49,7 +50,7 @@ from .common import no_cycle_search, written
 from .piece import BLANK, SharedModel, groups
 
 BLOCK_CHARS = 4 << 20      # text of a block; a longer document has a block of its own
-SPANS = 1 << 17            # spans kept by a task before the table is emptied
+SPANS = 1 << 18            # spans kept by a task; a fuller table goes on with those of the texts at hand
 LONG = 64                  # longer spans are not kept
 
 BLOCK_DDL = ("block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
@@ -71,7 +72,7 @@ class Span(NamedTuple):
     links: bytes
 
 
-_SIZES = [itemgetter(i) for i in range(4)]
+_SIZES = itemgetter(0, 1, 2, 3)
 _GROUPS = itemgetter(4)
 
 
@@ -130,11 +131,24 @@ class Aligner:
         # the library gives nothing for a text without a character
         b = [ids or [self.blank] for ids in self.b.encode([s[1:] for s in spans], num_threads=1)]
         data = [s.encode("utf-8", "surrogatepass") for s in spans]
+        if spans and self._joins(a, b, data):
+            return self._align(a, b)
         fine = [b"".join(map(self.a_bytes.__getitem__, x)) == d == b"".join(map(self.b_bytes.__getitem__, y))
                 for x, y, d in zip(a, b, data)]
         found = iter(self._align([x for x, ok in zip(a, fine) if ok], [y for y, ok in zip(b, fine) if ok]))
         return [next(found) if ok else None for ok in fine]
 
+    def _joins(self, a: list[list[int]], b: list[list[int]], data: list[bytes]) -> bool:
+        """Whether the tokens of every span join to its bytes: all of them together do, and each span has its length."""
+        ends, whole = np.cumsum(np.fromiter(map(len, data), np.int64, len(data))), b"".join(data)
+        for ids, sizes, token in ((a, self.a_sizes, self.a_bytes), (b, self.b_sizes, self.b_bytes)):
+            stop = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            reached = np.cumsum(sizes[np.fromiter(itertools.chain.from_iterable(ids), np.int64)])[stop - 1]
+            if (not np.array_equal(reached, ends)
+                    or b"".join(map(token.__getitem__, itertools.chain.from_iterable(ids))) != whole):
+                return False
+        return True
+
     def _align(self, a: list[list[int]], b: list[list[int]]) -> list[Span]:
         """Spans one after another are one text of which every span's end is a common end."""
         if not a:
@@ -163,45 +177,63 @@ def worker_aligner(ranks: bytes, pattern: str, model: bytes) -> Aligner:
     return Aligner(ranks, pattern, model)
 
 
+def room(known: dict[str, Span | None], seen: set[str], more: int) -> dict[str, Span | None]:
+    """The table of spans with room for ``more``: a full one goes on with the spans that are ``seen`` now."""
+    return known if len(known) + more <= SPANS else {w: known[w] for w in seen & known.keys()}
+
+
 # ---------------------------------------------------------------- blocks
+class _Numbers(dict):
+    """Number of each span in its block, given in order of first use."""
+
+    def __init__(self):
+        super().__init__()
+        self.order: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.order.append(word)
+        return number
+
+
 class _Block:
     """Documents of one block, over the block's own numbers of spans and id pairs."""
 
     def __init__(self, ident: int):
         self.ident, self.chars = ident, 0
-        self.number: dict[str, int] = {}       # span -> its number in this block
+        self.number = _Numbers()
         self.spans: list[Span] = []
         self.docs: list[tuple] = []
 
-    def add(self, doc_id, words: list[str], found: list[Span | None]) -> None:
-        if not found or None in found:
-            self.docs.append((doc_id, 0, 0, 0, 0, "", b"", b""))
+    def add(self, doc_id, words: list[str], known: dict[str, Span | None], aligned: bool = True) -> None:
+        """A document's spans; not ``aligned``: one of them has no tokens."""
+        if not words or not aligned:
+            self.docs.append((doc_id, "", b"", b""))
             return
-        number = self.number
-        for word, span in dict(zip(words, found)).items():
-            if word not in number:
-                number[word] = len(self.spans)
-                self.spans.append(span)
-        numbers = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        self.spans.extend(map(known.__getitem__, self.number.order[len(self.spans):]))
         used, times = np.unique(numbers, return_counts=True)
-        digest = hashlib.sha256(b";".join(map(_GROUPS, found))).hexdigest()
-        self.docs.append((doc_id, *[sum(map(size, found)) for size in _SIZES], digest,
-                          np.diff(used, prepend=np.int32(0)).tobytes(), times.astype(np.int32).tobytes()))
+        digest = hashlib.sha256(b";".join(map(_GROUPS, map(known.__getitem__, words)))).hexdigest()
+        self.docs.append((doc_id, digest, np.diff(used, prepend=np.int32(0)).tobytes(), times.astype(np.int32).tobytes()))
 
     def rows(self, schema: pa.Schema) -> pa.RecordBatch:
         """A row for each document, the first with the block's tables of pairs and spans."""
         times = np.zeros(len(self.spans), dtype=np.int64)
-        for *_, used, counts in self.docs:
-            times[np.cumsum(np.frombuffer(used, np.int32))] += np.frombuffer(counts, np.int32)
-        sizes = np.array([s.n_links for s in self.spans], dtype=np.int64)
+        each = np.array(list(map(_SIZES, self.spans)), dtype=np.int64).reshape(-1, len(Span._fields) - 2)
+        docs = []
+        for doc_id, digest, used, counts in self.docs:
+            at, n = np.cumsum(np.frombuffer(used, np.int32)), np.frombuffer(counts, np.int32)
+            times[at] += n
+            docs.append((doc_id, *(n.astype(np.int64) @ each[at]).tolist(), digest, used, counts))
+        sizes = each[:, 3]
         links = np.frombuffer(b"".join([s.links for s in self.spans]), np.int64)
         pairs, members = np.unique(links, return_inverse=True)
         linked = np.zeros(len(pairs), dtype=np.int64)
         np.add.at(linked, members, np.repeat(times, sizes))
         starts = np.cumsum(sizes) - sizes
-        n = len(self.docs)
+        n = len(docs)
         first = lambda value: [value] + [None] * (n - 1)
-        cols = [[self.ident] * n, *zip(*self.docs), first(pairs), first(linked),
+        cols = [[self.ident] * n, *zip(*docs), first(pairs), first(linked),
                 first(starts.astype(np.int32).tobytes()), first(members.astype(np.int32).tobytes())]
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -223,15 +255,16 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, model_path: str) ->
         block = _Block(first)
         for rows in groups(batches, "doc_id", "text"):
             split = [tool.spans(text) if text else [] for _, text in rows]
-            if len(known) >= SPANS:
-                known.clear()
-            new = list(set().union(*split) - known.keys())
+            seen = set().union(*split)
+            new = list(seen - known.keys())
+            known = room(known, seen, len(new))
             known.update(zip(new, tool.cut(new)))
+            bad = {w for w in seen if known[w] is None}
             for (doc_id, text), words in zip(rows, split):
                 if block.docs and block.chars + len(text or "") > BLOCK_CHARS:
                     yield block.rows(schema)
                     block = _Block(block.ident + 1)
-                block.add(doc_id, words, list(map(known.__getitem__, words)))
+                block.add(doc_id, words, known, not bad or bad.isdisjoint(words))
                 block.chars += len(text or "") + 16
             for w in new:
                 if len(w) > LONG:

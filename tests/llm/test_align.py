@@ -69,9 +69,46 @@ def test_groups_and_links_of_whole_texts(plain):
         assert sorted(x for s in found for x in A.np.frombuffer(s.links, A.np.int64).tolist()) == sorted(i << 32 | j for i, j in want[3]), text
 
 
+def test_a_full_table_keeps_the_spans_in_use(monkeypatch):
+    monkeypatch.setattr(A, "SPANS", 3)
+    known = {" a": 1, " b": 2, " c": 3}
+    assert A.room(known, {" a", " c"}, 0) is known
+    assert A.room(known, {" a", " c", " d"}, 1) == {" a": 1, " c": 3}
+
+
+def test_spans_that_do_not_join_stand_alone(plain):
+    """One span without tokens leaves those that are aligned with it as they are."""
+    tool = A.Aligner(open(FILES[0], "rb").read(), FILES[1], open(FILES[2], "rb").read())
+    good, bad = [" the", " cats'", " 1,250"], " a▁b"
+    assert tool.cut([]) == [] and tool.cut([bad]) == [None]
+    assert tool.cut([good[0], bad, *good[1:]]) == [tool.cut([w])[0] if w != bad else None for w in (good[0], bad, *good[1:])]
+    assert None not in tool.cut(good)
+
+
+def test_a_block_adds_up_its_documents(plain):
+    """Sums come from the block's spans, with repeats; a document with a span without tokens has none."""
+    import pyarrow as pa
+    tool = A.Aligner(open(FILES[0], "rb").read(), FILES[1], open(FILES[2], "rb").read())
+    texts = ["the cats the cats' the", "1,250 the", "", "x the"]
+    words = [tool.spans(t) if t else [] for t in texts]
+    known = {w: tool.cut([w])[0] for ws in words for w in ws}
+    block = A._Block(7)
+    for i, ws in enumerate(words):
+        block.add(i, ws, known, i != 3)
+    i64s, names = pa.list_(pa.int64()), ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links"]
+    out = block.rows(pa.schema([(n, pa.int64()) for n in names] + [("groups_sha256", pa.string()), ("spans", pa.binary()), (
+        "uses", pa.binary()), ("pairs", i64s), ("linked", i64s), ("starts", pa.binary()), ("members", pa.binary())]))
+    want = [plain(t) for t in texts[:2]]
+    assert [tuple(r[n] for n in names[1:]) for r in out.to_pylist()] == [
+        *((i, len(a), len(b), len(g), len(x)) for i, (a, b, g, x) in enumerate(want)), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+    assert sum(out.column("linked")[0].as_py()) == sum(len(x) for *_, x in want)
+
+
+@pytest.mark.parametrize("spans", [1, 1 << 18])
 @pytest.mark.parametrize("block", [1, 200, A.BLOCK_CHARS])
-def test_counts_over_the_corpus(spark, plain, monkeypatch, block):
+def test_counts_over_the_corpus(spark, plain, monkeypatch, block, spans):
     monkeypatch.setattr(A, "BLOCK_CHARS", block)
+    monkeypatch.setattr(A, "SPANS", spans)
     rows = [(i, t) for i, t in enumerate(texts()[::9])] + [(1, "the ing the"), (1, "the ing the"), (None, "the 12"), (5000, None), (5001, "")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_a int").repartition(3)
     got = Counter(tuple(r) for r in A.alignment(df, *FILES).collect())
