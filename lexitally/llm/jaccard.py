@@ -303,6 +303,7 @@ def merge_components(labels: DataFrame, found: DataFrame) -> DataFrame:
         edges = written(edges.join(nodes.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x")
                         .join(nodes.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y")
                         .where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "edges")
+        release(labels.sparkSession)
     return labels.join(nodes.select(F.col("node").alias("comp"), "root"), "comp", "left").select(
         "cls", F.coalesce("root", "comp").alias("comp"))
 
@@ -349,6 +350,7 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         live = written(live.join(mixed.select("key", "size"), "key").select("key", "cls", "n", "place", "comp", "size"),
                        "live")
         discard(*read)
+        release(lists.sparkSession)            # each round's plans and broadcasts stay in the driver otherwise
         if live.isEmpty():
             break
         # a short list ends with all members as hubs, a long one picks the smallest class of each residue

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Chunks, frugal, keep_only, masked_columns, mix64, names_of, rows_of, split_key
+from .common import Chunks, frugal, keep_only, masked_columns, mix64, names_of, release, rows_of, split_key
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -285,7 +285,10 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     once = drawn.groupBy("lang", "doc_id").agg(F.first("text").alias("text"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
     rows = training_bags(once.withColumn("at", order).where(F.col("at") <= sample)).collect()
-    return fit([tuple(r) for r in rows])
+    model = fit([tuple(r) for r in rows])
+    del rows
+    release(docs.sparkSession)                 # the driver needs the sample no more
+    return model
 
 
 class _WordLogits(dict):

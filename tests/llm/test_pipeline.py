@@ -81,3 +81,27 @@ def test_tasks_give_back_memory_after_their_tables_are_freed(monkeypatch):
     monkeypatch.setattr(common.ctypes, "CDLL", lambda name: Libc())
     assert list(common.frugal(scan)([1, 2])) == [(1, True), (2, True)]
     assert events == ["freed", "trimmed"]
+
+
+def test_release_frees_the_drivers_python_first():
+    """Python's objects hold the JVM's plans and broadcasts: cycles go before the JVM's collector runs."""
+    import gc
+    from types import SimpleNamespace as N
+    from lexitally.llm import common
+    events = []
+
+    class Frame:
+        def __del__(self):
+            events.append("freed")
+
+    system = N(gc=lambda: events.append("jvm"))
+    spark = N(sparkContext=N(_jvm=N(System=system)))
+    gc.disable()
+    try:
+        frame = Frame()
+        frame.own = frame
+        del frame
+        common.release(spark)
+    finally:
+        gc.enable()
+    assert events == ["freed", "jvm"]

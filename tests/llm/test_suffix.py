@@ -117,3 +117,18 @@ def test_stage_cuts_texts_in_one_function(spark):
                                "doc_id long, text string, lang string, source string, n_chars long")
     plan = S.stage(spark, df, "")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_stage_removes_short_passages_of_over_fifty_words(spark):
+    """A repeated passage of 51 words goes although it has less than 400 bytes; one of 50 words stays."""
+    words = [f"w{i:03d}" for i in range(51)]
+    passage, shorter = " ".join(words), " ".join(w[::-1] for w in words[:50])
+    texts = [f"one {passage}. first", f"two ({passage}) second", f"three {shorter}! third", f"four: {shorter}? fourth", "la " * 300]
+    assert 200 < len(shorter) < len(passage) < 400
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in S.stage(spark, df, "").collect()}
+    want = ["one. first", "two () second", *texts[2:4]]
+    for i, t in enumerate(want):
+        assert got[i][0].replace(" .", ".") == t and got[i][1] == len(got[i][0])
+    assert got[4][1] < 20                                # 400 bytes go whatever their words
