@@ -1,7 +1,10 @@
 """Ranked lexical search over a length-stratified index (operator 11).
 
 The index holds documents in blocks of bounded text: a block's own sorted terms,
-and for each term its documents and how often they hold it.  The normaliser m of
+and for each term its documents and how often they hold it.  A block is kept as
+rows of bounded size, each with some of its terms (the first with its documents'
+ids), in row groups of few rows: what reads, sorts or deals them holds little at
+once, however much one task reads.  The normaliser m of
 a document depends on its length and on two sums over the corpus, so documents of
 one block with equal m form a stratum.  Within a stratum a term's postings stand
 by tf: the impact of (m, tf) is computed once for all documents that share both.
@@ -30,19 +33,24 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import rows_of, written
+from .common import frugal, rows_of, trim_memory, written
 
 BLOCK_BYTES = 4 << 20      # text of an index block; a longer document has a block of its own
-CELL_BYTES = 32 << 20      # index text that one search task holds, about
-QUERY_TERMS = 1 << 16      # terms of the queries that one search task holds, about
+DOC_BYTES = 64             # what a document adds to that beside its text
+ROW_BYTES = 256 << 10      # terms and postings of an index row; a longer term's postings have a row of their own
+GROUP_ROWS = 16            # rows of a row group of the written index: a reader holds no more at once
+CELL_BYTES = 8 << 20       # index text that a search holds at once, about
+QUERY_TERMS = 1 << 16      # terms of the queries that a search holds at once, about
 FIRST_DOCS = 64            # documents of the first strata to be visited
 
 # Fixed value: what a term is made of, once A-Z are lower-cased.
@@ -55,7 +63,7 @@ SCALE, TF_UNIT, LENGTH_UNIT, FLAT, SLOPE = 1_000_000_000, 1000, 8, 25, 75
 # UTF-8 bytes: what no term holds becomes a blank, A-Z lower-case; bytes beyond ASCII stay.
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
-INDEX_DDL = ("block bigint, n_docs bigint, n_terms bigint, ids array<bigint>, lengths array<bigint>, "
+INDEX_DDL = ("block bigint, part bigint, n_docs bigint, n_terms bigint, ids array<bigint>, lengths array<bigint>, "
              "terms array<string>, dfs array<bigint>, docs binary, tfs binary")
 _NULL_ID = np.iinfo(np.int64).max
 
@@ -84,20 +92,32 @@ class _Block:
             found[0].append(number)
             found[1].append(tf)
 
-    def row(self, schema: pa.Schema) -> pa.RecordBatch:
-        terms = sorted(self.postings)
+    def rows(self, schema: pa.Schema, limit: int) -> Iterator[pa.RecordBatch]:
+        """The terms in order, as many a row as ``limit`` bytes hold; the documents stand in the first row."""
+        some, size, part = [], 0, 0
+        for term in sorted(self.postings):
+            more = len(term) + 16 + 8 * len(self.postings[term][0])
+            if some and size + more > limit:
+                yield self._row(schema, part, some)
+                some, size, part = [], 0, part + 1
+            some.append(term)
+            size += more
+        yield self._row(schema, part, some)
+
+    def _row(self, schema: pa.Schema, part: int, terms: list[bytes]) -> pa.RecordBatch:
         docs = np.array([d for t in terms for d in self.postings[t][0]], dtype="<i4")
         tfs = np.array([x for t in terms for x in self.postings[t][1]], dtype="<i4")
-        values = [self.ident, len(self.ids), sum(self.lengths), self.ids, self.lengths,
+        ids, lengths = ([], []) if part else (self.ids, self.lengths)
+        values = [self.ident, part, len(ids), sum(lengths), ids, lengths,
                   [t.decode("utf-8", "replace") for t in terms], [len(self.postings[t][0]) for t in terms],
                   docs.tobytes(), tfs.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The index of every document with a term, one row a block (written below the shared folder)."""
+    """The index of every document with a term, some rows a block (written below the shared folder)."""
     i64 = pa.int64()
-    schema = pa.schema([("block", i64), ("n_docs", i64), ("n_terms", i64), ("ids", pa.list_(i64)),
+    schema = pa.schema([("block", i64), ("part", i64), ("n_docs", i64), ("n_terms", i64), ("ids", pa.list_(i64)),
                         ("lengths", pa.list_(i64)), ("terms", pa.list_(pa.string())), ("dfs", pa.list_(i64)),
                         ("docs", pa.binary()), ("tfs", pa.binary())])
 
@@ -108,15 +128,17 @@ def build_index(docs: DataFrame) -> DataFrame:
                 counts = Counter(terms_of(text))
                 if not counts:
                     continue
-                if block.ids and block.size + len(text) > BLOCK_BYTES:
-                    yield block.row(schema)
+                size = len(text) + DOC_BYTES
+                if block.ids and block.size + size > BLOCK_BYTES:
+                    yield from block.rows(schema, ROW_BYTES)
                     block = _Block(block.ident + 1)
                 block.add(doc_id, counts)
-                block.size += len(text)
+                block.size += size
         if block.ids:
-            yield block.row(schema)
+            yield from block.rows(schema, ROW_BYTES)
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, INDEX_DDL), "lexical-index")
+    return written(docs.select("doc_id", "text").mapInArrow(frugal(run), INDEX_DDL), "lexical-index",
+                   **{"parquet.block.row.count.limit": GROUP_ROWS, "parquet.enable.dictionary": False})
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -213,6 +235,26 @@ class Stratified:
         return sorted(heap + found)[:k]
 
 
+def _joined(column: pa.ChunkedArray) -> pa.Array:
+    """The values of a column of lists, one after another."""
+    return pa.concat_arrays([c.flatten() for c in column.chunks])
+
+
+def _blocks(rows: pa.Table, asked: pa.Array) -> Iterator[tuple]:
+    """Each block of a table of index rows: ids and lengths of its documents, terms, dfs, docs and tfs of those asked for."""
+    block, part = rows.column("block").to_numpy(), rows.column("part").to_numpy()
+    order = np.lexsort((part, block))
+    for mine in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        own = rows.take(pa.array(mine))
+        terms, dfs = _joined(own.column("terms")), _joined(own.column("dfs")).to_numpy()
+        wanted = pc.is_in(terms, value_set=asked).to_numpy(zero_copy_only=False)
+        if wanted.any():
+            postings = np.repeat(wanted, dfs)
+            docs, tfs = (np.frombuffer(b"".join(own.column(c).to_pylist()), "<i4")[postings] for c in ("docs", "tfs"))
+            yield (_joined(own.column("ids")).to_pylist(), _joined(own.column("lengths")).to_numpy(),
+                   terms.filter(pa.array(wanted)).to_pylist(), dfs[wanted], docs, tfs)
+
+
 def _cells(index: DataFrame, weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of the grid of index blocks and query blocks, with its keys i and j."""
     size = index.agg(F.sum(F.col("n_terms"))).first()[0] or 0
@@ -238,19 +280,18 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     def cell(blocks: pa.Table, queries: pa.Table) -> pa.Table:
         asked = queries.to_pylist()
         heaps: list[list[tuple]] = [[] for _ in asked]
-        for r in range(len(blocks) if asked else 0):
-            row = {c: blocks.column(c)[r].as_py() for c in blocks.column_names}
-            block = Stratified(row["ids"], row["lengths"], row["terms"], row["dfs"], np.frombuffer(row["docs"], "<i4"),
-                               np.frombuffer(row["tfs"], "<i4"), n_docs, n_terms)
+        for held in _blocks(blocks, _joined(queries.column("term")).unique()) if asked and len(blocks) else ():
+            block = Stratified(*held, n_docs, n_terms)
             for q, item in enumerate(asked):
                 heaps[q] = block.search(item["term"], item["weight"], k, heaps[q])
         rows = [(a["text"], a["item_id"], None if null else ident, -score)
                 for a, heap in zip(asked, heaps) for score, null, ident in heap]
+        trim_memory()                          # the worker lives on beside the JVM
         cols = list(zip(*rows)) or [[], [], [], []]
         return pa.table({"text": pa.array(cols[0], pa.string()), "item_id": pa.array(cols[1], pa.int64()),
                          "doc_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.int64())})
 
-    left = left.select("i", "j", "ids", "lengths", "terms", "dfs", "docs", "tfs")
+    left = left.select("i", "j", "block", "part", "ids", "lengths", "terms", "dfs", "docs", "tfs")
     right = right.select("i", "j", F.col("item._text").alias("text"), "item_id", "term", "weight")
     parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(
         cell, "text string, item_id bigint, doc_id bigint, score bigint")

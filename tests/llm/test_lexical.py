@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lexitally.llm import lexical as L
@@ -78,6 +80,46 @@ def test_strata_are_left_out_only_below_the_kth_score():
     assert len(visited) < len(made.start)
 
 
+@pytest.mark.parametrize("size", [1, 90])
+def test_blocks_of_many_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(L, "ROW_BYTES", size)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 4000)
+    docs, items = corpus(120)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    q = spark.createDataFrame(items, "item_id long, text string")
+    index = L.build_index(d)
+    assert index.where("part > 3").count()
+    assert sorted((tuple(r) for r in L.search(index, q, 5).collect()), key=repr) == brute(docs, items, 5)
+
+
+def test_index_is_read_in_small_pieces(spark):
+    docs = [(i, " ".join(f"w{j}" for j in range(i % 7, 40000, 7 + i % 5))) for i in range(150)]
+    index = L.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).coalesce(1)
+    rows = index.orderBy("block", "part").collect()
+    assert max(len(r.docs) + len(r.tfs) + sum(len(t) + 8 for t in r.terms) for r in rows) <= L.ROW_BYTES < 300_000
+    files = list(Path(re.sub("^file:/+", "/", index.inputFiles()[0])).parent.glob("*.parquet"))
+    read = [pq.ParquetFile(f).metadata for f in files]
+    assert max(m.row_group(g).num_rows for m in read for g in range(m.num_row_groups)) <= L.GROUP_ROWS < len(rows)
+    # and it is whole
+    assert sorted(i for r in rows for i in r.ids) == [i for i, _ in docs]
+    assert sum(r.n_docs for r in rows) == len(docs) and sum(r.n_terms for r in rows) == sum(len(t.split()) for _, t in docs)
+    held, want = Counter(), Counter(t for _, text in docs for t in set(text.split()))
+    for block in {r.block for r in rows}:
+        own = [r for r in rows if r.block == block]
+        terms = [t for r in own for t in r.terms]
+        assert [r.part for r in own] == list(range(len(own))) and terms == sorted(set(terms))
+        for r in own:
+            held.update(dict(zip(r.terms, r.dfs)))
+            assert len(r.docs) == len(r.tfs) == 4 * sum(r.dfs)
+    assert held == want
+
+
+def test_short_documents_fill_a_block_too(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_BYTES", 50 * (1 + L.DOC_BYTES))
+    docs = spark.createDataFrame([(i, "a") for i in range(200)], "doc_id long, text string").coalesce(1)
+    assert [r.n_docs for r in L.build_index(docs).orderBy("block", "part").collect()] == [50] * 4
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
